@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .fingerprint import compare_with_next
 from .mixing import mix
 from .ngram_join import ngram_components
 
@@ -20,8 +21,13 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_source_mix": op2_source_mix,
+    "op3_document_fingerprints": op3_document_fingerprints,
 }
 ORACLES: dict[str, str] = {}
