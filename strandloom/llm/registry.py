@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .fingerprint import compare_with_next
 from .mixing import mix
 from .ngram_join import ngram_components
+from .sentencepiece_codec import decode, encode, model_bytes
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +27,17 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(read_table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and the digest of what they decode to."""
+    model = model_bytes()
+    back = decode(encode(read_table(spark, sf_dir, "documents"), model), model)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_source_mix": op2_source_mix,
     "op3_document_fingerprints": op3_document_fingerprints,
+    "op4_sentencepiece": op4_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
