@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .fingerprint import compare_with_next
+from .langid import identify
 from .mixing import mix
 from .ngram_join import ngram_components
 from .sentencepiece_codec import decode, encode, model_bytes
@@ -34,10 +35,15 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_source_mix": op2_source_mix,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_sentencepiece": op4_sentencepiece,
+    "op7_language_id": op7_language_id,
 }
 ORACLES: dict[str, str] = {}
