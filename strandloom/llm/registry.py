@@ -12,6 +12,7 @@ from .fingerprint import compare_with_next
 from .langid import identify
 from .mixing import mix
 from .ngram_join import ngram_components
+from .pii import find, summary
 from .sentencepiece_codec import decode, encode, model_bytes
 
 
@@ -39,11 +40,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(find(read_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_source_mix": op2_source_mix,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_language_id": op7_language_id,
+    "op8_pii": op8_pii,
 }
 ORACLES: dict[str, str] = {}
