@@ -13,6 +13,7 @@ from .langid import identify
 from .mixing import mix
 from .ngram_join import ngram_components
 from .pii import find, summary
+from .quality import judge
 from .sentencepiece_codec import decode, encode, model_bytes
 
 
@@ -44,6 +45,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(find(read_table(spark, sf_dir, "documents")))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_source_mix": op2_source_mix,
@@ -51,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op7_language_id": op7_language_id,
     "op8_pii": op8_pii,
+    "op9_quality_rules": op9_quality_rules,
 }
 ORACLES: dict[str, str] = {}
