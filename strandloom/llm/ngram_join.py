@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64, slices_by_bytes, text_buffers
+from .common import materialize, mix64, slices_by_bytes, text_buffers
 from .components import connected_components
 
 _BATCH_BYTES = 1 << 20
@@ -28,7 +28,9 @@ _FLUSH = 1 << 21
 #: Hash ranges hold about this many entries.
 _RANGE_ENTRIES = 2_000_000
 _LOW_BITS = 40
-_SUFFIX_PARTS = 16
+#: Parts of the hash space in the suffix filter; rows of a posting list that one task compares at a time.
+_PARTS = 512
+_BLOCK_ROWS = 2000
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -168,11 +170,11 @@ def _deal(n: int, bits: int):
     return run
 
 
-_COUNTED = "node long, doc_id long, content long, n long, sig binary, keys array<long>"
+_COUNTED = "node long, doc_id long, content long, n long, sig binary, bucket int, entries binary"
 
 
 def _count(bits: int):
-    """A hash range -> its text rows, and for each text the order keys of its repeated hashes.
+    """A hash range -> its text rows, and packed (text, order key) entries of its repeated hashes by bucket of texts.
 
     An order key is the document frequency (8 bits, an eighth of a binary power each) above the
     hash: ascending keys are rare first, and equal hashes have equal keys.
@@ -181,10 +183,10 @@ def _count(bits: int):
     def run(key, table):
         import pyarrow as pa
 
-        schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
+        schema = pa.schema([("node", pa.int64()), ("doc_id", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bucket", pa.int32()), ("entries", pa.binary())])
         is_entry = np.array(table.column("flush").is_valid())
         texts = table.filter(pa.array(~is_entry))
-        parts = [texts.select(["node", "doc_id", "content", "n", "sig"]).append_column("keys", pa.nulls(len(texts), pa.list_(pa.int64())))]
+        parts = [texts.select(["node", "doc_id", "content", "n", "sig"]).append_column("bucket", pa.nulls(len(texts), pa.int32())).append_column("entries", pa.nulls(len(texts), pa.binary()))]
         blobs = table.filter(pa.array(is_entry))
         if len(blobs):
             low, node = [], []
@@ -203,17 +205,115 @@ def _count(bits: int):
             many = np.repeat(df > 1, df)
             keys = (np.repeat(rank, df) << np.uint64(56) | np.uint64(key[0].as_py()) << np.uint64(_LOW_BITS) | low)[many].astype(np.int64)
             node = node[many]
-            order = np.argsort(node, kind="stable")
-            node, keys = node[order], keys[order]
-            begin = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(keys)), pa.int32()), pa.array(keys, pa.int64()))
-            m = len(begin)
-            parts.append(pa.table([pa.array(node[begin], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), lists], schema=schema))
+            bucket = (mix64(node.astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint16)
+            order = np.argsort(bucket, kind="stable")
+            packed = np.stack([node[order], keys[order]], axis=1)
+            cut = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+            some = np.flatnonzero(np.diff(cut))
+            packs = [packed[cut[k] : cut[k + 1]].astype("<i8").tobytes() for k in some.tolist()]
+            m = len(some)
+            parts.append(pa.table([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(some, pa.int32()), pa.array(packs, pa.binary())], schema=schema))
         return pa.concat_tables([p.cast(schema) for p in parts])
 
     return run
 
 
+def _gather(table):
+    """A bucket's entries -> each text's order keys, rare first."""
+    import pyarrow as pa
+
+    e = np.concatenate([np.frombuffer(b.as_buffer(), "<i8").reshape(-1, 2) for b in table.column("entries")])
+    order = np.lexsort((e[:, 1], e[:, 0]))
+    node, keys = e[order, 0], e[order, 1]
+    begin = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(keys)), pa.int32()), pa.array(keys))
+    return pa.table([pa.array(node[begin]), lists], ["node", "keys"])
+
+
+_PAIRING = "a long, bs array<long>"
+
+
+def _pairing(t: int):
+    """Rows of posting lists, sorted by (key, left, right) -> candidate pairs as (a, its partners b > a).
+
+    A pair needs one row of the left and one of the right side, of different labels, and passes
+    the length, positional and suffix filters. The suffix filter bounds the overlap by the
+    hashes of one text that fall into parts of the hash space where the other has any.
+    """
+
+    def pairs(g):
+        left, right = np.flatnonzero(g["side"] == 0), np.flatnonzero(g["side"] == 1)
+        for at in range(0, len(left), 512):
+            x = left[at : at + 512]
+            na, nb = g["n"][x][:, None], g["n"][right][None]
+            need = -(-t * (na + nb) // (100 + t))
+            ok = (g["label"][x][:, None] != g["label"][right][None]) & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * t)
+            ia, ib = g["i"][x][:, None], g["i"][right][None]
+            ok &= np.minimum(ia, ib) + 1 + np.minimum(na - g["u"][x][:, None] - ia - 1, nb - g["u"][right][None] - ib - 1) >= need
+            if not ok.any():
+                continue
+            ca, cb = (np.frombuffer(b"".join(g["parts"][k] for k in side), np.uint8).reshape(len(side), -1).astype(np.float32) for side in (x, right))
+            full = (ca == 255).any(1)[:, None] | (cb == 255).any(1)[None]  # counts that may be larger bound nothing
+            ok &= full | (ca @ (cb > 0).T.astype(np.float32) >= need) & ((ca > 0).astype(np.float32) @ cb.T >= need)
+            p, q = np.nonzero(ok)
+            p, q = g["node"][x][p], g["node"][right][q]
+            yield np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1)
+
+    def grouped(found):
+        import pyarrow as pa
+
+        e = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], e[1:, 0] != e[:-1, 0]])) if len(e) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(e)), pa.int32()), pa.array(e[:, 1]))
+        return pa.RecordBatch.from_arrays([pa.array(e[begin, 0]), lists], ["a", "bs"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        rest, found = None, []
+        for batch in _and_end(batches):
+            table = pa.Table.from_batches([x for x in (rest, batch) if x is not None])
+            if not len(table):
+                continue
+            table = table.combine_chunks()
+            g = {c: np.array(table.column(c)) for c in ("key", "left", "right", "side", "node", "label", "n", "u", "i")}
+            g["parts"] = table.column("parts").to_pylist()
+            new = (g["key"][1:] != g["key"][:-1]) | (g["left"][1:] != g["left"][:-1]) | (g["right"][1:] != g["right"][:-1])
+            begin = np.concatenate([[0], np.flatnonzero(new) + 1, [len(table)]])
+            if batch is not None:  # the last group may go on
+                rest = table.slice(begin[-2]).to_batches()[0]
+                begin = begin[:-1]
+            for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+                found += pairs({c: v[a:b] for c, v in g.items()})
+            yield grouped(found)
+            found = []
+
+    return run
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
+def _parts(width: int):
+    """Counts of an Arrow batch's keys by part of the hash space, as bytes; 255 stands for any larger count."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("keys"))
+            flat, n = np.array(lists.flatten()), np.array(lists.value_lengths())
+            row = np.repeat(np.arange(len(n)), n)
+            counts = np.zeros((len(n), width), np.int64)
+            np.add.at(counts, (row, (flat % width).astype(np.int64)), 1)
+            counts = np.minimum(counts, 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in counts], pa.binary())], [*batch.schema.names, "parts"])
+
+    return run
+
+
 def _needed(na, nb, t: int):
     """Least overlap of a link: 100 * overlap >= t * union."""
     return F.ceil(F.lit(t) * (na + nb) / F.lit(100 + t))
@@ -236,20 +336,18 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, star_rounds
     bits = min(16, max(3, int(size / 6 / _RANGE_ENTRIES).bit_length()))
     dealt = src.mapInArrow(_deal(n, bits), _DEALT)
     table = materialize(dealt.groupBy("r").applyInArrow(_count(bits), _COUNTED), "grams")
-    rows = table.where("keys is null").drop("keys")
+    rows = table.where("entries is null").drop("bucket", "entries")
 
     # Equal sets are one class, represented by its first row.
     reps = rows.where("sig is not null").groupBy("sig").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"))
     reps = materialize(reps, "reps")
     prefix_len = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100)) + 1
+    keys = table.where("entries is not null").groupBy("bucket").applyInArrow(_gather, "node long, keys array<long>")
     cand = (
-        table.where("keys is not null").select("node", "keys").join(reps.select("node", "n"), "node")
-        .groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.flatten(F.collect_list("keys"))).alias("keys"))
-        .withColumn("u", F.col("n") - F.size("keys"))
-        .withColumn("p", (prefix_len - F.col("u")).cast("int")).where("p > 0")
+        keys.join(reps.select("node", "n"), "node").withColumn("u", F.col("n") - F.size("keys"))
+        .withColumn("p", (prefix_len - F.col("u")).cast("int")).where("p > 0").select("node", "n", "u", "p", "keys")
     )
-    # Suffix filter: the hashes fall into fixed parts of the hash space; the overlap is at most the sum of the smaller counts.
-    cand = cand.withColumn("parts", F.transform(F.sequence(F.lit(0), F.lit(_SUFFIX_PARTS - 1)), lambda i: F.size(F.filter("keys", lambda k: k.bitwiseAND(_SUFFIX_PARTS - 1) == i))))
+    cand = cand.mapInArrow(_parts(_PARTS), "node long, n long, u long, p int, keys array<long>, parts binary")
     cand = materialize(cand, "cand")
     # The lower `far`, the more of the text's hashes occur elsewhere, and the better a centre it is.
     post = cand.select("node", "n", "u", (F.col("u") / F.col("n")).alias("far"), F.posexplode(F.slice("keys", F.lit(1), F.col("p"))).alias("i", "key"))
@@ -258,15 +356,14 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, star_rounds
     post = materialize(post.join(shared, "key"), "post")
 
     t = percent
-    facts, sets = cand.select("node", "n", "parts"), cand.select("node", "keys")
+    facts, sets = cand.select("node", "n"), cand.select("node", "keys")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) -> those of them that link."""
         fa, fb = (facts.select([F.col(c).alias(c + x) for c in facts.columns]) for x in "ab")
         sa, sb = (sets.select([F.col(c).alias(c + x) for c in sets.columns]) for x in "ab")
-        bound = F.aggregate(F.zip_with("partsa", "partsb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
         p = pairs.join(fa, F.col("a") == F.col("nodea")).join(fb, F.col("b") == F.col("nodeb"))
-        p = p.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * t) & (bound >= _needed(F.col("na"), F.col("nb"), t))).select("a", "b", "na", "nb")
+        p = p.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * t)).select("a", "b", "na", "nb")
         p = p.join(sa, F.col("a") == F.col("nodea")).join(sb, F.col("b") == F.col("nodeb"))
         inter = F.size(F.array_intersect("keysa", "keysb"))
         return p.where(100 * inter >= t * (F.col("na") + F.col("nb") - inter)).select("a", "b")
@@ -307,11 +404,18 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, star_rounds
     # All that is left: pairs between components, in posting lists that hold more than one.
     lab = materialize(labelled(links).select("key", "label", fact.alias("y")), "lab")
     by = lab.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
-    mixed = by.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "main")
-    lab = lab.join(mixed, "key")
-    minor = lab.where("label <> main").select("key", F.col("label").alias("other"), F.col("y").alias("x"))
-    cross = minor.join(lab.select("key", "label", "y"), "key").where((F.col("label") != F.col("other")) & near("x", "y"))
-    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    mixed = by.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("m"), F.ceil(F.sum("k") / F.lit(_BLOCK_ROWS)).alias("s")).where("m > 1").select("key", "main", "s")
+    # Rows outside a list's main label meet all rows, in blocks of a bounded number of rows.
+    minor = F.col("label") != F.col("main")
+    lab = lab.join(mixed, "key").join(cand.select("node", "parts"), F.col("y.node") == F.col("node"))
+    lab = lab.select("key", "label", "main", "s", "node", "y.n", "y.u", "y.i", "parts", F.pmod(F.xxhash64("node"), "s").alias("own"))
+    every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1))
+    lefts = lab.where(minor).withColumn("other", every_block).select("*", F.col("own").alias("left"), F.col("other").alias("right"), F.lit(0).alias("side"))
+    rights = lab.withColumn("other", every_block).select("*", F.col("other").alias("left"), F.col("own").alias("right"), F.lit(1).alias("side"))
+    blocks = lefts.unionByName(rights).select("key", "left", "right", "side", "node", "label", "n", "u", "i", "parts")
+    blocks = blocks.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+    cross = blocks.mapInArrow(_pairing(t), _PAIRING).groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
+    cross = cross.select("a", F.explode("bs").alias("b"))
     cross = materialize(unlinked(cross, tried), "cross")
     links.append(materialize(verify(cross), "links"))
 
