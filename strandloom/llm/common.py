@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -46,6 +47,18 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for the plans that run inside, which keeps Python workers small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,13 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, slices_by_bytes, text_buffers
+from .common import arrow_batches, materialize, mix64, slices_by_bytes, text_buffers
 from .components import connected_components
 
 _BATCH_BYTES = 1 << 20
-_FLUSH = 1 << 21
+_BATCH_ROWS = 1000
+_FLUSH = 1 << 20
 #: Hash ranges hold about this many entries.
-_RANGE_ENTRIES = 2_000_000
+_RANGE_ENTRIES = 1_000_000
 _LOW_BITS = 40
 #: Parts of the hash space in the suffix filter; rows of a posting list that one task compares at a time.
 _PARTS = 512
@@ -199,6 +200,7 @@ def _count(bits: int):
             low, node = np.concatenate(low), np.concatenate(node)
             order = np.argsort(low, kind="stable")
             low, node = low[order], node[order]
+            del order
             begin = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
             df = np.diff(np.append(begin, len(low)))
             rank = np.minimum(127, np.round(4 * np.log2(df))).astype(np.uint64)
@@ -335,7 +337,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, star_rounds
     size = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(16, max(3, int(size / 6 / _RANGE_ENTRIES).bit_length()))
     dealt = src.mapInArrow(_deal(n, bits), _DEALT)
-    table = materialize(dealt.groupBy("r").applyInArrow(_count(bits), _COUNTED), "grams")
+    with arrow_batches(docs.sparkSession, _BATCH_ROWS):
+        table = materialize(dealt.groupBy("r").applyInArrow(_count(bits), _COUNTED), "grams")
     rows = table.where("entries is null").drop("bucket", "entries")
 
     # Equal sets are one class, represented by its first row.
