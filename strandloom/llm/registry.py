@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_chat, parse_messages
 from .common import read_table
 from .fingerprint import compare_with_next
 from .html_extract import extract
@@ -16,6 +17,7 @@ from .ngram_join import ngram_components
 from .pii import find, summary
 from .quality import judge
 from .sentencepiece_codec import decode, encode, model_bytes
+from .warc import archive_and_read
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +40,14 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chat(parse_messages(read_table(spark, sf_dir, "conversations")))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(read_table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read_table(spark, sf_dir, "documents"))
 
@@ -59,9 +69,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_chat_format": op5_chat_format,
+    "op6_warc": op6_warc,
     "op7_language_id": op7_language_id,
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLES: dict[str, str] = {}
+
+#: The conversations hold no calls, so that their links are all empty.
+ORACLES: dict[str, str] = {
+    "op5_chat_format": """
+        select conv_id, turn, role, turn as order_turn, cast(0 as bigint) as order_step, cast(0 as bigint) as n_calls,
+          cast(0 as bigint) as n_answered, cast(0 as bigint) as n_invalid, cast(null as boolean) as linked,
+          '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' as json,
+          '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as rendered
+        from conversations
+    """,
+    "op6_warc": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        d as (select page_id, strlen(html) as n, sha1(html) as digest, max(page_id) over (partition by html) as last from p)
+        select page_id, n as payload_bytes, digest as payload_digest,
+          case when n >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
+          case when n >= 1000 and page_id <> last then last end as refers_to
+        from d
+    """,
+}
