@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding, by best-path search over a model's pieces and scores.
 
-The encoding of a text is its segmentation into pieces with the largest sum of scores (then
-with the fewest pieces). No piece holds a word mark after another character, so a text falls
-into words that are searched on their own and remembered.
+The encoding of a text is its segmentation into pieces with the largest sum of scores. No piece
+holds a word mark after another character or a character that no piece has, so a text falls
+into words that are searched on their own and remembered: by the library in its best-path mode
+where single precision holds the word's scores exactly, and here, by the same rule, elsewhere.
 
 A giant text is searched as a max-plus scan. It is split into chunks of rows; a chunk's state at
 its ends is how many characters the piece across the boundary reaches into the next chunk. Each
@@ -14,6 +15,7 @@ two states. No task holds more than one chunk's text, and results are those of t
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,7 +28,6 @@ MARK = "▁"
 #: Texts of more code points are split into chunks of so many.
 GIANT, CHUNK = 65536, 8192
 _MEMORY = 400_000
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _LOADED: dict[int, "Pieces"] = {}
 
@@ -62,7 +63,22 @@ class Pieces:
                 self.raw.append(" ⁇ ".encode() if p.type == _UNKNOWN else b"")
         self.unknown = min(scores) - 10.0
         self.longest = max(len(p) for p, v in self.found.items() if v)
-        self.words = _Memory(self)
+        alone = {p for p, v in self.found.items() if v and len(p) == 1 and p != MARK}
+        every = {c for p in self.found for c in p} - {MARK}
+        known, single = (re.escape("".join(sorted(x))) for x in (every, alone))
+        self.split = re.compile(f"{MARK}*[{known}]+|{MARK}+|[^{known}{MARK}]").findall
+        # The library sums in single precision, which is exact for whole scores below 2 ** 24. Scores
+        # far below all others (this model's lone marks) become the least that keeps their order.
+        usual = [x for x in scores if x > -1e8]
+        reach = int(2**23 // max(1.0, -min(usual, default=0.0))) - 1 if all(x == int(x) for x in usual) else 0
+        self.plain = re.compile(f"{MARK}?[{single}]{{1,{reach}}}").fullmatch if reach > 1 else lambda w: None
+        m.trainer_spec.model_type = 1
+        m.normalizer_spec.add_dummy_prefix = False
+        for p in m.pieces:
+            p.score = max(p.score, -float(2**23))
+        self.library = None
+        self.model = m.SerializeToString()
+        self.words: dict[str, bytes] = {}
 
     def steps(self, text: str, i: int, most: int):
         """(end, score) of each piece at i that ends by most; a character without a piece is unknown."""
@@ -79,17 +95,16 @@ class Pieces:
             yield i + 1, self.unknown
 
     def best(self, text: str, start: int = 0, end: int | None = None) -> list[int]:
-        """Ids of the best path from start to end: largest score, fewest pieces, longest last pieces."""
+        """Ids of the best path from start to end; of equal ones that whose last piece, and so on backwards, is longest."""
         end = len(text) if end is None else end
         score = [None] * (end + 1)
         back = [0] * (end + 1)
-        score[start] = (0.0, 0)
+        score[start] = 0.0
         for i in range(start, end):
             if score[i] is None:
                 continue
-            s, c = score[i]
             for j, v in self.steps(text, i, end):
-                new = (s + v, c - 1)
+                new = score[i] + v
                 if score[j] is None or new > score[j]:  # an earlier start is a longer last piece: it stays on ties
                     score[j], back[j] = new, i
         out, j = [], end
@@ -101,50 +116,46 @@ class Pieces:
         return [x for ids in reversed(out) for x in ids]
 
     def matrix(self, text: str, n: int, last: bool) -> np.ndarray:
-        """(2, L, L): score and piece count of the best path from entry state to exit state of a chunk of n characters.
+        """(L, L): score of the best path from entry state to exit state of a chunk of n characters.
 
         text goes on after the chunk's n characters for as long as a piece can reach.
         """
         size = self.longest
         score = np.full((n + size, size), -np.inf)
-        count = np.zeros((n + size, size))
         k = min(size, n + 1)
         score[np.arange(k), np.arange(k)] = 0.0
         for i in range(n):
-            here, c = score[i], count[i] + 1
             for j, v in self.steps(text, i, len(text)):
-                new = here + v
-                better = (new > score[j]) | ((new == score[j]) & (c < count[j]))
-                score[j][better] = new[better]
-                count[j][better] = c[better]
-        out = np.stack([score[n : n + size].T, count[n : n + size].T])
+                np.maximum(score[j], score[i] + v, out=score[j])
+        out = score[n : n + size].T.copy()
         if last:
-            out[0][:, 1:] = -np.inf
+            out[:, 1:] = -np.inf
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian int32."""
-        return b"".join(map(self.words.__getitem__, _WORDS.findall(normalized(text))))
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian int32."""
+        split = [self.split(normalized(t)) for t in texts]
+        if len(self.words) > _MEMORY:
+            self.words.clear()
+        words = self.words
+        new = {w for ws in split for w in ws if w not in words}
+        plain = [w for w in new if self.plain(w)]
+        if plain:
+            if self.library is None:
+                import sentencepiece
+
+                self.library = sentencepiece.SentencePieceProcessor(model_proto=self.model)
+            for w, ids in zip(plain, self.library.encode(plain, num_threads=1)):
+                words[w] = array("i", ids).tobytes()
+        for w in new.difference(plain):
+            words[w] = array("i", self.best(w)).tobytes()
+        return [b"".join(map(words.__getitem__, ws)) for ws in split]
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
-class _Memory(dict):
-    """Words met before and their ids."""
-
-    def __init__(self, pieces: Pieces):
-        self.pieces = pieces
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= _MEMORY:
-            self.clear()
-        ids = np.array(self.pieces.best(word), "<i4").tobytes()
-        self[word] = ids
-        return ids
-
-
 def normalized(text: str) -> str:
     """The model's view of a text: a dummy space before it, spaces as marks."""
     return (MARK + text.replace(" ", MARK)) if text else ""
@@ -164,11 +175,8 @@ def model_bytes(path: str = DEFAULT_MODEL) -> bytes:
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The product of two (2, L, L) matrices: best score over the middle state, then fewest pieces."""
-    s = a[0][:, :, None] + b[0][None]
-    c = a[1][:, :, None] + b[1][None]
-    best = s.max(1)
-    return np.stack([best, np.where(s == best[:, None], c, np.inf).min(1)])
+    """The product of two (L, L) matrices: the best score over the middle state."""
+    return (a[:, :, None] + b[None]).max(1)
 
 
 def prefixes(ms: list[np.ndarray]) -> list[np.ndarray]:
@@ -189,9 +197,7 @@ def boundary_states(ms: list[np.ndarray]) -> list[tuple[int, int]]:
     for k in range(len(ms) - 1, -1, -1):
         entry = 0
         if k:
-            s = pre[k - 1][0][0] + ms[k][0][:, exit_state]
-            c = pre[k - 1][1][0] + ms[k][1][:, exit_state]
-            entry = int(np.lexsort((c, -s))[0])
+            entry = int(np.argmax(pre[k - 1][0] + ms[k][:, exit_state]))
         out.append((entry, exit_state))
         exit_state = entry
     return out[::-1]
@@ -244,7 +250,7 @@ def _scan(size: int):
         import pyarrow as pa
 
         table = table.sort_by("k")
-        ms = [np.frombuffer(b, np.float64).reshape(2, size, size) for b in table.column("m").to_pylist()]
+        ms = [np.frombuffer(b, np.float64).reshape(size, size) for b in table.column("m").to_pylist()]
         states = boundary_states(ms)
         return pa.table([table.column("key"), table.column("k"), pa.array([s[0] for s in states], pa.int32()), pa.array([s[1] for s in states], pa.int32())], ["key", "k", "entry", "exit"])
 
@@ -272,7 +278,7 @@ def _encode(model: bytes):
         for batch in batches:
             texts = batch.column(1)
             for at in range(0, batch.num_rows, 512):
-                raw = [pieces.encode(t or "") for t in texts[at : at + 512].to_pylist()]
+                raw = pieces.encode_all([t or "" for t in texts[at : at + 512].to_pylist()])
                 offsets = np.zeros(len(raw) + 1, np.int32)
                 np.cumsum([len(r) // 4 for r in raw], out=offsets[1:])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))

@@ -64,7 +64,7 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert all(abs(got[s] - want[s]) <= max(size.values()) for s in want) and max(Counter(rows).values()) <= 3
         if name == "token_ids":
             pieces = sentencepiece_codec.load(sentencepiece_codec.model_bytes())
-            want = Counter((r[0], tuple(np.frombuffer(pieces.encode(r[1]), "<i4").tolist())) for r in was)
+            want = Counter((r[0], tuple(np.frombuffer(pieces.encode_all([r[1]])[0], "<i4").tolist())) for r in was)
             assert Counter((d, tuple(ids)) for d, n, ids in rows) == want and all(n == len(ids) for _, n, ids in rows)
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, (tuple(r) for r in again.collect()))) == sorted(map(str, seen["token_ids"]))

@@ -15,22 +15,23 @@ def library():
     m = pb.ModelProto()
     m.ParseFromString(MODEL)
     m.trainer_spec.model_type = 1
+    for p in m.pieces:  # lone marks score -1e9, which single precision cannot add to the others
+        p.score = max(p.score, -8e6)
     return sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString())
 
 
 def score(ids):
     m = pb.ModelProto()
     m.ParseFromString(MODEL)
-    return sum(m.pieces[i].score for i in ids), len(ids)
+    return sum(m.pieces[i].score for i in ids)
 
 
 def exhaustive(text):
-    """Best (score, -pieces) over all segmentations."""
-    best = {0: (0.0, 0)}
+    """The best score over all segmentations."""
+    best = {0: 0.0}
     for i in range(len(text)):
         for j, v in PIECES.steps(text, i, len(text)):
-            new = (best[i][0] + v, best[i][1] - 1)
-            best[j] = max(best.get(j, new), new)
+            best[j] = max(best.get(j, best[i] + v), best[i] + v)
     return best[len(text)]
 
 
@@ -44,22 +45,20 @@ def texts():
 def test_words_are_best_and_decode():
     lib = library()
     for t in texts():
-        ids = np.frombuffer(PIECES.encode(t or ""), "<i4").tolist()
+        ids = np.frombuffer(PIECES.encode_all([t or ""])[0], "<i4").tolist()
+        assert ids == PIECES.best(sp.normalized(t or ""))
         assert PIECES.decode(ids) == (t or "").replace(sp.MARK, " ") == lib.decode(ids)
         n = sp.normalized(t or "")
         if len(n) < 60 and all(PIECES.found.get(c) for c in n):
-            assert score(ids) == (exhaustive(n)[0], -exhaustive(n)[1])
-            assert score(ids)[0] >= score(lib.encode(t or ""))[0]
+            assert score(ids) == exhaustive(n)
 
 
-def test_library_agrees_on_plain_words():
-    lib, agree = library(), 0
-    words = ["the", "token", "naming", "statement", "people", "Sparkling", "wonder", "children", "analysis", "größe"]
+def test_library_agrees_on_words():
+    lib = library()
+    rnd = random.Random(3)
+    words = ["the", "token", "naming", "statement", "people", "Sparkling", "größe"] + ["".join(rnd.choice("aeinrstéß.,") for _ in range(rnd.randrange(1, 40))) for _ in range(300)]
     for w in words:
-        mine = PIECES.best(sp.normalized(w))
-        assert score(mine) >= score(lib.encode(w)) or score(mine)[0] == score(lib.encode(w))[0]
-        agree += mine == lib.encode(w)
-    assert agree >= 8
+        assert PIECES.best(sp.normalized(w)) == lib.encode(w)
 
 
 @pytest.mark.parametrize("chunk", [16, 17, 64])
@@ -75,7 +74,7 @@ def test_chunks_give_the_best_path(chunk):
         st = sp.boundary_states(ms)
         ids = [x for (a, b), (i, o) in zip(zip(begins, ends), st) for x in PIECES.best(n[a : b + reach], i, b - a + o)]
         total = sp.prefixes(ms)[-1]
-        assert (total[0][0, 0], -total[1][0, 0]) == exhaustive(n)
+        assert total[0, 0] == exhaustive(n)
         assert PIECES.decode(ids) == t.replace(sp.MARK, " ")
         if all(b - a < chunk or b == len(n) for a, b in zip(begins, ends)):
             assert ids == PIECES.best(n)
@@ -83,7 +82,7 @@ def test_chunks_give_the_best_path(chunk):
 
 def test_scan_is_associative():
     rnd = np.random.default_rng(0)
-    ms = [np.stack([rnd.integers(-9, 0, (4, 4)).astype(float), rnd.integers(1, 4, (4, 4)).astype(float)]) for _ in range(7)]
+    ms = [rnd.integers(-9, 0, (4, 4)).astype(float) for _ in range(7)]
     want = [ms[0]]
     for m in ms[1:]:
         want.append(sp.max_plus(want[-1], m))
