@@ -61,29 +61,33 @@ def pairs_on_both(both: DataFrame) -> DataFrame:
     """
     d = both.withColumn("of", F.coalesce("m.cand_of", "p.cand_of"))
     d = d.withColumns({"m_ok": candidate_available("m"), "p_ok": candidate_available("p")})
-    out = {}
+    sides: dict[str, tuple[dict, dict, dict, dict]] = {}
+    steps: list[dict[str, Column]] = [{}, {}, {}]
     for k in ("1", "2"):
         m, p = mate("m", "r" + k), mate("p", "r" + k)
-        first = allele_mark(m, p)
-        use = {s: F.col(s + "_ok") & (F.col(f"{s}.cand_of") == "R" + k) for s in ("m", "p")}
-        again = {s: {c: F.when(F.coalesce(use[s], F.lit(False)), F.col(f"{s}.cand")[c]).otherwise(x[c]) for c in x} for s, x in (("m", m), ("p", p))}
-        may = (F.col("of") == "R" + k) & (F.coalesce(use["m"], F.lit(False)) | F.coalesce(use["p"], F.lit(False)))
-        second = allele_mark(again["m"], again["p"])
-        change = F.coalesce(may, F.lit(False)) & (first == "N") & (second != "N")
-        mark = F.when(change, second).otherwise(first)
-        out["mark" + k] = mark
+        use = {s: F.coalesce(F.col(s + "_ok") & (F.col(f"{s}.cand_of") == "R" + k), F.lit(False)) for s in ("m", "p")}
+        new = lambda s, x, k=k: {c: F.when(F.col(f"{s}_use{k}"), F.col(f"{s}.cand")[c]).otherwise(x[c]) for c in x}
+        sides[k] = (m, p, new("m", m), new("p", p))
+        steps[0] |= {f"{s}_use{k}": use[s] for s in use}
+        steps[1] |= {f"first{k}": allele_mark(m, p), f"second{k}": allele_mark(sides[k][2], sides[k][3])}
+        may = (F.col("of") == "R" + k) & (F.col(f"m_use{k}") | F.col(f"p_use{k}"))
+        steps[2][f"change{k}"] = F.coalesce(may, F.lit(False)) & (F.col(f"first{k}") == "N") & (F.col(f"second{k}") != "N")
+    for step in steps:  # one projection each: later ones refer to columns, not to copies of expressions
+        d = d.withColumns(step)
+    out = {}
+    for k, (m, p, m2, p2) in sides.items():
+        change, first, second = (F.col(x + k) for x in ("change", "first", "second"))
+        out["mark" + k] = F.when(change, second).otherwise(first)
         for c in ("chrom", "frag"):
-            out[c + k] = F.when(change, _pick(second, again["m"], again["p"], c)).otherwise(_pick(first, m, p, c))
+            out[c + k] = F.when(change, _pick(second, m2, p2, c)).otherwise(_pick(first, m, p, c))
     d = d.select("name", *[v.alias(k) for k, v in out.items()])
     return _routed(d)
 
 
 def _routed(d: DataFrame) -> DataFrame:
     marks = F.concat("mark1", "mark2")
-    kind, resolved = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for m, (k, r) in _ROUTES.items():
-        kind = F.when(marks == m, k).otherwise(kind)
-        resolved = F.when(marks == m, F.lit(r).cast("string")).otherwise(resolved)
+    literal = lambda i: F.create_map(*[F.lit(x) for m, r in _ROUTES.items() if r[i] for x in (m, r[i])])
+    kind, resolved = (F.try_element_at(literal(i), marks) for i in (0, 1))
     return d.select("name", "chrom1", "frag1", "chrom2", "frag2", kind.alias("hap_class"), resolved.alias("resolved"))
 
 

@@ -6,11 +6,11 @@ chromosome's number of bins. Averages and percentiles count implicit zeros.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.sources.store import stored
+
 VC_POWER = 2 / 3
 
 
@@ -116,7 +116,7 @@ def ice_weights(m: DataFrame, iterations: int = 200, tolerance: float = 1e-5, ig
     stays short and lost executors cost one round.
     """
     m = m.where(F.abs(F.col("bin1") - F.col("bin2")) >= ignore_diagonals).where("value <> 0")
-    bias = _saved(m.groupBy("chrom", F.col("bin1").alias("bin")).agg(F.lit(1.0).alias("bias")))
+    bias = stored(m.groupBy("chrom", F.col("bin1").alias("bin")).agg(F.lit(1.0).alias("bias")), "bias")
 
     def sums(b: DataFrame) -> DataFrame:
         b1, b2 = (b.select("chrom", F.col("bin").alias("bin" + k), F.col("bias").alias("b" + k)) for k in "12")
@@ -126,7 +126,7 @@ def ice_weights(m: DataFrame, iterations: int = 200, tolerance: float = 1e-5, ig
     for _ in range(iterations):
         s = sums(bias)
         mean = s.groupBy("chrom").agg(F.mean("s").alias("mean"))
-        new = _saved(bias.join(s, ["chrom", "bin"]).join(mean, "chrom").select("chrom", "bin", (F.col("bias") * F.col("s") / F.col("mean")).alias("bias"), (F.col("s") / F.col("mean")).alias("rel")))
+        new = stored(bias.join(s, ["chrom", "bin"]).join(mean, "chrom").select("chrom", "bin", (F.col("bias") * F.col("s") / F.col("mean")).alias("bias"), (F.col("s") / F.col("mean")).alias("rel")), "bias")
         bias = new.select("chrom", "bin", "bias")
         if tolerance > 0:
             worst = new.groupBy("chrom").agg(F.var_pop("rel").alias("v")).agg(F.max("v")).first()[0]
@@ -140,16 +140,3 @@ def apply_bias(m: DataFrame, bias: DataFrame) -> DataFrame:
     for k in "12":
         m = m.join(bias.select("chrom", F.col("bin").alias("bin" + k), F.col("bias").alias("b" + k)), ["chrom", "bin" + k])
     return m.select("chrom", "bin1", "bin2", (F.col("value") / (F.col("b1") * F.col("b2"))).alias("value"))
-
-
-def _saved(d: DataFrame) -> DataFrame:
-    """d, checkpointed to the shared folder the session names."""
-    spark = d.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            import tempfile
-
-            root = f"file://{tempfile.gettempdir()}/strandloom-{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(root)
-    return d.checkpoint()
