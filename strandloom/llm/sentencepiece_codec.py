@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding, by best-path search over a model's pieces and scores.
 
 The encoding of a text is its segmentation into pieces with the largest sum of scores. No piece
-holds a word mark after another character or a character that no piece has, so a text falls
-into words that are searched on their own and remembered: by the library in its best-path mode
+holds a word mark after another character, or a line feed, so a text falls into words that are
+searched on their own and remembered: by the library in its best-path mode
 where single precision holds the word's scores exactly, and here, by the same rule, elsewhere.
 
 A giant text is searched as a max-plus scan. It is split into chunks of rows; a chunk's state at
@@ -65,8 +65,10 @@ class Pieces:
         self.longest = max(len(p) for p, v in self.found.items() if v)
         alone = {p for p, v in self.found.items() if v and len(p) == 1 and p != MARK}
         every = {c for p in self.found for c in p} - {MARK}
-        known, single = (re.escape("".join(sorted(x))) for x in (every, alone))
-        self.split = re.compile(f"{MARK}*[{known}]+|{MARK}+|[^{known}{MARK}]").findall
+        single = re.escape("".join(sorted(alone)))
+        # Control characters that no piece has are words of their own.
+        alien = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in every) or "\ufffe"
+        self.split = re.compile(f"{MARK}*[^{alien}{MARK}]+|{MARK}+|[{alien}]").findall
         # The library sums in single precision, which is exact for whole scores below 2 ** 24. Scores
         # far below all others (this model's lone marks) become the least that keeps their order.
         usual = [x for x in scores if x > -1e8]
@@ -94,19 +96,24 @@ class Pieces:
         if not single:
             yield i + 1, self.unknown
 
-    def best(self, text: str, start: int = 0, end: int | None = None) -> list[int]:
-        """Ids of the best path from start to end; of equal ones that whose last piece, and so on backwards, is longest."""
-        end = len(text) if end is None else end
-        score = [None] * (end + 1)
+    def forward(self, text: str, start: int, until: int, end: int) -> tuple[list, list]:
+        """Best score of reaching each place up to end from start by pieces that begin before until, and where the last of them begins."""
+        score: list = [None] * (end + 1)
         back = [0] * (end + 1)
         score[start] = 0.0
-        for i in range(start, end):
+        for i in range(start, until):
             if score[i] is None:
                 continue
             for j, v in self.steps(text, i, end):
                 new = score[i] + v
                 if score[j] is None or new > score[j]:  # an earlier start is a longer last piece: it stays on ties
                     score[j], back[j] = new, i
+        return score, back
+
+    def best(self, text: str, start: int = 0, end: int | None = None) -> list[int]:
+        """Ids of the best path from start to end; of equal ones that whose last piece, and so on backwards, is longest."""
+        end = len(text) if end is None else end
+        back = self.forward(text, start, end, end)[1]
         out, j = [], end
         while j > start:
             i = back[j]
@@ -115,12 +122,18 @@ class Pieces:
             j = i
         return [x for ids in reversed(out) for x in ids]
 
-    def matrix(self, text: str, n: int, last: bool) -> np.ndarray:
+    def matrix(self, text: str, n: int, last: bool, aligned: bool) -> np.ndarray:
         """(L, L): score of the best path from entry state to exit state of a chunk of n characters.
 
-        text goes on after the chunk's n characters for as long as a piece can reach.
+        text goes on after the chunk's n characters for as long as a piece can reach. An aligned
+        chunk begins with a word, which no piece crosses: its only entry state is 0.
         """
         size = self.longest
+        if aligned:
+            out = np.full((size, size), -np.inf)
+            reached = self.forward(text, 0, n, len(text))[0][n : n + (1 if last else size)]
+            out[0, : len(reached)] = [-np.inf if x is None else x for x in reached]
+            return out
         score = np.full((n + size, size), -np.inf)
         k = min(size, n + 1)
         score[np.arange(k), np.arange(k)] = 0.0
@@ -203,12 +216,16 @@ def boundary_states(ms: list[np.ndarray]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def word_begins(text: str, at: int) -> bool:
+    return at == 0 or (text[at] == MARK and text[at - 1] != MARK)
+
+
 def cut_points(text: str, chunk: int) -> list[int]:
     """Ends of the chunks of a normalized text: at a word's beginning where there is one, else after `chunk` characters."""
     out, at = [], 0
     while len(text) - at > chunk:
         cut = at + chunk
-        while cut > at and not (text[cut] == MARK and text[cut - 1] != MARK):
+        while cut > at and not word_begins(text, cut):
             cut = text.rfind(MARK, at, cut)
         at = cut if cut > at else at + chunk
         out.append(at)
@@ -228,7 +245,7 @@ def _split(model: bytes, chunk: int):
                 for at in range(0, len(ends), 256):
                     some = [(a, b) for a, b in zip(begins, ends)][at : at + 256]
                     n = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array([text[a : b + reach] for a, b in some], pa.string()), pa.array([b - a for a, b in some], pa.int32()), pa.array([b == len(text) for a, b in some], pa.bool_())], ["key", "k", "part", "n", "last"])
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()), pa.array([text[a : b + reach] for a, b in some], pa.string()), pa.array([b - a for a, b in some], pa.int32()), pa.array([b == len(text) for a, b in some], pa.bool_()), pa.array([word_begins(text, a) for a, b in some], pa.bool_())], ["key", "k", "part", "n", "last", "aligned"])
 
     return run
 
@@ -239,7 +256,7 @@ def _matrices(model: bytes):
 
         pieces = load(model)
         for batch in batches:
-            ms = [pieces.matrix(t, n, last).tobytes() for t, n, last in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "last")))]
+            ms = [pieces.matrix(*row).tobytes() for row in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "last", "aligned")))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array(ms, pa.binary())], ["key", "k", "m"])
 
     return run
@@ -303,7 +320,7 @@ def encode(docs: DataFrame, model: bytes | None = None, giant: int = GIANT, chun
     big = materialize(d.where(is_giant).withColumn("key", F.monotonically_increasing_id()), "giants")
     if big.isEmpty():
         return small
-    parts = big.select("key", "text").mapInArrow(_split(model, chunk), "key long, k long, part string, n int, last boolean")
+    parts = big.select("key", "text").mapInArrow(_split(model, chunk), "key long, k long, part string, n int, last boolean, aligned boolean")
     parts = materialize(parts.repartition("key", "k"), "chunks")
     ms = parts.mapInArrow(_matrices(model), "key long, k long, m binary")
     states = ms.groupBy("key").applyInArrow(_scan(size), "key long, k long, entry int, exit int")

@@ -70,7 +70,10 @@ def test_chunks_give_the_best_path(chunk):
         ends = sp.cut_points(n, chunk)
         begins = [0, *ends[:-1]]
         reach = PIECES.longest - 1
-        ms = [PIECES.matrix(n[a : b + reach], b - a, b == len(n)) for a, b in zip(begins, ends)]
+        parts = [(n[a : b + reach], b - a, b == len(n)) for a, b in zip(begins, ends)]
+        full = [PIECES.matrix(*p, False) for p in parts]
+        ms = [PIECES.matrix(*p, sp.word_begins(n, a)) for p, a in zip(parts, begins)]
+        assert sp.prefixes(full)[-1][0, 0] == sp.prefixes(ms)[-1][0, 0]
         st = sp.boundary_states(ms)
         ids = [x for (a, b), (i, o) in zip(zip(begins, ends), st) for x in PIECES.best(n[a : b + reach], i, b - a + o)]
         total = sp.prefixes(ms)[-1]
