@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def bh_adjust(d: DataFrame, p: str, out: str = "q", by: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
@@ -24,7 +25,7 @@ def bh_adjust(d: DataFrame, p: str, out: str = "q", by: list[str] | None = None,
     return d.withColumn(out, F.when(has, F.least(F.lit(1.0), F.min("__bh").over(rest)))).drop("__bh")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """P(|Z| > |z|) of a standard normal."""
     return z.map(lambda x: None if x != x else math.erfc(abs(x) / math.sqrt(2)))
@@ -49,7 +50,7 @@ def poisson_upper(k: float, mean: float) -> float:
     return max(0.0, 1.0 - float(np.exp(terms).sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def poisson_tail(k: pd.Series, mean: pd.Series) -> pd.Series:
     known: dict = {}
     return pd.Series([known.setdefault(x, poisson_upper(*x)) for x in zip(k, mean)])
@@ -77,7 +78,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return front * f
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| > |t|) of Student's t."""
     return pd.Series([None if x != x or n != n or n <= 0 else incomplete_beta(n / 2, 0.5, n / (n + x * x)) for x, n in zip(t, df)])

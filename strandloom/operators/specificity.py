@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from strandloom.functions.stats import bh_adjust, normal_two_sided, one_proportion_z, t_two_sided
 
@@ -86,17 +89,13 @@ def _ranked(d: DataFrame) -> DataFrame:
     Candidates are bins of opposite sign, a bounded share of a genome's bins at compartment
     resolution; their sorted values are broadcast as one array after a size check.
     """
-    import pandas as pd
-
     rows = d.count()
     if rows > 200_000:
         raise ValueError(f"{rows} candidate bins: use a coarser resolution")
     m = d.agg(F.array_sort(F.collect_list("m")).alias("ms"), F.array_sort(F.collect_list("p")).alias("ps")).first()
-    import numpy as np
-
     ms, ps = np.array(m["ms"] or []), np.array(m["ps"] or [])
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def pvalue(x: pd.Series) -> pd.Series:
         n = len(ms) * len(ps)
         below = [int(np.searchsorted(ms, ps + v, side="left").sum()) for v in x]

@@ -38,9 +38,9 @@ CTE: dict[str, str] = {
     "mx": "select chrom, bin1, bin2, value from px union all select chrom, bin2, bin1, value from px where bin1 <> bin2",
     "dm": f"select chrom1 as chrom, pos1 // {RES} as bin1, pos2 // {RES} as bin2, cast(count(*) as double) as value from fx_pairs where chrom1 = chrom2 and snp1 > snp2 group by all",
     "dp": f"select chrom1 as chrom, pos1 // {RES} as bin1, pos2 // {RES} as bin2, cast(count(*) as double) as value from fx_pairs where chrom1 = chrom2 and snp1 < snp2 group by all",
-    "rows_t": "select g.chrom, g.bin, g.n, coalesce(sum(value), 0) as row_sum, count(value) / g.n as coverage from grid g left join mx m on m.chrom = g.chrom and m.bin1 = g.bin group by all",
-    "rows_m": "select g.chrom, g.bin, g.n, coalesce(sum(value), 0) as row_sum, count(value) / g.n as coverage from grid g left join dm m on m.chrom = g.chrom and m.bin1 = g.bin group by all",
-    "rows_p": "select g.chrom, g.bin, g.n, coalesce(sum(value), 0) as row_sum, count(value) / g.n as coverage from grid g left join dp m on m.chrom = g.chrom and m.bin1 = g.bin group by all",
+    "rows_t": "select g.chrom, g.bin, g.n, coalesce(sum(value), 0) as row_sum, count(value) / g.n as coverage from grid g left join mx m on m.chrom = g.chrom and m.bin1 = g.bin group by 1, 2, 3",
+    "rows_m": "select g.chrom, g.bin, g.n, coalesce(sum(value), 0) as row_sum, count(value) / g.n as coverage from grid g left join dm m on m.chrom = g.chrom and m.bin1 = g.bin group by 1, 2, 3",
+    "rows_p": "select g.chrom, g.bin, g.n, coalesce(sum(value), 0) as row_sum, count(value) / g.n as coverage from grid g left join dp m on m.chrom = g.chrom and m.bin1 = g.bin group by 1, 2, 3",
     "gap_m": "select chrom, bin from rows_m join (select chrom, quantile_cont(coverage, 0.25) as q from rows_m where coverage > 0 group by 1) using (chrom) where coverage < least(0.2, q)",
     "gap_p": "select chrom, bin from rows_p join (select chrom, quantile_cont(coverage, 0.25) as q from rows_p where coverage > 0 group by 1) using (chrom) where coverage < least(0.2, q)",
     "alpha0": """select t.chrom, t.bin, (m.row_sum + p.row_sum) / (t.row_sum + 1) as a, not ((t.chrom, t.bin) in (select (chrom, bin) from gap_m) and (t.chrom, t.bin) in (select (chrom, bin) from gap_p)) as used
