@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
@@ -59,6 +61,34 @@ def arrow_batches(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def prefer_small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's Arrow batch size for texts: results that are not computed yet will use it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, rows)
+
+
+def trimmed(run):
+    """An Arrow function whose worker gives its free memory back when a task ends; idle workers stay alive."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,14 +16,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices_by_bytes
+from .common import prefer_small_batches, slices_by_bytes, trimmed
 
 UNDETERMINED = "und"
 #: Labelled rows learned from: at most so many of each language, none longer than so many code points.
 SAMPLE_PER_LANGUAGE, SAMPLE_CODE_POINTS = 1000, 20000
 _BITS = 17
 _NONE = 1 << _BITS
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 _MIX = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 _LETTERS: list[np.ndarray] = []
 
@@ -192,7 +192,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    prefer_small_batches(spark)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def identify(docs: DataFrame, **sample: int) -> DataFrame:

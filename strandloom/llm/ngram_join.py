@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize, mix64, slices_by_bytes, text_buffers
+from .common import arrow_batches, give_back, materialize, mix64, slices_by_bytes, text_buffers, trimmed
 from .components import connected_components
 
 _BATCH_BYTES = 1 << 20
@@ -215,6 +215,7 @@ def _count(bits: int):
             packs = [packed[cut[k] : cut[k + 1]].astype("<i8").tobytes() for k in some.tolist()]
             m = len(some)
             parts.append(pa.table([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(some, pa.int32()), pa.array(packs, pa.binary())], schema=schema))
+        give_back()
         return pa.concat_tables([p.cast(schema) for p in parts])
 
     return run
@@ -336,7 +337,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, star_rounds
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), F.col("text").cast("string").alias("text"))
     size = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(16, max(3, int(size / 6 / _RANGE_ENTRIES).bit_length()))
-    dealt = src.mapInArrow(_deal(n, bits), _DEALT)
+    dealt = src.mapInArrow(trimmed(_deal(n, bits)), _DEALT)
     with arrow_batches(docs.sparkSession, _BATCH_ROWS):
         table = materialize(dealt.groupBy("r").applyInArrow(_count(bits), _COUNTED), "grams")
     rows = table.where("entries is null").drop("bucket", "entries")
@@ -350,7 +351,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, star_rounds
         keys.join(reps.select("node", "n"), "node").withColumn("u", F.col("n") - F.size("keys"))
         .withColumn("p", (prefix_len - F.col("u")).cast("int")).where("p > 0").select("node", "n", "u", "p", "keys")
     )
-    cand = cand.mapInArrow(_parts(_PARTS), "node long, n long, u long, p int, keys array<long>, parts binary")
+    cand = cand.mapInArrow(trimmed(_parts(_PARTS)), "node long, n long, u long, p int, keys array<long>, parts binary")
     cand = materialize(cand, "cand")
     # The lower `far`, the more of the text's hashes occur elsewhere, and the better a centre it is.
     post = cand.select("node", "n", "u", (F.col("u") / F.col("n")).alias("far"), F.posexplode(F.slice("keys", F.lit(1), F.col("p"))).alias("i", "key"))
@@ -417,7 +418,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, star_rounds
     rights = lab.withColumn("other", every_block).select("*", F.col("other").alias("left"), F.col("own").alias("right"), F.lit(1).alias("side"))
     blocks = lefts.unionByName(rights).select("key", "left", "right", "side", "node", "label", "n", "u", "i", "parts")
     blocks = blocks.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    cross = blocks.mapInArrow(_pairing(t), _PAIRING).groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
+    cross = blocks.mapInArrow(trimmed(_pairing(t)), _PAIRING).groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
     cross = cross.select("a", F.explode("bs").alias("b"))
     cross = materialize(unlinked(cross, tried), "cross")
     links.append(materialize(verify(cross), "links"))
