@@ -96,8 +96,9 @@ def keep_mean(before: DataFrame, after: DataFrame, by: list[str] | None = None)
 
 def two_step_local(t: DataFrame, m: DataFrame, p: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Corrected maternal and paternal matrices of chromosomes: SNP density, symmetry, coverage, mean."""
-    gm, gp = local_gaps(m, sizes), local_gaps(p, sizes)
-    f = snp_factor(t, m, p, sizes, gm, gp)
+    # Per-bin tables, small beside the pixels, are computed once.
+    gm, gp = stored(local_gaps(m, sizes), "gaps"), stored(local_gaps(p, sizes), "gaps")
+    f = stored(snp_factor(t, m, p, sizes, gm, gp), "factor")
     fix = lambda x, g: keep_mean(x, vc_correct(symmetrise_mean(scale_rows(x, f), g)))
     return fix(m, gm), fix(p, gp)
 

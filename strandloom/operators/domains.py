@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.sources.store import stored
+
 from .balance import grid
 
 MIN_TAD, MAX_TAD, WINDOW, WIDTH = 200_000, 4_000_000, 600_000, 7
@@ -242,9 +244,9 @@ def domains(boundaries: DataFrame, regions: DataFrame, di: DataFrame, res: int,
 
 def call_domains(m: DataFrame, sizes: DataFrame, res: int, states: int = 3, window: int = WINDOW, min_tad: int = MIN_TAD, max_tad: int = MAX_TAD, test: str = "ttest") -> DataFrame:
     """Domains (chrom, start, end) of matrices, from gaps to boundaries."""
-    gaps = tad_gaps(m, sizes, res, min_tad)
-    di = directionality(m, sizes, gaps, res, window, test)
-    segs = segments(gaps, sizes)
+    gaps = stored(tad_gaps(m, sizes, res, min_tad), "gaps")
+    di = stored(directionality(m, sizes, gaps, res, window, test), "di")
+    segs = stored(segments(gaps, sizes), "segments")
     model = train_hmm(di, segs, states)
     marks = filter_boundaries(boundaries_of(decode_states(di, segs, model), states), gaps)
     return domains(marks, segs.select("chrom", "start", "end"), di, res, min_tad, max_tad)

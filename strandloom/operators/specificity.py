@@ -98,7 +98,9 @@ def _ranked(d: DataFrame) -> DataFrame:
     @F.pandas_udf(DoubleType())
     def pvalue(x: pd.Series) -> pd.Series:
         n = len(ms) * len(ps)
-        below = [int(np.searchsorted(ms, ps + v, side="left").sum()) for v in x]
-        return pd.Series([min(k, n - k) / n for k in below])
+        below = np.zeros(len(x), np.int64)
+        for b in ps:  # differences themselves are compared, so that a bin never ranks below itself
+            below += np.searchsorted(ms - b, x.to_numpy(), side="left")
+        return pd.Series(np.minimum(below, n - below) / n)
 
     return d.withColumn("pvalue", pvalue("diff"))

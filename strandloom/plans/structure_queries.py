@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.stats import bh_adjust
 from strandloom.operators import balance, compartments, contacts, domains, loops, specificity
 from strandloom.sources import fixtures as fx
+from strandloom.sources.store import stored
 
 from .inputs import RES, sql
 
@@ -39,7 +40,7 @@ def _round(d, *cols):
 
 def _factor(s, d):
     gm, gp = balance.local_gaps(_dm(s, d), _z(s)), balance.local_gaps(_dp(s, d), _z(s))
-    return balance.snp_factor(_m(s, d), _dm(s, d), _dp(s, d), _z(s), gm, gp)
+    return stored(balance.snp_factor(_m(s, d), _dm(s, d), _dp(s, d), _z(s), gm, gp), "factor")
 
 
 def _decay(s, d):
