@@ -77,8 +77,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-#: The conversations hold no calls, so that their links are all empty.
+#: op1 compares all pairs that share a word sequence and closes the links by recursion. The conversations hold no calls, so
+#: that op5's links are all empty.
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+        s as (select distinct doc_id, array_to_string(ws[i : i + 4], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as i from w where len(ws) > 0)),
+        n as (select doc_id, count(*) as n from s group by 1),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+        l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+        r(doc_id, c) as (select doc_id, doc_id from documents union select l.b, r.c from r join l on l.a = r.doc_id)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(c) from r where r.doc_id = d.doc_id) as component_id from documents d left join n on n.doc_id = d.doc_id
+    """,
     "op5_chat_format": """
         select conv_id, turn, role, turn as order_turn, cast(0 as bigint) as order_step, cast(0 as bigint) as n_calls,
           cast(0 as bigint) as n_answered, cast(0 as bigint) as n_invalid, cast(null as boolean) as linked,
