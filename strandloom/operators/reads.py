@@ -90,26 +90,20 @@ def integrate(alignments: DataFrame, level: int = 1) -> DataFrame:
         equal = (p["r1"]["ref"] == q["r1"]["ref"]) & (p["r2"]["ref"] == q["r2"]["ref"]) & (p["r1"]["frag"] == q["r1"]["frag"]) & (p["r2"]["frag"] == q["r2"]["frag"])
         return F.when(equal, result("pair", p)).otherwise(result("pair", p, q))
 
-    def counted(reads: list[Column]) -> tuple[Column, Column]:
-        add = lambda f: sum((f(x).cast("int") for x in reads), F.lit(0))
-        return add(lost), add(lambda x: x["bad"] != 0)
-
     def r1_cut(x11: Column, x12: Column, x2: Column) -> Column:
         """The first mate is cut into 11 and 12; x2 is the other one."""
         core = F.when(same(x12, x2), result("pair", pair(x11, x2, x12, F.lit("R2")))).when(same(x11, x12), result("pair", pair(x11, x2, x12, F.lit("R1")))).otherwise(merged(pair(x11, x12), pair(x12, x2)))
-        n_lost, n_bad = counted([x11, x12, x2])
         both_lost, both_bad = lost(x11) & lost(x12), ~ok(x11) & ~ok(x12)
         return (
-            F.when((n_lost >= 2) | both_lost | lost(x2), U).when((n_bad >= 2) | both_bad | ~ok(x2), M)
+            F.when(both_lost | lost(x2), U).when(both_bad | ~ok(x2), M)
             .when(~ok(x11), F.when(same(x12, x2), U).otherwise(result("pair", pair(x12, x2))))
             .when(~ok(x12), result("pair", pair(x11, x2))).otherwise(core)
         )
 
     def r2_cut(x1: Column, x21: Column, x22: Column) -> Column:
         core = F.when(same(x21, x22), result("pair", pair(x1, x21, x22, F.lit("R2")))).when(same(x22, x1), result("pair", pair(x1, x21, x22, F.lit("R1")))).otherwise(merged(pair(x1, x22), pair(x22, x21)))
-        n_lost, n_bad = counted([x1, x21, x22])
         return (
-            F.when((n_lost >= 2) | (lost(x21) & lost(x22)) | lost(x1), U).when((n_bad >= 2) | (~ok(x21) & ~ok(x22)) | ~ok(x1), M)
+            F.when((lost(x21) & lost(x22)) | lost(x1), U).when((~ok(x21) & ~ok(x22)) | ~ok(x1), M)
             .when(~ok(x21), F.when(same(x22, x1), U).otherwise(result("pair", pair(x1, x22))))
             .when(~ok(x22), result("pair", pair(x1, x21))).otherwise(core)
         )
@@ -153,4 +147,4 @@ def _mates() -> Column:
     lost, bad = (lambda x: x["bad"] == 2), (lambda x: x["bad"] != 0)
     last = F.array(F.element_at(side("1"), -1), F.element_at(side("2"), -1))
     whole = (F.size(side("1")) > 0) & (F.size(side("2")) > 0)
-    return F.when(many(lost), F.slice(F.filter("all", lost), F.lit(1), F.lit(2))).when(many(bad), F.slice(F.filter("all", bad), F.lit(1), F.lit(2))).when(whole, last).otherwise(F.array())
+    return F.when(many(lost), F.slice(F.filter("all", lost), F.lit(1), F.lit(2))).when(many(bad), F.array_repeat(F.get(F.filter("all", lambda x: x["bad"] == 1), 0), 2)).when(whole, last).otherwise(F.array())

@@ -87,6 +87,48 @@ def _inter_sql() -> str:
     return sql("hap_un", "select 1").rsplit("\n", 1)[0] + body
 
 
+def _integrate_sql() -> str:
+    """Read groups to pairs, as one CASE over the roles; results are lists of (r1, r2, candidate, its mate)."""
+    pair = lambda a, b, c="null", of="null": f"{{'a': {a}, 'b': {b}, 'c': {c}, 'f': {of}}}"
+    one = lambda *x: f"{{'o': 'pair', 'p': [{', '.join(x)}]}}"
+    none = lambda o: f"{{'o': '{o}', 'p': [null]}}"
+    U, M, BAD = none("unmapped"), none("multiple"), none("malformed")
+    same = lambda x, y: f"({x}.frag = {y}.frag and {x}.ref = {y}.ref)"
+    ok, lost = (lambda x: f"{x}.bad = 0"), (lambda x: f"{x}.bad = 2")
+
+    def merged(p: tuple, q: tuple) -> str:
+        return f"case when {same(p[0], q[0])} and {same(p[1], q[1])} then {one(pair(*p))} else {one(pair(*p), pair(*q))} end"
+
+    def r1_cut(x, y, z):
+        return f"""case when ({lost(x)} and {lost(y)}) or {lost(z)} then {U} when (not {ok(x)} and not {ok(y)}) or not {ok(z)} then {M}
+          when not {ok(x)} then case when {same(y, z)} then {U} else {one(pair(y, z))} end when not {ok(y)} then {one(pair(x, z))}
+          when {same(y, z)} then {one(pair(x, z, y, "'R2'"))} when {same(x, y)} then {one(pair(x, z, y, "'R1'"))} else {merged((x, y), (y, z))} end"""
+
+    def r2_cut(z, x, y):
+        return f"""case when ({lost(x)} and {lost(y)}) or {lost(z)} then {U} when (not {ok(x)} and not {ok(y)}) or not {ok(z)} then {M}
+          when not {ok(x)} then case when {same(y, z)} then {U} else {one(pair(z, y))} end when not {ok(y)} then {one(pair(z, x))}
+          when {same(x, y)} then {one(pair(z, x, y, "'R2'"))} when {same(y, z)} then {one(pair(z, x, y, "'R1'"))} else {merged((z, y), (y, x))} end"""
+
+    a, b, c, d = "t11", "t12", "t21", "t22"
+    R1, R2 = "'R1'", "'R2'"
+    four = f"""case when {same(a, b)} and {same(c, d)} then {merged((a, c, d, R2), (b, c, d, R2))} when {same(a, b)} then {merged((a, d, b, R1), (b, c, b, R1))}
+      when {same(c, d)} then {merged((a, c, d, R2), (b, c, d, R2))} when {same(b, d)} then {merged((a, d, b, R2), (b, c, d, R1))} else {merged((a, b), (d, c))} end"""
+    six = f"""case when ({lost(a)} and {lost(b)}) or ({lost(c)} and {lost(d)}) then {U} when (not {ok(a)} and not {ok(b)}) or (not {ok(c)} and not {ok(d)}) then {M}
+      when not ({ok(a)} and {ok(b)}) and not ({ok(c)} and {ok(d)}) then {one(pair("y1", "y2"))} when not ({ok(a)} and {ok(b)}) then {r2_cut("y1", c, d)} when not ({ok(c)} and {ok(d)}) then {r1_cut(a, b, "y2")} else {four} end"""
+    role = lambda name, cond: f"arg_min(r, pos) filter (where {cond}) as {name}"
+    return f"""with al as ({_ALIGN_SQL}), ra as (select name, tag, pos, ref, len, {{'ref': ref, 'pos': pos, 'frag': pos - pos % 4000 + 2000, 'bad': case when unmapped = 1 then 2 when xs_score is null then 0 else 1 end}} as r from al),
+    g as (select name, count(*) as k, string_agg(tag, ',' order by tag) as tags, {", ".join(role("t" + t, f"tag = '{t}'") for t in ("1", "2", "11", "12", "21", "22"))}, {role("s1", "tag = '1' and len < 150")}, {role("s2", "tag = '2' and len < 150")},
+      arg_max(r, (tag, pos, ref)) filter (where tag like '%1' and r.bad = 0) as l1, arg_max(r, (tag, pos, ref)) filter (where tag like '%2' and r.bad = 0) as l2, count(*) filter (where r.bad = 2) as nl, count(*) filter (where r.bad > 0) as nb,
+      list(r order by tag, pos, ref) as every, list(r order by tag, pos, ref) filter (where len <> 150) as kept from ra group by name),
+    h as (select *, case when t11.bad = 0 then t11 else t12 end as y1, case when t22.bad = 0 then t22 else t21 end as y2, case when k = 2 then every when tags = '1,1,2,2' then kept end as pl from g),
+    o as (select name, case when pl is not null then case when len(pl) <> 2 then {BAD} when pl[1].bad = 2 or pl[2].bad = 2 then {U} when pl[1].bad = 1 or pl[2].bad = 1 then {M} else {one(pair("pl[1]", "pl[2]"))} end
+      when k = 3 then case when nl >= 2 then {U} when nb >= 2 then {M} when l1 is not null and l2 is not null then {one(pair("l1", "l2"))} else {BAD} end
+      when tags = '1,11,12,2' then {r1_cut(a, b, "t2")} when tags = '1,2,21,22' then {r2_cut("t1", c, d)} when tags = '1,11,12,2,2' then {r1_cut(a, b, "s2")} when tags = '1,1,2,21,22' then {r2_cut("s1", c, d)}
+      when tags = '1,11,12,2,21,22' then {six} else {BAD} end as x from h),
+    e as (select name, x.o as outcome, len(x.p) as k, unnest(range(len(x.p))) as i, unnest(x.p) as p from o)
+    select case when k = 2 then concat(name, '_', i + 1) else name end as name, outcome, p.a.ref as r1_ref, p.a.pos as r1_pos, p.a.frag as r1_frag, p.b.ref as r2_ref, p.b.pos as r2_pos, p.b.frag as r2_frag, p.c.ref as cand_ref, p.c.pos as cand_pos, p.c.frag as cand_frag, p.f as cand_of from e"""
+
+
 def register(add) -> None:
     # Sequences and reads.
     add(
@@ -108,9 +150,10 @@ def register(add) -> None:
         select case when l >= 10 and r >= 10 then concat('s', doc_id, k) else concat('s', doc_id) end as name, seq, translate(seq, 'ACGT', 'IHGF') as qual from p
         where (l >= 10 and r >= 10) or (l < 10 and k = 2) or (l >= 10 and r < 10 and k = 1)"""),
     )
-    add("pair_integrate", lambda s, d: _flat(reads.integrate(_align(s, d))))
+    add("pair_integrate", lambda s, d: _flat(reads.integrate(_align(s, d))), _integrate_sql())
     add(
         "pair_outcomes", lambda s, d: reads.integrate(_align(s, d)).select("name", "outcome").withColumn("name", F.regexp_extract("name", "^(o[0-9]+)", 1)).distinct().groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
+        f"select outcome, count(*) as n from (select distinct regexp_extract(name, '^(o[0-9]+)', 1) as name, outcome from ({_integrate_sql()})) group by 1",
     )
     add(
         "simple_groups", lambda s, d: _flat(reads.integrate(_align(s, d).join(_align(s, d).groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.max("len").alias("ml")).where("k = 2 or (k = 4 and ml = 150)").select("name"), "name"))).select("name", "outcome", "r1_pos", "r2_pos"),
@@ -194,7 +237,7 @@ def _mark_of(k: str):
     return alleles.allele_mark(c("m"), c("p"))
 
 
-_ALIGN_SQL = """select concat('o', o_orderkey) as name, t.tag, 1 + (o_custkey*7919 + t.k*((o_orderkey % 3)*800)) % 2000000 as pos, case when (o_orderkey + t.k) % 11 = 0 then 1 else 0 end as unmapped,
+_ALIGN_SQL = """select concat('o', o_orderkey) as name, t.tag, cast(1 + (o_custkey + t.k) % 5 as varchar) as ref, 1 + (o_custkey*7919 + t.k*((o_orderkey % 3)*800)) % 2000000 as pos, case when (o_orderkey + t.k) % 11 = 0 then 1 else 0 end as unmapped,
     case when (o_orderkey + t.k*3) % 13 = 0 then -(o_custkey % 20) end as xs_score, case when t.long = 1 then 150 else 60 end as len from orders join (values (0,1,'1',0),(0,2,'2',0),
     (1,1,'1',0),(1,2,'11',0),(1,3,'12',0),(1,4,'2',0),(2,1,'1',0),(2,2,'2',0),(2,3,'21',0),(2,4,'22',0),(3,1,'1',1),(3,2,'1',0),(3,3,'2',1),(3,4,'2',0),
     (4,1,'1',1),(4,2,'11',0),(4,3,'12',0),(4,4,'2',1),(4,5,'2',0),(5,1,'1',1),(5,2,'2',1),(5,3,'11',0),(5,4,'12',0),(5,5,'21',0),(5,6,'22',0),(6,1,'1',0),(6,2,'1',0),(6,3,'2',0)) as t(c,k,tag,long) on o_orderkey % 7 = t.c"""
