@@ -19,6 +19,12 @@ def _seqs(spark, d):
     return fx.sequences(spark, d)
 
 
+def _doc_snps(spark, d):
+    """An allele at every 97th base of each sequence."""
+    n = _seqs(spark, d).where("length(seq) between 1 and 3000").selectExpr("doc_id", "explode(sequence(0, length(seq) - 1)) as i").where("i % 97 = 13")
+    return n.selectExpr("cast(doc_id as string) as chrom", "cast(i + 1 as bigint) as pos", "substr('ACGT', cast((doc_id + i) % 4 + 1 as int), 1) as m_alt")
+
+
 def _align(spark, d):
     return fx.alignments(spark, d).withColumns({"flag": F.lit(0), "frag": F.expr("pos - pos % 4000 + 2000"), "snp_n": F.lit(0)})
 
@@ -162,6 +168,16 @@ def register(add) -> None:
         w as (select name, sum(unmapped) as lost, count(xs_score) filter (where unmapped = 0) as multi, min_by(pos, tag) as r1_pos, max_by(pos, tag) as r2_pos from u group by name)
         select name, case when lost > 0 then 'unmapped' when multi > 0 then 'multiple' else 'pair' end as outcome, case when lost = 0 and multi = 0 then r1_pos end as r1_pos, case when lost = 0 and multi = 0 then r2_pos end as r2_pos from w""",
     )
+    tiles = lambda s, d: genome.haplotype_tiles(_seqs(s, d).where("length(seq) between 1 and 3000").selectExpr("cast(doc_id as string) as chrom", "seq"), _doc_snps(s, d), "m_alt", 600)
+    add(
+        "haplotype_sequence", tiles,
+        sql("fx_seqs", """, s as (select doc_id, seq from fx_seqs where length(seq) between 1 and 3000), b as (select doc_id, unnest(range(length(seq))) as i, seq from s)
+        select cast(doc_id as varchar) as chrom, cast(i // 600 as int) as tile, string_agg(case when i % 97 = 13 then substr('ACGT', cast((doc_id + i) % 4 + 1 as bigint), 1) else substr(seq, i + 1, 1) end, '' order by i) as seq from b group by 1, 2"""),
+    )
+    add(
+        "fasta_lines", lambda s, d: genome.wrapped(tiles(s, d)).groupBy("chrom").agg(F.count(F.lit(1)).alias("n_lines"), F.max("line_no").alias("last_line"), F.sum(F.char_length("line")).alias("n_bases")),
+        sql("fx_seqs", "select cast(doc_id as varchar) as chrom, cast(ceil(length(seq) / 60) as bigint) as n_lines, cast(ceil(length(seq) / 60) as bigint) as last_line, length(seq) as n_bases from fx_seqs where length(seq) between 1 and 3000"),
+    )
     # Fragments, SNPs, pairs.
     add(
         "fragment_lookup", lambda s, d: pairs.with_fragments(fx.pairs(s, d), fx.fragments(s, d)).select("name", "frag1", "frag2"),
