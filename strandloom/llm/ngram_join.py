@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, give_back, materialize, mix64, slices_by_bytes, text_buffers, trimmed
 from .components import connected_components
 
-_BATCH_BYTES = 1 << 20
-_BATCH_ROWS = 1000
-_FLUSH = 1 << 20
+_BATCH_BYTES = 1 << 18
+_BATCH_ROWS = 500
+#: Entries packed at a time, at least; with many hash ranges enough for 32 entries a range.
+_FLUSH = 1 << 19
 #: Hash ranges hold about this many entries.
-_RANGE_ENTRIES = 1_000_000
+_RANGE_ENTRIES = 500_000
 _LOW_BITS = 40
 #: Parts of the hash space in the suffix filter; rows of a posting list that one task compares at a time.
 _PARTS = 512
@@ -124,6 +125,7 @@ def _deal(n: int, bits: int):
         import xxhash
 
         schema = pa.schema([("r", pa.int32()), ("flush", pa.int64()), ("node", pa.int64()), ("doc_id", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("entries", pa.binary())])
+        most = max(_FLUSH, 32 << bits)
         ctx = TaskContext.get()
         uid = (ctx.partitionId() if ctx else 0) << 20
         sets, own, held, idx, seen = [], [], 0, 0, set()
@@ -148,7 +150,7 @@ def _deal(n: int, bits: int):
             for a, b in slices_by_bytes(offsets, _BATCH_BYTES):
                 nodes, sizes, sigs = [], [], []
                 for s in shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n):
-                    if idx == 65535 or held > _FLUSH:
+                    if idx == 65535 or held > most:
                         if held:
                             yield flush()
                         sets, own, held, idx, uid = [], [], 0, 0, uid + 1

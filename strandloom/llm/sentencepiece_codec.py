@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, prefer_small_batches, trimmed
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -312,19 +312,20 @@ def encode(docs: DataFrame, model: bytes | None = None, giant: int = GIANT, chun
     """
     model = model_bytes() if model is None else model
     size = load(model).longest
+    prefer_small_batches(docs.sparkSession)
     if chunk < size:
         raise ValueError(f"chunks must have {size} characters at least")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     is_giant = F.coalesce(F.char_length("text"), F.lit(0)) > giant
-    small = d.where(~is_giant).mapInArrow(_encode(model), "doc_id long, ids array<int>")
+    small = d.where(~is_giant).mapInArrow(trimmed(_encode(model)), "doc_id long, ids array<int>")
     big = materialize(d.where(is_giant).withColumn("key", F.monotonically_increasing_id()), "giants")
     if big.isEmpty():
         return small
-    parts = big.select("key", "text").mapInArrow(_split(model, chunk), "key long, k long, part string, n int, last boolean, aligned boolean")
+    parts = big.select("key", "text").mapInArrow(trimmed(_split(model, chunk)), "key long, k long, part string, n int, last boolean, aligned boolean")
     parts = materialize(parts.repartition("key", "k"), "chunks")
-    ms = parts.mapInArrow(_matrices(model), "key long, k long, m binary")
+    ms = parts.mapInArrow(trimmed(_matrices(model)), "key long, k long, m binary")
     states = ms.groupBy("key").applyInArrow(_scan(size), "key long, k long, entry int, exit int")
-    traced = parts.join(states, ["key", "k"]).select("key", "k", "part", "n", "entry", "exit").mapInArrow(_trace(model), "key long, k long, ids array<int>")
+    traced = parts.join(states, ["key", "k"]).select("key", "k", "part", "n", "entry", "exit").mapInArrow(trimmed(_trace(model)), "key long, k long, ids array<int>")
     whole = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     return small.unionByName(big.select("key", "doc_id").join(whole, "key").select("doc_id", "ids"))
 
