@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices_by_bytes, text_buffers
+from .common import mix64, slices_by_bytes, text_buffers, trimmed
 from .ngram_join import _inverse_powers, _powers
 
 _RNG = np.random.default_rng(977)
@@ -25,7 +25,7 @@ _DIGEST = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _WINDOW = 32
 _SLICE_BYTES = 4 << 20
 #: Blocks of consecutive ids hold about this many bytes of text on average.
-_BLOCK_BYTES = 16 << 20
+_BLOCK_BYTES = 4 << 20
 
 
 def _gear(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -233,5 +233,5 @@ def compare_with_next(docs: DataFrame, **sizes: int) -> DataFrame:
     every = d.select("doc_id", "text", "block", F.lit(False).alias("guest")).unionByName(head)
     return (
         every.repartition(len(firsts), "block").sortWithinPartitions("block", "guest", F.col("doc_id").asc_nulls_last(), "text")
-        .select("block", "guest", "doc_id", "text").mapInArrow(_compare(sizes), _OUT)
+        .select("block", "guest", "doc_id", "text").mapInArrow(trimmed(_compare(sizes)), _OUT)
     )
