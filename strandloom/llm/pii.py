@@ -1,11 +1,12 @@
 """Personal data: exact patterns, and terms that disclose a protected value by co-occurrence.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers. Information-theoretic
-sanitisation adds the terms beside them: over the whole corpus, a term's disclosure of a value
+sanitisation adds terms of their whole documents: over the corpus, a term's disclosure of a value
 is the pointwise information log2 P(value | term) / P(value), as a share of the value's own
-information -log2 P(value); it is 1 for a term that never occurs without the value. A term near
-the value in enough different contexts is generalised above one share and removed above a
-higher one. Everything is DataFrame expressions; positions are code points.
+information -log2 P(value); it is 1 for a term that never occurs without the value. A term that
+shares enough different contexts (documents, copies of one counted once) with the value is
+generalised above one share and removed above a higher one, wherever it stands in a document with
+the value. Everything is DataFrame expressions; positions are code points.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ _GATE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _TERM = r"[\p{L}\p{M}\p{N}]+"
 _BLOCK = 256
-#: Code points looked at on either side of a value for its neighbouring terms, and how many terms count.
-_REACH, _NEIGHBOURS = 160, 4
+#: Terms of a run that tells texts from copies of each other.
+_RUN = 3
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -112,17 +113,19 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _neighbours(spans: DataFrame) -> DataFrame:
-    """(row, span.., left, right) -> (row, entity, context, term, start, end): the terms beside each value."""
-    left = F.filter(located(F.col("s.left"), _TERM), lambda t: (t["start"] > 0) | (F.col("s.start") <= _REACH))
-    right = F.filter(located(F.col("s.right"), _TERM), lambda t: (t["start"] + F.char_length(t["value"]) < F.char_length("s.right")) | (F.char_length("s.right") < _REACH))
-    at_left, at_right = F.col("s.start") - F.char_length("s.left"), F.col("s.end")
-    placed = lambda ts, at: F.transform(ts, lambda t: F.struct((at + t["start"]).alias("start"), (at + t["start"] + F.char_length(t["value"])).alias("end"), F.lower(t["value"]).alias("term")))
-    near = F.concat(placed(F.slice(left, F.greatest(F.size(left) - _NEIGHBOURS, F.lit(0)) + 1, F.lit(_NEIGHBOURS)), at_left), placed(F.slice(right, F.lit(1), F.lit(_NEIGHBOURS)), at_right))
-    value = F.when(F.col("s.kind") == "email", F.lower("s.value")).when(F.col("s.kind") == "ip", F.col("s.value")).otherwise(_digits(F.col("s.value")))
-    rows = spans.select("row", F.concat_ws(":", F.col("s.kind"), value).alias("entity"), near.alias("near"))
-    context = F.xxhash64(F.transform("near", lambda t: t["term"]))
-    return rows.withColumn("context", context).select("row", "entity", "context", F.explode("near").alias("t")).select("row", "entity", "context", "t.term", "t.start", "t.end")
+def _terms(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower)
+
+
+def _context(text: Column) -> Column:
+    """The least hash of a text's runs of _RUN terms: copies of one text, near ones too, mostly share it."""
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - _RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(_RUN))))
+    return F.get(F.transform(F.array(_terms(text)), lambda w: F.array_min(runs(w))), 0)
+
+
+def _entity(s: Column) -> Column:
+    value = F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"]))
+    return F.concat_ws(":", s["kind"], value)
 
 
 def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, least_contexts: int = 3) -> DataFrame:
@@ -139,32 +142,38 @@ def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, least_c
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), text.alias("text"))
     b = d.withColumn("base", base_spans(F.col("text")))
-    cut = lambda s: s.withField("left", F.substring("text", F.greatest(s["start"] - _REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(_REACH)))).withField("right", F.substring("text", s["end"] + 1, F.lit(_REACH)))
-    b = b.select(F.monotonically_increasing_id().alias("row"), "doc_id", "content", F.transform("base", cut).alias("base"))
+    has = F.size("base") > 0
+    b = b.select(F.monotonically_increasing_id().alias("row"), "doc_id", "content", "base", F.when(has, F.col("text")).alias("text"), F.when(has, _context(F.col("text"))).alias("context"))
     b = materialize(b, "spans")
-    near = materialize(_neighbours(b.where(F.size("base") > 0).select("row", F.explode("base").alias("s"))), "near")
-
     n = b.count()
-    both = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("row").alias("n_both")).where(F.col("contexts") >= least_contexts)
-    entities = near.groupBy("entity").agg(F.countDistinct("row").alias("n_entity"))
+    pairs = b.where(has).select("row", "context", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
+    entities = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.countDistinct("context").alias("contexts"))
+    # No term can have more contexts than its value.
+    entities = materialize(entities.where(F.col("contexts") >= least_contexts).select("entity", "n_entity"), "entities")
+    asked = pairs.join(entities.select("entity"), "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))
+    near = b.select("row", "context", "text").join(asked, "row").select("row", "context", "entities", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    near = materialize(near.select("row", "context", "term", F.explode("entities").alias("entity")), "near")
+
+    both = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= least_contexts)
     both = materialize(both, "both")
     # Document frequencies over all documents, counted before they meet the terms asked for.
-    used = d.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
+    used = d.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     df = used.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     info = both.join(df, "term").join(entities, "entity")
     share = F.log2(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity"))) / F.log2(n / F.col("n_entity"))
     info = info.withColumn("share", F.when(F.col("n_entity") < n, share).otherwise(0.0)).where(F.col("share") >= generalise)
-    # drop sorts after term: the stronger wins where one place discloses several values.
-    found = near.join(info.select("entity", "term", "share"), ["entity", "term"])
-    found = found.groupBy("row", "start", "end").agg(F.max("share").alias("share"))
+    # The stronger wins where one term discloses several values of its document.
+    told = near.join(info.select("entity", "term", "share"), ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
+    told = materialize(told, "told")
+    places = b.join(told.select("row").distinct(), "row").select("row", F.explode(located(F.col("text"), _TERM)).alias("t"))
+    places = places.select("row", F.col("t.start").alias("start"), (F.col("t.start") + F.char_length("t.value")).alias("end"), F.lower("t.value").alias("term"))
     kind = F.when(F.col("share") >= remove, ADDED[1]).otherwise(ADDED[0])
     rank = len(KINDS) + (F.col("share") >= remove).cast("int")
-    found = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", rank.alias("rank"), kind.alias("kind")))).alias("added"))
-    out = b.join(found, "row", "left")
+    found = places.join(told, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", rank.alias("rank"), kind.alias("kind")))).alias("added"))
+    out = b.select("row", "doc_id", "content", "base").join(found, "row", "left")
     apart = lambda a: ~F.exists("base", lambda s: (s["start"] < a["end"]) & (a["start"] < s["end"]))
     added = F.filter(F.coalesce("added", F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>")), apart)
-    plain = F.transform("base", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "rank", "kind", "value")]))
-    return out.select("doc_id", "content", plain.alias("base"), added.alias("added"))
+    return out.select("doc_id", "content", "base", added.alias("added"))
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -75,6 +75,21 @@ def test_disclosing_terms(spark):
     assert all("orb" not in t[i] and "[EMAIL]" in t[i] for i in range(12)) and t[60] == "one fixed Quxington passage [EMAIL] here"
 
 
+def test_terms_far_from_the_value(spark):
+    rnd = random.Random(5)
+    text = lambda n: " ".join(rnd.choice("report of a long day with some people in town".split()) for _ in range(n))
+    rows = [(i, f"Zorbelius {text(60)} write to one@mail.example {text(60)} zorbelius") for i in range(5)] + [(i, text(80)) for i in range(5, 60)]
+    # Copies of one long text with a word changed each are one context.
+    copy = text(200)
+    rows += [(60 + i, f"Quxington {copy} two@mail.example {copy} changed{i}") for i in range(4)]
+    got = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[:5]:
+        marked = {t[s["start"] : s["end"]].lower() for s in got[i]["added"]}
+        assert "zorbelius" in marked and marked <= {"zorbelius", "write", "to"}
+        assert sum(t[s["start"] : s["end"]].lower() == "zorbelius" for s in got[i]["added"]) == 2
+    assert all(not got[i]["added"] for i, _ in rows[5:])
+
+
 def test_sanitised(spark):
     rows = [(1, "x +1-4845168114407329 y 1.2.3.4 a@b.c", 5), (2, None, 0), (3, "", 0), (4, "plain", 5), (4, "é me@x.io", 9), (4, "é me@x.io", 9), (None, "me@x.io", 7), (5, "at @ 12 only", 12)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
