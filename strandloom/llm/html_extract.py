@@ -27,7 +27,11 @@ _GROUP_TOKENS = 500_000
 # Fixed values of HTML and of common practice.
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math select option object head".split())
+_RAW = frozenset("script style textarea title iframe noembed noframes xmp head".split())
+#: Elements whose text is not shown; the end of an element around them ends them too.
+_HIDDEN = frozenset("noscript template svg math select option object".split())
+#: Those of them that a block ends.
+_BROKEN = frozenset("svg math select option".split())
 _OUT_TAGS = frozenset("nav header footer aside form button dialog menu search datalist label".split())
 _MAIN_TAGS = frozenset("article main".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
@@ -36,6 +40,8 @@ _OUT_NAMES = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar aside widget widgets footer header masthead topbar toolbar skip share sharing social related recommended "
     "comment comments commentlist reply replies respond disqus discussion".split()
 )
+#: An end tag of an inline element does not reach beyond one of these.
+_BARRIERS = _BLOCKS - _HIDDEN
 #: An open p ends where one of these begins.
 _ENDS_P = _BLOCKS - {"body", "html", "caption", "legend", "option", "summary", "tbody", "td", "tfoot", "th", "thead", "tr"}
 
@@ -66,7 +72,8 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
     """(text, whether markup rules it out, whether it is in an article) of each block, in page order."""
     out: list[tuple[str, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, rules out, is main
-    ruled, mains, held = 0, 0, []
+    ruled, mains, hidden, held = 0, 0, 0, []
+    lower, ends = page.lower(), {}
 
     def close() -> None:
         if held:
@@ -76,11 +83,12 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
                 out.append((text, ruled > 0, mains > 0))
 
     def pop_to(k: int) -> None:
-        nonlocal ruled, mains
+        nonlocal ruled, mains, hidden
         while len(stack) > k:
             tag, o, m = stack.pop()
             ruled -= o
             mains -= m
+            hidden -= tag in _HIDDEN
 
     at, n = 0, len(page)
     while at < n:
@@ -88,7 +96,8 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
         at = m.end()
         text = m[4]
         if text is not None:
-            held.append(text)
+            if not hidden:
+                held.append(text)
             continue
         if m[2] is None:  # a comment, a declaration, or a tag that the page's end cuts
             continue
@@ -100,7 +109,7 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
                 if stack[k][0] == tag:
                     pop_to(k)
                     break
-                if stack[k][0] in _BLOCKS and tag not in _BLOCKS:
+                if stack[k][0] in _BARRIERS and tag not in _BLOCKS:
                     break
             continue
         if tag == "br":
@@ -114,6 +123,17 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
                 end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
+        if tag in _HIDDEN:
+            if tag not in ends:
+                ends[tag] = lower.rfind(f"</{tag}")
+            # Without an end, only an option hides what follows: it ends with its list.
+            if not attrs.endswith("/") and (ends[tag] >= at or tag == "option" and stack and stack[-1][0] in ("option", "select", "datalist", "optgroup")):
+                stack.append((tag, False, False))
+                hidden += 1
+            continue
+        if tag in _BLOCKS:
+            while stack and stack[-1][0] in _BROKEN:
+                pop_to(len(stack) - 1)
         if tag in _BLOCKS or tag in _OUT_TAGS:
             close()
         if tag in _ENDS_P:
@@ -121,7 +141,7 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
                 if stack[k][0] == "p":
                     pop_to(k)
                     break
-                if stack[k][0] in _BLOCKS:
+                if stack[k][0] in _BLOCKS or stack[k][0] in _HIDDEN:
                     break
         if tag in _VOID or attrs.endswith("/"):
             continue

@@ -32,6 +32,22 @@ def test_blocks(page, want):
     assert kept(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<datalist><option value=a><option value=b></datalist><article>x</article>", ["x"]),
+        ("<div><select><option>a<option>b</select></div><p>x", ["x"]),
+        ("<svg><text>i<article>x</article>", ["i", "x"]),
+        ("<div><object>i</div><article>x</article><object>j</object>", ["x"]),
+        ("<noscript><article>x</article>", ["x"]),
+        ("<p>a<svg><text>i</text></svg>b<noscript><p>n</p></noscript>c<template><div>t</div></template></p>", ["ab", "c"]),
+        ("<div><svg></div><p>x</p><svg><path/></svg><p>y", ["x", "y"]),
+    ],
+)
+def test_hidden_elements_end_with_their_parents(page, want):
+    assert kept(page) == want
+
+
 def test_runs_match_brute_force():
     rnd = random.Random(4)
     page = np.repeat(np.arange(30), [rnd.randrange(0, 40) for _ in range(30)])
