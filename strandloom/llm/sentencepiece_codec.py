@@ -1,6 +1,10 @@
-"""SentencePiece encoding and decoding, by best-path search over a model's pieces and scores.
+"""SentencePiece encoding and decoding, as the model's own type says.
 
-The encoding of a text is its segmentation into pieces with the largest sum of scores. No piece
+A BPE model's encoding comes from merging pairs by rank, which is no sum of scores. No merge
+crosses a word's beginning, so words are merged on their own by the library and remembered, and
+a giant text is split into rows at word beginnings; a word is never cut, however long it is.
+
+For unigram models, the encoding of a text is its segmentation into pieces with the largest sum of scores. No piece
 holds a word mark after another character, or a line feed, so a text falls into words that are
 searched on their own and remembered: by the library in its best-path mode
 where single precision holds the word's scores exactly, and here, by the same rule, elsewhere.
@@ -30,6 +34,7 @@ GIANT, CHUNK = 65536, 8192
 _MEMORY = 400_000
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _LOADED: dict[int, "Pieces"] = {}
+_ENCODERS: dict[int, "Pieces"] = {}
 
 
 class Pieces:
@@ -145,9 +150,9 @@ class Pieces:
             out[:, 1:] = -np.inf
         return out
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian int32."""
-        split = [self.split(normalized(t)) for t in texts]
+    def encode_all(self, texts: list[str], ready: bool = False) -> list[bytes]:
+        """Ids of each text, or of parts of normalized texts that begin with a word (ready), as little-endian int32."""
+        split = [self.split(t if ready else normalized(t)) for t in texts]
         if len(self.words) > _MEMORY:
             self.words.clear()
         words = self.words
@@ -169,6 +174,28 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
+class Merges(Pieces):
+    """A BPE model: words are encoded by the library with the model's own merges."""
+
+    def __init__(self, model: bytes):
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        super().__init__(model)
+        m = pb.ModelProto()
+        m.ParseFromString(model)
+        m.normalizer_spec.add_dummy_prefix = False
+        self.model = m.SerializeToString()
+        self.plain = lambda w: True
+
+
+def is_bpe(model: bytes) -> bool:
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(model)
+    return m.trainer_spec.model_type == pb.TrainerSpec.BPE
+
+
 def normalized(text: str) -> str:
     """The model's view of a text: a dummy space before it, spaces as marks."""
     return (MARK + text.replace(" ", MARK)) if text else ""
@@ -182,6 +209,15 @@ def load(model: bytes) -> Pieces:
     return _LOADED[k]
 
 
+def encoder(model: bytes) -> Pieces:
+    """What encodes as the model's own type says."""
+    k = hash((model, "encoder"))
+    if k not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[k] = Merges(model) if is_bpe(model) else load(model)
+    return _ENCODERS[k]
+
+
 def model_bytes(path: str = DEFAULT_MODEL) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -250,6 +286,36 @@ def _split(model: bytes, chunk: int):
     return run
 
 
+def word_cuts(text: str, chunk: int):
+    """(begin, end) of the parts of a normalized text, each of whole words: about `chunk` characters, or one longer word."""
+    at = 0
+    while at < len(text):
+        cut = at + chunk
+        if cut < len(text):
+            while cut > at and not word_begins(text, cut):
+                cut = text.rfind(MARK, at, cut)
+            if cut <= at:
+                cut = text.find(MARK, at + chunk)
+                while cut >= 0 and not word_begins(text, cut):
+                    cut = text.find(MARK, cut + 1)
+        end = len(text) if cut < 0 or cut > len(text) else cut
+        yield at, end
+        at = end
+
+
+def _split_words(chunk: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = normalized(text)
+                for k, (a, b) in enumerate(word_cuts(text, chunk)):
+                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([k], pa.int64()), pa.array([text[a:b]], pa.string())], ["key", "k", "part"])
+
+    return run
+
+
 def _matrices(model: bytes):
     def run(batches):
         import pyarrow as pa
@@ -287,25 +353,27 @@ def _trace(model: bytes):
     return run
 
 
-def _encode(model: bytes):
+def _encode(model: bytes, ready: bool = False):
+    """(key columns.., text) -> (key columns.., ids)."""
+
     def run(batches):
         import pyarrow as pa
 
-        pieces = load(model)
+        pieces = encoder(model)
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.columns[-1]
             for at in range(0, batch.num_rows, 512):
-                raw = pieces.encode_all([t or "" for t in texts[at : at + 512].to_pylist()])
+                raw = pieces.encode_all([t or "" for t in texts[at : at + 512].to_pylist()], ready)
                 offsets = np.zeros(len(raw) + 1, np.int32)
                 np.cumsum([len(r) // 4 for r in raw], out=offsets[1:])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + 512], ids], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([*(c[at : at + 512] for c in batch.columns[:-1]), ids], [*batch.schema.names[:-1], "ids"])
 
     return run
 
 
 def encode(docs: DataFrame, model: bytes | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, ids: the best segmentation of each whole text as piece ids.
+    """docs(doc_id, text) -> doc_id, ids: the model's own encoding of each whole text (BPE merges, or the best segmentation).
 
     Null and empty texts have no ids. Characters without a piece become their bytes' pieces.
     Rows that repeat stay apart; other columns are ignored; an empty table gives an empty result.
@@ -321,13 +389,22 @@ def encode(docs: DataFrame, model: bytes | None = None, giant: int = GIANT, chun
     big = materialize(d.where(is_giant).withColumn("key", F.monotonically_increasing_id()), "giants")
     if big.isEmpty():
         return small
+    if is_bpe(model):
+        parts = big.select("key", "text").mapInArrow(trimmed(_split_words(chunk)), "key long, k long, part string")
+        # Dealt out anew, so that one text's parts are many tasks' work.
+        traced = parts.repartition("key", "k").mapInArrow(trimmed(_encode(model, True)), "key long, k long, ids array<int>")
+        return small.unionByName(_joined(big, traced))
     parts = big.select("key", "text").mapInArrow(trimmed(_split(model, chunk)), "key long, k long, part string, n int, last boolean, aligned boolean")
     parts = materialize(parts.repartition("key", "k"), "chunks")
     ms = parts.mapInArrow(trimmed(_matrices(model)), "key long, k long, m binary")
     states = ms.groupBy("key").applyInArrow(_scan(size), "key long, k long, entry int, exit int")
     traced = parts.join(states, ["key", "k"]).select("key", "k", "part", "n", "entry", "exit").mapInArrow(trimmed(_trace(model)), "key long, k long, ids array<int>")
+    return small.unionByName(_joined(big, traced))
+
+
+def _joined(big: DataFrame, traced: DataFrame) -> DataFrame:
     whole = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return small.unionByName(big.select("key", "doc_id").join(whole, "key").select("doc_id", "ids"))
+    return big.select("key", "doc_id").join(whole, "key").select("doc_id", "ids")
 
 
 def decode(encoded: DataFrame, model: bytes | None = None) -> DataFrame:

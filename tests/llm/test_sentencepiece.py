@@ -102,3 +102,16 @@ def test_frames(spark):
     back = sorted((str(r["doc_id"]), r["text"]) for r in sp.decode(sp.encode(df, MODEL, giant=100, chunk=20), MODEL).collect())
     assert back == sorted((str(d), (t or "").replace(sp.MARK, " ")) for d, t, _ in rows)
     assert sp.decode(sp.encode(df.limit(0), MODEL), MODEL).count() == 0
+
+
+def test_ids_are_the_models_own(spark):
+    """The unchanged model in the library, on whole texts; giant ones too, with words longer than a chunk."""
+    lib = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    rnd = random.Random(6)
+    odd = ["The token over the international", "\x00\x01 a\tb\r\n c", "a" * 300 + " " + "漢字" * 200 + " the  end", "▁▁ x ▁", "x" + " " * 200 + "y"]
+    odd.append(" ".join("".join(rnd.choice("aeinrstéß.,漢") for _ in range(rnd.randrange(1, 12))) for _ in range(400)))
+    rows = [(i, t) for i, t in enumerate([*texts(), *odd])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(i, lib.encode(t or "")) for i, t in rows]
+    for how in ({}, {"giant": 40, "chunk": 20}, {"giant": 100, "chunk": 64}):
+        assert sorted((r["doc_id"], r["ids"]) for r in sp.encode(df, MODEL, **how).collect()) == want
