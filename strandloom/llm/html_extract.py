@@ -1,14 +1,15 @@
-"""Main text of web pages: structure first, then a suffix array over each host's pages.
+"""Main text of web pages: markup and a suffix array over each host's pages decide together.
 
-A page is cut into blocks. What sits in menus, headers, footers, sidebars, notices, adverts,
-forms and comments goes by its markup; an article or main element, where there is one, is the
-main text. The blocks of other pages are judged by repetition: the visible texts outside
-articles, of all pages of a host, form one token stream; its suffixes, sorted by their first
-`run` tokens, put equal runs side by side, and a run found on distinct pages is boilerplate. A
-block of which half the tokens lie in such runs is removed; unique runs stay.
+A page is cut into blocks. All visible text of all pages of a host, articles too, forms one token
+stream; its suffixes, sorted by their first `run` tokens, put equal runs side by side. A run on
+enough pages with different texts around it is boilerplate; copies of one page, told by the least
+of two hashes each of their runs, count once. Markup is the other input: what sits in menus, headers, footers,
+sidebars, notices, adverts, forms and comments goes; of a page with an article or main element only
+that is main text, and there a run must be on more pages. Boilerplate runs that join to a whole
+block, or to a long part of one, are removed; the rest of the block stays.
 
 Hosts are dealt to groups of a bounded number of tokens. A host too large for one group is split
-by page, and runs that no group finds repeated are compared between the groups by their hash.
+by page; the contexts of its runs are counted over all its groups by the runs' hashes.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize
+from .common import arrow_batches, materialize, mix64
 
 _GROUP_TOKENS = 500_000
+#: Different contexts that make a run boilerplate, elsewhere and inside main elements; tokens of a part of a block that goes.
+_CONTEXTS, _MAIN_CONTEXTS, _LONG = 3, 10, 20
 
 # Fixed values of HTML and of common practice.
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
@@ -153,8 +156,8 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def repeated_runs(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place of a stream of tokens: whether a run of `run` tokens of one page begins there, and whether it is found on another page too.
+def suffix_order(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a run of one page begins at each place, those places by their run, where in them another run begins).
 
     Suffixes are ranked by their first 1, 2, 4, ... tokens (prefix doubling) up to `run`; then
     equal ranks are neighbours in the suffix array. Pages' parts are contiguous.
@@ -173,86 +176,154 @@ def repeated_runs(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.nd
         length += step
     order = np.flatnonzero(inside)
     order = order[np.argsort(rank[order], kind="stable")]  # the suffix array, as far as `run` tokens
-    again = np.zeros(n, bool)
+    r = rank[order]
+    return inside, order, np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(order) else np.zeros(0, np.int64)
+
+
+def repeated_runs(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of a stream of tokens: whether a run of `run` tokens of one page begins there, and whether it is found on another page too."""
+    inside, order, begin = suffix_order(tokens, page, run)
+    again = np.zeros(len(tokens), bool)
     if len(order):
-        r, p = rank[order], page[order]
-        begin = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        p = page[order]
         several = np.minimum.reduceat(p, begin) != np.maximum.reduceat(p, begin)
         again[order] = np.repeat(several, np.diff(np.append(begin, len(order))))
     return inside, again
 
 
-_PARSED = "row long, page_id long, url string, text string, blocks array<string>, host long, tokens binary"
+def grams(tokens: np.ndarray, run: int) -> np.ndarray:
+    """A hash of the run at each place that has one."""
+    n = max(len(tokens) - run + 1, 0)
+    gram = np.zeros(n, np.uint64)
+    for k in range(run):
+        gram = (gram ^ tokens[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        gram ^= gram >> np.uint64(29)
+    return gram
 
 
-def _parse(batches):
-    import pyarrow as pa
+_PARSED = "row long, page_id long, url string, blocks array<string>, kinds string, host long, n long, context long"
+
+
+def _tokens(blocks: list[str], host: int) -> np.ndarray:
     import xxhash
 
-    for batch in batches:
-        out: list[list] = [[], [], [], []]
-        for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-            blocks = blocks_of(page or "")
-            article = [t for t, o, m in blocks if m and not o]
-            rest = [t for t, o, m in blocks if not m and not o]
-            m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
-            host = xxhash.xxh3_64_intdigest((m[1] if m else "").lower().encode())
-            # With an article, the rest only tells other pages what repeats.
-            out[0].append("\n".join(article) if article else None)
-            out[1].append(None if article else rest)
-            out[2].append(host - 2**63)
-            out[3].append(np.array([xxhash.xxh3_64_intdigest(w.encode(), host) for t in rest for w in t.split(" ")], np.uint64).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("page_id"), batch.column("url"), pa.array(out[0], pa.string()), pa.array(out[1], pa.list_(pa.string())), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["row", "page_id", "url", "text", "blocks", "host", "tokens"])
+    seed = host % 2**64
+    return np.array([xxhash.xxh3_64_intdigest(w.encode(), seed) for t in blocks for w in t.split(" ")], np.uint64)
+
+
+def _parse(run: int):
+    def parse(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for row, url, page in zip(*(batch.column(c).to_pylist() for c in ("row", "url", "html"))):
+                blocks = blocks_of(page or "")
+                m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
+                host = xxhash.xxh3_64_intdigest((m[1] if m else "").lower().encode()) - 2**63
+                # The context is that of the text markup leaves; a page too short for a run is one of its own.
+                gram = grams(_tokens([t for t, o, _ in blocks if not o], host), run)
+                out[0].append([t for t, _, _ in blocks])
+                out[1].append("".join(str(2 * o + m) for _, o, m in blocks))
+                out[2].append(host)
+                out[3].append(sum(t.count(" ") + 1 for t, _, _ in blocks))
+                out[4].append((int(gram.min()) * 31 ^ int(mix64(gram).min())) % 2**64 - 2**63 if len(gram) else row)
+            arrays = [pa.array(x, t) for x, t in zip(out, (pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("page_id"), batch.column("url"), *arrays], ["row", "page_id", "url", "blocks", "kinds", "host", "n", "context"])
+
+    return parse
 
 
 def _stream(table, run: int):
-    page, tokens = [], []
-    for r, b in zip(table.column("row").to_pylist(), table.column("tokens").to_pylist()):
-        t = np.frombuffer(b, np.uint64)
-        page.append(np.full(len(t), r, np.int64))
-        tokens.append(t)
-    page, tokens = np.concatenate(page), np.concatenate(tokens)
-    first = np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1]]))
-    place = np.arange(len(page)) - np.repeat(first, np.diff(np.append(first, len(page))))
-    return (page, place, tokens, *repeated_runs(tokens, page, run))
+    """A group's stream: tokens, page (by place in the table), context of each, and the suffix order."""
+    parts = [_tokens(b, h) for b, h in zip(table.column("blocks").to_pylist(), table.column("host").to_pylist())]
+    sizes = [len(t) for t in parts]
+    tokens = np.concatenate([np.zeros(0, np.uint64), *parts])
+    page = np.repeat(np.arange(len(parts)), sizes)
+    context = np.repeat(table.column("context").to_numpy(), sizes)
+    _, order, begin = suffix_order(tokens, page, run)
+    return tokens, sizes, context, order, begin
+
+
+def _contexts(context: np.ndarray, order: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, a place of it in each of its contexts, how many of its contexts came before), runs numbered as in begin."""
+    which = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+    by = np.lexsort((context[order], which))
+    w, c = which[by], context[order][by]
+    new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])])) if len(w) else np.zeros(0, np.int64)
+    w = w[new]
+    first = np.searchsorted(w, w)
+    return w, order[by][new], np.arange(len(w)) - first
 
 
 def _find(run: int):
-    """A group's streams -> (row, place, gram): runs found on several pages (gram null), and a split host's others by hash."""
+    """A split host's group -> (g, gram, context): of each run its contexts, no more than decide."""
 
     def find(table):
         import pyarrow as pa
 
-        page, place, tokens, inside, again = _stream(table, run)
-        split = np.repeat(np.array(table.column("shards").to_pylist()) > 1, [len(b.as_py()) // 8 for b in table.column("tokens")])
-        other = np.flatnonzero(inside & ~again & split)
-        gram = np.zeros(len(other), np.uint64)
-        for k in range(run):
-            gram = (gram ^ tokens[other + k]) * np.uint64(0x9E3779B97F4A7C15)
-            gram ^= gram >> np.uint64(29)
-        hit = np.flatnonzero(again)
-        both = np.concatenate([hit, other])
-        return pa.table([pa.array(page[both]), pa.array(place[both].astype(np.int32)), pa.concat_arrays([pa.nulls(len(hit), pa.int64()), pa.array(gram.astype(np.int64))])], ["row", "place", "gram"])
+        tokens, _, context, order, begin = _stream(table, run)
+        gram = grams(tokens, run).astype(np.int64)
+        _, place, nth = _contexts(context, order, begin)
+        place = place[nth < _MAIN_CONTEXTS]
+        g = table.column("g")[0].as_py()
+        return pa.table([pa.array(np.full(len(place), g)), pa.array(gram[place]), pa.array(context[place])], ["g", "gram", "context"])
 
     return find
 
 
-def _keep(run: int):
-    def keep(batches):
-        import pyarrow as pa
+def _judge(run: int):
+    """A group's pages, and the counts of contexts of its runs on split hosts -> page_id, url, text."""
 
-        for batch in batches:
-            texts = []
-            for blocks, places in zip(batch.column("blocks").to_pylist(), batch.column("places").to_pylist()):
-                sizes = [b.count(" ") + 1 for b in blocks]
-                covered = np.zeros(sum(sizes) + run, bool)
-                for k in range(run):
-                    covered[np.array(places or [], np.int64) + k] = True
-                at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-                texts.append("\n".join(b for b, i, j in zip(blocks, at, at[1:]) if 2 * covered[i:j].sum() < j - i))
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+    def judge(table, between):
+        import pyarrow as pa
 
-    return keep
+        if not table.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.string())], ["page_id", "url", "text"])
+        tokens, sizes, context, order, begin = _stream(table, run)
+        count = np.bincount(_contexts(context, order, begin)[0], minlength=len(begin))
+        if between.num_rows and len(begin):
+            known = between.sort_by("gram")
+            have, n = known.column("gram").to_numpy(), known.column("n").to_numpy()
+            gram = grams(tokens, run).astype(np.int64)[order[begin]]
+            at = np.minimum(np.searchsorted(have, gram), len(have) - 1)
+            count = np.maximum(count, np.where(have[at] == gram, n[at], 0))
+        often = np.zeros(len(tokens) + run, np.int64)
+        often[order] = np.repeat(count, np.diff(np.append(begin, len(order))))
+        covered = {}
+        for least in (_CONTEXTS, _MAIN_CONTEXTS):
+            step = np.zeros(len(tokens) + run + 1, np.int64)
+            hit = np.flatnonzero(often >= least)
+            step[hit] += 1
+            np.subtract.at(step, hit + run, 1)
+            covered[least] = np.cumsum(step) > 0
+        texts, at = [], 0
+        for blocks, kinds, size in zip(table.column("blocks").to_pylist(), table.column("kinds").to_pylist(), sizes):
+            main = "1" in kinds
+            kept, j = [], at
+            for b, kind in zip(blocks, kinds):
+                i, j = j, j + b.count(" ") + 1
+                if kind == ("1" if main else "0"):
+                    kept.append(_left(b, covered[_MAIN_CONTEXTS if main else _CONTEXTS][i:j]))
+            texts.append("\n".join(filter(None, kept)))
+            at += size
+        return pa.table([table.column("page_id"), table.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return judge
+
+
+def _left(block: str, covered: np.ndarray) -> str:
+    """A block without its covered parts that are long or the whole block."""
+    if not covered.any():
+        return block
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
+    words, out, at = block.split(" "), [], 0
+    for i, j in zip(edge[::2], edge[1::2]):
+        if j - i >= _LONG or j - i == len(words):
+            out += words[at:i]
+            at = j
+    return " ".join(out + words[at:])
 
 
 def extract(pages: DataFrame, run: int = 5) -> DataFrame:
@@ -260,26 +331,21 @@ def extract(pages: DataFrame, run: int = 5) -> DataFrame:
 
     Character references are decoded; white space inside a block becomes one space; blocks are
     trimmed and joined by a line feed. A null or empty page has an empty text. A null url, or
-    one without a host, counts as the host ''. Rows that repeat are distinct pages, also to
-    each other: what only they say is then repeated, unless it is in an article. Other columns
-    are ignored; an empty table stays empty.
+    one without a host, counts as the host ''. Rows that repeat stay apart, but are one context:
+    what only they say is not boilerplate. Other columns are ignored; an empty table stays empty.
     """
     p = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     with arrow_batches(pages.sparkSession, 500):
-        p = materialize(p.mapInArrow(_parse, _PARSED), "pages")
-    streams = p.where(F.octet_length("tokens") > 0).select("row", "host", "tokens")
-    hosts = streams.groupBy("host").agg(F.sum(F.octet_length("tokens") / 8).alias("n"))
-    hosts = hosts.select("host", F.ceil(F.col("n") / _GROUP_TOKENS).alias("shards"))
-    total = streams.agg(F.coalesce(F.sum(F.octet_length("tokens") / 8), F.lit(0))).first()[0]
+        p = materialize(p.mapInArrow(_parse(run), _PARSED), "pages")
+    hosts = p.groupBy("host").agg(F.ceil(F.greatest(F.sum("n"), F.lit(1)) / _GROUP_TOKENS).alias("shards"))
+    total = p.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     groups = int(total / _GROUP_TOKENS) * 2 + 1
-    s = streams.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("row"), "shards"))
+    s = p.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("row"), "shards"))
     s = s.withColumn("g", F.pmod(F.xxhash64("host", "shard"), F.lit(groups)))
-    runs = s.groupBy("g").applyInArrow(lambda t: _find(run)(t), "row long, place int, gram long")
-    runs = materialize(runs, "runs")
-    between = runs.where("gram is not null").groupBy("gram").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("gram")
-    found = runs.where("gram is null").select("row", "place").union(runs.where("gram is not null").join(between, "gram", "left_semi").select("row", "place"))
-    open_pages = p.where("blocks is not null")
-    places = found.join(open_pages.select("row"), "row", "left_semi").groupBy("row").agg(F.collect_list("place").alias("places"))
-    judged = open_pages.join(places, "row", "left").select("page_id", "url", "blocks", "places").mapInArrow(_keep(run), "page_id long, url string, text string")
-    out = p.where("blocks is null").select("page_id", "url", "text").unionByName(judged)
+    split = s.where("shards > 1").select("g", "host", "blocks", "context")
+    runs = materialize(split.groupBy("g").applyInArrow(lambda t: _find(run)(t), "g long, gram long, context long"), "runs")
+    counts = runs.groupBy("gram").agg(F.countDistinct("context").alias("n")).where(F.col("n") >= _CONTEXTS)
+    between = runs.select("g", "gram").distinct().join(counts, "gram").select("g", "gram", "n")
+    s = s.select("g", "page_id", "url", "host", "blocks", "kinds", "context")
+    out = s.groupBy("g").cogroup(between.groupBy("g")).applyInArrow(lambda a, b: _judge(run)(a, b), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

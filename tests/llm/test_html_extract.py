@@ -92,3 +92,24 @@ def test_empty_and_repeated(spark):
     assert hx.extract(spark.createDataFrame([], schema)).count() == 0
     got = hx.extract(spark.createDataFrame([(1, "http://a/", "<article>x y z</article>")] * 2 + [(None, "http://b/", "x" * 200000)], schema)).collect()
     assert sorted(str((r["page_id"], len(r["text"]))) for r in got) == ["(1, 5)", "(1, 5)", "(None, 200000)"]
+
+
+def prose(rnd, n):
+    return " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+
+
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+
+
+@pytest.mark.parametrize("tokens", [500_000, 400])
+def test_repeats_inside_articles(spark, monkeypatch, tokens):
+    monkeypatch.setattr(hx, "_GROUP_TOKENS", tokens)
+    rnd = random.Random(7)
+    box = prose(rnd, 12)
+    rows, want = [], {}
+    for i in range(16):  # the host's subscription line, without a telling name, in every article
+        body = prose(rnd, 30)
+        rows.append((i, "http://a.example/", f"<article><p>{body}</p><div>{box}</div></article>"))
+        want[i] = body
+    assert extracted(spark, rows) == want
