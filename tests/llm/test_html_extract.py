@@ -113,3 +113,18 @@ def test_repeats_inside_articles(spark, monkeypatch, tokens):
         rows.append((i, "http://a.example/", f"<article><p>{body}</p><div>{box}</div></article>"))
         want[i] = body
     assert extracted(spark, rows) == want
+
+
+@pytest.mark.parametrize("tokens", [500_000, 150])
+def test_splitting_a_host_changes_nothing(spark, monkeypatch, tokens):
+    """Three pages of a host share a text, in whatever groups they are."""
+    monkeypatch.setattr(hx, "_GROUP_TOKENS", tokens)
+    rnd = random.Random(11)
+    rows, want = [], {}
+    for k in range(12):
+        menu = prose(rnd, 8)
+        for i in range(3):
+            body = prose(rnd, 25)
+            rows.append((3 * k + i, "http://d.example/", f"<div>{menu}</div><p>{body}</p>"))
+            want[3 * k + i] = body
+    assert extracted(spark, rows) == want
