@@ -128,3 +128,18 @@ def test_splitting_a_host_changes_nothing(spark, monkeypatch, tokens):
             rows.append((3 * k + i, "http://d.example/", f"<div>{menu}</div><p>{body}</p>"))
             want[3 * k + i] = body
     assert extracted(spark, rows) == want
+
+
+def test_only_covered_parts_go_and_copies_stay(spark):
+    rnd = random.Random(8)
+    quote = prose(rnd, 40)
+    rows, want = [], {}
+    for i in range(20, 24):  # one block of repeated and new words
+        own = prose(rnd, 40)
+        rows.append((i, "http://b.example/", f"<p>{quote} {own}</p><p>{prose(rnd, 1)}</p>"))
+        want[i] = own + "\n" + rows[-1][2].split("<p>")[-1][:-4]
+    copy = prose(rnd, 80)
+    for i in range(30, 36):  # copies of one text are no boilerplate
+        rows.append((i, "http://c.example/", f"<p>{copy}</p>"))
+        want[i] = copy
+    assert extracted(spark, rows) == want
