@@ -103,26 +103,25 @@ def rules() -> dict[str, tuple[Column, Column]]:
     }
 
 
-#: Bounds of what is estimated. Thresholds are set so that a rule seldom votes bad on a good text;
-#: it may find one kind of bad text only. This also tells the good class from the bad one.
-GOOD_BOUNDS, BAD_BOUNDS, SHARE_BOUNDS = (0.98, 0.995), (0.3, 0.95), (0.05, 0.95)
+#: What is supposed of a rule before any text is seen, as votes counted beside the texts' own: (share right, votes) on good
+#: texts, which thresholds are set for, and on bad ones, of which a rule may find one kind only. A few texts outweigh them.
+GOOD_PRIOR, BAD_PRIOR, SHARE_PRIOR = (0.95, 10.0), (0.4, 2.0), (0.5, 2.0)
+_START = 0.8, (0.95, 0.4)
 
 
-def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 100, good_bounds=GOOD_BOUNDS, bad_bounds=BAD_BOUNDS, share_bounds=SHARE_BOUNDS) -> tuple[float, list[tuple[float, float]]]:
+def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 300, good_prior=GOOD_PRIOR, bad_prior=BAD_PRIOR, share_prior=SHARE_PRIOR) -> tuple[float, list[tuple[float, float]]]:
     """Expectation-maximisation on (votes, count) patterns, votes 1 good, 0 bad, None abstain.
 
     Returns the share of good texts, and for each rule the probabilities to vote good on a good
-    text and bad on a bad one, given that it votes, all within their bounds. Without any votes
-    the share is a half.
+    text and bad on a bad one, given that it votes: the most probable ones under the weak priors,
+    which keep them between 0 and 1. The first guess tells the good class from the bad one.
+    Ends when nothing moves any more, or after `rounds`. Without votes the priors stand.
     """
-    if not patterns:
-        return 0.5, [(GOOD_BOUNDS[0], BAD_BOUNDS[0])] * len(rules())
-    within = lambda x, bounds: min(bounds[1], max(bounds[0], x))
-    k = len(patterns[0][0])
-    prior, acc = within(0.7, share_bounds), [(within(0.98, good_bounds), within(0.5, bad_bounds))] * k
-    for _ in range(rounds):
-        good, bad = [[1.0, 2.0] for _ in range(k)], [[1.0, 2.0] for _ in range(k)]
-        share, total = 1.0, 2.0
+    k = len(patterns[0][0]) if patterns else len(rules())
+    prior, acc = _START[0] if patterns else share_prior[0], [_START[1] if patterns else (good_prior[0], bad_prior[0])] * k
+    for _ in range(rounds if patterns else 0):
+        good, bad = [[good_prior[0] * good_prior[1], good_prior[1]] for _ in range(k)], [[bad_prior[0] * bad_prior[1], bad_prior[1]] for _ in range(k)]
+        share, total = share_prior[0] * share_prior[1], share_prior[1]
         for votes, n in patterns:
             p = posterior(votes, prior, acc)
             share += n * p
@@ -133,8 +132,10 @@ def fit(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 100, g
                     good[j][1] += n * p
                     bad[j][0] += n * (1 - p) * (1 - v)
                     bad[j][1] += n * (1 - p)
-        prior = within(share / total, share_bounds)
-        acc = [(within(g[0] / g[1], good_bounds), within(b[0] / b[1], bad_bounds)) for g, b in zip(good, bad)]
+        before = [prior, *(x for pair in acc for x in pair)]
+        prior, acc = share / total, [(g[0] / g[1], b[0] / b[1]) for g, b in zip(good, bad)]
+        if max(abs(x - y) for x, y in zip(before, [prior, *(x for pair in acc for x in pair)])) < 1e-10:
+            break
     return prior, acc
 
 
@@ -144,15 +145,16 @@ def posterior(votes: tuple[int | None, ...], prior: float, acc: list[tuple[float
     for v, (g, b) in zip(votes, acc):
         if v is not None:
             x += math.log(g / (1 - b)) if v else math.log((1 - g) / b)
-    return 1 / (1 + math.exp(-x))
+    return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
 def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Per row of docs(doc_id, text): the counts, base_failed, quality (posterior) and kept.
 
     base_failed: under 50 words, or more than half of the words in repeated three-word windows.
-    kept: not base_failed, and quality of at least `least`. Null texts count as empty and fail.
-    Rows that repeat stay apart; other columns are ignored; an empty table stays empty.
+    kept: not base_failed, and quality of at least `least`: a posterior on the line is kept.
+    Null texts count as empty and fail; a null doc_id stays null. Rows that repeat stay apart and
+    count each; other columns are ignored, whatever their names; an empty table stays empty.
     """
     vote = [F.when(bad, 0).when(good, 1).alias(name) for name, (good, bad) in rules().items()]
     names = list(rules())
