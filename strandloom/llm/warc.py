@@ -2,10 +2,12 @@
 
 Every task writes gzip-member archives to the shared folder, together with a run of index rows
 sorted by URL key and time. A payload of some size that several captures share is stored once;
-the other captures are revisit records. The runs are dealt to ranges of the global order, and in
-each range a loser tree merges them, which gives globally ordered capture histories. Archives
-are named by task attempt, and only the index rows of the attempts that counted name them, so
-lost executors leave at most files that nothing refers to.
+the other captures are revisit records. The runs are dealt to ranges of the global order, each of
+a bounded number of rows, and in each range a loser tree merges the runs' parts, which gives
+globally ordered capture histories. Records are read by the merged index alone: by file, offset
+and length, and each must be the one that its index row names. Archives are named by task attempt,
+and only the index rows of the attempts that counted name them, so lost executors leave at most
+files that nothing refers to.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from datetime import datetime, timedelta, timezone
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, materialize, scratch_path
@@ -27,6 +29,8 @@ from .common import arrow_batches, materialize, scratch_path
 #: Payloads of fewer bytes are always stored.
 REVISIT_BYTES = 1000
 _ROLL_BYTES = 64 << 20
+#: Index rows of a range of the merged index, and bytes of one archive that a task reads at a time.
+_RANGE_ROWS, _READ_BYTES = 200_000, 16 << 20
 _EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _INDEX = "run string, run_pos long, url_key string, ts string, page_id long, record_type string, digest string, payload_bytes long, refers_to long, file string, offset long, length long"
@@ -42,6 +46,11 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port else "") + ")" + (m[2] or "/")
 
 
+def written(url: str | None) -> str:
+    """A URL as a record's header holds it; the index is keyed by this form."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda c: f"%{ord(c[0]):02X}", url or "")
+
+
 def capture_time(page_id: int | None) -> str:
     """A page's capture time; pages carry none, so their ids count seconds."""
     return (_EPOCH + timedelta(seconds=(page_id or 0) % (10**9))).strftime("%Y-%m-%dT%H:%M:%SZ")
@@ -54,7 +63,7 @@ def record_bytes(url: str | None, page_id: int | None, record_type: str, refers_
     name = lambda i: f"<urn:page:{'' if i is None else i}>"
     head = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {capture_time(page_id)}"]
     if url:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda c: f"%{ord(c[0]):02X}", url))
+        head.append("WARC-Target-URI: " + written(url))
     head.append("WARC-Payload-Digest: sha1:" + base64.b32encode(digest).decode())
     if record_type == "revisit":
         head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {name(refers_to)}"]
@@ -74,6 +83,8 @@ def _open(path: str, mode: str):
     if mode == "w":
         system.create_dir(name.rsplit("/", 1)[0], recursive=True)
         return system.open_output_stream(name, compression=None)
+    if mode == "at":
+        return system.open_input_file(name)
     return system.open_input_stream(name, compression=None, buffer_size=1 << 20)
 
 
@@ -103,7 +114,7 @@ def _write(folder: str):
                 kind = "response" if refers is None else "revisit"
                 data = _gzip(record_bytes(url, page_id, kind, refers, payload, digest, len(payload)))
                 out.write(data)
-                rows.append((url_key(url), capture_time(page_id), page_id, kind, digest.hex(), len(payload), refers, file, offset, len(data)))
+                rows.append((url_key(written(url)), capture_time(page_id), page_id, kind, digest.hex(), len(payload), refers, file, offset, len(data)))
                 offset += len(data)
                 if offset >= _ROLL_BYTES:
                     yield finish()
@@ -194,8 +205,12 @@ def _merge(batches):
 
 
 def merge_index(index: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The runs as one index, ordered by (url_key, ts, page_id): by index_part, then index_pos within it."""
-    n = partitions or max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """The runs as one index, ordered by (url_key, ts, page_id): by index_part, then index_pos within it.
+
+    Ranges have about _RANGE_ROWS rows each, however large the index is or however many captures
+    one URL has; equal rows stay together. A null page_id comes first.
+    """
+    n = partitions or max(1, -(-index.count() // _RANGE_ROWS))
     return index.repartitionByRange(n, "url_key", "ts", "page_id").mapInArrow(_merge, _INDEX + ", index_part int, index_pos long")
 
 
@@ -226,42 +241,78 @@ def read_records(stream):
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read_archives(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest (hex SHA-1), record_type and refers_to of every record of the archives in files(file).
+def _read(batches):
+    """Index rows, by file and offset -> what their records say."""
+    import pyarrow as pa
+
+    def page(name: str | None):
+        return int(name[len("<urn:page:") : -1]) if name and name != "<urn:page:>" else None
 
-    A response's digest and size are taken from its payload and must be those it declares; a
-    revisit's are those of the payload it refers to, as declared.
+    name, stream = None, None
+    try:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                if row["file"] != name:
+                    if stream is not None:
+                        stream.close()
+                    name, stream = row["file"], _open(row["file"], "at")
+                stream.seek(row["offset"])
+                found = list(read_records(io.BytesIO(stream.read(row["length"]))))
+                if len(found) != 1:
+                    raise ValueError(f"no record of {row['length']} bytes at {row['offset']} of {name}")
+                warc, http, body = found[0]
+                declared = base64.b32decode(warc["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+                kind, size = warc["WARC-Type"], int(http["Content-Length"])
+                if kind == "response" and (hashlib.sha1(body).hexdigest() != declared or len(body) != size):
+                    raise ValueError(f"damaged record at {row['offset']} of {name}")
+                one = (page(warc["WARC-Record-ID"]), size, declared, kind, page(warc.get("WARC-Refers-To")))
+                if (*one, url_key(warc.get("WARC-Target-URI")), warc["WARC-Date"]) != (row["page_id"], row["payload_bytes"], row["digest"], row["record_type"], row["refers_to"], row["url_key"], row["ts"]):
+                    raise ValueError(f"another record than the index names at {row['offset']} of {name}")
+                rows.append(one)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+    finally:
+        if stream is not None:
+            stream.close()
+
+
+def read_archives(index: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest (hex SHA-1), record_type and refers_to of every record that an index names.
+
+    Index rows are dealt by stretches of their archives and read in the order of offsets. A
+    response's digest and size are taken from its payload and must be those it declares; a
+    revisit's are those of the payload it refers to, as declared. A record that is not the one
+    its index row names is an error. Rows that repeat are read as often.
     """
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    # A number of partitions of its own: the rows are few, but the bytes behind them are not.
+    n = max(1, -(-size // _READ_BYTES), min(index.sparkSession.sparkContext.defaultParallelism, -(-size // (1 << 20))))
+    dealt = index.repartition(n, "file", F.floor(F.col("offset") / _READ_BYTES)).sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(_read, _READ)
 
-    def run(batches):
-        import pyarrow as pa
 
-        def page(name: str | None):
-            return int(name[len("<urn:page:") : -1]) if name and name != "<urn:page:>" else None
+def histories(merged: DataFrame) -> DataFrame:
+    """A merged index with capture (from 1) and last_page_id, the capture before, of each row among its URL key's, in the index's order.
 
-        for batch in batches:
-            for file in batch.column("file").to_pylist():
-                rows = []
-                with _open(file, "r") as stream:
-                    for warc, http, body in read_records(stream):
-                        declared = base64.b32decode(warc["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                        kind, size = warc["WARC-Type"], int(http["Content-Length"])
-                        if kind == "response" and (hashlib.sha1(body).hexdigest() != declared or len(body) != size):
-                            raise ValueError(f"damaged record in {file}")
-                        rows.append((page(warc["WARC-Record-ID"]), size, declared, kind, page(warc.get("WARC-Refers-To"))))
-                for at in range(0, len(rows), 10000):
-                    cols = zip(*rows[at : at + 10000])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    return files.select("file").distinct().mapInArrow(run, _READ)
+    One URL may have any share of the captures, so both come from neighbours in the index and from
+    counts of its ranges; only a range's own rows meet in a window.
+    """
+    inside = Window.partitionBy("index_part").orderBy("index_pos")
+    of_key = Window.partitionBy("index_part", "url_key").orderBy("index_pos")
+    ranges = merged.groupBy("url_key", "index_part").agg(F.count(F.lit(1)).alias("n"), F.max_by("page_id", "index_pos").alias("page"))
+    # Few rows: a key of several ranges has one row in each.
+    over = Window.partitionBy("url_key").orderBy("index_part")
+    ranges = ranges.select("url_key", "index_part", (F.sum("n").over(over) - F.col("n")).alias("earlier"), F.lag("page").over(over).alias("page"))
+    m = merged.withColumn("nth", F.row_number().over(of_key)).withColumn("before", F.lag("page_id").over(inside))
+    m = m.join(ranges, ["url_key", "index_part"])
+    return m.select(*merged.columns, (F.col("earlier") + F.col("nth")).cast("long").alias("capture"), F.when(F.col("nth") > 1, F.col("before")).otherwise(F.col("page")).alias("last_page_id"))
 
 
 def archive_and_read(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """Write pages to archives, merge their index, and read back the archives that the merged index names.
+    """Write pages to archives, merge their index, and read back the records that the merged index names.
 
     One row a page; see write_archives and read_archives. An empty table gives an empty result;
     columns other than page_id, url and html are ignored.
     """
-    spark = pages.sparkSession
-    index = materialize(merge_index(write_archives(pages, least_bytes=least_bytes)), "merged")
-    return read_archives(spark, index)
+    return read_archives(materialize(merge_index(write_archives(pages, least_bytes=least_bytes)), "merged"))

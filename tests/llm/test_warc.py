@@ -48,6 +48,36 @@ def test_merged_index(spark, monkeypatch):
     assert hashlib.sha1(one[2]).hexdigest() == r["digest"] and one[0]["WARC-Type"] == "response"
 
 
+def test_reads_what_the_index_names(spark, monkeypatch):
+    monkeypatch.setattr(warc, "_READ_BYTES", 4000)
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows(), "page_id long, url string, html string").repartition(3)
+    merged = warc.materialize(warc.merge_index(warc.write_archives(df), 4), "merged")
+    assert warc.read_archives(merged).rdd.getNumPartitions() > 1
+    # Half of the index reads half of the records, in any order of its rows.
+    half = merged.where("page_id % 2 = 0").orderBy(F.rand(3))
+    assert sorted([tuple(r) for r in warc.read_archives(half).collect()], key=str) == [r for r in brute(rows()) if r[0] is not None and r[0] % 2 == 0]
+    first = merged.agg(F.min("offset")).first()[0]
+    swapped = merged.withColumn("page_id", F.col("page_id") + 1)
+    for wrong in (merged.withColumn("offset", F.col("offset") + 1), merged.withColumn("length", F.col("length") - 9), swapped, merged.withColumn("offset", F.lit(first))):
+        with pytest.raises(Exception, match="record|inflat|decompress|header|Error"):
+            warc.read_archives(wrong).collect()
+
+
+def test_histories(spark):
+    df = spark.createDataFrame([(i, f"http://h.example/{i % 3 if i % 4 else 0}", f"page {i}") for i in range(200)] + [(7, "http://h.example/1", "x")], "page_id long, url string, html string").repartition(5)
+    got = warc.histories(warc.merge_index(warc.write_archives(df), 7)).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r["index_part"], r["index_pos"])):
+        by.setdefault(r["url_key"], []).append(r)
+    assert sum(map(len, by.values())) == 201
+    for rs in by.values():
+        assert [r["capture"] for r in rs] == list(range(1, len(rs) + 1))
+        assert [r["page_id"] for r in rs] == sorted(r["page_id"] for r in rs)
+        assert [r["last_page_id"] for r in rs] == [None] + [r["page_id"] for r in rs[:-1]]
+
+
 def test_loser_tree():
     rnd = random.Random(7)
     for k in (0, 1, 2, 3, 5, 8, 13):
