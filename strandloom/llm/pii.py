@@ -1,12 +1,20 @@
 """Personal data: exact patterns, and terms that disclose a protected value by co-occurrence.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers. Information-theoretic
-sanitisation adds terms of their whole documents: over the corpus, a term's disclosure of a value
-is the pointwise information log2 P(value | term) / P(value), as a share of the value's own
-information -log2 P(value); it is 1 for a term that never occurs without the value. A term that
-shares enough different contexts (documents, copies of one counted once) with the value is
-generalised above one share and removed above a higher one, wherever it stands in a document with
-the value. Everything is DataFrame expressions; positions are code points.
+sanitisation adds to them. Protected entities are the base values, secrets (long runs that
+change between letters and digits again and again, which carry far more information than words)
+and the kinds of both. Over the corpus, a term's disclosure of an entity is the pointwise
+information log2 P(entity | term) / P(entity), as a share of the entity's own information
+-log2 P(entity); it is 1 for a term that never occurs without the entity. Terms are those of
+whole documents, outside protected spans.
+
+A term that shares enough different contexts (documents, copies of one counted once) with a value
+is generalised above one share and removed above a higher one, wherever it stands in a document
+with the value. A term that discloses a kind is treated so in all documents, also in those where
+nothing else is found; there the evidence is the number of different values it stands with, and
+P(kind | term) is the lower end of its confidence interval, so that chance discloses nothing.
+Documents without the entity count each, those with it once a context or value: copies can
+only lower a disclosure. Everything is DataFrame expressions; positions are code points.
 """
 
 from __future__ import annotations
@@ -17,8 +25,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-#: Kinds that the method adds: terms to generalise, terms to remove.
-ADDED = ("term", "drop")
+#: Kinds that the method adds: secrets, terms to generalise, terms to remove.
+ADDED = ("secret", "term", "drop")
+_SECRET, _GENERALISE, _REMOVE = (len(KINDS) + i for i in range(3))
+#: Normal quantile of the confidence interval of P(kind | term).
+_SURE = 3.29
 
 # Possessive loops match the same strings as greedy ones here, without deep recursion. A run of
 # characters is only tried from its beginning or the end of the match before it: from a later
@@ -33,9 +44,12 @@ _PATTERN = {
 _GATE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _TERM = r"[\p{L}\p{M}\p{N}]+"
+#: A secret: letters and digits that change at five places or more. Its gate has four changes in it.
+_RUNS, _CHANGES, _HAS_CHANGES = r"[A-Za-z0-9]{16,}+", r"(?:[0-9]++[A-Za-z]++){3}|(?:[A-Za-z]++[0-9]++){3}", r"[A-Za-z][0-9]++[A-Za-z]++[0-9]++[A-Za-z]"
+_SPANS = "array<struct<start:int,end:int,rank:int,kind:string>>"
 _BLOCK = 256
-#: Terms of a run that tells texts from copies of each other.
-_RUN = 3
+#: Terms of a run, and hashes of runs, that tell texts from copies of each other.
+_RUN, _SKETCHES = 3, 8
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -117,10 +131,18 @@ def _terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower)
 
 
-def _context(text: Column) -> Column:
-    """The least hash of a text's runs of _RUN terms: copies of one text, near ones too, mostly share it."""
+def _sketch(text: Column) -> Column:
+    """_SKETCHES least hashes of a text's runs of _RUN terms: copies of one text, near ones too, share one at least."""
     runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - _RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(_RUN))))
-    return F.get(F.transform(F.array(_terms(text)), lambda w: F.array_min(runs(w))), 0)
+    least = lambda h: F.array(*[F.array_min(F.transform(h, lambda x, j=j: F.xxhash64(x, F.lit(j)))) for j in range(_SKETCHES)])
+    return F.get(F.transform(F.array(_terms(text)), lambda w: F.get(F.transform(F.array(runs(w)), least), 0)), 0)
+
+
+def _apart_from_copies(pairs: DataFrame) -> DataFrame:
+    """pairs(row, entity, sketch) -> (row, entity) without rows that share a hash with an earlier row of their entity."""
+    each = pairs.select("row", "entity", F.posexplode("sketch").alias("j", "h"))
+    first = each.groupBy("entity", "j", "h").agg(F.min("row").alias("row"))
+    return first.groupBy("entity", "row").count().where(F.col("count") == _SKETCHES).select("row", "entity")
 
 
 def _entity(s: Column) -> Column:
@@ -128,52 +150,127 @@ def _entity(s: Column) -> Column:
     return F.concat_ws(":", s["kind"], value)
 
 
+def _apart(spans: Column, others: Column) -> Column:
+    return F.filter(spans, lambda a: ~F.exists(others, lambda s: (s["start"] < a["end"]) & (a["start"] < s["end"])))
+
+
+def secret_spans(text: Column, base: Column) -> Column:
+    """array<struct<start, end, rank, kind, value>> of the secrets of a non-null text that touch no base span."""
+    hits = F.filter(located(text, _RUNS), lambda h: h["value"].rlike(_CHANGES))
+    spans = F.transform(hits, lambda h: F.struct(h["start"].alias("start"), (h["start"] + F.char_length(h["value"])).alias("end"), F.lit(_SECRET).alias("rank"), F.lit(ADDED[0]).alias("kind"), h["value"].alias("value")))
+    return F.when(text.rlike(_HAS_CHANGES), _apart(spans, base)).otherwise(F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,value:string>>"))
+
+
+def merged(spans: Column) -> Column:
+    """array<struct<start, end, kind>>: spans by start, then longest, overlaps made one span of the first one's kind."""
+    by = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("out"))
+    return F.aggregate(
+        by,
+        start,
+        lambda m, s: F.struct(
+            F.greatest(m["at"], -s["less"]).alias("at"),
+            F.when((s["start"] < m["at"]) & (F.size(m["out"]) > 0), F.concat(F.slice(m["out"], F.lit(1), F.size(m["out"]) - 1), F.array(F.element_at(m["out"], -1).withField("end", F.greatest(m["at"], -s["less"])))))
+            .otherwise(F.array_append(m["out"], F.struct(s["start"].alias("start"), (-s["less"]).alias("end"), s["kind"].alias("kind"))))
+            .alias("out"),
+        ),
+        lambda m: m["out"],
+    )
+
+
+def _replaced(text: str, spans: str, by) -> Column:
+    """The text of a column with the merged spans of another replaced: by(kind, value)."""
+    before = lambda i: F.when(i == 0, 0).otherwise(F.get(F.col(spans), i - 1)["end"])
+    value = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    pieces = F.transform(spans, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), by(s["kind"], value(s))))
+    return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(spans, -1)["end"] + 1, F.lit(2**31 - 1)))
+
+
+def _marked(share: Column, generalise: float, remove: float) -> Column:
+    return F.when(share >= remove, _REMOVE).when(share >= generalise, _GENERALISE)
+
+
 def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, least_contexts: int = 3) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, content (xxhash64 of the text), base and added spans.
 
     base is array<struct<start, end, rank, kind, value>>, added array<struct<start, end, rank,
-    kind>> of kind term or drop (see the module); both by start, then kind. Added spans never
-    overlap base ones, which stay as they are. A text without base spans has no added ones.
+    kind>> of kind secret, term or drop (see the module); both by start, then kind. Added spans
+    never overlap base ones, which stay as they are, nor each other.
 
     A null text counts as empty. Rows that repeat stay apart, each with its spans; equal values
     of several rows count for each of those documents, but contexts count once, so that copies
-    of one passage disclose nothing. Other columns are ignored; an empty table stays empty.
+    of one passage disclose nothing. Shares equal to a threshold pass it. Other columns are
+    ignored; an empty table stays empty.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), text.alias("text"))
-    b = d.withColumn("base", base_spans(F.col("text")))
-    has = F.size("base") > 0
-    b = b.select(F.monotonically_increasing_id().alias("row"), "doc_id", "content", "base", F.when(has, F.col("text")).alias("text"), F.when(has, _context(F.col("text"))).alias("context"))
+    b = d.withColumn("base", base_spans(F.col("text"))).withColumn("secrets", secret_spans(F.col("text"), F.col("base")))
+    has = F.size("base") + F.size("secrets") > 0
+    b = b.select(F.monotonically_increasing_id().alias("row"), "doc_id", "content", "base", "secrets", F.when(has, F.col("text")).alias("text"), F.when(has, _sketch(F.col("text"))).alias("sketch"))
     b = materialize(b, "spans")
     n = b.count()
-    pairs = b.where(has).select("row", "context", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
-    entities = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.countDistinct("context").alias("contexts"))
-    # No term can have more contexts than its value.
-    entities = materialize(entities.where(F.col("contexts") >= least_contexts).select("entity", "n_entity"), "entities")
-    asked = pairs.join(entities.select("entity"), "entity").groupBy("row").agg(F.collect_list("entity").alias("entities"))
-    near = b.select("row", "context", "text").join(asked, "row").select("row", "context", "entities", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    near = materialize(near.select("row", "context", "term", F.explode("entities").alias("entity")), "near")
-
-    both = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= least_contexts)
-    both = materialize(both, "both")
-    # Document frequencies over all documents, counted before they meet the terms asked for.
-    used = d.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    df = used.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    info = both.join(df, "term").join(entities, "entity")
-    share = F.log2(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity"))) / F.log2(n / F.col("n_entity"))
-    info = info.withColumn("share", F.when(F.col("n_entity") < n, share).otherwise(0.0)).where(F.col("share") >= generalise)
+    spans = b.where(has).select("row", "sketch", "text", F.concat("base", "secrets").alias("all"))
+    pairs = spans.select("row", "sketch", F.explode(F.array_distinct(F.transform("all", _entity))).alias("entity"))
+    # No term can have more contexts than its value has documents.
+    often = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= least_contexts)
+    pairs = materialize(pairs.join(often.select("entity"), "entity"), "pairs")
+    apart = _apart_from_copies(pairs).withColumn("context", F.col("row").cast("string"))
+    pairs = pairs.select("row", "entity").join(apart, ["row", "entity"], "left")
+    entities = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.count("context").alias("seen"))
+    entities = entities.where(F.col("seen") >= least_contexts)
+    # Of a kind's values in a document the least stands for the document.
+    kinds = spans.select("row", F.explode("all").alias("s")).groupBy("row", F.col("s.kind").alias("entity")).agg(F.min(_entity(F.col("s"))).alias("context"))
+    kinds = materialize(kinds, "kinds")
+    of_kinds = kinds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.countDistinct("context").alias("seen"))
+    entities = materialize(entities.withColumn("of_kind", F.lit(False)).unionByName(of_kinds.withColumn("of_kind", F.lit(True))), "entities")
+    asked = materialize(pairs.join(entities.select("entity"), "entity").select("row", "entity", "context").unionByName(kinds), "asked")
+
+    outside = spans.withColumn("m", merged(F.col("all"))).select("row", "text", _replaced("text", "m", lambda kind, value: F.lit(" ")).alias("rest"))
+    terms = outside.select("row", F.explode(F.array_distinct(_terms(F.col("rest")))).alias("term"))
+    terms = materialize(terms, "terms")
+    both = terms.join(asked, "row").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= least_contexts)
+    # Document frequencies over all documents, counted before they meet the terms asked for; of documents with spans, over what is outside.
+    each = lambda df: df.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term")
+    df = each(d).agg(F.count(F.lit(1)).alias("n_term"))
+    within = each(spans).agg(F.count(F.lit(1)).alias("n_within"))
+    out = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_outside"))
+    info = both.join(df, "term").join(within, "term").join(out, "term").join(entities, "entity")
+    # Documents with the term and without the entity, and both probabilities.
+    others = F.col("n_term") - F.col("n_within") + F.col("n_outside") - F.col("n_both")
+    k, m, z2 = F.col("contexts"), F.col("contexts") + others, _SURE**2
+    low = (k / m + z2 / (2 * m) - _SURE * F.sqrt((k / m) * (1 - k / m) / m + z2 / (4 * m * m))) / (1 + z2 / m)
+    given = F.when(F.col("of_kind"), low).otherwise(k / m)
+    chance = F.col("seen") / (F.col("seen") + n - F.col("n_entity"))
+    share = F.when(chance < 1, F.log2(given / chance) / -F.log2(chance)).otherwise(0.0)
+    info = info.withColumn("rank", _marked(share, generalise, remove)).where("rank is not null").select("entity", "term", "of_kind", "rank")
+    info = materialize(info, "disclosing")
+
+    place = lambda t: (F.col(f"{t}.start").alias("start"), (F.col(f"{t}.start") + F.char_length(f"{t}.value")).alias("end"), F.lower(f"{t}.value").alias("term"))
+    listed = F.array_sort(F.collect_list(F.struct("start", "end", "rank", F.when(F.col("rank") == _REMOVE, ADDED[2]).otherwise(ADDED[1]).alias("kind"))))
     # The stronger wins where one term discloses several values of its document.
-    told = near.join(info.select("entity", "term", "share"), ["entity", "term"]).groupBy("row", "term").agg(F.max("share").alias("share"))
+    told = info.where("not of_kind").join(asked.select("row", "entity"), "entity").join(terms, ["row", "term"]).groupBy("row", "term").agg(F.max("rank").alias("rank"))
     told = materialize(told, "told")
-    places = b.join(told.select("row").distinct(), "row").select("row", F.explode(located(F.col("text"), _TERM)).alias("t"))
-    places = places.select("row", F.col("t.start").alias("start"), (F.col("t.start") + F.char_length("t.value")).alias("end"), F.lower("t.value").alias("term"))
-    kind = F.when(F.col("share") >= remove, ADDED[1]).otherwise(ADDED[0])
-    rank = len(KINDS) + (F.col("share") >= remove).cast("int")
-    found = places.join(told, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", rank.alias("rank"), kind.alias("kind")))).alias("added"))
-    out = b.select("row", "doc_id", "content", "base").join(found, "row", "left")
-    apart = lambda a: ~F.exists("base", lambda s: (s["start"] < a["end"]) & (a["start"] < s["end"]))
-    added = F.filter(F.coalesce("added", F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>")), apart)
-    return out.select("doc_id", "content", "base", added.alias("added"))
+    places = spans.join(told.select("row").distinct(), "row").select("row", F.explode(located(F.col("text"), _TERM)).alias("t")).select("row", *place("t"))
+    found = places.join(told, ["row", "term"]).groupBy("row").agg(listed.alias("near"))
+    added = b.select("row", "doc_id", "content", "base", "secrets").join(found, "row", "left")
+    everywhere = materialize(info.where("of_kind").groupBy("term").agg(F.max("rank").alias("rank")), "everywhere")
+    if not everywhere.isEmpty():
+        # Spans depend on the text alone, so rows of one id and text share them.
+        hits = d.select("doc_id", "content", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(everywhere, "term", "left_semi")
+        hits = materialize(hits.select(F.col("doc_id").alias("__d"), F.col("content").alias("__c")).distinct(), "everywhere")
+        same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("content") == F.col("__c"))
+        texts = d.join(hits, same, "left_semi").dropDuplicates(["doc_id", "content"])
+        places = texts.select("doc_id", "content", F.explode(located(F.col("text"), _TERM)).alias("t")).select("doc_id", "content", *place("t"))
+        wide = places.join(everywhere, "term").groupBy(F.col("doc_id").alias("__d"), F.col("content").alias("__c")).agg(listed.alias("wide"))
+        added = added.join(wide, same, "left").drop("__d", "__c")
+    else:
+        added = added.withColumn("wide", F.lit(None).cast(_SPANS))
+    none = F.array().cast(_SPANS)
+    by = F.array_sort(F.concat(F.coalesce("near", none), F.coalesce("wide", none)))
+    # Of a place marked twice the stronger mark stays.
+    once = F.get(F.transform(F.array(by), lambda x: F.filter(x, lambda s, i: ~F.coalesce(F.get(x, i + 1)["start"] == s["start"], F.lit(False)))), 0)
+    bare = F.transform("secrets", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), s["kind"].alias("kind")))
+    return added.select("doc_id", "content", "base", F.array_sort(F.concat(bare, _apart(_apart(once, F.col("base")), F.col("secrets")))).alias("added"))
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -185,43 +282,43 @@ def summary(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_written(by_kind(F.col("base"))), 256).alias("base_sha256"), _written(by_kind(F.concat(bare("base"), bare("added")))).alias("spans"))
 
 
+def _class(value: Column) -> Column:
+    """What a term is: the word that generalises it."""
+    return F.when(value.rlike(r"^\p{N}+$"), "number").when(value.rlike(r"\p{N}"), "code").when(value.rlike(r"^\p{Lu}"), "name").otherwise("word")
+
+
 def sanitised(docs: DataFrame, **how) -> DataFrame:
     """docs with personal data replaced in text, and n_chars, where there is such a column, set anew.
 
-    A base span becomes its kind in brackets, a term to generalise `[TERM]`; a term to remove
-    goes. Of overlapping spans the one that starts first, then the longest, names the place.
-    Texts without spans, null ones too, stay as they are.
+    A base span or secret becomes its kind in brackets, a term to generalise the word for what it
+    is (word, name, number or code); a term to remove goes. Of overlapping spans the one that
+    starts first, then the longest, names the place. Texts without spans, null ones too, stay as
+    they are. Rows that repeat stay apart; other columns, whatever their names, are kept.
     """
-    hit = find(docs, **how).where(F.size("base") > 0)
+    names = [f"__own{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text", "n_chars") if c in docs.columns}
+    text, doc_id = at["text"], at["doc_id"]
+    hit = find(docs, **how).where(F.size("base") + F.size("added") > 0)
     # Spans depend on the text alone, so rows of one id and text share them.
-    bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind")))
-    hit = hit.select(F.col("doc_id").alias("__d"), F.col("content").alias("__c"), F.array_sort(F.concat(bare("base"), bare("added"))).alias("__s"))
-    hit = materialize(hit.groupBy("__d", "__c").agg(F.first("__s").alias("__s")), "hits")
-    gate = F.col("text").contains("@")
+    bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    hit = hit.select(F.col("doc_id").alias("__d"), F.col("content").alias("__c"), F.concat(bare("base"), bare("added")).alias("__s"), (F.size("base") == 0).alias("__bare"))
+    hit = materialize(hit.groupBy("__d", "__c", "__bare").agg(F.first("__s").alias("__s")), "hits")
+    gate = F.col(text).contains("@") | F.col(text).rlike(_HAS_CHANGES)
     for k in KINDS[1:]:
-        gate = gate | F.col("text").rlike(_GATE[k])
+        gate = gate | F.col(text).rlike(_GATE[k])
     gate = F.coalesce(gate, F.lit(False))
-    d = docs.where(gate).withColumn("__content", F.xxhash64("text"))
-    d = d.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__content") == F.col("__c")), "left")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string>>").alias("out"))
-    # Merge overlaps: what starts inside the span before it only makes that longer.
-    merged = F.aggregate(
-        "__s",
-        start,
-        lambda m, s: F.struct(
-            F.greatest(m["at"], -s["less"]).alias("at"),
-            F.when((s["start"] < m["at"]) & (F.size(m["out"]) > 0), F.concat(F.slice(m["out"], F.lit(1), F.size(m["out"]) - 1), F.array(F.element_at(m["out"], -1).withField("end", F.greatest(m["at"], -s["less"])))))
-            .otherwise(F.array_append(m["out"], F.struct(s["start"].alias("start"), (-s["less"]).alias("end"), s["kind"].alias("kind"))))
-            .alias("out"),
-        ),
-        lambda m: m["out"],
-    )
-    d = d.withColumn("__m", merged)
-    tag = lambda k: F.when(k == ADDED[1], "").otherwise(F.concat(F.lit("["), F.upper(k), F.lit("]")))
-    before = lambda i: F.when(i == 0, 0).otherwise(F.get(F.col("__m"), i - 1)["end"])
-    pieces = F.transform("__m", lambda s, i: F.concat(F.substring("text", before(i) + 1, s["start"] - before(i)), tag(s["kind"])))
-    text = F.concat(F.array_join(pieces, ""), F.substring("text", F.element_at("__m", -1)["end"] + 1, F.lit(2**31 - 1)))
-    d = d.withColumn("text", F.when(F.col("__m").isNull(), F.col("text")).otherwise(text))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("__m").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return docs.where(~gate).unionByName(d.select(*docs.columns))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__c"))
+    # A text that passes no gate can have terms of a kind only: few do, and their table is small as a rule.
+    d = own.where(gate).join(hit, same, "left").unionByName(own.where(~gate).join(hit.where("__bare"), same, "left"))
+    d = d.withColumn("__m", merged(F.col("__s")))
+
+    def by(kind: Column, value: Column) -> Column:
+        return F.when(kind == ADDED[2], "").when(kind == ADDED[1], _class(value)).otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
+
+    untouched = F.col("__m").isNull()
+    d = d.withColumn(text, F.when(untouched, F.col(text)).otherwise(_replaced(text, "__m", by)))
+    if "n_chars" in at:
+        n = at["n_chars"]
+        d = d.withColumn(n, F.when(untouched, F.col(n)).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType)))
+    return d.select(*[F.col(a).alias(c) for a, c in zip(names, docs.columns)])

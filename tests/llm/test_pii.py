@@ -90,6 +90,66 @@ def test_terms_far_from_the_value(spark):
     assert all(not got[i]["added"] for i, _ in rows[5:])
 
 
+def test_secrets_and_terms_of_a_kind(spark):
+    rnd = random.Random(6)
+    text = lambda n: " ".join(rnd.choice("report of a long day with some people in town".split()) + rnd.choice("abcdefgh") for _ in range(n))
+    code = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+    codes = {i: code() for i in range(30)}
+    rows = [(i, f"{text(9)} apikey = \"{c}\" {text(9)}") for i, c in codes.items()]
+    rows += [(i, text(30)) for i in range(30, 900)]
+    rows += [(900, f"Apikey {text(4)}"), (None, f"{text(3)} APIKEY"), (None, f"{text(3)} APIKEY")]
+    # Copies of one text with a value, and a word that only they have.
+    one = f"{text(20)} {code()} gronk {text(20)}"
+    rows += [(1000 + i, one if i % 3 else one.replace(" ", f" x{i} ", 1)) for i in range(60)]
+    rows += [(2000, "abcdefghijklmnopqrstuvwxyz 1234567890123456x a1 b2 Section12Paragraph34 deadbeefdeadbeef")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find(df).collect()
+    got = {r["doc_id"]: r for r in found}
+    texts = dict(rows)
+    marks = lambda i: [(s["kind"], texts[i][s["start"] : s["end"]]) for s in got[i]["added"]]
+    for i, c in codes.items():
+        (kind, term), secret = marks(i)
+        assert kind in ("term", "drop") and term == "apikey" and secret == ("secret", c)
+    assert all(not marks(i) for i in [*range(30, 900), 2000])
+    assert [t for _, t in marks(900)] == ["Apikey"]  # where nothing else is found, too
+    assert [[s["start"] > 0 for s in r["added"]] for r in found if r["doc_id"] is None] == [[True], [True]]
+    assert all([k for k, _ in marks(1000 + i)] == ["secret"] for i in range(60))
+    assert all(s["kind"] in ("secret", "term", "drop") for r in found for s in r["added"]) and not any(r["base"] for r in found)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df.withColumn("__s", df.text).withColumn("base", df.text)).collect()}
+    assert all("[SECRET]" in clean[i] and codes[i] not in clean[i] and "apikey" not in clean[i] for i in codes)
+    assert "pikey" not in clean[900] and clean[30] == texts[30]
+
+
+def test_share_against_brute_force(spark):
+    """Which terms disclose the kind: counted over single documents."""
+    import math
+
+    rnd = random.Random(9)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    rows = []
+    for i in range(1500):
+        with_value = rnd.random() < 0.06
+        t = rnd.sample(words, 8) + (["hint"] if rnd.random() < (0.9 if with_value else 0.002) else []) + (["weak"] if rnd.random() < (0.9 if with_value else 0.05) else [])
+        rnd.shuffle(t)
+        rows.append((i, " ".join(t) + (f" p{i}@mail.example" if with_value else "")))
+    value = {i: re.findall(r"\S+@\S+", t) for i, t in rows}
+    want = {}
+    p = sum(map(bool, value.values())) / len(rows)
+    for term in [*words, "hint", "weak"]:
+        have = [i for i, t in rows if term in t.split(" ")]
+        k, n, z = sum(bool(value[i]) for i in have), len(have), 3.29
+        low = (k / n + z * z / 2 / n - z * math.sqrt(k / n * (1 - k / n) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+        share = math.log(low / p) / -math.log(p) if k >= 3 and low > 0 else 0
+        if share >= 0.8:
+            want[term] = "drop" if share >= 0.95 else "term"
+    assert "hint" in want and "weak" not in want
+    got = {}
+    for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        for s in r["added"]:
+            got.setdefault(rows[r["doc_id"]][1][s["start"] : s["end"]], set()).add(s["kind"])
+    assert got == {t: {k} for t, k in want.items()}
+
+
 def test_sanitised(spark):
     rows = [(1, "x +1-4845168114407329 y 1.2.3.4 a@b.c", 5), (2, None, 0), (3, "", 0), (4, "plain", 5), (4, "é me@x.io", 9), (4, "é me@x.io", 9), (None, "me@x.io", 7), (5, "at @ 12 only", 12)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
