@@ -1,16 +1,16 @@
 """Personal data: exact patterns, and terms that disclose a protected value by co-occurrence.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers. Information-theoretic
-sanitisation adds to them. Protected entities are the base values, secrets (long runs that
-change between letters and digits again and again, which carry far more information than words)
-and the kinds of both. Over the corpus, a term's disclosure of an entity is the pointwise
+sanitisation adds to them. Protected entities are the base values, secrets (long runs that mix
+letters and digits, which carry far more information than words) and the kinds of both. Over the corpus, a term's disclosure of an entity is the pointwise
 information log2 P(entity | term) / P(entity), as a share of the entity's own information
 -log2 P(entity); it is 1 for a term that never occurs without the entity. Terms are those of
 whole documents, outside protected spans.
 
-A term that shares enough different contexts (documents, copies of one counted once) with a value
-is generalised above one share and removed above a higher one, wherever it stands in a document
-with the value. A term that discloses a kind is treated so in all documents, also in those where
+A term that shares enough contexts with a value is generalised above one share and removed above a
+higher one, wherever it stands in a document with the value. Contexts are the effective number of
+different surroundings of the term, by their collision entropy: among copies of one text, edited
+ones too, most surroundings are the same. A term that discloses a kind is treated so in all documents, also in those where
 nothing else is found; there the evidence is the number of different values it stands with, and
 P(kind | term) is the lower end of its confidence interval, so that chance discloses nothing.
 Documents without the entity count each, those with it once a context or value: copies can
@@ -44,12 +44,11 @@ _PATTERN = {
 _GATE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _TERM = r"[\p{L}\p{M}\p{N}]+"
-#: A secret: letters and digits that change at five places or more. Its gate has four changes in it.
-_RUNS, _CHANGES, _HAS_CHANGES = r"[A-Za-z0-9]{16,}+", r"(?:[0-9]++[A-Za-z]++){3}|(?:[A-Za-z]++[0-9]++){3}", r"[A-Za-z][0-9]++[A-Za-z]++[0-9]++[A-Za-z]"
+#: A secret: a long run with letters between digits or digits between letters, or a cloud key of fixed form.
+_RUNS = r"[A-Za-z0-9]{16,}+"
+_CHANGES = r"[A-Za-z][0-9]++[A-Za-z]|[0-9][A-Za-z]++[0-9]|A[KS]IA[A-Z0-9]{16}"
 _SPANS = "array<struct<start:int,end:int,rank:int,kind:string>>"
 _BLOCK = 256
-#: Terms of a run, and hashes of runs, that tell texts from copies of each other.
-_RUN, _SKETCHES = 3, 8
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -131,18 +130,10 @@ def _terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower)
 
 
-def _sketch(text: Column) -> Column:
-    """_SKETCHES least hashes of a text's runs of _RUN terms: copies of one text, near ones too, share one at least."""
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - _RUN + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(_RUN))))
-    least = lambda h: F.array(*[F.array_min(F.transform(h, lambda x, j=j: F.xxhash64(x, F.lit(j)))) for j in range(_SKETCHES)])
-    return F.get(F.transform(F.array(_terms(text)), lambda w: F.get(F.transform(F.array(runs(w)), least), 0)), 0)
-
-
-def _apart_from_copies(pairs: DataFrame) -> DataFrame:
-    """pairs(row, entity, sketch) -> (row, entity) without rows that share a hash with an earlier row of their entity."""
-    each = pairs.select("row", "entity", F.posexplode("sketch").alias("j", "h"))
-    first = each.groupBy("entity", "j", "h").agg(F.min("row").alias("row"))
-    return first.groupBy("entity", "row").count().where(F.col("count") == _SKETCHES).select("row", "entity")
+def _with_neighbours(text: Column) -> Column:
+    """array<struct<term, around>> of a text's terms and a hash of the two on either side."""
+    near = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in (-2, -1, 1, 2)])
+    return F.get(F.transform(F.array(_terms(text)), lambda w: F.transform(w, lambda t, i: F.struct(t.alias("term"), near(w, i).alias("around")))), 0)
 
 
 def _entity(s: Column) -> Column:
@@ -158,7 +149,7 @@ def secret_spans(text: Column, base: Column) -> Column:
     """array<struct<start, end, rank, kind, value>> of the secrets of a non-null text that touch no base span."""
     hits = F.filter(located(text, _RUNS), lambda h: h["value"].rlike(_CHANGES))
     spans = F.transform(hits, lambda h: F.struct(h["start"].alias("start"), (h["start"] + F.char_length(h["value"])).alias("end"), F.lit(_SECRET).alias("rank"), F.lit(ADDED[0]).alias("kind"), h["value"].alias("value")))
-    return F.when(text.rlike(_HAS_CHANGES), _apart(spans, base)).otherwise(F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,value:string>>"))
+    return F.when(text.rlike(_CHANGES), _apart(spans, base)).otherwise(F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,value:string>>"))
 
 
 def merged(spans: Column) -> Column:
@@ -206,29 +197,29 @@ def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, least_c
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), text.alias("text"))
     b = d.withColumn("base", base_spans(F.col("text"))).withColumn("secrets", secret_spans(F.col("text"), F.col("base")))
     has = F.size("base") + F.size("secrets") > 0
-    b = b.select(F.monotonically_increasing_id().alias("row"), "doc_id", "content", "base", "secrets", F.when(has, F.col("text")).alias("text"), F.when(has, _sketch(F.col("text"))).alias("sketch"))
+    b = b.select(F.monotonically_increasing_id().alias("row"), "doc_id", "content", "base", "secrets", F.when(has, F.col("text")).alias("text"))
     b = materialize(b, "spans")
     n = b.count()
-    spans = b.where(has).select("row", "sketch", "text", F.concat("base", "secrets").alias("all"))
-    pairs = spans.select("row", "sketch", F.explode(F.array_distinct(F.transform("all", _entity))).alias("entity"))
+    spans = b.where(has).select("row", "text", F.concat("base", "secrets").alias("all"))
+    pairs = spans.select("row", F.explode(F.array_distinct(F.transform("all", _entity))).alias("entity"))
     # No term can have more contexts than its value has documents.
-    often = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= least_contexts)
-    pairs = materialize(pairs.join(often.select("entity"), "entity"), "pairs")
-    apart = _apart_from_copies(pairs).withColumn("context", F.col("row").cast("string"))
-    pairs = pairs.select("row", "entity").join(apart, ["row", "entity"], "left")
-    entities = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.count("context").alias("seen"))
-    entities = entities.where(F.col("seen") >= least_contexts)
+    entities = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.count(F.lit(1)).alias("seen")).where(F.col("n_entity") >= least_contexts)
     # Of a kind's values in a document the least stands for the document.
-    kinds = spans.select("row", F.explode("all").alias("s")).groupBy("row", F.col("s.kind").alias("entity")).agg(F.min(_entity(F.col("s"))).alias("context"))
+    kinds = spans.select("row", F.explode("all").alias("s")).groupBy("row", F.col("s.kind").alias("entity")).agg(F.min(_entity(F.col("s"))).alias("value"))
     kinds = materialize(kinds, "kinds")
-    of_kinds = kinds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.countDistinct("context").alias("seen"))
+    of_kinds = kinds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.countDistinct("value").alias("seen"))
     entities = materialize(entities.withColumn("of_kind", F.lit(False)).unionByName(of_kinds.withColumn("of_kind", F.lit(True))), "entities")
-    asked = materialize(pairs.join(entities.select("entity"), "entity").select("row", "entity", "context").unionByName(kinds), "asked")
+    asked = pairs.join(entities.select("entity"), "entity").select("row", "entity", F.lit(None).cast("long").alias("value")).unionByName(kinds.withColumn("value", F.xxhash64("value")))
+    asked = materialize(asked, "asked")
 
-    outside = spans.withColumn("m", merged(F.col("all"))).select("row", "text", _replaced("text", "m", lambda kind, value: F.lit(" ")).alias("rest"))
-    terms = outside.select("row", F.explode(F.array_distinct(_terms(F.col("rest")))).alias("term"))
+    outside = spans.withColumn("m", merged(F.col("all"))).select("row", _replaced("text", "m", lambda kind, value: F.lit(" ")).alias("rest"))
+    terms = outside.select("row", F.posexplode(_with_neighbours(F.col("rest"))).alias("i", "t"))
+    terms = terms.groupBy("row", F.col("t.term").alias("term")).agg(F.xxhash64(F.min_by("t.around", "i"), F.max_by("t.around", "i")).alias("around"))
     terms = materialize(terms, "terms")
-    both = terms.join(asked, "row").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.countDistinct("context").alias("contexts")).where(F.col("contexts") >= least_contexts)
+    both = terms.join(asked, "row").groupBy("entity", "term", F.coalesce("value", "around").alias("context"), F.col("value").isNotNull().alias("of_kind")).agg(F.count(F.lit(1)).alias("c"))
+    squares = F.sum(F.col("c").cast("double") * F.col("c"))
+    both = both.groupBy("entity", "term", "of_kind").agg(F.sum("c").alias("n_both"), F.when(F.col("of_kind"), F.count(F.lit(1))).otherwise(F.floor(F.sum("c") * F.sum("c") / squares + 1e-9)).alias("contexts"))
+    both = both.drop("of_kind").where(F.col("contexts") >= least_contexts)
     # Document frequencies over all documents, counted before they meet the terms asked for; of documents with spans, over what is outside.
     each = lambda df: df.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term")
     df = each(d).agg(F.count(F.lit(1)).alias("n_term"))
@@ -304,7 +295,7 @@ def sanitised(docs: DataFrame, **how) -> DataFrame:
     bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     hit = hit.select(F.col("doc_id").alias("__d"), F.col("content").alias("__c"), F.concat(bare("base"), bare("added")).alias("__s"), (F.size("base") == 0).alias("__bare"))
     hit = materialize(hit.groupBy("__d", "__c", "__bare").agg(F.first("__s").alias("__s")), "hits")
-    gate = F.col(text).contains("@") | F.col(text).rlike(_HAS_CHANGES)
+    gate = F.col(text).contains("@") | F.col(text).rlike(_CHANGES)
     for k in KINDS[1:]:
         gate = gate | F.col(text).rlike(_GATE[k])
     gate = F.coalesce(gate, F.lit(False))

@@ -101,7 +101,7 @@ def test_secrets_and_terms_of_a_kind(spark):
     # Copies of one text with a value, and a word that only they have.
     one = f"{text(20)} {code()} gronk {text(20)}"
     rows += [(1000 + i, one if i % 3 else one.replace(" ", f" x{i} ", 1)) for i in range(60)]
-    rows += [(2000, "abcdefghijklmnopqrstuvwxyz 1234567890123456x a1 b2 Section12Paragraph34 deadbeefdeadbeef")]
+    rows += [(2000, "abcdefghijklmnopqrstuvwxyz 1234567890123456x a1 b2 Internationalisation12 deadbeefdeadbeef a1b2c3d4e5f6g7h")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = pii.find(df).collect()
     got = {r["doc_id"]: r for r in found}
