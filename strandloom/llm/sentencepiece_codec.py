@@ -1,19 +1,21 @@
 """SentencePiece encoding and decoding, as the model's own type says.
 
-A BPE model's encoding comes from merging pairs by rank, which is no sum of scores. No merge
-crosses a word's beginning, so words are merged on their own by the library and remembered, and
-a giant text is split into rows at word beginnings; a word is never cut, however long it is.
-
-For unigram models, the encoding of a text is its segmentation into pieces with the largest sum of scores. No piece
-holds a word mark after another character, or a line feed, so a text falls into words that are
-searched on their own and remembered: by the library in its best-path mode
-where single precision holds the word's scores exactly, and here, by the same rule, elsewhere.
-
-A giant text is searched as a max-plus scan. It is split into chunks of rows; a chunk's state at
-its ends is how many characters the piece across the boundary reaches into the next chunk. Each
-chunk gives the matrix of best scores from entry to exit state; matrices combine associatively,
-which fixes the states at all boundaries; then every chunk traces its own best path between its
-two states. No task holds more than one chunk's text, and results are those of the whole text.
+No piece holds a word mark after another character, so a text falls into words that are encoded
+on their own by the library and remembered for a while; for unigram models, whose encoding is
+the segmentation with the largest sum of scores, here by the same rule where single precision
+would not hold the sums.
+
+A giant text is a max-plus scan. It is split into chunks of rows; a chunk's state at its ends is
+the piece across the boundary. Each chunk gives the matrix of best scores from entry to exit
+state; matrices combine associatively, which fixes the states at all boundaries; then every
+chunk traces its own path between its two states. No task holds more than one chunk's text, and
+results are those of the whole text.
+
+Of a unigram model a state is how far that piece reaches into the next chunk, and scores are the
+pieces'. A BPE model merges pairs by rank, which is no sum of scores. But a merge sees its two
+neighbours only, so pieces are a text's encoding exactly if each encodes as itself and each two
+neighbours, joined, encode as these two: scores are 0 for such neighbours and minus infinity for
+others, and one path has the sum 0. Its states are both ends of the piece across the boundary.
 """
 
 from __future__ import annotations
@@ -25,13 +27,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prefer_small_batches, trimmed
+from .common import materialize, prefer_small_batches, slices_by_bytes, trimmed
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Texts of more code points are split into chunks of so many.
 GIANT, CHUNK = 65536, 8192
-_MEMORY = 400_000
+#: Bytes of remembered words and numbers of remembered pairs of a worker; code points that it encodes at a time.
+_MEMORY, _PAIRS, _SLICE = 16 << 20, 200_000, 1 << 19
+#: Code points of giant texts to a task.
+_DEALT = 1 << 18
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 _LOADED: dict[int, "Pieces"] = {}
 _ENCODERS: dict[int, "Pieces"] = {}
@@ -86,6 +91,7 @@ class Pieces:
         self.library = None
         self.model = m.SerializeToString()
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def steps(self, text: str, i: int, most: int):
         """(end, score) of each piece at i that ends by most; a character without a piece is unknown."""
@@ -153,8 +159,8 @@ class Pieces:
     def encode_all(self, texts: list[str], ready: bool = False) -> list[bytes]:
         """Ids of each text, or of parts of normalized texts that begin with a word (ready), as little-endian int32."""
         split = [self.split(t if ready else normalized(t)) for t in texts]
-        if len(self.words) > _MEMORY:
-            self.words.clear()
+        if self.held > _MEMORY:
+            self.forget()
         words = self.words
         new = {w for ws in split for w in ws if w not in words}
         plain = [w for w in new if self.plain(w)]
@@ -167,8 +173,14 @@ class Pieces:
                 words[w] = array("i", ids).tobytes()
         for w in new.difference(plain):
             words[w] = array("i", self.best(w)).tobytes()
+        # About what two small objects and their place in the dictionary take besides their contents.
+        self.held += sum(200 + 2 * len(w) + len(words[w]) for w in new)
         return [b"".join(map(words.__getitem__, ws)) for ws in split]
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.held = 0
+
     def decode(self, ids) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
@@ -183,9 +195,117 @@ class Merges(Pieces):
         super().__init__(model)
         m = pb.ModelProto()
         m.ParseFromString(model)
+        if any(p.type == _USER for p in m.pieces):
+            raise NotImplementedError("pieces that are cut out before any merge")
         m.normalizer_spec.add_dummy_prefix = False
         self.model = m.SerializeToString()
         self.plain = lambda w: True
+        self.pairs: dict[tuple[str, str], bool] = {}
+
+    def ids(self, piece: str) -> list[int]:
+        v = self.found.get(piece)
+        return [v[0]] if v else [self.bytes[b] for b in piece.encode()]
+
+    def joins(self, x: str, y: str) -> bool:
+        """Whether two pieces, joined, encode as these two; with an empty x, whether y encodes as itself."""
+        k = x, y
+        if k not in self.pairs:
+            if len(self.pairs) >= _PAIRS:
+                self.pairs.clear()
+            self.pairs[k] = self.merged(x + y) == (self.ids(x) if x else []) + self.ids(y)
+        return self.pairs[k]
+
+    def merged(self, text: str) -> list[int]:
+        if self.library is None:
+            import sentencepiece
+
+            self.library = sentencepiece.SentencePieceProcessor(model_proto=self.model)
+        return self.library.encode(text)
+
+    def ends(self, text: str, i: int, most: int):
+        """Where pieces that begin at i and encode as themselves end; a character without a piece is one."""
+        single = False
+        for j in range(i + 1, min(i + self.longest, most) + 1):
+            v = self.found.get(text[i:j], ())
+            if v == ():
+                break
+            if v is not None and self.joins("", text[i:j]):
+                single = single or j == i + 1
+                yield j
+        if not single and text[i : i + 1] and not self.found.get(text[i : i + 1]):
+            yield i + 1
+
+    def chains(self, text: str, first: dict[tuple[int, int], int], until: int, end: int) -> tuple[list, dict]:
+        """From pieces (begin, end) with sets of entries: at each end, the last pieces' begins with the entries that reach them; and each piece's neighbour before it."""
+        at: list[dict[int, int] | None] = [None] * (end + 1)
+        back: dict[tuple[int, int], int] = {}
+        for (j, i), entries in first.items():
+            at[i] = {**(at[i] or {}), j: entries}
+        for i in range(min(i for _, i in first) if first else until, until):
+            here = at[i]
+            if not here:
+                continue
+            for k in self.ends(text, i, end):
+                y, reach = text[i:k], 0
+                for j, entries in here.items():
+                    if self.joins(text[j:i], y):
+                        reach |= entries
+                        back[i, k] = j
+                if reach:
+                    if at[k] is None:
+                        at[k] = {}
+                    at[k][i] = reach
+        return at, back
+
+    def _first_word(self, text: str, begin: int, end: int) -> int:
+        """Where the first word after begin begins; end if none does before."""
+        at = text.find(MARK, begin + 1, end)
+        while at >= 0 and not word_begins(text, at):
+            at = text.find(MARK, at + 1, end)
+        return end if at < 0 else at
+
+    def transfer(self, text: str, off: int, n: int, aligned: bool, closed: bool) -> dict[tuple, float]:
+        """Scores from entry to exit state of the chunk of n characters at off; text goes on by a piece on both sides.
+
+        A state is (characters before the boundary, characters after it) of the piece across it or
+        at its end. An aligned chunk begins with a word and a closed one ends where a word or the
+        text does: no piece crosses there, and (0, 0) is the only state.
+        """
+        if aligned and closed:
+            return {((0, 0), (0, 0)): 0.0}
+        begin, end, size = off, off + n, self.longest
+        if aligned:
+            entries = [(0, 0)]
+        else:
+            entries = [(a, k - begin) for a in range(1, min(size, off) + 1) for k in self.ends(text, begin - a, len(text)) if k >= begin]
+        first = {(begin - a, begin + b): 1 << x for x, (a, b) in enumerate(entries)}
+        if closed:
+            end = self._first_word(text, begin, end)
+            at = self.chains(text, first, end, end)[0][end] or {}
+            reached = {(0, 0): 0}
+            for m in at.values():
+                reached[0, 0] |= m
+        else:
+            at = self.chains(text, first, end, len(text))[0]
+            reached = {(end - j, k - end): m for k in range(end, len(text) + 1) for j, m in (at[k] or {}).items() if j < end}
+        return {(entry, x): 0.0 for x, m in reached.items() for i, entry in enumerate(entries) if m >> i & 1}
+
+    def trace(self, text: str, off: int, n: int, aligned: bool, closed: bool, entry: tuple[int, int], leave: tuple[int, int]) -> list[int]:
+        """Ids of the pieces that begin in the chunk, between its two states."""
+        begin, end, rest = off, off + n, []
+        if closed:
+            stop = end if aligned else self._first_word(text, begin, end)
+            rest = np.frombuffer(self.encode_all([text[begin if aligned else stop : end]], True)[0], "<i4").tolist()
+            if aligned:
+                return rest
+            end, leave = stop, (0, 0)
+        at, back = self.chains(text, {(begin - entry[0], begin + entry[1]): 1}, end, end if closed else end + leave[1])
+        j, k = (next(iter(at[end])), end) if closed else (end - leave[0], end + leave[1])
+        out = []
+        while j >= begin + entry[1] and k > j:
+            out.append(self.ids(text[j:k]))
+            j, k = back[j, k], j
+        return [x for ids in reversed(out) for x in ids] + rest
 
 
 def is_bpe(model: bytes) -> bool:
@@ -228,17 +348,42 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None]).max(1)
 
 
-def prefixes(ms: list[np.ndarray]) -> list[np.ndarray]:
+def max_plus_sparse(a: dict, b: dict) -> dict:
+    """The same for matrices as {(entry, exit): score}, without the entries that are minus infinity."""
+    rows: dict = {}
+    for (x, y), v in b.items():
+        rows.setdefault(x, []).append((y, v))
+    out: dict = {}
+    for (e, x), v in a.items():
+        for y, w in rows.get(x, ()):
+            out[e, y] = max(out.get((e, y), v + w), v + w)
+    return out
+
+
+def prefixes(ms: list, product=max_plus) -> list:
     """All prefix products, by an associative scan: pairs first, then their scan, then the gaps."""
     if len(ms) == 1:
         return ms
-    pairs = prefixes([max_plus(a, b) for a, b in zip(ms[::2], ms[1::2])])
+    pairs = prefixes([product(a, b) for a, b in zip(ms[::2], ms[1::2])], product)
     out = [ms[0]]
     for i in range(1, len(ms)):
-        out.append(pairs[i // 2] if i % 2 else max_plus(pairs[i // 2 - 1], ms[i]))
+        out.append(pairs[i // 2] if i % 2 else product(pairs[i // 2 - 1], ms[i]))
     return out
 
 
+def boundary_pieces(ms: list[dict]) -> list[tuple[tuple, tuple]]:
+    """Entry and exit state of each chunk of a BPE model on the one path."""
+    pre = prefixes(ms, max_plus_sparse)
+    out, leave = [], (0, 0)
+    for k in range(len(ms) - 1, -1, -1):
+        entry = (0, 0)
+        if k:
+            entry = max((e for e, x in ms[k] if x == leave and ((0, 0), e) in pre[k - 1]), key=lambda e: pre[k - 1][(0, 0), e] + ms[k][e, leave])
+        out.append((entry, leave))
+        leave = entry
+    return out[::-1]
+
+
 def boundary_states(ms: list[np.ndarray]) -> list[tuple[int, int]]:
     """Entry and exit state of each chunk on a best path; on ties the least state."""
     pre = prefixes(ms)
@@ -286,32 +431,69 @@ def _split(model: bytes, chunk: int):
     return run
 
 
-def word_cuts(text: str, chunk: int):
-    """(begin, end) of the parts of a normalized text, each of whole words: about `chunk` characters, or one longer word."""
-    at = 0
-    while at < len(text):
-        cut = at + chunk
-        if cut < len(text):
-            while cut > at and not word_begins(text, cut):
-                cut = text.rfind(MARK, at, cut)
-            if cut <= at:
-                cut = text.find(MARK, at + chunk)
-                while cut >= 0 and not word_begins(text, cut):
-                    cut = text.find(MARK, cut + 1)
-        end = len(text) if cut < 0 or cut > len(text) else cut
-        yield at, end
-        at = end
-
-
-def _split_words(chunk: int):
+def chunks_of(text: str, chunk: int, reach: int):
+    """(k, part, off, n, aligned, closed) of the chunks of a normalized text, with reach characters on both sides."""
+    begin = 0
+    for k, end in enumerate(cut_points(text, chunk)):
+        left = max(0, begin - reach)
+        yield k, text[left : end + reach], begin - left, end - begin, word_begins(text, begin), end == len(text) or word_begins(text, end)
+        begin = end
+
+
+def _split_merges(chunk: int, reach: int):
     def run(batches):
         import pyarrow as pa
 
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = normalized(text)
-                for k, (a, b) in enumerate(word_cuts(text, chunk)):
-                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([k], pa.int64()), pa.array([text[a:b]], pa.string())], ["key", "k", "part"])
+                rows = []
+                for row in chunks_of(normalized(text), chunk, reach):
+                    rows.append((key, *row))
+                    if len(rows) == 256:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], _CHUNK_NAMES)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], _CHUNK_NAMES)
+
+    return run
+
+
+_CHUNK_NAMES = ["key", "k", "part", "off", "n", "aligned", "closed"]
+_CHUNKS = "key long, k long, part string, off int, n int, aligned boolean, closed boolean"
+
+
+def _transfers(model: bytes):
+    def run(batches):
+        import pyarrow as pa
+
+        merges = encoder(model)
+        for batch in batches:
+            ms = [merges.transfer(*row) for row in zip(*(batch.column(c).to_pylist() for c in _CHUNK_NAMES[2:]))]
+            raw = [np.array([[*e, *x] for e, x in m], np.int16).tobytes() for m in ms]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array(raw, pa.binary())], ["key", "k", "m"])
+
+    return run
+
+
+def _scan_merges(table):
+    import pyarrow as pa
+
+    table = table.sort_by("k")
+    ms = [{((a, b), (c, d)): 0.0 for a, b, c, d in np.frombuffer(x, np.int16).reshape(-1, 4).tolist()} for x in table.column("m").to_pylist()]
+    flat = [(*e, *x) for e, x in boundary_pieces(ms)]
+    return pa.table([table.column("key"), table.column("k"), *(pa.array(c, pa.int32()) for c in zip(*flat))], ["key", "k", "ea", "eb", "xa", "xb"])
+
+
+def _trace_merges(model: bytes):
+    def run(batches):
+        import pyarrow as pa
+
+        merges = encoder(model)
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in [*_CHUNK_NAMES[2:], "ea", "eb", "xa", "xb"]))
+            ids = [merges.trace(*row, (a, b), (c, d)) for *row, a, b, c, d in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("k"), pa.array(ids, pa.list_(pa.int32()))], ["key", "k", "ids"])
 
     return run
 
@@ -353,21 +535,26 @@ def _trace(model: bytes):
     return run
 
 
-def _encode(model: bytes, ready: bool = False):
+def _encode(model: bytes):
     """(key columns.., text) -> (key columns.., ids)."""
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         pieces = encoder(model)
-        for batch in batches:
-            texts = batch.columns[-1]
-            for at in range(0, batch.num_rows, 512):
-                raw = pieces.encode_all([t or "" for t in texts[at : at + 512].to_pylist()], ready)
-                offsets = np.zeros(len(raw) + 1, np.int32)
-                np.cumsum([len(r) // 4 for r in raw], out=offsets[1:])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-                yield pa.RecordBatch.from_arrays([*(c[at : at + 512] for c in batch.columns[:-1]), ids], [*batch.schema.names[:-1], "ids"])
+        try:
+            for batch in batches:
+                texts = batch.columns[-1]
+                ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))])
+                for a, b in slices_by_bytes(ends, _SLICE):
+                    raw = pieces.encode_all([t or "" for t in texts[a:b].to_pylist()])
+                    offsets = np.zeros(len(raw) + 1, np.int32)
+                    np.cumsum([len(r) // 4 for r in raw], out=offsets[1:])
+                    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+                    yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:-1]), ids], [*batch.schema.names[:-1], "ids"])
+        finally:
+            pieces.forget()  # a worker that waits for other work keeps no words
 
     return run
 
@@ -376,29 +563,36 @@ def encode(docs: DataFrame, model: bytes | None = None, giant: int = GIANT, chun
     """docs(doc_id, text) -> doc_id, ids: the model's own encoding of each whole text (BPE merges, or the best segmentation).
 
     Null and empty texts have no ids. Characters without a piece become their bytes' pieces.
-    Rows that repeat stay apart; other columns are ignored; an empty table gives an empty result.
+    Among segmentations of equal score that with the longest last piece, and so on backwards, is
+    taken. Rows that repeat stay apart, with equal ids; null doc_ids stay; other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     model = model_bytes() if model is None else model
     size = load(model).longest
-    prefer_small_batches(docs.sparkSession)
     if chunk < size:
         raise ValueError(f"chunks must have {size} characters at least")
+    prefer_small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     is_giant = F.coalesce(F.char_length("text"), F.lit(0)) > giant
     small = d.where(~is_giant).mapInArrow(trimmed(_encode(model)), "doc_id long, ids array<int>")
     big = materialize(d.where(is_giant).withColumn("key", F.monotonically_increasing_id()), "giants")
-    if big.isEmpty():
+    total = big.agg(F.sum(F.char_length("text").cast("long"))).first()[0]
+    if not total:
         return small
+    # Dealt out anew to a number of partitions of its own, so that one text's chunks are many tasks' work.
+    n = -(-total // _DEALT)
+    texts = big.select("key", "text")
     if is_bpe(model):
-        parts = big.select("key", "text").mapInArrow(trimmed(_split_words(chunk)), "key long, k long, part string")
-        # Dealt out anew, so that one text's parts are many tasks' work.
-        traced = parts.repartition("key", "k").mapInArrow(trimmed(_encode(model, True)), "key long, k long, ids array<int>")
+        parts = materialize(texts.mapInArrow(trimmed(_split_merges(chunk, size)), _CHUNKS).repartition(n, "key", "k"), "chunks")
+        ms = parts.repartition(n, "key", "k").mapInArrow(trimmed(_transfers(model)), "key long, k long, m binary")
+        states = ms.groupBy("key").applyInArrow(_scan_merges, "key long, k long, ea int, eb int, xa int, xb int")
+        traced = parts.join(states, ["key", "k"]).repartition(n, "key", "k").select(*_CHUNK_NAMES, "ea", "eb", "xa", "xb").mapInArrow(trimmed(_trace_merges(model)), "key long, k long, ids array<int>")
         return small.unionByName(_joined(big, traced))
-    parts = big.select("key", "text").mapInArrow(trimmed(_split(model, chunk)), "key long, k long, part string, n int, last boolean, aligned boolean")
-    parts = materialize(parts.repartition("key", "k"), "chunks")
-    ms = parts.mapInArrow(trimmed(_matrices(model)), "key long, k long, m binary")
+    parts = texts.mapInArrow(trimmed(_split(model, chunk)), "key long, k long, part string, n int, last boolean, aligned boolean")
+    parts = materialize(parts.repartition(n, "key", "k"), "chunks")
+    ms = parts.repartition(n, "key", "k").mapInArrow(trimmed(_matrices(model)), "key long, k long, m binary")
     states = ms.groupBy("key").applyInArrow(_scan(size), "key long, k long, entry int, exit int")
-    traced = parts.join(states, ["key", "k"]).select("key", "k", "part", "n", "entry", "exit").mapInArrow(trimmed(_trace(model)), "key long, k long, ids array<int>")
+    traced = parts.join(states, ["key", "k"]).repartition(n, "key", "k").select("key", "k", "part", "n", "entry", "exit").mapInArrow(trimmed(_trace(model)), "key long, k long, ids array<int>")
     return small.unionByName(_joined(big, traced))
 
 
@@ -408,10 +602,11 @@ def _joined(big: DataFrame, traced: DataFrame) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: bytes | None = None) -> DataFrame:
-    """encoded(doc_id, ids) with the text of the ids; null ids have a null text.
+    """encoded(doc_id, ids) with the text of the ids; null ids have a null text, no ids an empty one.
 
     The mark U+2581 comes back as a space; every other text comes back as it was. Bytes that are
-    no UTF-8, unknown ids' pieces and control pieces come back as the library gives them.
+    no UTF-8, unknown ids' pieces and control pieces come back as the library gives them. Rows
+    that repeat stay apart; other columns are ignored; an empty table stays empty.
     """
     model = model_bytes() if model is None else model
 

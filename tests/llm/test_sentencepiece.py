@@ -115,3 +115,37 @@ def test_ids_are_the_models_own(spark):
     want = [(i, lib.encode(t or "")) for i, t in rows]
     for how in ({}, {"giant": 40, "chunk": 20}, {"giant": 100, "chunk": 64}):
         assert sorted((r["doc_id"], r["ids"]) for r in sp.encode(df, MODEL, **how).collect()) == want
+
+
+def test_transfers_of_a_merging_model():
+    """Chunks cut anywhere, also inside words: matrices, scan and traces give the library's own ids."""
+    lib = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    merges = sp.encoder(MODEL)
+    rnd = random.Random(11)
+    odd = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(30, 300))) for alphabet in ("ab", "aein", "theringsou", "漢字学生中国", "0123456789abcdef", "xé\U0001f600 ", "  a", "=-_") for _ in range(6)]
+    crossing = 0
+    for t in [*odd, *(t for t in texts() if t)]:
+        n = sp.normalized(t)
+        for chunk in (16, 23):
+            rows = [r[1:] for r in sp.chunks_of(n, chunk, merges.longest)]
+            states = sp.boundary_pieces([merges.transfer(*r) for r in rows])
+            assert [x for r, s in zip(rows, states) for x in merges.trace(*r, *s)] == lib.encode(t)
+            crossing += sum(leave[1] > 0 for _, leave in states)
+    assert crossing > 100
+
+
+def test_sparse_products_are_dense_ones():
+    rnd = np.random.default_rng(2)
+    dense = [np.where(rnd.random((4, 4)) < 0.5, rnd.integers(-9, 0, (4, 4)).astype(float), -np.inf) for _ in range(6)]
+    sparse = [{(i, j): m[i, j] for i in range(4) for j in range(4) if m[i, j] > -np.inf} for m in dense]
+    for d, s in zip(sp.prefixes(dense), sp.prefixes(sparse, sp.max_plus_sparse)):
+        assert s == {(i, j): d[i, j] for i in range(4) for j in range(4) if d[i, j] > -np.inf}
+
+
+def test_words_are_forgotten_by_bytes(monkeypatch):
+    monkeypatch.setattr(sp, "_MEMORY", 5000)
+    merges = sp.encoder(MODEL)
+    merges.forget()
+    for i in range(50):
+        merges.encode_all([f"word{i}x and{i} some{i}"])
+    assert len(merges.words) < 60
