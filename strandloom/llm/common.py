@@ -93,6 +93,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns of names that no table has, and those names by the old ones: what is added then clashes with none."""
+    names = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def old_names(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(own).alias(c) for c, own in names.items()])
+
+
 def words_of(text) -> "F.Column":
     """Words of a text as an array (null text: null)."""
     return F.array_remove(F.split(text, WORD_SEP_CLASS + "+", -1), "")

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prefer_small_batches, slices_by_bytes, trimmed
+from .common import old_names, own_names, prefer_small_batches, slices_by_bytes, trimmed
 
 UNDETERMINED = "und"
 #: Labelled rows learned from: at most so many of each language, none longer than so many code points.
@@ -207,6 +207,12 @@ def identify(docs: DataFrame, **sample: int) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = 0.5, **sample: int) -> DataFrame:
-    """Rows of docs whose language is determined with a score of `least` or more, with lang set to it."""
-    kept = predict(docs, fit(docs, **sample)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    """Rows of docs whose language is determined with a score of `least` or more, with lang set to it.
+
+    Null texts and texts without a letter go; rows that repeat stay or go together; a score on
+    the line stays; other columns, whatever their names, are kept; an empty table stays empty.
+    """
+    own, names = own_names(docs)
+    own = own.withColumnRenamed(names["text"], "text")
+    kept = predict(own, fit(docs, **sample)).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return old_names(kept, names | {"text": "text"} | ({"lang": "lang_pred"} if "lang" in names else {}))

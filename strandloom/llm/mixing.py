@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words
+from .common import materialize, n_words, old_names, own_names
 
 _BUCKET_ROWS = 8000
 
@@ -104,13 +104,17 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as rows of docs, in its order: each document as often as it is taken.
 
     Documents are whole here: a play of half a document or more counts as one, a shorter one
-    as none.
+    as none. Rows without words, null texts among them, are not taken; null sources are one
+    source; of repeated rows each has its plays; other columns, whatever their names, are kept;
+    an empty table stays empty.
     """
     m = mix(docs, **how).where("taken > 0").select(F.col("doc_id").alias("__d"), F.col("content").alias("__c"), F.col("source").alias("__s"), F.filter("plays", lambda p: 2 * p["words"] >= F.col("size"))["position"].alias("__p"))
     # Equal rows share their plays, so that the join below neither drops nor multiplies them.
     m = m.where(F.size("__p") > 0).groupBy("__d", "__c", "__s").agg(F.flatten(F.collect_list("__p")).alias("__p"), F.count(F.lit(1)).alias("__k"))
-    d = docs.withColumn("__content", F.xxhash64("text"))
-    j = d.join(m, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__content") == F.col("__c")) & F.col("source").eqNullSafe(F.col("__s")))
+    own, names = own_names(docs)
+    doc_id, source = F.col(names["doc_id"]).cast("long"), F.col(names["source"]).cast("string")
+    d = own.withColumn("__content", F.xxhash64(names["text"]))
+    j = d.join(m, doc_id.eqNullSafe(F.col("__d")) & (F.col("__content") == F.col("__c")) & source.eqNullSafe(F.col("__s")))
     lone = j.where("__k = 1").withColumn("__at", F.explode("__p"))
-    some = j.where("__k > 1").dropDuplicates(["doc_id", "__content", "source"]).withColumn("__at", F.explode("__p"))
-    return lone.unionByName(some).repartitionByRange("__at").sortWithinPartitions("__at").select(*docs.columns)
+    some = j.where("__k > 1").dropDuplicates([names["doc_id"], "__content", names["source"]]).withColumn("__at", F.explode("__p"))
+    return old_names(lone.unionByName(some).repartitionByRange("__at").sortWithinPartitions("__at"), names)

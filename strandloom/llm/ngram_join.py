@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, give_back, materialize, mix64, slices_by_bytes, text_buffers, trimmed
+from .common import arrow_batches, give_back, materialize, mix64, old_names, own_names, slices_by_bytes, text_buffers, trimmed
 from .components import connected_components
 
 _BATCH_BYTES = 1 << 18
@@ -439,7 +439,9 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, star_rounds
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """docs without all but one row of each component: the row of the smallest doc_id, then of the smallest content hash.
 
-    Rows whose set is empty all stay; of rows that are equal in doc_id and text one stays.
+    Rows whose set is empty all stay, null texts too; of rows that are equal in doc_id and text
+    one stays. A null doc_id counts as the largest. Other columns, whatever their names, are kept;
+    an empty table stays empty.
     """
     c = ngram_components(docs, **how)
     c = materialize(c, "components")
@@ -447,12 +449,14 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     kept = worded.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), F.col("doc_id").alias("doc_id"), "content")).alias("k"))
     drop = worded.select("doc_id", "content").distinct().join(kept.select(F.col("k.doc_id").alias("d"), F.col("k.content").alias("c")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("content") == F.col("c")), "left_anti")
     again = worded.groupBy("doc_id", "content").count().where("count > 1").select("doc_id", "content")
-    d = docs.withColumn("__content", F.xxhash64("text"))
-    same = lambda x: d["doc_id"].eqNullSafe(x["doc_id"]) & (d["__content"] == x["content"])
-    out = d.join(drop, same(drop), "left_anti")
+    own, names = own_names(docs)
+    doc_id = F.col(names["doc_id"])
+    d = own.withColumn("__content", F.xxhash64(names["text"]))
+    drop = drop.select(F.col("doc_id").alias("__d"), F.col("content").alias("__c"))
+    same = doc_id.cast("long").eqNullSafe(F.col("__d")) & (F.col("__content") == F.col("__c"))
+    out = d.join(drop, same, "left_anti")
     once = again.select(F.col("doc_id").alias("__d"), F.col("content").alias("__c"))
     if once.isEmpty():
-        return out.drop("__content")
-    one = out.join(once, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__content") == F.col("__c")), "left_semi")
-    rest = out.join(once, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__content") == F.col("__c")), "left_anti")
-    return rest.unionByName(one.dropDuplicates(["doc_id", "__content"])).drop("__content")
+        return old_names(out, names)
+    one, rest = out.join(once, same, "left_semi"), out.join(once, same, "left_anti")
+    return old_names(rest.unionByName(one.dropDuplicates([names["doc_id"], "__content"])), names)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, old_names, own_names
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that the method adds: secrets, terms to generalise, terms to remove.
@@ -286,10 +286,8 @@ def sanitised(docs: DataFrame, **how) -> DataFrame:
     starts first, then the longest, names the place. Texts without spans, null ones too, stay as
     they are. Rows that repeat stay apart; other columns, whatever their names, are kept.
     """
-    names = [f"__own{i}" for i in range(len(docs.columns))]
-    own = docs.toDF(*names)
-    at = {c: names[docs.columns.index(c)] for c in ("doc_id", "text", "n_chars") if c in docs.columns}
-    text, doc_id = at["text"], at["doc_id"]
+    own, names = own_names(docs)
+    text, doc_id = names["text"], names["doc_id"]
     hit = find(docs, **how).where(F.size("base") + F.size("added") > 0)
     # Spans depend on the text alone, so rows of one id and text share them.
     bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
@@ -309,7 +307,7 @@ def sanitised(docs: DataFrame, **how) -> DataFrame:
 
     untouched = F.col("__m").isNull()
     d = d.withColumn(text, F.when(untouched, F.col(text)).otherwise(_replaced(text, "__m", by)))
-    if "n_chars" in at:
-        n = at["n_chars"]
+    if "n_chars" in names:
+        n = names["n_chars"]
         d = d.withColumn(n, F.when(untouched, F.col(n)).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType)))
-    return d.select(*[F.col(a).alias(c) for a, c in zip(names, docs.columns)])
+    return old_names(d, names)

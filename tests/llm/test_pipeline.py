@@ -63,13 +63,32 @@ def test_stages_against_brute_force(spark, tmp_path):
             want = brute_targets(sources)
             assert all(abs(got[s] - want[s]) <= max(size.values()) for s in want) and max(Counter(rows).values()) <= 3
         if name == "token_ids":
-            pieces = sentencepiece_codec.load(sentencepiece_codec.model_bytes())
+            pieces = sentencepiece_codec.encoder(sentencepiece_codec.model_bytes())
             want = Counter((r[0], tuple(np.frombuffer(pieces.encode_all([r[1]])[0], "<i4").tolist())) for r in was)
             assert Counter((d, tuple(ids)) for d, n, ids in rows) == want and all(n == len(ids) for _, n, ids in rows)
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(str, (tuple(r) for r in again.collect()))) == sorted(map(str, seen["token_ids"]))
 
 
+def test_stages_keep_other_columns_and_odd_rows(spark):
+    """Extra columns of names that operators use, null ids, repeats and a very long text, through every stage."""
+    rnd = random.Random(3)
+    prose = lambda n: " ".join(rnd.choice(WORDS["en"]) + rnd.choice("abcdefgh") for _ in range(n))
+    rows = [(i, prose(40), "en", "a", 0) for i in range(30)] + [(None, prose(40), "en", None, 0), (None, "", "en", "a", 0), (50, prose(30000), "en", "b", 0)]
+    rows += [rows[3], rows[3], (60, None, None, None, None)]
+    names = ["score", "lang_pred", "__content", "content", "__d", "__c", "__s", "__p", "__at", "__m", "base", "added", "component_id", "size", "h"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} double" for x in names)
+    docs = spark.createDataFrame([(*r, *[7.5] * len(names)) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.schema.names == docs.schema.names
+        got = out.collect()
+        assert all(r[x] == 7.5 for r in got for x in names) and {r["doc_id"] for r in got} >= {*range(30), None, 50}, name
+        docs = spark.createDataFrame(got, docs.schema)
+    ids = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert len(ids) == docs.count() and max(r["n_ids"] for r in ids) > 30000
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
