@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import old_names, own_names, prefer_small_batches, slices_by_bytes, trimmed
+from .common import give_back, old_names, own_names, prefer_small_batches, slices_by_bytes, trimmed
 
 UNDETERMINED = "und"
 #: Labelled rows learned from: at most so many of each language, none longer than so many code points.
@@ -30,7 +30,7 @@ _LETTERS: list[np.ndarray] = []
 
 def _letters() -> np.ndarray:
     if not _LETTERS:
-        _LETTERS.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
+        _LETTERS.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
     return _LETTERS[0]
 
 
@@ -103,12 +103,13 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, alpha: float = 2
     rows = []
     for t in texts:
         g = features([t])[0].ravel()
-        rows.append(np.unique(g[g != _NONE], return_counts=True))
+        idx, c = np.unique(g[g != _NONE], return_counts=True)
+        rows.append((idx.astype(np.int32), c.astype(np.int32)))
     df = np.zeros(_NONE + 1)
     for idx, _ in rows:
         df[idx] += 1
     idf = np.log((len(rows) + 1) / (df + 1)) + 1
-    rows = [(idx, c / max(1, c.sum()) * idf[idx]) for idx, c in rows]
+    rows = [(idx, (c / max(1, c.sum()) * idf[idx]).astype(np.float32)) for idx, c in rows]
     k = len(languages)
     z, n = np.zeros((_NONE + 2, k)), np.zeros((_NONE + 2, k))  # the last row is the bias
 
@@ -121,7 +122,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, alpha: float = 2
     for _ in range(epochs):
         for r in rnd.permutation(learn):
             idx = np.append(rows[r][0], _NONE + 1)
-            x = np.append(rows[r][1], 0.1)
+            x = np.append(rows[r][1].astype(np.float64), 0.1)
             w = weights(idx)
             p = _softmax(x @ w)
             p[target[r]] -= 1
@@ -135,7 +136,8 @@ def train(texts: list[str], labels: list[str], epochs: int = 4, alpha: float = 2
     table[_NONE] = 0
     model = Model(languages, table, w[_NONE + 1] * 0.1, 1.0)
     held = [i for i in range(len(rows)) if i % 5 == 0 or len(rows) < 10]
-    logits = model.logits([texts[i] for i in held])[0]
+    sizes = np.concatenate([[0], np.cumsum([len(texts[i]) for i in held])])
+    logits = np.concatenate([model.logits([texts[i] for i in held[a:b]])[0] for a, b in slices_by_bytes(sizes, _SLICE // 2)] or [np.zeros((0, k))])
 
     def loss(t):
         p = _softmax(logits / t)[np.arange(len(held)), target[held]]
@@ -165,7 +167,10 @@ def fit(docs: DataFrame, **sample: int) -> Model:
     rows = training_sample(docs, **sample).toArrow().sort_by([("lang", "ascending"), ("d", "ascending"), ("h", "ascending")])
     order = np.random.default_rng(1).permutation(len(rows))
     texts, labels = rows.column("text").to_pylist(), rows.column("lang").to_pylist()
-    return train([texts[i] for i in order], [labels[i] for i in order])
+    model = train([texts[i] for i in order], [labels[i] for i in order])
+    del rows, texts, labels
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
