@@ -81,35 +81,42 @@ def oe_correlation(oe: DataFrame, bins: DataFrame) -> DataFrame:
     return d.select("chrom", "bin1", "bin2", F.when((v1 > 1e-12) & (v2 > 1e-12), r).otherwise(0.0).alias("r"))
 
 
-def choose_component(pcs: np.ndarray, corr: np.ndarray) -> int:
-    """The component whose signs best split the correlation matrix; 0 if none does."""
+def choose_component(pcs: np.ndarray, corr: np.ndarray) -> tuple[int, float]:
+    """(component, score): the one of pcs' columns whose signs best split the correlation matrix, and by how much.
+
+    A component's score is the mean correlation within its two signs less that between them, over
+    cells above -1 and, within, below 1. Bins of either sign must reach over more than half of
+    what all signed bins reach over. Without any such component it is (0, 0).
+    """
     best, score = 0, 0.0
     for k in range(pcs.shape[1]):
-        same = np.sign(pcs[:, k])[:, None] == np.sign(pcs[:, k])[None]
-        a, b = corr[same & (corr > -1) & (corr < 1 - 1e-5)], corr[~same & (corr > -1) & (corr < 1)]
-        if not len(a) or not len(b):
+        up, down = np.flatnonzero(pcs[:, k] > 0), np.flatnonzero(pcs[:, k] < 0)
+        if not len(up) or not len(down):
+            continue
+        reach = max(up[-1], down[-1]) - min(up[0], down[0])
+        if 2 * (up[-1] - up[0]) <= reach or 2 * (down[-1] - down[0]) <= reach:
             continue
-        cross = b.mean()
-        half = (corr.max() - corr.min()) / 2
-        if cross in (0, -1) or np.ptp(a) <= half or np.ptp(b) <= half:
+        same = np.concatenate([corr[np.ix_(x, x)].ravel() for x in (up, down)])
+        cross = corr[np.ix_(up, down)]
+        same, cross = same[(same > -1) & (same < 1 - 1e-5)], cross[(cross > -1) & (cross < 1)]
+        if not len(same) or not len(cross) or cross.mean() in (0, -1):
             continue
-        if a.mean() - cross > score:
-            best, score = k, a.mean() - cross
-    return best
+        if same.mean() - cross.mean() > score:
+            best, score = k, float(same.mean() - cross.mean())
+    return best, score
 
 
 def principal_components(corr: np.ndarray, k: int = 3) -> np.ndarray:
-    """Scores of the rows on the first k components, each signed to a positive largest loading."""
-    x = corr - corr.mean(0)
-    u, s, vt = np.linalg.svd(x, full_matrices=False)
-    sign = np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(1)])
-    return (u * s * sign)[:, :k]
+    """The first k principal axes of the rows, as unit columns, each signed to a positive largest entry."""
+    vt = np.linalg.svd(corr - corr.mean(0), full_matrices=False)[2][:k]
+    return (vt * np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(1)])[:, None]).T
 
 
 def call_compartments(m: DataFrame, sizes: DataFrame, components: int = 3) -> DataFrame:
-    """(chrom, bin, pc, pc1, pc2, pc3) of the bins that are no gaps: the chosen component, A positive, and all.
+    """(chrom, bin, pc, component, score, pc1, pc2, pc3) of the bins that are no gaps: the chosen component, A positive, its number and how well it splits the correlations, and all.
 
-    Correlation is computed distributed; the eigenvectors of one chromosome's matrix in one task.
+    A score of 0 marks a chromosome that no component splits; its first one stands there.
+    Correlation is computed distributed; the axes of one chromosome's matrix in one task.
     """
     gaps = compartment_gaps(m, sizes)
     oe = observed_over_expected(m, distance_decay(m, sizes, gaps))
@@ -123,16 +130,21 @@ def call_compartments(m: DataFrame, sizes: DataFrame, components: int = 3) -> Da
         r, oe = np.zeros((len(names),) * 2), np.zeros((len(names),) * 2)
         r[i, j], oe[i, j] = pdf.r, pdf.oe
         pcs = principal_components(r, components)
-        pc = pcs[:, choose_component(pcs, r)].copy()
-        mean = lambda mask: oe[np.ix_(mask, mask)][oe[np.ix_(mask, mask)] > 0].mean() if (oe[np.ix_(mask, mask)] > 0).any() else 0.0
+        chosen, score = choose_component(pcs, r)
+        pc = pcs[:, chosen].copy()
+
+        def mean(mask: np.ndarray) -> float:
+            inside = oe[np.ix_(mask, mask)]
+            return float(inside[inside != 0].mean()) if (inside != 0).any() else 0.0
+
         if mean(pc < 0) > mean(pc > 0):
             pc = -pc
-        out = {"chrom": pdf.chrom.iloc[0], "bin": names, "pc": pc}
+        out = {"chrom": pdf.chrom.iloc[0], "bin": names, "pc": pc, "component": chosen + 1, "score": score}
         for k in range(components):
             out[f"pc{k + 1}"] = pcs[:, k] if k < pcs.shape[1] else 0.0
         return pd.DataFrame(out)
 
-    schema = "chrom string, bin long, pc double, " + ", ".join(f"pc{k + 1} double" for k in range(components))
+    schema = "chrom string, bin long, pc double, component int, score double, " + ", ".join(f"pc{k + 1} double" for k in range(components))
     return cells.groupBy("chrom").applyInPandas(call, schema)
 
 

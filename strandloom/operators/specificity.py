@@ -13,17 +13,26 @@ from strandloom.functions.stats import bh_adjust, normal_two_sided, one_proporti
 OFFSET, ZERO_SHARE = 10, 0.85
 
 
-def loop_specificity(loops: DataFrame, maternal: DataFrame, paternal: DataFrame) -> DataFrame:
-    """loops(chrom, m1, m2, p1, p2) in bins -> M and P values, share test (z), log2 fold change, rank of the mean."""
+def loop_specificity(loops: DataFrame, maternal: DataFrame, paternal: DataFrame, legacy: bool = False) -> DataFrame:
+    """loops(chrom, m1, m2, p1, p2) in bins -> M and P values, share test (z), log2 fold change, rank of the mean.
+
+    Tested are loops with a value of either parent whose mean is not above the 95th percentile of
+    the non-zero (floored) means of all loops; the expected share is theirs. With legacy, that
+    percentile is taken over the numbers 0, 1, ... of those means instead of over them. rank_ratio
+    is the share of all non-zero means that are smaller; it and log2fc are null where z is.
+    """
     look = lambda d, m, s: d.join(m.select("chrom", F.col("bin1").alias(s + "1"), F.col("bin2").alias(s + "2"), F.col("value").alias(s)), ["chrom", s + "1", s + "2"], "left")
     d = look(look(loops, maternal, "m"), paternal, "p").na.fill(0.0, ["m", "p"])
+    d = d.withColumn("mean", F.floor((F.col("m") + F.col("p")) / 2))
+    # The share of non-zero means that are smaller: few rows, ranked in one window.
+    some = F.col("mean") > 0
+    d = d.withColumn("rank_ratio", F.when(some, (F.rank().over(Window.partitionBy(some).orderBy("mean")) - 1) / F.count(F.lit(1)).over(Window.partitionBy(some))).otherwise(0.0))
+    most = F.lit(0.95) * (F.count_if(some) - 1) if legacy else F.percentile(F.when(some, F.col("mean")), F.lit(0.95))
+    d = d.crossJoin(F.broadcast(d.agg(most.alias("most")))).where((F.col("m") != 0) & (F.col("p") != 0) & ((F.col("m") + F.col("p")) / 2 <= F.col("most"))).drop("most")
     ratio = d.agg((F.sum("m") / F.sum(F.col("m") + F.col("p"))).alias("p0"))
     d = d.crossJoin(F.broadcast(ratio)).withColumn("z", one_proportion_z(F.col("m"), F.col("m") + F.col("p"), F.col("p0")))
-    mean = F.floor((F.col("m") + F.col("p")) / 2)
-    d = d.withColumn("mean", mean)
-    # The share of loops with a smaller mean: few rows, ranked in one window.
-    d = d.withColumn("rank_ratio", (F.rank().over(Window.orderBy("mean")) - 1) / F.count(F.lit(1)).over(Window.partitionBy()))
-    return d.withColumn("log2fc", F.when((F.col("m") > 0) & (F.col("p") > 0), F.log2(F.col("m") / F.col("p"))))
+    tested = F.col("z").isNotNull()
+    return d.withColumn("log2fc", F.when(tested, F.log2(F.col("m") / F.col("p")))).withColumn("rank_ratio", F.when(tested, F.col("rank_ratio")))
 
 
 def loop_specificity_tested(loops: DataFrame, maternal: DataFrame, paternal: DataFrame) -> DataFrame:
@@ -69,7 +78,7 @@ def boundary_specificity(candidates: DataFrame, maternal: DataFrame, paternal: D
 
 
 def compartment_specificity(maternal: DataFrame, paternal: DataFrame) -> DataFrame:
-    """(chrom, bin, m, p, diff, pvalue): bins (chrom, bin, pc) of opposite sign, against all differences m - p of such bins.
+    """(chrom, bin, m, p, diff, pvalue, qvalue): bins (chrom, bin, pc) of opposite sign, against all differences m - p of such bins; q by Benjamini-Hochberg.
 
     A maternal chromosome that correlates negatively is flipped. The count of background
     differences below a bin's own is the number of (a, b) with m_a < diff + p_b: one sort of both
@@ -80,7 +89,7 @@ def compartment_specificity(maternal: DataFrame, paternal: DataFrame) -> DataFra
     r = d.groupBy("chrom").agg(F.corr("m", "p").alias("r"))
     d = d.join(r, "chrom").select("chrom", "bin", F.when(F.col("r") < 0, -F.col("m")).otherwise(F.col("m")).alias("m"), "p").where("m * p < 0")
     diff = d.withColumn("diff", F.col("m") - F.col("p"))
-    return _ranked(diff)
+    return bh_adjust(_ranked(diff), "pvalue", "qvalue")
 
 
 def _ranked(d: DataFrame) -> DataFrame:

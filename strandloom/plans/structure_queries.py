@@ -271,9 +271,11 @@ def register(add) -> None:
     # Specificity.
     pairs = lambda s, d: _loops_in(s, d).selectExpr("chrom", "bin1 as m1", "bin2 as m2", "bin1 as p1", "bin2 as p2")
     add("loop_specificity_stat", lambda s, d: _round(specificity.loop_specificity(pairs(s, d), _dm(s, d), _dp(s, d)).select("chrom", "m1", "m2", "m", "p", "z", "rank_ratio", "log2fc"), "z", "rank_ratio", "log2fc"), sql(["mx", "dm", "dp"], """, l as (select k.chrom, k.bin1 as m1, k.bin2 as m2, coalesce(a.value, 0) as m, coalesce(b.value, 0) as p from px k left join dm a using (chrom, bin1, bin2) left join dp b using (chrom, bin1, bin2) where k.bin2 - k.bin1 between 2 and 30 and k.value >= 2),
-        r as (select *, (select sum(m) / sum(m + p) from l) as p0, floor((m + p) / 2) as mean from l), e as (select *, (m + p) * p0 as e1, (m + p) * (1 - p0) as e2, sqrt((m + p) * p0 * (1 - p0)) as sd from r)
-        select chrom, m1, m2, m, p, round(case when m > 0 and p > 0 and least(e1, e2) >= 5 then case when e1 >= 30 and e2 >= 30 then (m - e1) / sd else (abs(m - e1) - 0.5) / sd end end, 6) as z,
-        round((rank() over (order by mean) - 1) / count(*) over (), 6) as rank_ratio, round(case when m > 0 and p > 0 then log2(m / p) end, 6) as log2fc from e"""))
+        f as (select *, floor((m + p) / 2) as mean from l), n as (select mean from f where mean > 0),
+        g as (select *, (select count(*) from n where n.mean < f.mean) / (select count(*) from n) as below from f where m <> 0 and p <> 0 and (m + p) / 2 <= (select quantile_cont(mean, 0.95) from n)),
+        e as (select *, (m + p) * p0 as e1, (m + p) * (1 - p0) as e2, sqrt((m + p) * p0 * (1 - p0)) as sd from (select *, (select sum(m) / sum(m + p) from g) as p0 from g)),
+        t as (select *, case when least(e1, e2) >= 5 then case when e1 >= 30 and e2 >= 30 then (m - e1) / sd else (abs(m - e1) - 0.5) / sd end end as z from e)
+        select chrom, m1, m2, m, p, round(z, 6) as z, round(case when z is not null then below end, 6) as rank_ratio, round(case when z is not null then log2(m / p) end, 6) as log2fc from t"""))
     add("loop_specificity", lambda s, d: specificity.loop_specificity_tested(pairs(s, d), _dm(s, d), _dp(s, d)).select("chrom", "m1", "m2", "m", "p", "pvalue", "qvalue"))
     bounds = lambda s: _z(s).select("chrom", F.explode(F.array(*[F.lit(x).cast("long") for x in (14, 25, 36)])).alias("bin"))
     samp = lambda src: f"""(select c.chrom, c.b, c.i, c.j, coalesce(v.value / (select avg(value) from {src} w where w.chrom = c.chrom and w.bin1 between c.b - 10 and c.b + 9 and w.bin2 between c.b - 10 and c.b + 9 and not (w.bin1 >= c.b and w.bin2 < c.b)), 0) as x from cells c left join {src} v on v.chrom = c.chrom and v.bin1 = c.i and v.bin2 = c.j)"""
@@ -288,10 +290,11 @@ def register(add) -> None:
     cand = lambda s: bounds(s).selectExpr("chrom", "bin as m_bin", "bin + 1 as p_bin")
     add("boundary_specificity", lambda s, d: specificity.boundary_specificity(cand(s), sm(s, d), sm(s, d).where("(bin1 + bin2) % 3 <> 0")))
     add(
-        "compartment_specificity", lambda s, d: _round(specificity.compartment_specificity(_pc(s, d, "m"), _pc(s, d, "p")), "m", "p", "diff", "pvalue"),
+        "compartment_specificity", lambda s, d: _round(specificity.compartment_specificity(_pc(s, d, "m"), _pc(s, d, "p")), "m", "p", "diff", "pvalue", "qvalue"),
         sql(["sizes", "grid"], f""", {_PC}, j as (select * from pcm join pcp using (chrom, bin)), f as (select j.chrom, bin, case when r < 0 then -m else m end as m, p from j join (select chrom, corr(m, p) as r from j group by 1) using (chrom)),
-        c as (select *, m - p as diff from f where m * p < 0), k as (select a.chrom, a.bin, count(*) filter (x.m - y.p < a.diff) as r, count(*) as n from c a, c x, c y group by 1, 2)
-        select chrom, bin, round(m, 6) as m, round(p, 6) as p, round(diff, 6) as diff, round(least(r, n - r) / n, 6) as pvalue from c join k using (chrom, bin)"""),
+        c as (select *, m - p as diff from f where m * p < 0), k as (select a.chrom, a.bin, count(*) filter (x.m - y.p < a.diff) as r, count(*) as n from c a, c x, c y group by 1, 2),
+        v as (select *, least(r, n - r) / n as pv from c join k using (chrom, bin)), w as (select *, pv * (select count(*) from v) / (select count(*) from v u where u.pv <= v.pv) as bh from v)
+        select chrom, bin, round(m, 6) as m, round(p, 6) as p, round(diff, 6) as diff, round(pv, 6) as pvalue, round((select least(1, min(u.bh)) from w u where u.pv >= w.pv), 6) as qvalue from w"""),
     )
     add("position_units", lambda s, d: s.range(0, 200).selectExpr("id * 35000 as bp").select("bp", domains.position_text(F.col("bp")).alias("text")), "select i * 35000 as bp, case when bp // 1000000 > 0 and bp % 1000000 // 1000 > 0 then concat(bp // 1000000, 'M', bp % 1000000 // 1000, 'K') when bp // 1000000 > 0 then concat(bp // 1000000, 'M') else concat(bp // 1000, 'K') end as text from range(200) t(i)")
     add(

@@ -131,6 +131,72 @@ def test_distance_decay_counts_zeros(spark):
         assert got[d] == pytest.approx(np.mean(cells) if cells else 0)
 
 
+def test_component_by_reach():
+    """A local block with strong correlations loses to a genome-wide pattern: signs must reach over half of the bins."""
+    n = 40
+    wide, local = np.where(np.arange(n) // 5 % 2 == 0, 1.0, -1.0), np.where(np.arange(n) < 8, 1.0, -1.0)
+    corr = np.clip(0.6 * np.outer(wide, wide), -0.99, 0.99)
+    pcs = np.stack([local, wide], axis=1)
+    chosen, score = compartments.choose_component(pcs, corr)
+    assert chosen == 1 and score == pytest.approx(1.2)
+    assert compartments.choose_component(pcs[:, :1], corr) == (0, 0.0)  # none: marked by its score
+    assert compartments.choose_component(np.zeros((n, 1)), corr) == (0, 0.0)
+
+
+def test_compartments_against_numpy(spark):
+    """Axes, choice and sign of a planted second component, from the dense matrix."""
+    n, rnd = 36, np.random.default_rng(5)
+    wide = np.where(np.arange(n) // 4 % 2 == 0, 1.0, -1.0)
+    strong = np.where(np.arange(n) < 9, 1.0, -1.0)
+    d = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
+    a = 60 / (1 + d) * (1 + 0.55 * np.outer(strong, strong) + 0.35 * np.outer(wide, wide)) + rnd.random((n, n)) * 0.2
+    a = np.triu(a) + np.triu(a, 1).T
+    got = sorted(compartments.call_compartments(frame(spark, a), sizes(spark, n)).collect(), key=lambda r: r["bin"])
+    expected = np.array([np.mean(np.diagonal(a, k)) for k in range(n)])
+    r = np.nan_to_num(np.corrcoef(a / expected[d], rowvar=False))
+    axes = np.linalg.eigh(np.cov(r, rowvar=False))[1][:, ::-1][:, :3]
+    for k in range(3):
+        mine = np.array([x[f"pc{k + 1}"] for x in got])
+        assert np.linalg.norm(mine) == pytest.approx(1) and abs(mine @ axes[:, k]) == pytest.approx(1, abs=1e-6)
+    scores = []
+    for k in range(3):
+        up, down = [i for i in range(n) if axes[i, k] > 0], [i for i in range(n) if axes[i, k] < 0]
+        reach = lambda x: max(x) - min(x)
+        same = [r[i, j] for x in (up, down) for i in x for j in x if -1 < r[i, j] < 1 - 1e-5]
+        cross = [r[i, j] for i in up for j in down]
+        scores.append(np.mean(same) - np.mean(cross) if min(reach(up), reach(down)) > (n - 1) / 2 else 0)
+    assert got[0]["component"] == int(np.argmax(scores)) + 1 == 2 and got[0]["score"] == pytest.approx(max(scores), abs=1e-6)
+    assert abs(np.corrcoef([x["pc"] for x in got], wide)[0, 1]) > 0.9
+
+
+def test_loop_background(spark):
+    """Zero parents and means above the 95th percentile are left out; shares and ranks are those of the rest and of all."""
+    import math
+
+    from strandloom.operators import specificity
+
+    rnd = np.random.default_rng(2)
+    m, p = rnd.integers(0, 90, 60).astype(float), rnd.integers(0, 90, 60).astype(float)
+    m[:3], p[3:6], m[6], p[6] = 0, 0, 500, 700
+    table = lambda v: spark.createDataFrame([("1", 0, i, float(x)) for i, x in enumerate(v) if x], "chrom string, bin1 long, bin2 long, value double")
+    loops_ = spark.createDataFrame([("1", 0, i, 0, i) for i in range(60)], "chrom string, m1 long, m2 long, p1 long, p2 long")
+    for legacy in (False, True):
+        got = {r["m2"]: r for r in specificity.loop_specificity(loops_, table(m), table(p), legacy).collect()}
+        means = sorted(x for x in (m + p) // 2 if x)
+        most = np.percentile(range(len(means)) if legacy else means, 95)
+        use = [i for i in range(60) if m[i] and p[i] and (m[i] + p[i]) / 2 <= most]
+        assert sorted(got) == use and 6 not in use
+        p0 = sum(m[i] for i in use) / sum(m[i] + p[i] for i in use)
+        for i in use:
+            t = m[i] + p[i]
+            if min(p0 * t, (1 - p0) * t) < 5:
+                assert got[i]["z"] is None and got[i]["rank_ratio"] is None and got[i]["log2fc"] is None
+            else:
+                assert got[i]["rank_ratio"] == pytest.approx(sum(x < t // 2 for x in means) / len(means)) and got[i]["log2fc"] == pytest.approx(math.log2(m[i] / p[i]))
+                sd = math.sqrt(t * p0 * (1 - p0))
+                assert got[i]["z"] == pytest.approx((m[i] - t * p0) / sd if min(p0 * t, (1 - p0) * t) >= 30 else (abs(m[i] - t * p0) - 0.5) / sd)
+
+
 def test_compartments_of_a_checkerboard(spark):
     rng = np.random.default_rng(4)
     n = 40

@@ -39,4 +39,5 @@ def test_against_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, DATA).count() >= 0
+    # The smallest tables hold no domain that passes all filters; whole calls are tested on planted ones.
+    assert registry.QUERIES[name](spark, DATA).count() > 0 or name == "domains_called"
