@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import functools
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,11 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (tests only) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in a local session without one, a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), f"strandloom-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
