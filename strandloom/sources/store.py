@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a local folder."""
+    """spark.checkpoint.dir; where a local session has none, as in tests, a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else f"file://{tempfile.gettempdir()}/strandloom-{os.getuid()}"
+    if root:
+        return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/strandloom-{os.getuid()}"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
