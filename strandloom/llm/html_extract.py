@@ -9,7 +9,9 @@ that is main text, and there a run must be on more pages. Boilerplate runs that
 block, or to a long part of one, are removed; the rest of the block stays.
 
 Hosts are dealt to groups of a bounded number of tokens. A host too large for one group is split
-by page; the contexts of its runs are counted over all its groups by the runs' hashes.
+by page; the contexts of its runs are counted over all its groups. First each group tells the
+leading bits of its runs' hashes, eight or more values for each token of all hosts, packed; only
+runs whose bits occur often enough in all groups then go out with their whole hash and contexts.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize, mix64
+from .common import materialize, mix64, prefer_small_batches
 
 _GROUP_TOKENS = 500_000
+#: Large hosts that are broadcast, 16 bytes each; more are joined by a shuffle.
+_BROADCAST_ROWS = 500_000
 #: Different contexts that make a run boilerplate, elsewhere and inside main elements; tokens of a part of a block that goes.
 _CONTEXTS, _MAIN_CONTEXTS, _LONG = 3, 10, 20
 
@@ -201,78 +205,171 @@ def grams(tokens: np.ndarray, run: int) -> np.ndarray:
     return gram
 
 
-_PARSED = "row long, page_id long, url string, blocks array<string>, kinds string, host long, n long, context long"
+_PARSED = "page_id long, url string, packed binary, kinds string, host long, context long, split boolean, g long"
 
 
-def _tokens(blocks: list[str], host: int) -> np.ndarray:
+def _hashes(text: str, host: int) -> np.ndarray:
+    """A hash of each token of blocks joined by line feeds."""
     import xxhash
 
-    seed = host % 2**64
-    return np.array([xxhash.xxh3_64_intdigest(w.encode(), seed) for t in blocks for w in t.split(" ")], np.uint64)
+    digest, seed = xxhash.xxh3_64_intdigest, host % 2**64
+    return np.array([digest(w, seed) for w in text.encode("utf-8", "surrogatepass").split()], np.uint64)
 
 
 def _parse(run: int):
+    """Pages -> their blocks, joined by line feeds and compressed, what markup says of each, and the page's context."""
+
     def parse(batches):
         import pyarrow as pa
         import xxhash
+        import zstandard
 
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for row, url, page in zip(*(batch.column(c).to_pylist() for c in ("row", "url", "html"))):
+            out: list[list] = [[], [], [], []]
+            for row, site, page in zip(*(batch.column(c).to_pylist() for c in ("row", "site", "html"))):
                 blocks = blocks_of(page or "")
-                m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
-                host = xxhash.xxh3_64_intdigest((m[1] if m else "").lower().encode()) - 2**63
+                host = xxhash.xxh3_64_intdigest(site.encode()) - 2**63
                 # The context is that of the text markup leaves; a page too short for a run is one of its own.
-                gram = grams(_tokens([t for t, o, _ in blocks if not o], host), run)
-                out[0].append([t for t, _, _ in blocks])
+                gram = grams(_hashes("\n".join(t for t, o, _ in blocks if not o), host), run)
+                out[0].append(pack("\n".join(t for t, _, _ in blocks).encode("utf-8", "surrogatepass")))
                 out[1].append("".join(str(2 * o + m) for _, o, m in blocks))
                 out[2].append(host)
-                out[3].append(sum(t.count(" ") + 1 for t, _, _ in blocks))
-                out[4].append((int(gram.min()) * 31 ^ int(mix64(gram).min())) % 2**64 - 2**63 if len(gram) else row)
-            arrays = [pa.array(x, t) for x, t in zip(out, (pa.list_(pa.string()), pa.string(), pa.int64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("page_id"), batch.column("url"), *arrays], ["row", "page_id", "url", "blocks", "kinds", "host", "n", "context"])
+                out[3].append((int(gram.min()) * 31 ^ int(mix64(gram).min())) % 2**64 - 2**63 if len(gram) else row)
+            arrays = [pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.string(), pa.int64(), pa.int64()))]
+            named = {"page_id": batch.column("page_id"), "url": batch.column("url"), "packed": arrays[0], "kinds": arrays[1], "host": arrays[2], "context": arrays[3]}
+            yield pa.RecordBatch.from_pydict(named | {c: batch.column(c) for c in ("split", "g")})
 
     return parse
 
 
-def _stream(table, run: int):
-    """A group's stream: tokens, page (by place in the table), context of each, and the suffix order."""
-    parts = [_tokens(b, h) for b, h in zip(table.column("blocks").to_pylist(), table.column("host").to_pylist())]
-    sizes = [len(t) for t in parts]
-    tokens = np.concatenate([np.zeros(0, np.uint64), *parts])
-    page = np.repeat(np.arange(len(parts)), sizes)
-    context = np.repeat(table.column("context").to_numpy(), sizes)
-    _, order, begin = suffix_order(tokens, page, run)
-    return tokens, sizes, context, order, begin
+def _texts(table) -> list[str]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(x).decode("utf-8", "surrogatepass") for x in table.column("packed").to_pylist()]
+
+
+class _Stream:
+    """A group's pages as one stream of tokens, its suffix order, and the contexts of its runs."""
+
+    def __init__(self, table, run: int, texts: list[str] | None = None) -> None:
+        parts = [_hashes(t, h) for t, h in zip(_texts(table) if texts is None else texts, table.column("host").to_pylist())]
+        self.sizes = [len(t) for t in parts]
+        self.tokens = np.concatenate([np.zeros(0, np.uint64), *parts])
+        page = np.repeat(np.arange(len(parts)), self.sizes)
+        self.context = np.repeat(table.column("context").to_numpy(), self.sizes)
+        _, self.order, self.begin = suffix_order(self.tokens, page, run)
+        self.gram = grams(self.tokens, run)
+
+    def runs(self) -> np.ndarray:
+        """The hash of each run, in suffix order."""
+        return self.gram[self.order[self.begin]]
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(run, a place of it in each of its contexts, how many of its contexts came before), runs numbered as in begin."""
+        which = np.repeat(np.arange(len(self.begin)), np.diff(np.append(self.begin, len(self.order))))
+        seen = self.context[self.order]
+        by = np.lexsort((seen, which))
+        w, c = which[by], seen[by]
+        new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])])) if len(w) else np.zeros(0, np.int64)
+        w = w[new]
+        return w, self.order[by][new], np.arange(len(w)) - np.searchsorted(w, w)
+
+
+def _of_split_hosts(table):
+    import pyarrow.compute as pc
+
+    return table.filter(pc.fill_null(table.column("split"), False))
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending values below 2**64 as differences, byte plane by byte plane."""
+    import zstandard
+
+    step = np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=3).compress(step.tobytes())
+
 
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    import zstandard
 
-def _contexts(context: np.ndarray, order: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(run, a place of it in each of its contexts, how many of its contexts came before), runs numbered as in begin."""
-    which = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
-    by = np.lexsort((context[order], which))
-    w, c = which[by], context[order][by]
-    new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])])) if len(w) else np.zeros(0, np.int64)
-    w = w[new]
-    first = np.searchsorted(w, w)
-    return w, order[by][new], np.arange(len(w)) - first
+    step = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1).T
+    return np.cumsum(np.ascontiguousarray(step).view("<u8").ravel(), dtype=np.uint64)
 
 
-def _find(run: int):
-    """A split host's group -> (g, gram, context): of each run its contexts, no more than decide."""
+def _cut(values: np.ndarray, ranges: int, bits: int) -> list[tuple[int, np.ndarray]]:
+    """Ascending values below 2**bits, by ranges of equal width."""
+    width = (1 << bits) // ranges + 1
+    r = (values // np.uint64(width)).astype(np.int64)
+    at = np.flatnonzero(np.diff(r, prepend=-1)) if len(r) else np.zeros(0, np.int64)
+    return [(int(r[i]), values[i:j]) for i, j in zip(at, np.append(at[1:], len(r)))]
 
-    def find(table):
+
+def _sketch(run: int, ranges: int, bits: int):
+    """A group -> r, g, packed: the first bits of the hashes of its runs on split hosts, as often as they have contexts (enough to decide at most)."""
+
+    def sketch(table):
+        import pyarrow as pa
+
+        g, table = table.column("g")[0].as_py(), _of_split_hosts(table)
+        s = _Stream(table, run)
+        _, place, nth = s.contexts()
+        mark = np.sort(s.gram[place[nth < _CONTEXTS]] >> np.uint64(64 - bits))
+        parts = _cut(mark, ranges, bits)
+        return pa.table([pa.array([r for r, _ in parts], pa.int64()), pa.array([g] * len(parts), pa.int64()), pa.array([pack_sorted(v) for _, v in parts], pa.binary())], ["r", "g", "packed"])
+
+    return sketch
+
+
+def _candidates(table):
+    """One range of all groups' marks -> g, packed: those that may have enough contexts, for each group that has them."""
+    import pyarrow as pa
+
+    parts = [unpack_sorted(x) for x in table.column("packed").to_pylist()]
+    mark, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+    often = mark[n >= _CONTEXTS]
+    found = [(g, np.unique(v[np.isin(v, often)])) for g, v in zip(table.column("g").to_pylist(), parts)]
+    found = [(g, v) for g, v in found if len(v)]
+    return pa.table([pa.array([g for g, _ in found], pa.int64()), pa.array([pack_sorted(v) for _, v in found], pa.binary())], ["g", "packed"])
+
+
+def _find(run: int, ranges: int, bits: int):
+    """A group and its candidates -> r, g, gram, context: of each candidate run its contexts, no more than decide."""
+
+    def find(table, marks):
         import pyarrow as pa
 
-        tokens, _, context, order, begin = _stream(table, run)
-        gram = grams(tokens, run).astype(np.int64)
-        _, place, nth = _contexts(context, order, begin)
+        if not table.num_rows or not marks.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 4, ["r", "g", "gram", "context"])
+        g, table = table.column("g")[0].as_py(), _of_split_hosts(table)
+        s = _Stream(table, run)
+        known = np.concatenate([unpack_sorted(x) for x in marks.column("packed").to_pylist()])
+        _, place, nth = s.contexts()
         place = place[nth < _MAIN_CONTEXTS]
-        g = table.column("g")[0].as_py()
-        return pa.table([pa.array(np.full(len(place), g)), pa.array(gram[place]), pa.array(context[place])], ["g", "gram", "context"])
+        place = place[np.isin(s.gram[place] >> np.uint64(64 - bits), known)]
+        gram = s.gram[place]
+        return pa.table([pa.array((gram % np.uint64(ranges)).astype(np.int64)), pa.array(np.full(len(place), g, np.int64)), pa.array(gram.astype(np.int64)), pa.array(s.context[place])], ["r", "g", "gram", "context"])
 
     return find
 
 
+def _count(table):
+    """One range of candidate runs of all groups -> g, gram, n: the contexts of each in all groups, where they are enough."""
+    import pyarrow as pa
+
+    g, gram, context = (table.column(c).to_numpy() for c in ("g", "gram", "context"))
+    by = np.lexsort((context, gram))
+    a, c = gram[by], context[by]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
+    run, n = np.unique(a[new], return_counts=True)
+    n = n[np.searchsorted(run, gram)]
+    by = np.lexsort((gram, g))
+    first = np.concatenate([[True], (g[by][1:] != g[by][:-1]) | (gram[by][1:] != gram[by][:-1])])
+    by = by[first & (n[by] >= _CONTEXTS)]
+    return pa.table([pa.array(g[by]), pa.array(gram[by]), pa.array(n[by].astype(np.int64))], ["g", "gram", "n"])
+
+
 def _judge(run: int):
     """A group's pages, and the counts of contexts of its runs on split hosts -> page_id, url, text."""
 
@@ -281,28 +378,30 @@ def _judge(run: int):
 
         if not table.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.string())], ["page_id", "url", "text"])
-        tokens, sizes, context, order, begin = _stream(table, run)
-        count = np.bincount(_contexts(context, order, begin)[0], minlength=len(begin))
-        if between.num_rows and len(begin):
+        pages = _texts(table)
+        s = _Stream(table, run, pages)
+        count = np.bincount(s.contexts()[0], minlength=len(s.begin))
+        if between.num_rows and len(s.begin):
             known = between.sort_by("gram")
             have, n = known.column("gram").to_numpy(), known.column("n").to_numpy()
-            gram = grams(tokens, run).astype(np.int64)[order[begin]]
+            gram = s.runs().astype(np.int64)
             at = np.minimum(np.searchsorted(have, gram), len(have) - 1)
             count = np.maximum(count, np.where(have[at] == gram, n[at], 0))
-        often = np.zeros(len(tokens) + run, np.int64)
-        often[order] = np.repeat(count, np.diff(np.append(begin, len(order))))
+        size = len(s.tokens)
+        often = np.zeros(size + run, np.int64)
+        often[s.order] = np.repeat(count, np.diff(np.append(s.begin, len(s.order))))
         covered = {}
         for least in (_CONTEXTS, _MAIN_CONTEXTS):
-            step = np.zeros(len(tokens) + run + 1, np.int64)
+            step = np.zeros(size + run + 1, np.int64)
             hit = np.flatnonzero(often >= least)
             step[hit] += 1
             np.subtract.at(step, hit + run, 1)
             covered[least] = np.cumsum(step) > 0
         texts, at = [], 0
-        for blocks, kinds, size in zip(table.column("blocks").to_pylist(), table.column("kinds").to_pylist(), sizes):
+        for page, kinds, size in zip(pages, table.column("kinds").to_pylist(), s.sizes):
             main = "1" in kinds
             kept, j = [], at
-            for b, kind in zip(blocks, kinds):
+            for b, kind in zip(page.split("\n"), kinds):
                 i, j = j, j + b.count(" ") + 1
                 if kind == ("1" if main else "0"):
                     kept.append(_left(b, covered[_MAIN_CONTEXTS if main else _CONTEXTS][i:j]))
@@ -334,18 +433,26 @@ def extract(pages: DataFrame, run: int = 5) -> DataFrame:
     one without a host, counts as the host ''. Rows that repeat stay apart, but are one context:
     what only they say is not boilerplate. Other columns are ignored; an empty table stays empty.
     """
-    p = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    with arrow_batches(pages.sparkSession, 500):
-        p = materialize(p.mapInArrow(_parse(run), _PARSED), "pages")
-    hosts = p.groupBy("host").agg(F.ceil(F.greatest(F.sum("n"), F.lit(1)) / _GROUP_TOKENS).alias("shards"))
-    total = p.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    site = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
+    p = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), site.alias("site"))
+    p = p.withColumn("host", F.xxhash64("site"))
+    # Sizes in tokens, at eight bytes of page each.
+    sizes = materialize(p.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) / 8).alias("n")), "hosts")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = sizes.where(F.col("n") > _GROUP_TOKENS).select("host", F.ceil(F.col("n") / _GROUP_TOKENS).alias("shards"))
+    if large.count() <= _BROADCAST_ROWS:
+        large = F.broadcast(large)
     groups = int(total / _GROUP_TOKENS) * 2 + 1
-    s = p.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("row"), "shards"))
-    s = s.withColumn("g", F.pmod(F.xxhash64("host", "shard"), F.lit(groups)))
-    split = s.where("shards > 1").select("g", "host", "blocks", "context")
-    runs = materialize(split.groupBy("g").applyInArrow(lambda t: _find(run)(t), "g long, gram long, context long"), "runs")
-    counts = runs.groupBy("gram").agg(F.countDistinct("context").alias("n")).where(F.col("n") >= _CONTEXTS)
-    between = runs.select("g", "gram").distinct().join(counts, "gram").select("g", "gram", "n")
-    s = s.select("g", "page_id", "url", "host", "blocks", "kinds", "context")
+    ranges = min(groups // 8 + 1, max(_GROUP_TOKENS // 8, 1))
+    bits = min(max(int(total), 1).bit_length() + 3, 63)
+    p = p.join(large, "host", "left").withColumn("split", F.col("shards").isNotNull())
+    p = p.withColumn("g", F.pmod(F.xxhash64("host", F.pmod(F.xxhash64("row"), F.coalesce("shards", F.lit(1)))), F.lit(groups)))
+    prefer_small_batches(pages.sparkSession, 500)
+    # One shuffle of the packed texts, which all three passes read: they must ask for the same columns.
+    s = p.select("row", "page_id", "url", "html", "site", "split", "g").mapInArrow(_parse(run), _PARSED).repartition("g")
+    marks = s.groupBy("g").applyInArrow(lambda t: _sketch(run, ranges, bits)(t), "r long, g long, packed binary")
+    marks = marks.groupBy("r").applyInArrow(lambda t: _candidates(t), "g long, packed binary")
+    runs = s.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(lambda a, b: _find(run, ranges, bits)(a, b), "r long, g long, gram long, context long")
+    between = runs.groupBy("r").applyInArrow(lambda t: _count(t), "g long, gram long, n long")
     out = s.groupBy("g").cogroup(between.groupBy("g")).applyInArrow(lambda a, b: _judge(run)(a, b), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -143,3 +143,28 @@ def test_only_covered_parts_go_and_copies_stay(spark):
         rows.append((i, "http://c.example/", f"<p>{copy}</p>"))
         want[i] = copy
     assert extracted(spark, rows) == want
+
+
+def test_packed_values_come_back():
+    rnd = random.Random(3)
+    for bits in (4, 40, 63):
+        values = np.sort(np.array([rnd.randrange(2**bits) for _ in range(300)], np.uint64))
+        assert (hx.unpack_sorted(hx.pack_sorted(values)) == values).all()
+        for ranges in (1, 7, 1000):
+            parts = hx._cut(values, ranges, bits)
+            assert (np.concatenate([v for _, v in parts]) == values).all() and all(0 <= r < ranges for r, _ in parts) and len({r for r, _ in parts}) == len(parts)
+    assert hx._cut(values[:0], 5, 40) == []
+
+
+def test_a_host_in_many_groups_gives_what_one_group_gives(spark, monkeypatch):
+    """Runs of two to twelve pages, in and outside articles, some of them copies: the same texts whether the host is split or not."""
+    rnd = random.Random(19)
+    rows, shared = [], [prose(rnd, rnd.choice((6, 25))) for _ in range(12)]
+    for i in range(90):
+        blocks = [prose(rnd, 15)] + [b for k, b in enumerate(shared) if rnd.random() < (k + 1) / 60]
+        rnd.shuffle(blocks)
+        page = "".join(f"<p>{b}</p>" for b in blocks)
+        rows += [(10 * i + c, "http://e.example/", f"<article>{page}</article>" if i % 2 else page) for c in range(3 if i % 9 == 0 else 1)]
+    whole = extracted(spark, rows)
+    monkeypatch.setattr(hx, "_GROUP_TOKENS", 200)
+    assert extracted(spark, rows) == whole and len({len(t.split()) for t in whole.values()}) > 3
