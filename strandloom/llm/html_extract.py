@@ -3,7 +3,8 @@
 A page is cut into blocks. All visible text of all pages of a host, articles too, forms one token
 stream; its suffixes, sorted by their first `run` tokens, put equal runs side by side. A run on
 enough pages with different texts around it is boilerplate; copies of one page, told by the least
-of two hashes each of their runs, count once. Markup is the other input: what sits in menus, headers, footers,
+of four hashes each of their runs, count once, and a page more than half of which is covered by
+such runs is an edited copy that keeps them. Markup is the other input: what sits in menus, headers, footers,
 sidebars, notices, adverts, forms and comments goes; of a page with an article or main element only
 that is main text, and there a run must be on more pages. Boilerplate runs that join to a whole
 block, or to a long part of one, are removed; the rest of the block stays.
@@ -30,6 +31,8 @@ _GROUP_TOKENS = 500_000
 _BROADCAST_ROWS = 500_000
 #: Different contexts that make a run boilerplate, elsewhere and inside main elements; tokens of a part of a block that goes.
 _CONTEXTS, _MAIN_CONTEXTS, _LONG = 3, 10, 20
+#: Hash functions whose least values name a page's context.
+_LEAST = 4
 
 # Fixed values of HTML and of common practice.
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul caption".split())
@@ -216,6 +219,15 @@ def _hashes(text: str, host: int) -> np.ndarray:
     return np.array([digest(w, seed) for w in text.encode("utf-8", "surrogatepass").split()], np.uint64)
 
 
+def _context(gram: np.ndarray) -> int:
+    """One number for a page's runs: their least hashes under several hash functions, which pages that share half their text seldom have in common."""
+    context = 0
+    for _ in range(_LEAST):
+        context = (context * 31 ^ int(gram.min())) % 2**64
+        gram = mix64(gram)
+    return context - 2**63
+
+
 def _parse(run: int):
     """Pages -> their blocks, joined by line feeds and compressed, what markup says of each, and the page's context."""
 
@@ -235,7 +247,7 @@ def _parse(run: int):
                 out[0].append(pack("\n".join(t for t, _, _ in blocks).encode("utf-8", "surrogatepass")))
                 out[1].append("".join(str(2 * o + m) for _, o, m in blocks))
                 out[2].append(host)
-                out[3].append((int(gram.min()) * 31 ^ int(mix64(gram).min())) % 2**64 - 2**63 if len(gram) else row)
+                out[3].append(_context(gram) if len(gram) else row)
             arrays = [pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.string(), pa.int64(), pa.int64()))]
             named = {"page_id": batch.column("page_id"), "url": batch.column("url"), "packed": arrays[0], "kinds": arrays[1], "host": arrays[2], "context": arrays[3]}
             yield pa.RecordBatch.from_pydict(named | {c: batch.column(c) for c in ("split", "g")})
@@ -400,11 +412,14 @@ def _judge(run: int):
         texts, at = [], 0
         for page, kinds, size in zip(pages, table.column("kinds").to_pylist(), s.sizes):
             main = "1" in kinds
-            kept, j = [], at
-            for b, kind in zip(page.split("\n"), kinds):
-                i, j = j, j + b.count(" ") + 1
-                if kind == ("1" if main else "0"):
-                    kept.append(_left(b, covered[_MAIN_CONTEXTS if main else _CONTEXTS][i:j]))
+            own, c = "1" if main else "0", covered[_MAIN_CONTEXTS if main else _CONTEXTS]
+            blocks, ends = page.split("\n"), []
+            for b in blocks:
+                ends.append((ends[-1] if ends else at) + b.count(" ") + 1)
+            mine = [(b, c[i:j]) for b, kind, i, j in zip(blocks, kinds, [at, *ends], ends) if kind == own]
+            # A page that is mostly found elsewhere is a copy, edited perhaps: its text is no boilerplate.
+            copy = 2 * sum(int(x.sum()) for _, x in mine) > sum(len(x) for _, x in mine)
+            kept = [b if copy else _left(b, x) for b, x in mine]
             texts.append("\n".join(filter(None, kept)))
             at += size
         return pa.table([table.column("page_id"), table.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])

@@ -168,3 +168,17 @@ def test_a_host_in_many_groups_gives_what_one_group_gives(spark, monkeypatch):
     whole = extracted(spark, rows)
     monkeypatch.setattr(hx, "_GROUP_TOKENS", 200)
     assert extracted(spark, rows) == whole and len({len(t.split()) for t in whole.values()}) > 3
+
+
+def test_edited_copies_stay(spark):
+    """Pages that differ by a word or two from one another have no boilerplate, in or outside articles."""
+    rnd = random.Random(23)
+    rows, want = [], {}
+    for k, form in enumerate(("<p>{}</p>", "<article>{}</article>")):
+        base = prose(rnd, 100).split()
+        for i in range(30):
+            words = list(base)
+            words[rnd.randrange(100)] = f"x{i}"
+            want[100 * k + i] = " ".join(words)
+            rows.append((100 * k + i, "http://f.example/", form.format(want[100 * k + i])))
+    assert extracted(spark, rows) == want
