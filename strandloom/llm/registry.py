@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .chat import format_chat, parse_messages
 from .common import read_table
 from .fingerprint import compare_with_next
 from .html_extract import extract
 from .langid import identify
+from .lexical_search import rank_documents
 from .mixing import mix
 from .ngram_join import ngram_components
 from .pii import find, summary
+from .preference import judge_quality
 from .quality import judge
 from .sentencepiece_codec import decode, encode, model_bytes
 from .warc import archive_and_read
@@ -64,6 +67,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read_table(spark, sf_dir, "pages"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), most=20)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(read_table(spark, sf_dir, "documents"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_source_mix": op2_source_mix,
@@ -75,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 #: op1 compares all pairs that share a word sequence and closes the links by recursion. The conversations hold no calls, so
@@ -104,4 +122,12 @@ ORACLES: dict[str, str] = {
           case when n >= 1000 and page_id <> last then last end as refers_to
         from d
     """,
+    "op11_ranked_search": r"""
+        with w as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+        n as (select doc_id, count(*) as n from w group by 1), s as (select count(*) as nd, cast(sum(n) as bigint) as l from n),
+        p as (select doc_id, term, count(*) as tf from w group by 1, 2), df as (select term, count(*) as df from p group by 1),
+        q as (select item_id, term, count(*) as k from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by 1, 2),
+        x as (select q.item_id, p.doc_id, cast(sum(k * cast(floor(1000 * ln((2 * nd + 2)::double / (2 * df + 1))) as bigint) * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // l)))) as bigint) as score from q join p using (term) join df using (term) join n using (doc_id), s group by 1, 2),
+        r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from x where score > 0) select * from r where rank <= 20
+    """,
 }
