@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.sources.store import Scope, stored
+
+from . import tiles
 from .balance import row_sums
 
 GAP_COVERAGE = 0.05
@@ -24,12 +27,17 @@ def distance_decay(m: DataFrame, sizes: DataFrame, gaps: DataFrame) -> DataFrame
     use = m.join(gaps.select("chrom", F.col("bin").alias("bin2")), ["chrom", "bin2"], "left_anti")
     s = use.groupBy("chrom", F.abs(F.col("bin1") - F.col("bin2")).alias("d")).agg(F.sum("value").alias("s"))
     d = sizes.select("chrom", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("d"))
-    # A gap column j loses a cell at j - d and one at j + d, where they exist.
-    g = gaps.join(sizes, "chrom").select("chrom", "bin", "n")
-    lost = g.select("chrom", "bin", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("d"))
-    lost = lost.groupBy("chrom", "d").agg(F.sum(F.when(F.col("d") == 0, 1).otherwise((F.col("bin") <= F.col("n") - 1 - F.col("d")).cast("int") + (F.col("bin") >= F.col("d")).cast("int"))).alias("lost"))
-    d = d.join(s, ["chrom", "d"], "left").join(lost, ["chrom", "d"], "left")
-    cells = F.when(F.col("d") == 0, F.col("n")).otherwise(2 * (F.col("n") - F.col("d"))) - F.coalesce("lost", F.lit(0))
+    # A gap column j loses a cell at j - d where j >= d and one at j + d where j <= n - 1 - d: both
+    # are counts of gaps from one end, taken as running sums over distances.
+    g = gaps.join(sizes, "chrom")
+    ends = g.select("chrom", F.explode(F.array("bin", F.col("n") - 1 - F.col("bin"))).alias("d")).groupBy("chrom", "d").agg(F.count(F.lit(1)).alias("k"))
+    later = Window.partitionBy("chrom").orderBy(F.desc("d"))
+    all_gaps = gaps.groupBy("chrom").agg(F.count(F.lit(1)).alias("gaps"))
+    d = d.join(s, ["chrom", "d"], "left").join(ends, ["chrom", "d"], "left").join(all_gaps, "chrom", "left")
+    lost = F.when(F.col("d") == 0, F.coalesce("gaps", F.lit(0))).otherwise(F.sum(F.coalesce("k", F.lit(0))).over(later))
+    cells = F.when(F.col("d") == 0, F.col("n")).otherwise(2 * (F.col("n") - F.col("d"))) - lost
+    d = d.withColumn("cells", cells)
+    cells = F.col("cells")
     total = F.coalesce("s", F.lit(0.0))
     return d.select("chrom", "d", F.when(cells > 0, total / cells).otherwise(total).alias("expected"))
 
@@ -60,92 +68,92 @@ def sliding_oe(m: DataFrame, decay: DataFrame, sizes: DataFrame, window: int, re
     return inner.unionByName(border)
 
 
-def oe_correlation(oe: DataFrame, bins: DataFrame) -> DataFrame:
+def _correlation(oe: DataFrame, bins: DataFrame, size: int) -> DataFrame:
+    """Tiles (i <= j) of the correlations of oe's columns over the rows of bins(chrom, bin)."""
+    b = lambda k: bins.select("chrom", F.col("bin").alias(k))
+    m = oe.join(b("bin1"), ["chrom", "bin1"], "left_semi").join(b("bin2"), ["chrom", "bin2"], "left_semi")
+    n = bins.groupBy("chrom").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    s = m.groupBy("chrom", F.col("bin2").alias("bin")).agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
+    sums = bins.select("chrom", "bin").join(s, ["chrom", "bin"], "left").na.fill(0.0, ["s", "ss"]).join(n, "chrom")
+    return tiles.correlation(tiles.tiles_of(m, size), sums, size)
+
+
+def oe_correlation(oe: DataFrame, bins: DataFrame, size: int = tiles.TILE) -> DataFrame:
     """(chrom, bin1, bin2, r): Pearson correlations of the columns of bins(chrom, bin), zeros counted.
 
-    Sums of products come from one self-join on the row; a constant column correlates with nothing.
+    Sums of products come from products of tiles; a constant column correlates with nothing.
     """
     b = lambda k: bins.select("chrom", F.col("bin").alias(k))
-    m = oe.join(b("bin1"), ["chrom", "bin1"], "left_semi").join(b("bin2"), ["chrom", "bin2"], "left_semi")
-    n = bins.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"))
-    s = bins.select("chrom", F.col("bin").alias("bin2")).join(m.groupBy("chrom", "bin2").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss")), ["chrom", "bin2"], "left").na.fill(0.0)
-    x = m.select("chrom", F.col("bin1").alias("row"), F.col("bin2").alias("bin1"), F.col("value").alias("x"))
-    y = m.select("chrom", F.col("bin1").alias("row"), "bin2", F.col("value").alias("y"))
-    xy = x.join(y, ["chrom", "row"]).groupBy("chrom", "bin1", "bin2").agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
-    s1 = s.select("chrom", F.col("bin2").alias("bin1"), F.col("s").alias("s1"), F.col("ss").alias("ss1"))
-    s2 = s.select("chrom", "bin2", F.col("s").alias("s2"), F.col("ss").alias("ss2"))
-    d = s1.join(s2, "chrom").join(n, "chrom").join(xy, ["chrom", "bin1", "bin2"], "left").na.fill(0.0, ["xy"])
-    c = F.col
-    v1, v2 = c("n") * c("ss1") - c("s1") * c("s1"), c("n") * c("ss2") - c("s2") * c("s2")
-    r = (c("n") * c("xy") - c("s1") * c("s2")) / F.sqrt(v1 * v2)
-    return d.select("chrom", "bin1", "bin2", F.when((v1 > 1e-12) & (v2 > 1e-12), r).otherwise(0.0).alias("r"))
-
-
-def choose_component(pcs: np.ndarray, corr: np.ndarray) -> tuple[int, float]:
-    """(component, score): the one of pcs' columns whose signs best split the correlation matrix, and by how much.
-
-    A component's score is the mean correlation within its two signs less that between them, over
+    cells = tiles.cells_of(_correlation(oe, bins, size), size, mirrored=True).withColumnRenamed("value", "r")
+    return cells.join(b("bin1"), ["chrom", "bin1"], "left_semi").join(b("bin2"), ["chrom", "bin2"], "left_semi")
+
+
+def choose_components(corr: DataFrame, axes: DataFrame, entries: DataFrame, size: int = tiles.TILE) -> DataFrame:
+    """(chrom, component, score): the one of the axes whose signs best split the correlations, and by how much.
+
+    An axis's score is the mean correlation within its two signs less that between them, over
     cells above -1 and, within, below 1. Bins of either sign must reach over more than half of
-    what all signed bins reach over. Without any such component it is (0, 0).
+    what all signed bins reach over. Without any such axis it is (1, 0). corr are tiles (i <= j),
+    axes block vectors and entries(chrom, bin, component, value) their cells; tiles' sums leave
+    them, not cells.
     """
-    best, score = 0, 0.0
-    for k in range(pcs.shape[1]):
-        up, down = np.flatnonzero(pcs[:, k] > 0), np.flatnonzero(pcs[:, k] < 0)
-        if not len(up) or not len(down):
-            continue
-        reach = max(up[-1], down[-1]) - min(up[0], down[0])
-        if 2 * (up[-1] - up[0]) <= reach or 2 * (down[-1] - down[0]) <= reach:
-            continue
-        same = np.concatenate([corr[np.ix_(x, x)].ravel() for x in (up, down)])
-        cross = corr[np.ix_(up, down)]
-        same, cross = same[(same > -1) & (same < 1 - 1e-5)], cross[(cross > -1) & (cross < 1)]
-        if not len(same) or not len(cross) or cross.mean() in (0, -1):
-            continue
-        if same.mean() - cross.mean() > score:
-            best, score = k, float(same.mean() - cross.mean())
-    return best, score
-
-
-def principal_components(corr: np.ndarray, k: int = 3) -> np.ndarray:
-    """The first k principal axes of the rows, as unit columns, each signed to a positive largest entry."""
-    vt = np.linalg.svd(corr - corr.mean(0), full_matrices=False)[2][:k]
-    return (vt * np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(1)])[:, None]).T
-
-
-def call_compartments(m: DataFrame, sizes: DataFrame, components: int = 3) -> DataFrame:
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for c, i, j, data, u, v in zip(*(x.to_pylist() for x in batch.columns)):
+                r, u, v = (tiles.array_of(x, size) for x in (data, u, v))
+                within, between = (r > -1) & (r < 1 - 1e-5), (r > -1) & (r < 1)
+                for k in range(u.shape[1]):
+                    up, down = [(x[:, k] > 0).astype(float) for x in (u, v)], [(x[:, k] < 0).astype(float) for x in (u, v)]
+                    both = lambda a, b, m, w: float(a @ (np.where(m, w, 0.0) @ b))
+                    sums = [sum(both(x[0], x[1], within, w) for x in (up, down)) * (1 if i == j else 2) for w in (r, 1.0)]
+                    cross = [both(up[0], down[1], between, w) + (both(down[0], up[1], between, w) if i != j else 0.0) for w in (r, 1.0)]
+                    out.append((c, k + 1, *sums, *cross))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["chrom", "component", "s", "n", "xs", "xn"])
+
+    parts = tiles.with_blocks(corr, axes).mapInArrow(run, "chrom string, component long, s double, n double, xs double, xn double")
+    sums = parts.groupBy("chrom", "component").agg(*[F.sum(c).alias(c) for c in ("s", "n", "xs", "xn")])
+    at = lambda f, w: f(F.when(w, F.col("bin")))
+    up, down = F.col("value") > 0, F.col("value") < 0
+    reach = entries.groupBy("chrom", "component").agg(at(F.min, up).alias("u0"), at(F.max, up).alias("u1"), at(F.min, down).alias("d0"), at(F.max, down).alias("d1"))
+    d = sums.join(reach, ["chrom", "component"]).withColumn("reach", F.greatest("u1", "d1") - F.least("u0", "d0"))
+    cross = F.col("xs") / F.col("xn")
+    wide = (2 * (F.col("u1") - F.col("u0")) > F.col("reach")) & (2 * (F.col("d1") - F.col("d0")) > F.col("reach"))
+    score = F.when(wide & (F.col("n") > 0) & (F.col("xn") > 0) & ~cross.isin(0.0, -1.0), F.col("s") / F.col("n") - cross)
+    d = d.withColumn("score", F.when(score > 0, score))
+    best = d.groupBy("chrom").agg(F.max(F.struct(F.coalesce("score", F.lit(0.0)).alias("score"), (-F.col("component")).alias("c"))).alias("x"))
+    return best.select("chrom", F.when(F.col("x.score") > 0, -F.col("x.c")).otherwise(1).cast("int").alias("component"), "x.score")
+
+
+def call_compartments(m: DataFrame, sizes: DataFrame, components: int = 3, size: int = tiles.TILE) -> DataFrame:
     """(chrom, bin, pc, component, score, pc1, pc2, pc3) of the bins that are no gaps: the chosen component, A positive, its number and how well it splits the correlations, and all.
 
-    A score of 0 marks a chromosome that no component splits; its first one stands there.
-    Correlation is computed distributed; the axes of one chromosome's matrix in one task.
+    Axes are unit vectors, positive at their largest entry. A score of 0 marks a chromosome that
+    no component splits; its first one stands there. Correlations and axes are block matrices:
+    no task holds a chromosome.
     """
-    gaps = compartment_gaps(m, sizes)
-    oe = observed_over_expected(m, distance_decay(m, sizes, gaps))
-    bins = row_sums(m, sizes).select("chrom", "bin").join(gaps, ["chrom", "bin"], "left_anti")
-    corr = oe_correlation(oe, bins)
-    cells = corr.join(oe, ["chrom", "bin1", "bin2"], "left").select("chrom", "bin1", "bin2", "r", F.coalesce("value", F.lit(0.0)).alias("oe"))
-
-    def call(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = np.sort(pdf.bin1.unique())
-        i, j = np.searchsorted(names, pdf.bin1), np.searchsorted(names, pdf.bin2)
-        r, oe = np.zeros((len(names),) * 2), np.zeros((len(names),) * 2)
-        r[i, j], oe[i, j] = pdf.r, pdf.oe
-        pcs = principal_components(r, components)
-        chosen, score = choose_component(pcs, r)
-        pc = pcs[:, chosen].copy()
-
-        def mean(mask: np.ndarray) -> float:
-            inside = oe[np.ix_(mask, mask)]
-            return float(inside[inside != 0].mean()) if (inside != 0).any() else 0.0
-
-        if mean(pc < 0) > mean(pc > 0):
-            pc = -pc
-        out = {"chrom": pdf.chrom.iloc[0], "bin": names, "pc": pc, "component": chosen + 1, "score": score}
-        for k in range(components):
-            out[f"pc{k + 1}"] = pcs[:, k] if k < pcs.shape[1] else 0.0
-        return pd.DataFrame(out)
-
-    schema = "chrom string, bin long, pc double, component int, score double, " + ", ".join(f"pc{k + 1} double" for k in range(components))
-    return cells.groupBy("chrom").applyInPandas(call, schema)
+    names = [f"pc{k + 1}" for k in range(components)]
+    with Scope(m.sparkSession) as scope:
+        gaps = compartment_gaps(m, sizes)
+        used = scope.stored(row_sums(m, sizes).select("chrom", "bin").join(gaps, ["chrom", "bin"], "left_anti"), "used")
+        oe = scope.stored(observed_over_expected(m, distance_decay(m, sizes, gaps)), "oe")
+        corr = scope.stored(_correlation(oe, used, size), "correlation")
+        axes = scope.stored(tiles.principal_axes(corr, used, components, scope, size), "axes")
+        each = tiles.block_cells(axes, names, size).join(used, ["chrom", "bin"])
+        entries = scope.stored(each.select("chrom", "bin", F.posexplode(F.array(*names)).alias("k", "value")).select("chrom", "bin", (F.col("k") + 1).alias("component"), "value"), "entries")
+        top = entries.groupBy("chrom", "component").agg(F.max_by(F.signum("value"), F.struct(F.abs("value"), -F.col("bin"))).alias("sign"))
+        signed = entries.join(top, ["chrom", "component"]).select("chrom", "bin", "component", (F.col("value") * F.when(F.col("sign") < 0, -1.0).otherwise(1.0)).alias("value"))
+        chosen = choose_components(corr, axes, entries, size)
+        pc = signed.join(chosen, ["chrom", "component"]).select("chrom", "bin", F.col("value").alias("pc"), "component", "score")
+        side = lambda k: pc.select("chrom", F.col("bin").alias("bin" + k), F.signum("pc").alias("s" + k))
+        same = oe.where("value <> 0").join(side("1"), ["chrom", "bin1"]).join(side("2"), ["chrom", "bin2"]).where("s1 = s2 and s1 <> 0")
+        mean = lambda s: F.coalesce(F.avg(F.when(F.col("s1") == s, F.col("value"))), F.lit(0.0))
+        turn = same.groupBy("chrom").agg((mean(-1) > mean(1)).alias("turn"))
+        pc = pc.join(turn, "chrom", "left").withColumn("pc", F.when(F.col("turn"), -F.col("pc")).otherwise(F.col("pc")))
+        wide = signed.groupBy("chrom", "bin").agg(*[F.max(F.when(F.col("component") == k + 1, F.col("value"))).alias(n) for k, n in enumerate(names)])
+        return stored(pc.join(wide, ["chrom", "bin"]).select("chrom", "bin", "pc", "component", "score", *names), "compartments")
 
 
 def choose_by_reference(components: DataFrame, reference: DataFrame) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from strandloom.functions.stats import bh_adjust, normal_two_sided, one_proportion_z, t_two_sided
+from strandloom.sources.store import Scope, stored
+
+from .orderstats import BLOCK, differences_below
 
 OFFSET, ZERO_SHARE = 10, 0.85
 
@@ -77,39 +77,21 @@ def boundary_specificity(candidates: DataFrame, maternal: DataFrame, paternal: D
     return bh_adjust(best, "pvalue", "qvalue")
 
 
-def compartment_specificity(maternal: DataFrame, paternal: DataFrame) -> DataFrame:
+def compartment_specificity(maternal: DataFrame, paternal: DataFrame, block: int = BLOCK) -> DataFrame:
     """(chrom, bin, m, p, diff, pvalue, qvalue): bins (chrom, bin, pc) of opposite sign, against all differences m - p of such bins; q by Benjamini-Hochberg.
 
-    A maternal chromosome that correlates negatively is flipped. The count of background
-    differences below a bin's own is the number of (a, b) with m_a < diff + p_b: one sort of both
-    lists and a running count would need all thresholds, so values meet in one range join over
-    candidates only, aggregated per bin.
+    A maternal chromosome that correlates negatively is flipped. A bin's rank is the number of
+    (a, b) with m_a - p_b below its own difference; the smaller of it and its complement, over
+    all pairs, is the p-value.
     """
     d = maternal.select("chrom", "bin", F.col("pc").alias("m")).join(paternal.select("chrom", "bin", F.col("pc").alias("p")), ["chrom", "bin"])
     r = d.groupBy("chrom").agg(F.corr("m", "p").alias("r"))
     d = d.join(r, "chrom").select("chrom", "bin", F.when(F.col("r") < 0, -F.col("m")).otherwise(F.col("m")).alias("m"), "p").where("m * p < 0")
-    diff = d.withColumn("diff", F.col("m") - F.col("p"))
-    return bh_adjust(_ranked(diff), "pvalue", "qvalue")
-
-
-def _ranked(d: DataFrame) -> DataFrame:
-    """diff's two-sided rank among all m_a - p_b, by binary search of each value in the sorted list of the other parent.
-
-    Candidates are bins of opposite sign, a bounded share of a genome's bins at compartment
-    resolution; their sorted values are broadcast as one array after a size check.
-    """
-    rows = d.count()
-    if rows > 200_000:
-        raise ValueError(f"{rows} candidate bins: use a coarser resolution")
-    m = d.agg(F.array_sort(F.collect_list("m")).alias("ms"), F.array_sort(F.collect_list("p")).alias("ps")).first()
-    ms, ps = np.array(m["ms"] or []), np.array(m["ps"] or [])
-
-    @F.pandas_udf(DoubleType())
-    def pvalue(x: pd.Series) -> pd.Series:
-        n = len(ms) * len(ps)
-        below = np.zeros(len(x), np.int64)
-        for b in ps:  # differences themselves are compared, so that a bin never ranks below itself
-            below += np.searchsorted(ms - b, x.to_numpy(), side="left")
-        return pd.Series(np.minimum(below, n - below) / n)
-
-    return d.withColumn("pvalue", pvalue("diff"))
+    with Scope(d.sparkSession) as scope:
+        diff = scope.stored(d.withColumn("diff", F.col("m") - F.col("p")), "candidates")
+        below = differences_below(diff.select(F.col("m").alias("v")), diff.select(F.col("p").alias("v")), diff.select(F.col("diff").alias("x")), scope, block)
+        n = F.col("n") * F.col("n")
+        all_ = diff.agg(F.count(F.lit(1)).alias("n"))
+        ranked = diff.join(below, F.col("diff") == F.col("x")).crossJoin(F.broadcast(all_))  # one row
+        ranked = ranked.select("chrom", "bin", "m", "p", "diff", (F.least(F.col("below"), n - F.col("below")) / n).alias("pvalue"))
+        return stored(bh_adjust(ranked, "pvalue", "qvalue"), "compartment-specificity")

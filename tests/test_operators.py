@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from strandloom.functions import stats
-from strandloom.operators import alleles, balance, compartments, contacts, domains, genome, loops, pairs, rangejoin, reads
+from strandloom.operators import alleles, balance, compartments, contacts, domains, genome, loops, orderstats, pairs, rangejoin, reads, specificity, tiles
 from strandloom.sources import text
+from strandloom.sources.store import Scope, exists
 
 
 def test_enzymes():
@@ -131,16 +132,63 @@ def test_distance_decay_counts_zeros(spark):
         assert got[d] == pytest.approx(np.mean(cells) if cells else 0)
 
 
-def test_component_by_reach():
+def blocks_of(spark, a, size):
+    """Tiles (i <= j) of a dense symmetric matrix, block vectors and their entries."""
+    n = len(a)
+    cells = spark.createDataFrame([("1", i, j, float(a[i, j])) for i in range(n) for j in range(n) if i // size <= j // size], "chrom string, bin1 long, bin2 long, value double")
+    return tiles.tiles_of(cells, size)
+
+
+def test_component_by_reach(spark):
     """A local block with strong correlations loses to a genome-wide pattern: signs must reach over half of the bins."""
-    n = 40
+    n, size = 40, 16
     wide, local = np.where(np.arange(n) // 5 % 2 == 0, 1.0, -1.0), np.where(np.arange(n) < 8, 1.0, -1.0)
-    corr = np.clip(0.6 * np.outer(wide, wide), -0.99, 0.99)
-    pcs = np.stack([local, wide], axis=1)
-    chosen, score = compartments.choose_component(pcs, corr)
-    assert chosen == 1 and score == pytest.approx(1.2)
-    assert compartments.choose_component(pcs[:, :1], corr) == (0, 0.0)  # none: marked by its score
-    assert compartments.choose_component(np.zeros((n, 1)), corr) == (0, 0.0)
+    corr = blocks_of(spark, np.clip(0.6 * np.outer(wide, wide), -0.99, 0.99), size)
+
+    def choose(*pcs):
+        names = [f"pc{k + 1}" for k in range(len(pcs))]
+        v = spark.createDataFrame([("1", i, *(float(p[i]) for p in pcs)) for i in range(n)], "chrom string, bin long, " + ", ".join(f"{x} double" for x in names))
+        entries = v.select("chrom", "bin", F.posexplode(F.array(*names)).alias("k", "value")).selectExpr("chrom", "bin", "k + 1 as component", "value")
+        r = compartments.choose_components(corr, tiles.column_blocks(v, names, size), entries, size).collect()[0]
+        return r["component"], r["score"]
+
+    assert choose(local, wide) == (2, pytest.approx(1.2))
+    assert choose(local) == (1, 0.0)  # none: marked by its score
+    assert choose(np.zeros(n)) == (1, 0.0)
+
+
+def test_tile_products_are_numpys(spark):
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(70, 70)) * (rng.random((70, 70)) < 0.3)
+    t = tiles.tiles_of(frame(spark, a), 16)
+    got = dense(tiles.cells_of(tiles.gram(t, 16), 16, mirrored=True), 80)
+    assert np.allclose(got[:70, :70], a.T @ a) and not got[70:].any()
+    run, tiles.RUN = tiles.RUN, 2  # products of several runs are added up
+    try:
+        assert np.allclose(dense(tiles.cells_of(tiles.gram(t, 16), 16, mirrored=True), 80), got)
+    finally:
+        tiles.RUN = run
+
+
+def test_principal_axes_over_tiles(spark):
+    """Iterated axes of a chromosome of many tiles, with unused bins, are those of the dense matrix; so are those of one tile."""
+    n, rng = 150, np.random.default_rng(9)
+    used = np.array([i for i in range(n) if i % 7 != 3])
+    x = rng.normal(size=(60, n)) + 2 * np.outer(rng.normal(size=60), np.sin(np.arange(n) / 9)) + np.outer(rng.normal(size=60), np.cos(np.arange(n) / 4))
+    c = np.zeros((n, n))
+    c[np.ix_(used, used)] = np.corrcoef(x[:, used], rowvar=False)
+    u = spark.createDataFrame([("1", int(i)) for i in used], "chrom string, bin long")
+    a = c[np.ix_(used, used)]
+    want = np.linalg.svd(a - a.mean(0))[2][:3]
+    for size in (16, 160):
+        with Scope(spark) as scope:
+            axes = tiles.principal_axes(scope.stored(blocks_of(spark, c, size), "c"), u, 3, scope, size, columns=8)
+            rows = {r["bin"]: [r["a"], r["b"], r["c"]] for r in tiles.block_cells(axes, ["a", "b", "c"], size).collect()}
+        v = np.array([rows[i] for i in range(n)])
+        assert not v[[i for i in range(n) if i not in set(used)]].any()
+        for k in range(3):
+            assert abs(abs(v[used, k] @ want[k]) - 1) < 1e-7
+    assert not exists(spark, scope.path)
 
 
 def test_compartments_against_numpy(spark):
@@ -151,7 +199,8 @@ def test_compartments_against_numpy(spark):
     d = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
     a = 60 / (1 + d) * (1 + 0.55 * np.outer(strong, strong) + 0.35 * np.outer(wide, wide)) + rnd.random((n, n)) * 0.2
     a = np.triu(a) + np.triu(a, 1).T
-    got = sorted(compartments.call_compartments(frame(spark, a), sizes(spark, n)).collect(), key=lambda r: r["bin"])
+    got, again = (sorted(compartments.call_compartments(frame(spark, a), sizes(spark, n), size=size).collect(), key=lambda r: r["bin"]) for size in (tiles.TILE, 8))
+    assert all(x["component"] == y["component"] and np.allclose(list(x)[2:], list(y)[2:], atol=1e-6) for x, y in zip(got, again))
     expected = np.array([np.mean(np.diagonal(a, k)) for k in range(n)])
     r = np.nan_to_num(np.corrcoef(a / expected[d], rowvar=False))
     axes = np.linalg.eigh(np.cov(r, rowvar=False))[1][:, ::-1][:, :3]
@@ -285,3 +334,32 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("px").collect()] == [("1", 0, "1", 2, 2)]
+
+
+def test_differences_below_by_blocks(spark):
+    """Counts of differences below thresholds, ties and thresholds that are differences included, with blocks of a few values."""
+    rng = np.random.default_rng(12)
+    a, b = np.round(rng.normal(size=230), 2), np.round(rng.normal(size=170), 2)
+    x = np.concatenate([np.round(rng.normal(size=60) * 2, 2), a[:40] - b[:40], [-99.0, 99.0]])
+    column = lambda v, n: spark.createDataFrame([(float(i),) for i in v], f"{n} double").repartition(3)
+    d = a[:, None] - b[None]
+    for block in (7, 4096):
+        with Scope(spark) as scope:
+            got = {r["x"]: r["below"] for r in orderstats.differences_below(column(a, "v"), column(b, "v"), column(x, "x"), scope, block).collect()}
+        assert got == {float(t): int((d < t).sum()) for t in x}
+
+
+def test_compartment_specificity_against_all_pairs(spark):
+    rng = np.random.default_rng(13)
+    m, p = rng.normal(size=(2, 80)), rng.normal(size=(2, 80))
+    p[0] = 0.6 * m[0] + 0.5 * p[0]
+    p[1] = -0.6 * m[1] + 0.5 * p[1]  # flipped
+    table = lambda v: spark.createDataFrame([(str(c), i, float(v[c, i])) for c in range(2) for i in range(80)], "chrom string, bin long, pc double")
+    got = {(r["chrom"], r["bin"]): r for r in specificity.compartment_specificity(table(m), table(p), 9).collect()}
+    m[1] = -m[1]
+    use = [(c, i) for c in range(2) for i in range(80) if m[c, i] * p[c, i] < 0]
+    assert sorted(got) == sorted((str(c), i) for c, i in use)
+    every = np.array([m[x] for x in use])[:, None] - np.array([p[x] for x in use])[None]
+    for c, i in use:
+        k = int((every < m[c, i] - p[c, i]).sum())
+        assert got[str(c), i]["pvalue"] == pytest.approx(min(k, every.size - k) / every.size)
