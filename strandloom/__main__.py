@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 def _digest(spark, a):
-    from strandloom.operators.genome import digest
-    from strandloom.sources.text import read_fasta
+    from strandloom.operators.genome import digest_tiles
+    from strandloom.sources.blocks import fasta_tiles
 
-    digest(read_fasta(spark, a.input), "chrom", a.enzyme).write.mode("overwrite").parquet(a.output)
+    digest_tiles(fasta_tiles(spark, a.input), a.enzyme).write.mode("overwrite").parquet(a.output)
 
 
 def _rescue(spark, a):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,56 @@ def digest(sequences: DataFrame, key: str, enzyme: str) -> DataFrame:
     return d.where(F.col("end") > F.col("start")).select(key, (F.row_number().over(by) - 1).cast("long").alias("frag_idx"), "start", "end")
 
 
+def _apart(site: str):
+    """Of matches (chrom, run, at) that may overlap, those that a search from the left would find, run by run."""
+
+    def run(key, t):
+        out, free = [], -1
+        for at in sorted(t["at"].to_pylist()):
+            if at >= free:
+                out.append(at)
+                free = at + len(site)
+        return pa.table([pa.array([key[0].as_py()] * len(out), pa.string()), pa.array(out, pa.int64())], ["chrom", "at"])
+
+    return run
+
+
+def digest_tiles(tiles: DataFrame, enzyme: str) -> DataFrame:
+    """(chrom, frag_idx, start, end) fragments of sequences in tiles (chrom, offset, seq), as digest gives them.
+
+    A tile is searched with the first bases of the next one, so that a site over a seam is found
+    once. What is gathered by chromosome are positions of cuts.
+    """
+    site, cut = resolve_enzyme(enzyme)
+    more = len(site) - 1
+    d = tiles.withColumn("next", F.col("offset") + F.char_length("seq"))
+    head = tiles.select("chrom", F.col("offset").alias("next"), F.substring("seq", 1, more).alias("more"))
+    d = d.join(head, ["chrom", "next"], "left").select("chrom", "offset", F.concat("seq", F.coalesce("more", F.lit(""))).alias("seq"))
+
+    def find(batches):
+        for batch in batches:
+            out = []
+            for chrom, offset, seq in zip(*(c.to_pylist() for c in batch.columns)):
+                at = seq.find(site)
+                while at >= 0:
+                    out.append((chrom, offset + at))
+                    at = seq.find(site, at + 1)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int64()))], ["chrom", "at"])
+
+    found = d.mapInArrow(find, "chrom string, at long")
+    by = Window.partitionBy("chrom").orderBy("at")
+    if any(site.startswith(site[k:]) for k in range(1, len(site))):  # a site that can overlap itself
+        far = F.coalesce(F.col("at") - F.lag("at").over(by) >= len(site), F.lit(True)).cast("int")
+        runs = found.withColumn("far", far).withColumn("run", F.sum("far").over(by))
+        found = runs.groupBy("chrom", "run").applyInArrow(_apart(site), "chrom string, at long")
+    length = tiles.groupBy("chrom").agg(F.max(F.col("offset") + F.char_length("seq")).cast("long").alias("length")).where("length > 0")
+    starts = found.select("chrom", (F.col("at") + 1 + cut).alias("start")).unionByName(length.select("chrom", F.lit(1).cast("long").alias("start")))
+    by = Window.partitionBy("chrom").orderBy("start")
+    d = starts.withColumn("end", F.lead("start").over(by)).join(length, "chrom").withColumn("end", F.coalesce("end", "length"))
+    return d.where("end > start").select("chrom", (F.row_number().over(by) - 1).cast("long").alias("frag_idx"), "start", "end")
+
+
 def fragments_of_sites(sites: DataFrame) -> DataFrame:
     """sites(chrom, site) -> (chrom, start, end, mid) fragments that end at each site."""
     by = Window.partitionBy("chrom").orderBy("site")
@@ -57,10 +108,17 @@ def fragments_of_sites(sites: DataFrame) -> DataFrame:
 def haplotype_tiles(genome: DataFrame, snps: DataFrame, allele: str, tile: int = 100_000) -> DataFrame:
     """genome(chrom, seq) with the allele column of snps(chrom, pos, ..) written in, as (chrom, tile, seq).
 
-    Each tile is rebuilt from the stretches between its SNPs, so no task holds a chromosome's edits.
+    Each tile is rebuilt from the stretches between its SNPs, so no task holds a chromosome's
+    edits. A genome in tiles (chrom, offset, seq) of `tile` bases is taken as it is.
     """
+    if "offset" in genome.columns:
+        return _edited(genome.select("chrom", F.floor(F.col("offset") / tile).cast("int").alias("tile"), "seq"), snps, allele, tile)
     tiles = genome.select("chrom", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("seq") - 1) / tile).cast("int"))).alias("tile"), "seq")
     tiles = tiles.select("chrom", "tile", F.expr(f"substr(seq, tile * {tile} + 1, {tile})").alias("seq"))
+    return _edited(tiles, snps, allele, tile)
+
+
+def _edited(tiles: DataFrame, snps: DataFrame, allele: str, tile: int) -> DataFrame:
     s = snps.select("chrom", F.floor((F.col("pos") - 1) / tile).cast("int").alias("tile"), ((F.col("pos") - 1) % tile).cast("int").alias("at"), F.col(allele).alias("base"))
     s = s.groupBy("chrom", "tile", "at").agg(F.min("base").alias("base"))
     s = s.groupBy("chrom", "tile").agg(F.array_sort(F.collect_list(F.struct("at", "base"))).alias("edits"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import fasta_tiles, read_fastq  # noqa: F401
+
 PAIR_FIELDS = ["ref", "strand", "pos", "len", "as_score", "frag", "snp_n"]
 
 
@@ -15,12 +17,10 @@ def _lines(spark: SparkSession, path) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path) -> DataFrame:
-    """(chrom, seq): headers give the first word without 'chr'; a chromosome's lines are joined in order."""
-    d = _lines(spark, path).withColumn("head", F.when(F.col("line").startswith(">"), F.regexp_replace(F.regexp_extract("line", r"^>\s*(\S+)", 1), "^chr", "")))
-    d = d.withColumn("chrom", F.last("head", ignorenulls=True).over(Window.partitionBy("file").orderBy("at")))
-    d = d.where("head is null and chrom is not null and line <> ''")
-    parts = d.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("file", "at", F.upper(F.trim("line")).alias("line")))).alias("p"))
-    return parts.select("chrom", F.array_join(F.transform("p", lambda x: x["line"]), "").alias("seq"))
+    """(chrom, seq) of short sequences, each in one row; blocks.fasta_tiles is for those of any length."""
+    t = fasta_tiles(spark, path)
+    parts = t.groupBy("chrom").agg(F.array_sort(F.collect_list(F.struct("offset", "seq"))).alias("p"))
+    return parts.select("chrom", F.array_join(F.col("p.seq"), "").alias("seq"))
 
 
 def write_fasta(lines: DataFrame, path: str) -> None:
@@ -30,15 +30,6 @@ def write_fasta(lines: DataFrame, path: str) -> None:
     d.select("chrom", "line").write.mode("overwrite").partitionBy("chrom").text(path)
 
 
-def read_fastq(spark: SparkSession, path, mate: int) -> DataFrame:
-    """(name, mate, seq, qual, chunk) of four-line records, plain or gzip; names get the suffix _<mate>, chunk comes from the file name."""
-    d = _lines(spark, path).withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1)
-    d = d.groupBy("file", F.floor(F.col("k") / 4).alias("record")).agg(*[F.max(F.when(F.col("k") % 4 == i, F.col("line"))).alias(c) for i, c in ((0, "head"), (1, "seq"), (3, "qual"))])
-    d = d.where(F.col("head").startswith("@"))
-    name = F.concat(F.regexp_extract("head", r"^@(\S+)", 1), F.lit(f"_{mate}"))
-    return d.select(name.alias("name"), F.lit(mate).alias("mate"), "seq", "qual", F.regexp_extract("file", r"_chunk(\d+)", 1).try_cast("int").alias("chunk"))
-
-
 def write_fastq(reads: DataFrame, path: str, per_file: int = 4_000_000, compression: str = "gzip") -> None:
     """reads(name, seq, qual) in files of at most per_file records."""
     d = reads.select(F.concat_ws("\n", F.concat(F.lit("@"), "name"), "seq", F.lit("+"), "qual").alias("value"))
