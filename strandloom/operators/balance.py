@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.sources.store import stored
+from strandloom.sources.store import Scope, stored
 
 VC_POWER = 2 / 3
 
@@ -46,11 +46,16 @@ def snp_factor(t: DataFrame, m: DataFrame, p: DataFrame, sizes: DataFrame, gaps_
     both = gaps_m.join(gaps_p, ["chrom", "bin"], "left_semi").withColumn("gap", F.lit(True))
     a = rt.join(rm, ["chrom", "bin"]).join(rp, ["chrom", "bin"]).join(both, ["chrom", "bin"], "left")
     a = a.select("chrom", "bin", ((F.col("m") + F.col("p")) / (F.col("t") + 1)).alias("a"), F.col("gap").isNull().alias("used"))
+    return _shares(a).select("chrom", "bin", "alpha")
+
+
+def _shares(a: DataFrame) -> DataFrame:
+    """a(chrom, .., used, a) with alpha: a over the largest used one, 1 for 0, and not below the used ones' 20th percentile."""
     top = a.groupBy("chrom").agg(F.max(F.when(F.col("used"), F.col("a"))).alias("top"))
-    a = a.join(top, "chrom").select("chrom", "bin", "used", (F.col("a") / F.col("top")).alias("a"))
+    a = a.join(top, "chrom").withColumn("a", F.col("a") / F.col("top")).drop("top")
     a = a.withColumn("a", F.when(F.col("a") == 0, 1.0).otherwise(F.col("a")))
     low = a.where("used").groupBy("chrom").agg(F.percentile("a", F.lit(0.2)).alias("low"))
-    return a.join(low, "chrom").select("chrom", "bin", F.greatest("a", "low").alias("alpha"))
+    return a.join(low, "chrom").withColumn("alpha", F.greatest("a", "low")).drop("low")
 
 
 def scale_rows(m: DataFrame, factor: DataFrame) -> DataFrame:
@@ -108,33 +113,65 @@ def two_step_global(h: DataFrame, factor: DataFrame) -> DataFrame:
     return keep_mean(h, vc_correct(symmetrise_sum(scale_rows(h, factor))), [])
 
 
-def ice_weights(m: DataFrame, iterations: int = 200, tolerance: float = 1e-5, ignore_diagonals: int = 1) -> DataFrame:
+def global_factor(t: DataFrame, h: DataFrame, sizes: DataFrame, most_gap: float = 0.1) -> DataFrame:
+    """(chrom, bin, alpha) of the genome's bins, from the unphased chromosomes' full matrices t(chrom, bin1, bin2, value) and the phased directed pixels h.
+
+    h is (chrom1, bin1, chrom2, bin2, value) with M or P before the genome's names. Gaps are the
+    unphased chromosomes' bins that cover under most_gap of them.
+    """
+    own = lambda x: h.where((F.col("chrom1") == F.col("chrom2")) & F.col("chrom1").startswith(x)).select(F.expr("substr(chrom1, 2)").alias("chrom"), "bin1", "bin2", "value")
+    gaps = low_resolution_gaps(t, sizes, most_gap)
+    return snp_factor(t, own("M"), own("P"), sizes, gaps, gaps)
+
+
+def correct_global(t: DataFrame, h: DataFrame, sizes: DataFrame, bins: DataFrame, most_gap: float = 0.1) -> DataFrame:
+    """(chrom1, bin1, chrom2, bin2, value): the corrected matrix of all phased chromosomes, its factor built from t and h (see global_factor).
+
+    bins(chrom, bin, gbin) numbers the phased genome's bins.
+    """
+    one = F.lit("all").alias("chrom")
+    f = stored(global_factor(t, h, sizes, most_gap), "global-factor")
+    for k in "12":
+        h = h.join(bins.select(F.col("chrom").alias("chrom" + k), F.col("bin").alias("bin" + k), F.col("gbin").alias("g" + k)), ["chrom" + k, "bin" + k])
+    whole = bins.withColumn("place", F.expr("substr(chrom, 2)")).join(f.select(F.col("chrom").alias("place"), "bin", "alpha"), ["place", "bin"])
+    d = two_step_global(h.select(one, F.col("g1").alias("bin1"), F.col("g2").alias("bin2"), "value"), whole.select(one, F.col("gbin").alias("bin"), "alpha"))
+    for k in "12":
+        d = d.join(bins.select(F.col("gbin").alias("bin" + k), F.col("chrom").alias("chrom" + k), F.col("bin").alias("b" + k)), "bin" + k)
+    return d.select("chrom1", F.col("b1").alias("bin1"), "chrom2", F.col("b2").alias("bin2"), "value")
+
+
+def ice_weights(m: DataFrame, iterations: int = 200, tolerance: float = 1e-5, ignore_diagonals: int = 1, with_spread: bool = False) -> DataFrame | tuple[DataFrame, float]:
     """(chrom, bin, bias): iterative correction of a symmetric full matrix within chromosomes; corrected value = value / (bias1 * bias2).
 
     Each round divides the biases by the rows' sums over their mean. Rounds stop when the
     variance of the relative sums is below the tolerance. Biases are scaled so that the
-    corrected rows of a chromosome sum to 1 on average. Every round is written out, so lineage
-    stays short and lost executors cost one round.
+    corrected rows of a chromosome sum to 1 on average. A round is written out and the one before
+    deleted: lost executors cost one round, and the disk used does not grow with rounds. With
+    with_spread the last variance, of the chromosome where it is largest, comes too.
     """
-    m = m.where(F.abs(F.col("bin1") - F.col("bin2")) >= ignore_diagonals).where("value <> 0")
-    bias = stored(m.groupBy("chrom", F.col("bin1").alias("bin")).agg(F.lit(1.0).alias("bias")), "bias")
-
-    def sums(b: DataFrame) -> DataFrame:
-        b1, b2 = (b.select("chrom", F.col("bin").alias("bin" + k), F.col("bias").alias("b" + k)) for k in "12")
-        v = m.join(b1, ["chrom", "bin1"]).join(b2, ["chrom", "bin2"])
-        return v.groupBy("chrom", F.col("bin1").alias("bin")).agg(F.sum(F.col("value") / (F.col("b1") * F.col("b2"))).alias("s"))
-
-    for _ in range(iterations):
-        s = sums(bias)
-        mean = s.groupBy("chrom").agg(F.mean("s").alias("mean"))
-        new = stored(bias.join(s, ["chrom", "bin"]).join(mean, "chrom").select("chrom", "bin", (F.col("bias") * F.col("s") / F.col("mean")).alias("bias"), (F.col("s") / F.col("mean")).alias("rel")), "bias")
-        bias = new.select("chrom", "bin", "bias")
-        if tolerance > 0:
-            worst = new.groupBy("chrom").agg(F.var_pop("rel").alias("v")).agg(F.max("v")).first()[0]
-            if worst is None or worst < tolerance:
-                break
-    mean = sums(bias).groupBy("chrom").agg(F.mean("s").alias("mean"))
-    return bias.join(mean, "chrom").select("chrom", "bin", (F.col("bias") * F.sqrt("mean")).alias("bias"))
+    with Scope(m.sparkSession) as scope:
+        m = scope.stored(m.where(F.abs(F.col("bin1") - F.col("bin2")) >= ignore_diagonals).where("value <> 0").select("chrom", "bin1", "bin2", "value"), "pixels")
+        held = scope.stored(m.groupBy("chrom", F.col("bin1").alias("bin")).agg(F.lit(1.0).alias("bias")), "bias")
+
+        def sums(b: DataFrame) -> DataFrame:
+            b1, b2 = (b.select("chrom", F.col("bin").alias("bin" + k), F.col("bias").alias("b" + k)) for k in "12")
+            v = m.join(b1, ["chrom", "bin1"]).join(b2, ["chrom", "bin2"])
+            return v.groupBy("chrom", F.col("bin1").alias("bin")).agg(F.sum(F.col("value") / (F.col("b1") * F.col("b2"))).alias("s"))
+
+        worst = None
+        for _ in range(iterations):
+            s = sums(held)
+            mean = s.groupBy("chrom").agg(F.mean("s").alias("mean"))
+            new = scope.stored(held.select("chrom", "bin", "bias").join(s, ["chrom", "bin"]).join(mean, "chrom").select("chrom", "bin", (F.col("bias") * F.col("s") / F.col("mean")).alias("bias"), (F.col("s") / F.col("mean")).alias("rel")), "bias")
+            scope.drop(held)
+            held = new
+            if tolerance > 0 or with_spread:
+                worst = new.groupBy("chrom").agg(F.var_pop("rel").alias("v")).agg(F.max("v")).first()[0]
+                if worst is None or worst < tolerance:
+                    break
+        mean = sums(held).groupBy("chrom").agg(F.mean("s").alias("mean"))
+        out = stored(held.join(mean, "chrom").select("chrom", "bin", (F.col("bias") * F.sqrt("mean")).alias("bias")), "ice-bias")
+    return (out, worst or 0.0) if with_spread else out
 
 
 def apply_bias(m: DataFrame, bias: DataFrame) -> DataFrame:
