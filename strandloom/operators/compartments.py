@@ -53,9 +53,7 @@ def observed_over_expected(m: DataFrame, decay: DataFrame) -> DataFrame:
 def sliding_oe(m: DataFrame, decay: DataFrame, sizes: DataFrame, window: int, res: int) -> DataFrame:
     """Box sums over a fixed mix of expectations, inside; plain ratios in the border of step = window // res // 2 cells."""
     step = window // res // 2
-    around = F.explode(F.sequence(F.lit(-step).cast("long"), F.lit(step).cast("long")))
-    box = m.withColumn("di", around).withColumn("dj", around)
-    box = box.groupBy("chrom", (F.col("bin1") + F.col("di")).alias("bin1"), (F.col("bin2") + F.col("dj")).alias("bin2")).agg(F.sum("value").alias("box"))
+    box = tiles.box_sums(m, step).withColumnRenamed("value", "box")
     inside = lambda c: F.col(c).between(step, F.col("n") - 1 - step)
     box = box.join(sizes, "chrom").where(inside("bin1") & inside("bin2"))
     e = decay.select("chrom", "d", "expected")

@@ -7,11 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.sources.store import stored
+from strandloom.sources.store import Scope, stored
 
 from .balance import grid
+from .rangejoin import bucket_of, buckets_of
 
 MIN_TAD, MAX_TAD, WINDOW, WIDTH = 200_000, 4_000_000, 600_000, 7
+#: Bins of a bucket of the join of boundaries with regions.
+BUCKET = 512
 #: State patterns that mark a boundary, and the index of its bin: fixed values of the three- and five-state models.
 PATTERNS = {3: (("220", 2), ("200", 1), ("2221", 3), ("1000", 1)), 5: (("40", 1),)}
 
@@ -224,7 +227,10 @@ def domains(boundaries: DataFrame, regions: DataFrame, di: DataFrame, res: int,
     three double zeros before the first such run, by over a third of zeros, or by its size.
     """
     r = regions.select("chrom", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    b = boundaries.join(r, "chrom").where(F.col("bin").between(F.col("r_start"), F.col("r_end"))).groupBy("chrom", "bin", "mark").agg(F.min("r_start").alias("region"))
+    # Regions are cut into buckets: a boundary meets those of its own bucket only.
+    r = r.withColumn("__bucket", F.explode(buckets_of(F.col("r_start"), F.col("r_end"), BUCKET)))
+    near = boundaries.withColumn("__bucket", bucket_of(F.col("bin"), BUCKET)).join(r, ["chrom", "__bucket"])
+    b = near.where(F.col("bin").between(F.col("r_start"), F.col("r_end"))).groupBy("chrom", "bin", "mark").agg(F.min("r_start").alias("region"))
     by = Window.partitionBy("chrom", "region").orderBy("bin")
     d = b.withColumns({"end": F.lead("bin").over(by), "next": F.lead("mark").over(by)}).where("end is not null and mark in ('start', 'both') and next in ('end', 'both')")
     d = d.select("chrom", F.col("bin").alias("start"), "end").where(((F.col("end") - F.col("start")) * res).between(min_tad, max_tad))
@@ -244,12 +250,13 @@ def domains(boundaries: DataFrame, regions: DataFrame, di: DataFrame, res: int,
 
 def call_domains(m: DataFrame, sizes: DataFrame, res: int, states: int = 3, window: int = WINDOW, min_tad: int = MIN_TAD, max_tad: int = MAX_TAD, test: str = "ttest") -> DataFrame:
     """Domains (chrom, start, end) of matrices, from gaps to boundaries."""
-    gaps = stored(tad_gaps(m, sizes, res, min_tad), "gaps")
-    di = stored(directionality(m, sizes, gaps, res, window, test), "di")
-    segs = stored(segments(gaps, sizes), "segments")
-    model = train_hmm(di, segs, states)
-    marks = filter_boundaries(boundaries_of(decode_states(di, segs, model), states), gaps)
-    return domains(marks, segs.select("chrom", "start", "end"), di, res, min_tad, max_tad)
+    with Scope(m.sparkSession) as scope:
+        gaps = scope.stored(tad_gaps(m, sizes, res, min_tad), "gaps")
+        di = scope.stored(directionality(m, sizes, gaps, res, window, test), "di")
+        segs = scope.stored(segments(gaps, sizes), "segments")
+        model = train_hmm(di, segs, states)
+        marks = filter_boundaries(boundaries_of(decode_states(di, segs, model), states), gaps)
+        return stored(domains(marks, segs.select("chrom", "start", "end"), di, res, min_tad, max_tad), "domains")
 
 
 def position_text(bp: Column) -> Column:

@@ -52,30 +52,6 @@ def isotonic_expected(means: DataFrame) -> DataFrame:
     return means.groupBy("chrom").applyInPandas(fit, "chrom string, d long, expected double")
 
 
-def neighbourhood(spark, w: int, pw: int) -> DataFrame:
-    """(di, dj, lower): the donut cells of window w, and whether they are in the lower-left part."""
-    cells = [(i, j, int(1 <= i and j <= -1 and not (i <= pw and j >= -pw))) for i in range(-w, w + 1) for j in range(-w, w + 1) if i and j and not (abs(i) <= pw and abs(j) <= pw)]
-    return spark.createDataFrame(cells, "di long, dj long, lower int")
-
-
-def donut_sums(peaks: DataFrame, m: DataFrame, raw: DataFrame, expected: DataFrame, sizes: DataFrame, w: int, pw: int, ww: int) -> DataFrame:
-    """Per peak (chrom, bin1, bin2): sums over the donut (K) and lower-left (Y) of balanced (s) and expected (e) values at distances of ww or more, and raw reads in Y.
-
-    m, raw are upper-triangle; the window's cells outside the matrix do not count.
-    """
-    cells = F.broadcast(neighbourhood(peaks.sparkSession, w, pw))
-    at = peaks.select("chrom", "bin1", "bin2").crossJoin(cells).select("chrom", "bin1", "bin2", (F.col("bin1") + F.col("di")).alias("x"), (F.col("bin2") + F.col("dj")).alias("y"), "lower")
-    at = at.join(sizes, "chrom").where("x >= 0 and y >= 0 and x < n and y < n").withColumn("d", F.col("y") - F.col("x"))
-    v = m.where(F.col("bin2") - F.col("bin1") >= ww).select("chrom", F.col("bin1").alias("x"), F.col("bin2").alias("y"), F.col("value").alias("s"))
-    r = raw.where("bin1 <> bin2").select("chrom", F.col("bin1").alias("x"), F.col("bin2").alias("y"), F.col("value").alias("r"))
-    e = expected.where(F.col("d") >= ww)
-    at = at.join(v, ["chrom", "x", "y"], "left").join(r, ["chrom", "x", "y"], "left").join(e, ["chrom", "d"], "left").na.fill(0.0, ["s", "r", "expected"])
-    low = F.col("lower") == 1
-    return at.groupBy("chrom", "bin1", "bin2").agg(
-        F.sum("s").alias("k_s"), F.sum("expected").alias("k_e"), F.sum(F.when(low, F.col("s")).otherwise(0.0)).alias("y_s"), F.sum(F.when(low, F.col("expected")).otherwise(0.0)).alias("y_e"), F.sum(F.when(low, F.col("r")).otherwise(0.0)).alias("y_reads")
-    )
-
-
 def _box(prefix: np.ndarray, x0, x1, y0, y1) -> np.ndarray:
     """Sums over [x0, x1) x [y0, y1), cut to the matrix."""
     n = prefix.shape[0] - 1
@@ -95,6 +71,51 @@ def window_sums(value: np.ndarray, i: np.ndarray, j: np.ndarray, w: int, pw: int
     return donut - cross, lower
 
 
+#: Side of the tiles that peaks' windows are summed in.
+TILE = 512
+
+
+def donut_sums(peaks: DataFrame, m: DataFrame, raw: DataFrame, expected: DataFrame, sizes: DataFrame, w: int, pw: int, ww: int, tile: int = TILE) -> DataFrame:
+    """Per peak (chrom, bin1, bin2): sums over the donut (K) and lower-left (Y) of balanced (s) and expected (e) values at distances of ww or more, and raw reads in Y.
+
+    m, raw are upper-triangle; the window's cells outside the matrix do not count. Peaks meet the
+    pixels of their tile and a margin of w around it, and windows are differences of prefix sums:
+    a pixel is in four tiles at most, whatever the window.
+    """
+    at = lambda x, lo, hi: F.explode(F.sequence(F.floor((F.col(x) + lo) / tile), F.floor((F.col(x) + hi) / tile)))
+    kind = lambda d, k: d.select("chrom", "ti", "tj", F.lit(k).alias("kind"), "bin1", "bin2", F.col("value").cast("double").alias("value"))
+    p = peaks.select("chrom", "bin1", "bin2").distinct().join(sizes, "chrom")
+    p = p.select("chrom", F.floor(F.col("bin1") / tile).alias("ti"), F.floor(F.col("bin2") / tile).alias("tj"), "bin1", "bin2", F.col("n").alias("value"))
+    mine = p.select("chrom", "ti", "tj").distinct()
+    near = lambda d: d.withColumn("ti", at("bin1", -w, w)).withColumn("tj", at("bin2", -w, w)).join(mine, ["chrom", "ti", "tj"], "left_semi")
+    v = near(m.where(F.col("bin2") - F.col("bin1") >= ww).select("chrom", "bin1", "bin2", "value"))
+    r = near(raw.where("bin1 <> bin2").select("chrom", "bin1", "bin2", "value"))
+    # Distances that occur in a tile and its margin.
+    span = F.sequence(F.greatest(F.lit(ww).cast("long"), (F.col("tj") - F.col("ti") - 1) * tile - 2 * w), (F.col("tj") - F.col("ti") + 1) * tile + 2 * w)
+    d = mine.where((F.col("tj") - F.col("ti") + 1) * tile + 2 * w >= ww).withColumn("d", F.explode(span)).join(expected.select("chrom", "d", "expected"), ["chrom", "d"])
+    e = d.select("chrom", "ti", "tj", F.col("d").alias("bin1"), F.col("d").alias("bin2"), F.col("expected").alias("value"))
+    every = kind(v, 0).unionByName(kind(r, 1)).unionByName(kind(e, 2)).unionByName(kind(p, 3))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x0, y0, side = int(key[1]) * tile - w, int(key[2]) * tile - w, tile + 2 * w
+        k, b1, b2, value = pdf.kind.to_numpy(), pdf.bin1.to_numpy(), pdf.bin2.to_numpy(), pdf.value.to_numpy()
+        n = int(value[k == 3][0])
+        a = np.zeros((3, side, side))
+        for which in (0, 1):
+            a[which, b1[k == which] - x0, b2[k == which] - y0] = value[k == which]
+        x, y = np.arange(side) + x0, np.arange(side) + y0
+        far = y[None] - x[:, None]
+        by = np.zeros(1 + max(0, int(far.max()), *b1[k == 2].tolist()))
+        by[b1[k == 2]] = value[k == 2]
+        inside = ((x >= 0) & (x < n))[:, None] & ((y >= 0) & (y < n))[None]
+        a[2] = np.where(inside & (far >= ww), by[np.clip(far, 0, len(by) - 1)], 0.0)
+        i, j = b1[k == 3] - x0, b2[k == 3] - y0
+        (ks, ys), (_, yr), (ke, ye) = (window_sums(t, i, j, w, pw) for t in a)
+        return pd.DataFrame({"chrom": key[0], "bin1": b1[k == 3], "bin2": b2[k == 3], "k_s": ks, "k_e": ke, "y_s": ys, "y_e": ye, "y_reads": yr})
+
+    return every.groupBy("chrom", "ti", "tj").applyInPandas(run, "chrom string, bin1 long, bin2 long, k_s double, k_e double, y_s double, y_e double, y_reads double")
+
+
 _LOCAL = "chrom string, bin1 long, bin2 long, value double, window int, k_ratio double, y_ratio double"
 
 
@@ -109,7 +130,7 @@ def local_ratios(m: DataFrame, raw: DataFrame, expected: DataFrame, sizes: DataF
     far = max_apart // res
     margin = MAX_WINDOW
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t, n = int(key[1]), int(pdf.n.iloc[0])
         lo = max(0, t * tile - margin)
         hi = min(n, (t + 1) * tile + far + 2 * margin)
@@ -274,27 +295,48 @@ def cluster_points(points: np.ndarray, q: np.ndarray, size: np.ndarray, reach: f
     return out
 
 
+def independent_groups(points: DataFrame, reach: float) -> DataFrame:
+    """points(chrom, start, end, ..) with a `group` such that no cluster of that reach can hold points of two groups.
+
+    A cluster's centre lies among its members. Where neighbours by start, or by end, are more
+    than reach apart, no centre on one side comes within reach of a point on the other; so such
+    gaps cut a chromosome, then each part by its other coordinate, and both again.
+    """
+    d, by = points, ["chrom"]
+    for k in range(4):
+        at = "start" if k % 2 == 0 else "end"
+        order = Window.partitionBy(*by).orderBy(at)
+        d = d.withColumn("__apart", F.coalesce((F.col(at) - F.lag(at).over(order)) > reach, F.lit(False)).cast("int"))
+        d = d.withColumn(f"__g{k}", F.sum("__apart").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        by = [*by, f"__g{k}"]
+    return d.withColumn("group", F.struct(*by[1:])).drop("__apart", *by[1:])
+
+
 def cluster_loops(loops: DataFrame, res: int) -> DataFrame:
     """loops(chrom, start, end, q) -> one row a cluster: its best member and how many loops it gathers.
 
-    Clusters of radius res * sqrt(2) + 1000, then twice that until their number is stable. The
-    loops of a chromosome, thousands at most, are in one task.
+    Clusters of radius res * sqrt(2) + 1000, then twice that until their number is stable. Groups
+    of loops that gaps set apart are clustered on their own, with the result of one pass over all;
+    a group is as large as the densest stretch, not as a chromosome.
     """
     reach = res * math.sqrt(2) + 1000
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q, n = pdf[["start", "end"]].to_numpy(), pdf.q.to_numpy(), np.ones(len(pdf))
-        r = reach
-        while True:
-            c = cluster_points(p, q, n, r)
-            k = [b for b, _ in c]
-            stable = r > reach and len(c) == len(p)
-            p, q, n, r = p[k], q[k], np.array([s for _, s in c]), 2 * reach
-            if stable:
-                break
-        return pd.DataFrame({"chrom": pdf.chrom.iloc[0], "start": p[:, 0], "end": p[:, 1], "q": q, "n": n.astype("int64")})
-
-    return loops.select("chrom", "start", "end", "q").groupBy("chrom").applyInPandas(run, "chrom string, start long, end long, q double, n long")
+    def grouped(points: DataFrame, reach: float, until_stable: bool) -> DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            p, q, n = pdf[["start", "end"]].to_numpy(), pdf.q.to_numpy(), pdf.n.to_numpy(float)
+            while True:
+                c = cluster_points(p, q, n, reach)
+                k, stable = [b for b, _ in c], len(c) == len(p)
+                p, q, n = p[k], q[k], np.array([x for _, x in c])
+                if stable or not until_stable:
+                    break
+            return pd.DataFrame({"chrom": pdf.chrom.iloc[0], "start": p[:, 0], "end": p[:, 1], "q": q, "n": n.astype("int64")})
+
+        g = independent_groups(points, reach)
+        return g.groupBy("chrom", "group").applyInPandas(run, "chrom string, start long, end long, q double, n long")
+
+    first = grouped(loops.select("chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "q", F.lit(1).cast("long").alias("n")), reach, False)
+    return grouped(first, 2 * reach, True)
 
 
 def weighted_q(clusters: DataFrame, m: DataFrame, res: int, most: float = WEIGHTED_Q, allelic: bool = False) -> DataFrame:

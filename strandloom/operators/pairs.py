@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 LIBRARY_SIZE = 500
@@ -59,3 +59,26 @@ def filtering_stats(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     unique = drop_duplicates(pairs).agg(F.count(F.lit(1)).alias("u"))
     kinds = classify(pairs, fragments).agg(*[F.count_if(F.col("class") == k).alias("n_" + k.lower()) for k in ("SC", "DE", "UM", "ED", "VALID")])
     return total.crossJoin(unique).crossJoin(kinds).withColumn("duplicates", F.col("total_pairs") - F.col("u")).drop("u")
+
+
+CLASSES = ("SC", "DE", "UM", "ED", "VALID")
+
+
+def write_valid_pairs(pairs: DataFrame, fragments: DataFrame, path: str) -> dict[str, int]:
+    """Write valid_pairs under path and return filtering_stats' counts, taken while the rows pass: one reading of the pairs.
+
+    Pairs are counted before duplicates go, survivors after, classes where they are told.
+    """
+    before, after, kinds = Observation(), Observation(), Observation()
+    seen = pairs.observe(before, F.count(F.lit(1)).alias("total_pairs"))
+    unique = drop_duplicates(seen).observe(after, F.count(F.lit(1)).alias("unique"))
+    told = with_fragments(unique, fragments).withColumn("class", artefact_class())
+    told = told.observe(kinds, *[F.count_if(F.col("class") == k).alias("n_" + k.lower()) for k in CLASSES])
+    told.where("class = 'VALID'").drop("class").write.mode("overwrite").parquet(path)
+    total = before.get["total_pairs"]
+    return {"total_pairs": total, **kinds.get, "duplicates": total - after.get["unique"]}
+
+
+def merged_stats(parts: list[dict[str, int]]) -> dict[str, int]:
+    """The counts of chunks, added up."""
+    return {k: sum(p[k] for p in parts) for k in (parts[0] if parts else {})}

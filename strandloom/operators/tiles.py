@@ -95,6 +95,29 @@ def gram(tiles: DataFrame, size: int = TILE) -> DataFrame:
     return _summed(products, ["chrom", "i", "j"], _TILE)
 
 
+def box_sums(cells: DataFrame, step: int, size: int = TILE) -> DataFrame:
+    """(chrom, bin1, bin2, value): for each place the sum of cells within step rows and columns of it, where there is any.
+
+    Tiles come with a margin of step on all sides, so a cell is in four tiles at most; boxes are
+    differences of a tile's prefix sums.
+    """
+    at = lambda c: F.explode(F.sequence(F.floor((F.col(c) - step) / size), F.floor((F.col(c) + step) / size)))
+    d = cells.select("chrom", "bin1", "bin2", F.col("value").cast("double").alias("value")).withColumn("i", at("bin1")).withColumn("j", at("bin2")).where("i >= 0 and j >= 0")
+
+    def run(key, t):
+        a = np.zeros((2, size + 2 * step + 1, size + 2 * step + 1))
+        i, j = (t[c].to_numpy() - key[k].as_py() * size + step + 1 for c, k in (("bin1", 1), ("bin2", 2)))
+        np.add.at(a[0], (i, j), t["value"].to_numpy())
+        np.add.at(a[1], (i, j), 1.0)
+        p = a.cumsum(1).cumsum(2)
+        w = 2 * step + 1
+        total, some = p[:, w:, w:] - p[:, :-w, w:] - p[:, w:, :-w] + p[:, :-w, :-w]
+        x, y = np.nonzero(some > 0.5)
+        return _table([[key[0].as_py()] * len(x), x + key[1].as_py() * size, y + key[2].as_py() * size, total[x, y]], "chrom string, bin1 long, bin2 long, value double")
+
+    return d.groupBy("chrom", "i", "j").applyInArrow(run, "chrom string, bin1 long, bin2 long, value double")
+
+
 def column_blocks(values: DataFrame, names: list[str], size: int = TILE) -> DataFrame:
     """Block vectors of values(chrom, bin, names..): one column each, zero where there is no row."""
 

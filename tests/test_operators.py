@@ -363,3 +363,77 @@ def test_compartment_specificity_against_all_pairs(spark):
     for c, i in use:
         k = int((every < m[c, i] - p[c, i]).sum())
         assert got[str(c), i]["pvalue"] == pytest.approx(min(k, every.size - k) / every.size)
+
+
+def serial_clusters(points, q, reach):
+    """Clusters of all of a chromosome's loops in one pass, then twice as wide until none merge."""
+    n, r = np.ones(len(points)), reach
+    while True:
+        c = loops.cluster_points(points, q, n, r)
+        k = [b for b, _ in c]
+        done = r > reach and len(c) == len(points)
+        points, q, n, r = points[k], q[k], np.array([x for _, x in c]), 2 * reach
+        if done:
+            return sorted((*map(int, p), float(x), int(y)) for p, x, y in zip(points, q, n))
+
+
+def test_clusters_of_groups_are_the_serial_ones(spark):
+    """Thousands of loops in dense and sparse stretches: groups apart give what one pass over a chromosome gives."""
+    rng = np.random.default_rng(21)
+    res, reach = 10_000, 10_000 * math.sqrt(2) + 1000
+    rows = []
+    for chrom in "12":
+        centres = rng.integers(0, 4_000, (260, 2)) * res
+        centres[:, 1] += centres[:, 0]
+        p = np.unique(np.concatenate([c + rng.integers(-4, 5, (int(rng.integers(1, 14)), 2)) * res for c in centres]), axis=0)
+        rows += [(chrom, int(a), int(b), float(x)) for (a, b), x in zip(p, np.round(rng.random(len(p)), 6))]
+    d = spark.createDataFrame(rows, "chrom string, start long, end long, q double")
+    assert len(rows) > 3000 and loops.independent_groups(d, 2 * reach).select("chrom", "group").distinct().count() > 60
+    got = loops.cluster_loops(d, res).collect()
+    for chrom in "12":
+        mine = [r for r in rows if r[0] == chrom]
+        want = serial_clusters(np.array([r[1:3] for r in mine]), np.array([r[3] for r in mine]), reach)
+        assert sorted((r["start"], r["end"], r["q"], r["n"]) for r in got if r["chrom"] == chrom) == want
+
+
+def test_window_sums_over_tiles(spark):
+    rng = np.random.default_rng(22)
+    n, w, pw, ww = 70, 5, 1, 3
+    a, b = np.triu(rng.poisson(0.7, (n, n))).astype(float), np.triu(rng.poisson(0.7, (n, n))).astype(float)
+    e = np.linspace(3, 1, n)
+    peaks = spark.createDataFrame([("1", i, j) for i in range(n) for j in range(i, n) if (i * 7 + j) % 5 == 0], "chrom string, bin1 long, bin2 long")
+    ex = spark.createDataFrame([("1", d, float(e[d])) for d in range(n)], "chrom string, d long, expected double")
+    far = np.arange(n)[None] - np.arange(n)[:, None]
+    s, x, r = np.where(far >= ww, a, 0), np.where(far >= ww, e[np.abs(far)], 0), b - np.diag(np.diag(b))
+    for tile in (16, 512):
+        got = loops.donut_sums(peaks, frame(spark, a), frame(spark, b), ex, sizes(spark, n), w, pw, ww, tile).collect()
+        assert len(got) == peaks.count()
+        i, j = np.array([r_["bin1"] for r_ in got]), np.array([r_["bin2"] for r_ in got])
+        for m, k, y in ((s, "k_s", "y_s"), (x, "k_e", "y_e"), (r, None, "y_reads")):
+            donut, lower = loops.window_sums(m, i, j, w, pw)
+            assert np.allclose([g[y] for g in got], lower) and (k is None or np.allclose([g[k] for g in got], donut))
+
+
+def test_box_sums_over_tiles(spark):
+    rng = np.random.default_rng(23)
+    a = rng.poisson(0.05, (50, 50)).astype(float)
+    for step, size in ((2, 8), (3, 256)):
+        got = {(r["bin1"], r["bin2"]): r["value"] for r in tiles.box_sums(frame(spark, a), step, size).where("bin1 < 50 and bin2 < 50").collect()}
+        want = {(i, j): a[max(0, i - step) : i + step + 1, max(0, j - step) : j + step + 1].sum() for i in range(50) for j in range(50)}
+        assert got == {k: v for k, v in want.items() if v}
+
+
+def test_counters_taken_in_one_pass(spark, tmp_path):
+    rnd = random.Random(5)
+    row = lambda i: (f"n{i}", rnd.choice("12"), rnd.choice([0, 16]), rnd.randrange(1, 900), rnd.choice("12"), rnd.choice([0, 16]), rnd.randrange(1, 900))
+    rows = [row(i) for i in range(300)]
+    rows += [(f"z{i}", *r[1:]) for i, r in enumerate(rows[:80])]
+    schema = "name string, chrom1 string, flag1 int, pos1 long, chrom2 string, flag2 int, pos2 long"
+    d = spark.createDataFrame(rows, schema)
+    f = genome.fragments_of_sites(spark.createDataFrame([(c, x) for c in "12" for x in range(100, 1000, 100)], "chrom string, site long"))
+    got = pairs.write_valid_pairs(d, f, str(tmp_path / "valid"))
+    assert got == pairs.filtering_stats(d, f).first().asDict()
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "valid")).collect())) == sorted(map(str, pairs.valid_pairs(d, f).collect()))
+    halves = [pairs.write_valid_pairs(d.where(w), f, str(tmp_path / k)) for k, w in (("a", "chrom1 = '1'"), ("b", "chrom1 = '2'"))]
+    assert pairs.merged_stats(halves) == got and pairs.merged_stats([]) == {}
+
