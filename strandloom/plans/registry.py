@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .contact_queries import register as _contacts
+from .source_queries import register as _sources
 from .structure_queries import register as _structures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,3 +23,4 @@ def _add(name: str, query: Query, oracle: str | None = None) -> None:
 
 _contacts(_add)
 _structures(_add)
+_sources(_add)
