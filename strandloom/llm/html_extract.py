@@ -3,11 +3,14 @@
 A page is cut into blocks. All visible text of all pages of a host, articles too, forms one token
 stream; its suffixes, sorted by their first `run` tokens, put equal runs side by side. A run on
 enough pages with different texts around it is boilerplate; copies of one page, told by the least
-of four hashes each of their runs, count once, and a page more than half of which is covered by
-such runs is an edited copy that keeps them. Markup is the other input: what sits in menus, headers, footers,
-sidebars, notices, adverts, forms and comments goes; of a page with an article or main element only
-that is main text, and there a run must be on more pages. Boilerplate runs that join to a whole
-block, or to a long part of one, are removed; the rest of the block stays.
+of four hashes each of their runs, count once. A page of which nothing but short stretches, a
+fifth of it at most, is not covered by such runs is an edited copy and keeps them. Markup is the
+other input: what sits in menus, headers, footers, sidebars, notices, adverts, forms and comments
+goes; of a page with an article or main element only that is main text. There names of classes
+count only where they are nothing but adverts, comments and the like, never at headings and
+passages, a header belongs to the article, and a run must be on ten pages, or on half of those of
+its host. Boilerplate runs that join to a whole block, or to a long part of one, are removed; the
+rest of the block stays.
 
 Hosts are dealt to groups of a bounded number of tokens. A host too large for one group is split
 by page; the contexts of its runs are counted over all its groups. First each group tells the
@@ -31,6 +34,8 @@ _GROUP_TOKENS = 500_000
 _BROADCAST_ROWS = 500_000
 #: Different contexts that make a run boilerplate, elsewhere and inside main elements; tokens of a part of a block that goes.
 _CONTEXTS, _MAIN_CONTEXTS, _LONG = 3, 10, 20
+#: Share of a page that is covered where it is an edited copy of others, with no long part uncovered.
+_COPY = 0.8
 #: Hash functions whose least values name a page's context.
 _LEAST = 4
 
@@ -50,6 +55,11 @@ _OUT_NAMES = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar aside widget widgets footer header masthead topbar toolbar skip share sharing social related recommended "
     "comment comments commentlist reply replies respond disqus discussion".split()
 )
+#: Classes and ids, whole, that rule out a part of an article or main element.
+_OUT_INSIDE = frozenset("ad ads advert adverts advertisement sponsored cookie-notice newsletter subscribe share share-buttons sharing social social-share comment comments comment-list commentlist disqus_thread respond breadcrumb breadcrumbs pagination".split())
+#: Elements that names do not rule out inside such an element; tags that do not.
+_TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figure figcaption table tbody tr td th dl dt dd li".split())
+_INSIDE_TAGS = frozenset("header label datalist".split())
 #: An end tag of an inline element does not reach beyond one of these.
 _BARRIERS = _BLOCKS - _HIDDEN
 #: An open p ends where one of these begins.
@@ -61,15 +71,15 @@ _NAME = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _is_out(tag: str, attrs: str) -> bool:
-    """Whether an element's own markup says that it is not main text."""
-    if tag in _OUT_TAGS:
+def _is_out(tag: str, attrs: str, inside: bool = False) -> bool:
+    """Whether an element's own markup says that it is not main text; inside: of an article or main element."""
+    if tag in _OUT_TAGS and not (inside and tag in _INSIDE_TAGS):
         return True
     if not attrs or tag in ("body", "html") or tag in _MAIN_TAGS:
         return False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not _OUT_NAMES.isdisjoint(_NAME.findall(value)):
+        if name in ("class", "id") and (tag not in _TEXT_TAGS and not _OUT_INSIDE.isdisjoint(value.split()) if inside else not _OUT_NAMES.isdisjoint(_NAME.findall(value))):
             return True
         if name == "role" and value.strip() in _OUT_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -155,7 +165,7 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
                     break
         if tag in _VOID or attrs.endswith("/"):
             continue
-        o, main = _is_out(tag, attrs), tag in _MAIN_TAGS or "role" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs) is not None
+        o, main = _is_out(tag, attrs, mains > 0), tag in _MAIN_TAGS or "role" in attrs and re.search(r"role\s*=\s*[\"']?main\b", attrs) is not None
         stack.append((tag, o, main))
         ruled += o
         mains += main
@@ -208,7 +218,7 @@ def grams(tokens: np.ndarray, run: int) -> np.ndarray:
     return gram
 
 
-_PARSED = "page_id long, url string, packed binary, kinds string, host long, context long, split boolean, g long"
+_PARSED = "page_id long, url string, packed binary, kinds string, host long, context long, split boolean, needed int, g long"
 
 
 def _hashes(text: str, host: int) -> np.ndarray:
@@ -250,7 +260,7 @@ def _parse(run: int):
                 out[3].append(_context(gram) if len(gram) else row)
             arrays = [pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.string(), pa.int64(), pa.int64()))]
             named = {"page_id": batch.column("page_id"), "url": batch.column("url"), "packed": arrays[0], "kinds": arrays[1], "host": arrays[2], "context": arrays[3]}
-            yield pa.RecordBatch.from_pydict(named | {c: batch.column(c) for c in ("split", "g")})
+            yield pa.RecordBatch.from_pydict(named | {c: batch.column(c) for c in ("split", "needed", "g")})
 
     return parse
 
@@ -387,6 +397,7 @@ def _judge(run: int):
 
     def judge(table, between):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         if not table.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.string())], ["page_id", "url", "text"])
@@ -402,23 +413,32 @@ def _judge(run: int):
         size = len(s.tokens)
         often = np.zeros(size + run, np.int64)
         often[s.order] = np.repeat(count, np.diff(np.append(s.begin, len(s.order))))
-        covered = {}
-        for least in (_CONTEXTS, _MAIN_CONTEXTS):
+        # Inside main elements: ten contexts, or half of the host's, three at least.
+        host = table.column("host").to_numpy()
+        pairs = np.unique(np.stack([host, table.column("context").to_numpy()]), axis=1)[0]
+        names, several = np.unique(pairs, return_counts=True)
+        needed = np.clip((several + 1) // 2, _CONTEXTS, _MAIN_CONTEXTS)[np.searchsorted(names, host)]
+        told = pc.fill_null(table.column("needed"), 0).to_numpy()  # of a split host: by all its different pages
+        needed = np.where(told > 0, told, needed)
+        within = np.repeat(needed, s.sizes)
+
+        def cover(hit: np.ndarray) -> np.ndarray:
             step = np.zeros(size + run + 1, np.int64)
-            hit = np.flatnonzero(often >= least)
             step[hit] += 1
             np.subtract.at(step, hit + run, 1)
-            covered[least] = np.cumsum(step) > 0
+            return np.cumsum(step) > 0
+
+        covered = {False: cover(np.flatnonzero(often >= _CONTEXTS)), True: cover(np.flatnonzero(often[:size] >= within))}
         texts, at = [], 0
         for page, kinds, size in zip(pages, table.column("kinds").to_pylist(), s.sizes):
             main = "1" in kinds
-            own, c = "1" if main else "0", covered[_MAIN_CONTEXTS if main else _CONTEXTS]
+            own, c, shared = "1" if main else "0", covered[main], covered[False]
             blocks, ends = page.split("\n"), []
             for b in blocks:
                 ends.append((ends[-1] if ends else at) + b.count(" ") + 1)
-            mine = [(b, c[i:j]) for b, kind, i, j in zip(blocks, kinds, [at, *ends], ends) if kind == own]
-            # A page that is mostly found elsewhere is a copy, edited perhaps: its text is no boilerplate.
-            copy = 2 * sum(int(x.sum()) for _, x in mine) > sum(len(x) for _, x in mine)
+            spans = [(b, i, j) for b, kind, i, j in zip(blocks, kinds, [at, *ends], ends) if kind == own]
+            mine = [(b, c[i:j]) for b, i, j in spans]
+            copy = _is_copy(np.concatenate([np.zeros(0, bool), *[shared[i:j] for _, i, j in spans]]))
             kept = [b if copy else _left(b, x) for b, x in mine]
             texts.append("\n".join(filter(None, kept)))
             at += size
@@ -427,6 +447,18 @@ def _judge(run: int):
     return judge
 
 
+def _is_copy(covered: np.ndarray) -> bool:
+    """Whether a page's text is an edited copy: covered to four fifths by runs of several contexts, and nowhere uncovered for long.
+
+    A page of a notice and a text of its own has the notice covered and its own text, in one
+    stretch, not; a copy's edits are short and between covered parts.
+    """
+    if not covered.any() or covered.mean() <= _COPY:
+        return False
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (~covered).astype(np.int8), [0]])))
+    return not len(edge) or int((edge[1::2] - edge[::2]).max()) < _LONG
+
+
 def _left(block: str, covered: np.ndarray) -> str:
     """A block without its covered parts that are long or the whole block."""
     if not covered.any():
@@ -440,6 +472,11 @@ def _left(block: str, covered: np.ndarray) -> str:
     return " ".join(out + words[at:])
 
 
+def _needed(n):
+    """Contexts that make a run inside main elements boilerplate, on a host of n different pages."""
+    return F.greatest(F.lit(_CONTEXTS), F.least(F.lit(_MAIN_CONTEXTS), F.ceil(n / 2))).cast("int")
+
+
 def extract(pages: DataFrame, run: int = 5) -> DataFrame:
     """page_id, url, text, n_chars (code points) of each row of pages(page_id, url, html).
 
@@ -452,9 +489,9 @@ def extract(pages: DataFrame, run: int = 5) -> DataFrame:
     p = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), site.alias("site"))
     p = p.withColumn("host", F.xxhash64("site"))
     # Sizes in tokens, at eight bytes of page each.
-    sizes = materialize(p.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) / 8).alias("n")), "hosts")
+    sizes = materialize(p.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) / 8).alias("n"), F.count_distinct(F.xxhash64("html")).alias("pages")), "hosts")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    large = sizes.where(F.col("n") > _GROUP_TOKENS).select("host", F.ceil(F.col("n") / _GROUP_TOKENS).alias("shards"))
+    large = sizes.where(F.col("n") > _GROUP_TOKENS).select("host", F.ceil(F.col("n") / _GROUP_TOKENS).alias("shards"), _needed(F.col("pages")).alias("needed"))
     if large.count() <= _BROADCAST_ROWS:
         large = F.broadcast(large)
     groups = int(total / _GROUP_TOKENS) * 2 + 1
@@ -464,7 +501,7 @@ def extract(pages: DataFrame, run: int = 5) -> DataFrame:
     p = p.withColumn("g", F.pmod(F.xxhash64("host", F.pmod(F.xxhash64("row"), F.coalesce("shards", F.lit(1)))), F.lit(groups)))
     prefer_small_batches(pages.sparkSession, 500)
     # One shuffle of the packed texts, which all three passes read: they must ask for the same columns.
-    s = p.select("row", "page_id", "url", "html", "site", "split", "g").mapInArrow(_parse(run), _PARSED).repartition("g")
+    s = p.select("row", "page_id", "url", "html", "site", "split", "needed", "g").mapInArrow(_parse(run), _PARSED).repartition("g")
     marks = s.groupBy("g").applyInArrow(lambda t: _sketch(run, ranges, bits)(t), "r long, g long, packed binary")
     marks = marks.groupBy("r").applyInArrow(lambda t: _candidates(t), "g long, packed binary")
     runs = s.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(lambda a, b: _find(run, ranges, bits)(a, b), "r long, g long, gram long, context long")

@@ -182,3 +182,41 @@ def test_edited_copies_stay(spark):
             want[100 * k + i] = " ".join(words)
             rows.append((100 * k + i, "http://f.example/", form.format(want[100 * k + i])))
     assert extracted(spark, rows) == want
+
+
+@pytest.mark.parametrize("tokens", [500_000, 300])
+def test_a_notice_goes_however_much_it_dominates(spark, monkeypatch, tokens):
+    """One notice of 60 words on all pages of a host, beside 20 to 200 words of their own, on hosts of three pages and more."""
+    monkeypatch.setattr(hx, "_GROUP_TOKENS", tokens)
+    rnd = random.Random(29)
+    rows, want = [], {}
+    for k, (n, pages) in enumerate([(200, 40), (100, 40), (50, 40), (30, 40), (20, 40), (40, 3), (40, 5), (40, 9), (40, 2)]):
+        notice = prose(rnd, 60)
+        for i in range(pages):
+            own = prose(rnd, n)
+            rows.append((1000 * k + i, f"http://n{k}.example/", f"<article><p>{own}</p><p>{notice}</p></article>"))
+            want[1000 * k + i] = own if pages > 2 else f"{own}\n{notice}"  # two pages do not tell a notice from a quotation
+    assert extracted(spark, rows) == want
+
+
+def test_copies_with_edits_keep_shared_text(spark):
+    """Copies with four edits in a hundred words, and a copy with a short addition."""
+    rnd = random.Random(31)
+    base, rows, want = prose(rnd, 200).split(), [], {}
+    for i in range(24):
+        words = list(base)
+        for k in rnd.sample(range(200), 8):
+            words[k] = prose(rnd, 1)
+        want[i] = " ".join(words + prose(rnd, i % 12).split())
+        rows.append((i, "http://g.example/", f"<article><p>{want[i]}</p></article>"))
+    assert extracted(spark, rows) == want
+
+
+def test_names_inside_articles():
+    """Names at headings, passages and sections of an article are content; adverts, comments and menus in it are not."""
+    shown = lambda page: [t for t, o, m in hx.blocks_of(page) if m and not o]
+    assert shown('<article><h2 id="related-work">Related work</h2><p>a</p><div class="promotion-effects">b</div><p>x</article>') == ["Related work", "a", "b", "x"]
+    assert shown('<article><div class="article-header"><h1>Title</h1></div><section id="discussion"><p>d</p></section><header><p>by</p></header></article>') == ["Title", "d", "by"]
+    assert shown('<main><p>a</p><div class="ad">b</div><section id="comments"><p>c</p></section><nav>d</nav><form>e</form><footer>f</footer><p class="comments">g</p></main>') == ["a", "g"]
+    assert [t for t, o, _ in hx.blocks_of('<div class="site-header">a</div><p>b</p><div id="related-links">c</div>') if not o] == ["b"]
+
