@@ -19,7 +19,7 @@ from .ngram_join import ngram_components
 from .pii import find, summary
 from .preference import judge_quality
 from .quality import judge
-from .sentencepiece_codec import decode, encode, model_bytes
+from .sentencepiece_codec import encode, model_bytes
 from .warc import archive_and_read
 
 
@@ -38,8 +38,7 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and the digest of what they decode to."""
-    model = model_bytes()
-    back = decode(encode(read_table(spark, sf_dir, "documents"), model), model)
+    back = encode(read_table(spark, sf_dir, "documents"), model_bytes(), back=True)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 

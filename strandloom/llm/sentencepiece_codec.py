@@ -535,8 +535,8 @@ def _trace(model: bytes):
     return run
 
 
-def _encode(model: bytes):
-    """(key columns.., text) -> (key columns.., ids)."""
+def _encode(model: bytes, back: bool = False):
+    """(key columns.., text) -> (key columns.., ids), with back also what the ids decode to, in the same worker."""
 
     def run(batches):
         import pyarrow as pa
@@ -552,20 +552,22 @@ def _encode(model: bytes):
                     offsets = np.zeros(len(raw) + 1, np.int32)
                     np.cumsum([len(r) // 4 for r in raw], out=offsets[1:])
                     ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-                    yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:-1]), ids], [*batch.schema.names[:-1], "ids"])
+                    texts_back = [pa.array([pieces.decode(np.frombuffer(r, "<i4").tolist()) for r in raw], pa.string())] if back else []
+                    yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[:-1]), ids, *texts_back], [*batch.schema.names[:-1], "ids", *["text"] * back])
         finally:
             pieces.forget()  # a worker that waits for other work keeps no words
 
     return run
 
 
-def encode(docs: DataFrame, model: bytes | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model: bytes | None = None, giant: int = GIANT, chunk: int = CHUNK, back: bool = False) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids: the model's own encoding of each whole text (BPE merges, or the best segmentation).
 
     Null and empty texts have no ids. Characters without a piece become their bytes' pieces.
     Among segmentations of equal score that with the longest last piece, and so on backwards, is
     taken. Rows that repeat stay apart, with equal ids; null doc_ids stay; other columns are
-    ignored, whatever their names; an empty table gives an empty result.
+    ignored, whatever their names; an empty table gives an empty result. With back there is a
+    column text, as decode gives it.
     """
     model = model_bytes() if model is None else model
     size = load(model).longest
@@ -574,7 +576,7 @@ def encode(docs: DataFrame, model: bytes | None = None, giant: int = GIANT, chun
     prefer_small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     is_giant = F.coalesce(F.char_length("text"), F.lit(0)) > giant
-    small = d.where(~is_giant).mapInArrow(trimmed(_encode(model)), "doc_id long, ids array<int>")
+    small = d.where(~is_giant).mapInArrow(trimmed(_encode(model, back)), "doc_id long, ids array<int>" + ", text string" * back)
     big = materialize(d.where(is_giant).withColumn("key", F.monotonically_increasing_id()), "giants")
     total = big.agg(F.sum(F.char_length("text").cast("long"))).first()[0]
     if not total:
@@ -587,13 +589,13 @@ def encode(docs: DataFrame, model: bytes | None = None, giant: int = GIANT, chun
         ms = parts.repartition(n, "key", "k").mapInArrow(trimmed(_transfers(model)), "key long, k long, m binary")
         states = ms.groupBy("key").applyInArrow(_scan_merges, "key long, k long, ea int, eb int, xa int, xb int")
         traced = parts.join(states, ["key", "k"]).repartition(n, "key", "k").select(*_CHUNK_NAMES, "ea", "eb", "xa", "xb").mapInArrow(trimmed(_trace_merges(model)), "key long, k long, ids array<int>")
-        return small.unionByName(_joined(big, traced))
+        return small.unionByName(decode(_joined(big, traced), model) if back else _joined(big, traced))
     parts = texts.mapInArrow(trimmed(_split(model, chunk)), "key long, k long, part string, n int, last boolean, aligned boolean")
     parts = materialize(parts.repartition(n, "key", "k"), "chunks")
     ms = parts.repartition(n, "key", "k").mapInArrow(trimmed(_matrices(model)), "key long, k long, m binary")
     states = ms.groupBy("key").applyInArrow(_scan(size), "key long, k long, entry int, exit int")
     traced = parts.join(states, ["key", "k"]).repartition(n, "key", "k").select("key", "k", "part", "n", "entry", "exit").mapInArrow(trimmed(_trace(model)), "key long, k long, ids array<int>")
-    return small.unionByName(_joined(big, traced))
+    return small.unionByName(decode(_joined(big, traced), model) if back else _joined(big, traced))
 
 
 def _joined(big: DataFrame, traced: DataFrame) -> DataFrame:

@@ -149,3 +149,11 @@ def test_words_are_forgotten_by_bytes(monkeypatch):
     for i in range(50):
         merges.encode_all([f"word{i}x and{i} some{i}"])
     assert len(merges.words) < 60
+
+
+def test_encoding_back_is_decoding(spark):
+    rows = list(enumerate([t for t in texts()]))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {r["doc_id"]: (r["ids"], r["text"]) for r in sp.decode(sp.encode(d, MODEL), MODEL).collect()}
+    for giant, chunk in ((sp.GIANT, sp.CHUNK), (60, 20)):
+        assert {r["doc_id"]: (r["ids"], r["text"]) for r in sp.encode(d, MODEL, giant, chunk, back=True).collect()} == want
