@@ -23,6 +23,10 @@ from .sentencepiece_codec import encode, model_bytes
 from .warc import archive_and_read
 
 
+#: Tools and their parameters: name, parameter, JSON type, whether it is required.
+TOOLS = [("search", "query", "string", True), ("search", "limit", "integer", False), ("calculate", "expression", "string", True), ("now", None, None, False)]
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return ngram_components(docs, n=5, percent=80).select("doc_id", "n_shingles", "component_id")
@@ -43,7 +47,9 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chat(parse_messages(read_table(spark, sf_dir, "conversations")))
+    """Schemas are those of the tools below; the given conversations hold no calls."""
+    schemas = spark.createDataFrame(TOOLS, "tool string, parameter string, type string, required boolean")
+    return format_chat(parse_messages(read_table(spark, sf_dir, "conversations")), schemas)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +113,7 @@ ORACLES: dict[str, str] = {
         select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(c) from r where r.doc_id = d.doc_id) as component_id from documents d left join n on n.doc_id = d.doc_id
     """,
     "op5_chat_format": """
-        select conv_id, turn, role, turn as order_turn, cast(0 as bigint) as order_step, cast(0 as bigint) as n_calls,
+        select conv_id, turn, cast(0 as bigint) as part, role, turn as order_turn, cast(0 as bigint) as order_step, false as cyclic, cast(0 as bigint) as n_calls,
           cast(0 as bigint) as n_answered, cast(0 as bigint) as n_invalid, cast(null as boolean) as linked,
           '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' as json,
           '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as rendered
