@@ -33,7 +33,9 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3).select("doc_id", "size", "source_size", "target", "taken")
+    """first_position and last_finish are where the queueing puts a document's first play, and the virtual time its last one ends."""
+    m = mix(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3)
+    return m.select("doc_id", "size", "source_size", "target", "taken", F.array_min("plays.position").alias("first_position"), F.array_max("plays.finish").alias("last_finish"))
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,11 +122,12 @@ ORACLES: dict[str, str] = {
         from conversations
     """,
     "op6_warc": """
-        with p as (select page_id, coalesce(html, '') as html from pages),
-        d as (select page_id, strlen(html) as n, sha1(html) as digest, max(page_id) over (partition by html) as last from p)
+        with p as (select page_id, coalesce(html, '') as html, regexp_extract(url, '^[a-z]+://([^/?#]*)([^#]*)', ['host', 'rest']) as u from pages),
+        k as (select *, concat(regexp_replace(lower(u.host), '^www[.]', ''), case when u.rest = '' then '/' else u.rest end) as key from p),
+        d as (select page_id, strlen(html) as n, sha1(html) as digest, max(page_id) over (partition by html) as last, row_number() over w as capture, lag(page_id) over w as last_page_id from k window w as (partition by key order by page_id))
         select page_id, n as payload_bytes, digest as payload_digest,
           case when n >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
-          case when n >= 1000 and page_id <> last then last end as refers_to
+          case when n >= 1000 and page_id <> last then last end as refers_to, capture, last_page_id
         from d
     """,
     "op11_ranked_search": r"""

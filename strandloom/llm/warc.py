@@ -238,11 +238,11 @@ def read_records(stream):
         yield warc, dict(x.split(": ", 1) for x in http.decode("latin-1").split("\r\n")[1:]), body
 
 
-_READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, capture long, last_page_id long"
 
 
 def _read(batches):
-    """Index rows, by file and offset -> what their records say."""
+    """Index rows, by file and offset -> what their records say, and their place in the history that the index has."""
     import pyarrow as pa
 
     def page(name: str | None):
@@ -269,22 +269,25 @@ def _read(batches):
                 one = (page(warc["WARC-Record-ID"]), size, declared, kind, page(warc.get("WARC-Refers-To")))
                 if (*one, url_key(warc.get("WARC-Target-URI")), warc["WARC-Date"]) != (row["page_id"], row["payload_bytes"], row["digest"], row["record_type"], row["refers_to"], row["url_key"], row["ts"]):
                     raise ValueError(f"another record than the index names at {row['offset']} of {name}")
-                rows.append(one)
+                rows.append((*one, row["capture"], row["last_page_id"]))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], [x.split()[0] for x in _READ.split(", ")])
     finally:
         if stream is not None:
             stream.close()
 
 
 def read_archives(index: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest (hex SHA-1), record_type and refers_to of every record that an index names.
+    """page_id, payload_bytes, payload_digest (hex SHA-1), record_type and refers_to of every record that an index names, with capture and last_page_id of histories, null where the index has none.
 
     Index rows are dealt by stretches of their archives and read in the order of offsets. A
     response's digest and size are taken from its payload and must be those it declares; a
     revisit's are those of the payload it refers to, as declared. A record that is not the one
     its index row names is an error. Rows that repeat are read as often.
     """
+    for c in ("capture", "last_page_id"):
+        if c not in index.columns:
+            index = index.withColumn(c, F.lit(None).cast("long"))
     size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     # A number of partitions of its own: the rows are few, but the bytes behind them are not.
     n = max(1, -(-size // _READ_BYTES), min(index.sparkSession.sparkContext.defaultParallelism, -(-size // (1 << 20))))
@@ -312,7 +315,10 @@ def histories(merged: DataFrame) -> DataFrame:
 def archive_and_read(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Write pages to archives, merge their index, and read back the records that the merged index names.
 
-    One row a page; see write_archives and read_archives. An empty table gives an empty result;
-    columns other than page_id, url and html are ignored.
+    One row a page, with its place among the captures of its URL as the merged index orders them;
+    see write_archives, histories and read_archives. An empty table gives an empty result;
+    columns other than page_id, url and html are ignored. A record, of whatever length, is
+    written and read in one task.
     """
-    return read_archives(materialize(merge_index(write_archives(pages, least_bytes=least_bytes)), "merged"))
+    merged = materialize(merge_index(write_archives(pages, least_bytes=least_bytes)), "merged")
+    return read_archives(materialize(histories(merged), "histories"))
