@@ -238,13 +238,10 @@ def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, least_c
 
     place = lambda t: (F.col(f"{t}.start").alias("start"), (F.col(f"{t}.start") + F.char_length(f"{t}.value")).alias("end"), F.lower(f"{t}.value").alias("term"))
     listed = F.array_sort(F.collect_list(F.struct("start", "end", "rank", F.when(F.col("rank") == _REMOVE, ADDED[2]).otherwise(ADDED[1]).alias("kind"))))
-    # The stronger wins where one term discloses several values of its document.
-    told = info.where("not of_kind").join(asked.select("row", "entity"), "entity").join(terms, ["row", "term"]).groupBy("row", "term").agg(F.max("rank").alias("rank"))
-    told = materialize(told, "told")
-    places = spans.join(told.select("row").distinct(), "row").select("row", F.explode(located(F.col("text"), _TERM)).alias("t")).select("row", *place("t"))
-    found = places.join(told, ["row", "term"]).groupBy("row").agg(listed.alias("near"))
-    added = b.select("row", "doc_id", "content", "base", "secrets").join(found, "row", "left")
-    everywhere = materialize(info.where("of_kind").groupBy("term").agg(F.max("rank").alias("rank")), "everywhere")
+    added = b.select("row", "doc_id", "content", "base", "secrets")
+    # A term that discloses discloses wherever it stands, also where it is the only trace. The
+    # stronger mark wins where it discloses several values or kinds.
+    everywhere = materialize(info.groupBy("term").agg(F.max("rank").alias("rank")), "everywhere")
     if not everywhere.isEmpty():
         # Spans depend on the text alone, so rows of one id and text share them.
         hits = d.select("doc_id", "content", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(everywhere, "term", "left_semi")
@@ -256,10 +253,7 @@ def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, least_c
         added = added.join(wide, same, "left").drop("__d", "__c")
     else:
         added = added.withColumn("wide", F.lit(None).cast(_SPANS))
-    none = F.array().cast(_SPANS)
-    by = F.array_sort(F.concat(F.coalesce("near", none), F.coalesce("wide", none)))
-    # Of a place marked twice the stronger mark stays.
-    once = F.get(F.transform(F.array(by), lambda x: F.filter(x, lambda s, i: ~F.coalesce(F.get(x, i + 1)["start"] == s["start"], F.lit(False)))), 0)
+    once = F.coalesce("wide", F.array().cast(_SPANS))
     bare = F.transform("secrets", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), s["kind"].alias("kind")))
     return added.select("doc_id", "content", "base", F.array_sort(F.concat(bare, _apart(_apart(once, F.col("base")), F.col("secrets")))).alias("added"))
 

@@ -75,6 +75,13 @@ def test_disclosing_terms(spark):
     assert all("orb" not in t[i] and "[EMAIL]" in t[i] for i in range(12)) and t[60] == "one fixed Quxington passage [EMAIL] here"
 
 
+def test_a_disclosing_term_is_marked_where_it_is_the_only_trace(spark):
+    more = spark.createDataFrame([(100, "Zorbelius went to town"), (101, "nobody but Zorbelius"), (102, "nobody else")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find(story(spark).union(story(spark).selectExpr("doc_id + 200", "replace(text, 'day', 'night')")).union(more)).collect()}
+    assert [[(s["start"], s["end"]) for s in got[i]["added"]] for i in (100, 101, 102)] == [[(0, 9)], [(11, 20)], []]
+    assert all(len(got[i]["added"]) == 1 for i in (*range(12), *range(200, 212)))
+
+
 def test_terms_far_from_the_value(spark):
     rnd = random.Random(5)
     text = lambda n: " ".join(rnd.choice("report of a long day with some people in town".split()) for _ in range(n))
