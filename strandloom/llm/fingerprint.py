@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices_by_bytes, text_buffers, trimmed
+from .common import mix64, prefer_small_batches, slices_by_bytes, text_buffers, trimmed
 from .ngram_join import _inverse_powers, _powers
 
 _RNG = np.random.default_rng(977)
@@ -204,6 +204,7 @@ def compare_with_next(docs: DataFrame, **sizes: int) -> DataFrame:
     Rows are dealt to blocks of consecutive ids, and each block also gets the first row of the
     block after it, so that no task needs more than its block.
     """
+    prefer_small_batches(docs.sparkSession, 500)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = int(size // _BLOCK_BYTES) + 1
