@@ -9,6 +9,7 @@ from strandloom.operators import balance, compartments, contacts, domains, loops
 from strandloom.sources import fixtures as fx
 from strandloom.sources.store import stored
 
+from . import structure_sql
 from .inputs import RES, sql
 
 N = fx.n_bins(RES)
@@ -111,7 +112,7 @@ _PC = """pcm as (select chrom, bin, sin(k * 0.37) + 0.3 * sin(k * 1.7) as m from
 
 def _components(s, d):
     pc = compartments.call_compartments(_m(s, d), _z(s))
-    return pc
+    return pc.withColumns({c: F.round(c, 5) for c in ("pc", "score", "pc1", "pc2", "pc3")})
 
 
 def _ice_sql(rounds: int) -> str:
@@ -165,7 +166,7 @@ def register(add) -> None:
         sql("decay", """, u as (select chrom, bin from rows_t where coverage > 0.05), c as (select a.chrom, a.bin as row, b.bin as col, coalesce(value, 0) as v from u a join u b on a.chrom = b.chrom left join oe on oe.chrom = a.chrom and oe.bin1 = a.bin and oe.bin2 = b.bin)
         select x.chrom, x.col as bin1, y.col as bin2, round(coalesce(case when var_pop(x.v) > 1e-15 and var_pop(y.v) > 1e-15 then corr(x.v, y.v) else 0 end, 0), 6) as r from c x join c y on x.chrom = y.chrom and x.row = y.row group by 1, 2, 3"""),
     )
-    add("compartments_pc", _components)
+    add("compartments_pc", _components, structure_sql.COMPARTMENTS)
     add(
         "select_allelic_pc",
         lambda s, d: _round(compartments.choose_by_reference(_pc(s, d, "m").selectExpr("chrom", "bin", "pc", "sin(bin * 0.11) as pc2").select("chrom", "bin", F.expr("stack(2, 1, pc, 2, pc2) as (component, value)")), _pc(s, d, "p")), "r"),
@@ -227,7 +228,7 @@ def register(add) -> None:
     # Loops.
     add("diagonal_expected", lambda s, d: _round(loops.diagonal_means(_t(s, d), _z(s), 40), "mean"), sql("mx", f"select z.chrom, d, round(coalesce((select sum(value) from px where px.chrom = z.chrom and bin2 - bin1 = d), 0) / ({N} - d), 6) as mean from sizes z, range(41) r(d)"))
     iso = lambda s, d: loops.isotonic_expected(loops.diagonal_means(_t(s, d), _z(s), 60))
-    add("isotonic_expected", iso)
+    add("isotonic_expected", lambda s, d: _round(iso(s, d), "expected"), structure_sql.ISOTONIC)
     mean = lambda s, d: loops.diagonal_means(_t(s, d), _z(s), 60).withColumnRenamed("mean", "expected")
     add(
         "donut_ll_sums", lambda s, d: _round(loops.donut_sums(_loops_in(s, d), _t(s, d), _t(s, d), mean(s, d), _z(s), 4, 1, 3), "k_s", "k_e", "y_s", "y_e", "y_reads"),
@@ -237,13 +238,13 @@ def register(add) -> None:
         v as (select c.*, case when y - x >= 3 then coalesce(m.value, 0) else 0 end as s, case when x <> y then coalesce(m.value, 0) else 0 end as r, case when y - x >= 3 then coalesce(expected, 0) else 0 end as e from c left join px m on m.chrom = c.chrom and m.bin1 = x and m.bin2 = y left join ex on ex.chrom = c.chrom and ex.d = y - x)
         select chrom, bin1, bin2, round(sum(s), 6) as k_s, round(sum(e), 6) as k_e, round(sum(case when low then s else 0 end), 6) as y_s, round(sum(case when low then e else 0 end), 6) as y_e, round(sum(case when low then r else 0 end), 6) as y_reads from v group by 1, 2, 3"""),
     )
-    add("local_expected", lambda s, d: loops.local_ratios(_t(s, d), _t(s, d), iso(s, d), _z(s), RES))
+    add("local_expected", lambda s, d: _round(loops.local_ratios(_t(s, d), _t(s, d), iso(s, d), _z(s), RES), "k_ratio", "y_ratio"), structure_sql.LOCAL)
     lam = lambda s, d: _t(s, d).withColumn("lam", (F.col("value") + 0.7) * (1 + F.col("bin1") % 5))
     add(
         "lambda_chunks", lambda s, d: lam(s, d).select("chrom", "bin1", "bin2", loops.lambda_chunk(F.col("lam")).alias("chunk")),
         sql("mx", "select chrom, bin1, bin2, cast(case when l < 1 then 1 else floor(3 * log2(l)) + 2 end as int) as chunk from (select *, (value + 0.7) * (1 + bin1 % 5) as l from px)"),
     )
-    add("lambda_chunk_poisson", lambda s, d: loops.poisson_peaks(lam(s, d).select("chrom", "bin1", "bin2", F.col("value").alias("obs"), "lam"), "lam", "d"))
+    add("lambda_chunk_poisson", lambda s, d: _round(loops.poisson_peaks(lam(s, d).select("chrom", "bin1", "bin2", F.col("value").alias("obs"), "lam"), "lam", "d"), "d_p", "d_q", "d_fold"), structure_sql.CHUNK_POISSON)
     add(
         "peak_gap_filter", lambda s, d: loops.away_from_gaps(_loops_in(s, d), _z(s).selectExpr("chrom", "cast(17 + cast(chrom as int) as bigint) as bin")),
         sql("mx", "select chrom, bin1, bin2 from px where bin2 - bin1 between 2 and 30 and value >= 2 and not (17 + cast(chrom as int) between bin1 - 5 and bin1 + 4) and not (17 + cast(chrom as int) between bin2 - 5 and bin2 + 4)"),
@@ -253,7 +254,10 @@ def register(add) -> None:
         sql("mx", """select chrom, bin1, bin2 from px p where bin2 - bin1 between 2 and 30 and value >= 2 and not (bin1 between 10 and 29 and bin2 between 10 and 29)
         and (select count(*) from mx m where m.chrom = p.chrom and (abs(m.bin1 - p.bin1) + abs(m.bin2 - p.bin2)) = 1) = 4"""),
     )
-    add("loops_called", lambda s, d: loops.call_loops(_t(s, d), _t(s, d), _z(s), balance.grid(_z(s)).withColumn("bias", F.lit(1.0)), RES, significance=0.5))
+    add(
+        "loops_called", lambda s, d: _round(loops.call_loops(_t(s, d), _t(s, d), _z(s), balance.grid(_z(s)).withColumn("bias", F.lit(1.0)), RES, significance=0.5), *[f"{k}_{x}" for k in ("d", "ll") for x in ("fold", "p", "q")]),
+        structure_sql.LOOPS,
+    )
     add(
         "loop_select", lambda s, d: _round(loops.select_loops(_loops_in(s, d), _t(s, d), _z(s), 0.6, 2), "rank_ratio"),
         sql("mx", f"""select chrom, bin1, bin2, value, round(r, 6) as rank_ratio from (select chrom, bin1, bin2, value, (select count(*) from grid g where g.chrom = p.chrom and g.bin < {N} - (p.bin2 - p.bin1) and coalesce((select value from px q where q.chrom = p.chrom and q.bin1 = g.bin and q.bin2 = g.bin + p.bin2 - p.bin1), 0) < p.value) / ({N} - (bin2 - bin1)) as r
@@ -276,7 +280,7 @@ def register(add) -> None:
         e as (select *, (m + p) * p0 as e1, (m + p) * (1 - p0) as e2, sqrt((m + p) * p0 * (1 - p0)) as sd from (select *, (select sum(m) / sum(m + p) from g) as p0 from g)),
         t as (select *, case when least(e1, e2) >= 5 then case when e1 >= 30 and e2 >= 30 then (m - e1) / sd else (abs(m - e1) - 0.5) / sd end end as z from e)
         select chrom, m1, m2, m, p, round(z, 6) as z, round(case when z is not null then below end, 6) as rank_ratio, round(case when z is not null then log2(m / p) end, 6) as log2fc from t"""))
-    add("loop_specificity", lambda s, d: specificity.loop_specificity_tested(pairs(s, d), _dm(s, d), _dp(s, d)).select("chrom", "m1", "m2", "m", "p", "pvalue", "qvalue"))
+    add("loop_specificity", lambda s, d: specificity.loop_specificity_tested(pairs(s, d), _dm(s, d), _dp(s, d)).select("chrom", "m1", "m2", "m", "p", F.round("pvalue", 6).alias("pvalue"), F.round("qvalue", 6).alias("qvalue")), structure_sql.LOOP_SPECIFICITY)
     bounds = lambda s: _z(s).select("chrom", F.explode(F.array(*[F.lit(x).cast("long") for x in (14, 25, 36)])).alias("bin"))
     samp = lambda src: f"""(select c.chrom, c.b, c.i, c.j, coalesce(v.value / (select avg(value) from {src} w where w.chrom = c.chrom and w.bin1 between c.b - 10 and c.b + 9 and w.bin2 between c.b - 10 and c.b + 9 and not (w.bin1 >= c.b and w.bin2 < c.b)), 0) as x from cells c left join {src} v on v.chrom = c.chrom and v.bin1 = c.i and v.bin2 = c.j)"""
     sm = lambda s, d: contacts.symmetric(_t(s, d))
@@ -288,7 +292,7 @@ def register(add) -> None:
         select chrom, b, count(*) as n, round(avg(xm), 6) as m_mean, round(avg(xp), 6) as p_mean, round(case when count(*) > 1 and stddev_samp(xm - xp) > 1e-12 then avg(xm - xp) / (stddev_samp(xm - xp) / sqrt(count(*))) end, 6) as t from s group by 1, 2"""),
     )
     cand = lambda s: bounds(s).selectExpr("chrom", "bin as m_bin", "bin + 1 as p_bin")
-    add("boundary_specificity", lambda s, d: specificity.boundary_specificity(cand(s), sm(s, d), sm(s, d).where("(bin1 + bin2) % 3 <> 0")))
+    add("boundary_specificity", lambda s, d: _round(specificity.boundary_specificity(cand(s), _dm(s, d), _dp(s, d)), "pvalue", "m_mean", "p_mean", "t", "qvalue"), structure_sql.BOUNDARY_SPECIFICITY)
     add(
         "compartment_specificity", lambda s, d: _round(specificity.compartment_specificity(_pc(s, d, "m"), _pc(s, d, "p")), "m", "p", "diff", "pvalue", "qvalue"),
         sql(["sizes", "grid"], f""", {_PC}, j as (select * from pcm join pcp using (chrom, bin)), f as (select j.chrom, bin, case when r < 0 then -m else m end as m, p from j join (select chrom, corr(m, p) as r from j group by 1) using (chrom)),
