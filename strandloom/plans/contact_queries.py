@@ -34,13 +34,35 @@ def _flat(x):
     return x.select("name", "outcome", *r("r1"), *r("r2"), *r("cand"), "cand_of")
 
 
-def _sizes_df(spark):
-    rows = [("10", 900), ("2", 1500), ("1", 2000), ("X", 1200), ("Y", 100), ("MT", 16)]
-    return spark.createDataFrame(rows, "chrom string, length long")
+#: Chromosome labels of a supplier's number, numbers and names mixed.
+_LABEL = "case l_suppkey % 27 when 0 then 'X' when 1 then 'Y' when 2 then 'MT' when 3 then '2L' else cast(l_suppkey % 27 as {text}) end"
 
 
-_SIZES_SQL = "(values ('10', 900), ('2', 1500), ('1', 2000), ('X', 1200), ('Y', 100), ('MT', 16)) as t(chrom, length)"
+def _sizes_df(spark, d):
+    """(chrom, length): labels with the largest position that any of their pairs has."""
+    return fx.table(spark, d, "lineitem").selectExpr(_LABEL.format(text="string") + " as chrom", "1 + (l_partkey*7919 + l_suppkey*104729) % 2000000 as pos").groupBy("chrom").agg(F.max("pos").cast("long").alias("length"))
+
+
+_SIZES_SQL = f"(select {_LABEL.format(text='varchar')} as chrom, max(1 + (l_partkey*7919 + l_suppkey*104729) % 2000000) as length from lineitem group by 1)"
 _RANKED = f"select chrom, length, row_number() over (order by try_cast(chrom as int) nulls last, chrom) as rank from {_SIZES_SQL}"
+#: Enzymes of the junction query, with their sites' cuts in SQL.
+_ENZYMES = ["MboI", "HindIII", "NcoI", "CC-GATGG"]
+
+
+def _junctions(spark, d):
+    """Each enzyme's ligation junction, and how often the sequences hold it."""
+    j = F.broadcast(genome.junctions(spark, _ENZYMES).withColumn("cut", F.col("cut").cast("long")))  # a row an enzyme
+    hits = F.size(F.split("seq", F.col("plus"), -1)) - 1
+    per = _seqs(spark, d).crossJoin(j).groupBy("enzyme", "site", "cut", "plus", "minus", "palindromic")
+    return per.agg(F.count_if(hits > 0).alias("n_sequences"), F.sum(hits).cast("long").alias("n_hits"))
+
+
+def _around(spark, d):
+    """Contacts in the imputation's neighbourhood of each frequent pixel."""
+    px = fx.matrix_pixels(spark, d)
+    at = px.where("value >= 2").select("chrom", F.col("bin1").alias("x"), F.col("bin2").alias("y")).crossJoin(F.broadcast(impute.offsets(spark, 500_000)))  # some sixty cells
+    near = at.withColumns({"bin1": F.col("x") + F.col("di"), "bin2": F.col("y") + F.col("dj")}).join(px, ["chrom", "bin1", "bin2"])
+    return near.groupBy("chrom", F.col("x").alias("bin1"), F.col("y").alias("bin2")).agg(F.count(F.lit(1)).alias("cells"), F.sum("value").alias("value"))
 
 
 def _stats_sql() -> str:
@@ -145,9 +167,10 @@ def register(add) -> None:
         select doc_id, row_number() over (partition by doc_id order by start) - 1 as frag_idx, start, "end" from f where "end" > start"""),
     )
     add(
-        "junction_sequence", lambda s, d: genome.junctions(s, ["MboI", "HindIII", "NcoI", "CC-GATGG"]).withColumn("cut", F.col("cut").cast("long")),
-        """select * from (values ('MboI', 'GATC', 0, 'GATCGATC', 'GATCGATC', true), ('HindIII', 'AAGCTT', 1, 'AAGCTAGCTT', 'AAGCTAGCTT', true),
-        ('NcoI', 'CCATGG', 1, 'CCATGCATGG', 'CCATGCATGG', true), ('CC-GATGG', 'CCGATGG', 2, 'CCGATGATGG', 'CCATCATCGG', false)) as t(enzyme, site, cut, plus, minus, palindromic)""",
+        "junction_sequence", _junctions,
+        sql("fx_seqs", """, e as (select * from (values ('MboI', 'GATC', 0, 'GATCGATC', 'GATCGATC', true), ('HindIII', 'AAGCTT', 1, 'AAGCTAGCTT', 'AAGCTAGCTT', true),
+        ('NcoI', 'CCATGG', 1, 'CCATGCATGG', 'CCATGCATGG', true), ('CC-GATGG', 'CCGATGG', 2, 'CCGATGATGG', 'CCATCATCGG', false)) as t(enzyme, site, cut, plus, minus, palindromic))
+        select e.*, count(*) filter (contains(seq, plus)) as n_sequences, cast(sum((length(seq) - length(replace(seq, plus, ''))) / length(plus)) as bigint) as n_hits from e, fx_seqs group by all"""),
     )
     add(
         "rescue_reads", lambda s, d: reads.rescue(_seqs(s, d).selectExpr("concat('s', doc_id) as name", "seq", "translate(seq, 'ACGT', 'IHGF') as qual"), "A-CGT"),
@@ -218,11 +241,11 @@ def register(add) -> None:
     add("hap_pairs", fx.haplotype_pairs, sql("hap", f"select {hap} from hap"))
     add("hap_pair_stats", lambda s, d: alleles.haplotype_stats(fx.haplotype_pairs(s, d)).withColumn("allelic_ratio", F.round("allelic_ratio", 6)), _stats_sql())
     # Bins and contacts.
-    add("natural_chrom_order", lambda s, d: contacts.natural_order(_sizes_df(s)), _RANKED)
+    add("natural_chrom_order", lambda s, d: contacts.natural_order(_sizes_df(s, d)), _RANKED)
     add(
-        "bins_table", lambda s, d: contacts.bins_table(_sizes_df(s), 200),
-        f"""with g as (select *, length // 200 + 1 as n from ({_RANKED})), f as (select *, coalesce(sum(n) over (order by rank rows between unbounded preceding and 1 preceding), 0) as first from g),
-        b as (select *, unnest(range(n)) as bin from f) select chrom, bin, cast(first + bin as bigint) as bin_id, bin * 200 as start, least(length, (bin + 1) * 200) as "end" from b""",
+        "bins_table", lambda s, d: contacts.bins_table(_sizes_df(s, d), 200_000),
+        f"""with g as (select *, length // 200000 + 1 as n from ({_RANKED})), f as (select *, coalesce(sum(n) over (order by rank rows between unbounded preceding and 1 preceding), 0) as first from g),
+        b as (select *, unnest(range(n)) as bin from f) select chrom, bin, cast(first + bin as bigint) as bin_id, bin * 200000 as start, least(length, (bin + 1) * 200000) as "end" from b""",
     )
     valid = lambda s, d: pairs.valid_pairs(fx.pairs(s, d), fx.fragments(s, d))
     add("contact_pixels_40k", lambda s, d: contacts.count_contacts(valid(s, d), [RES]), sql("pairs", _pixels_sql(RES)))
@@ -239,8 +262,9 @@ def register(add) -> None:
         from hap where chrom1 = chrom2 and hap_class in ('M_M', 'P_P') and resolved in ('R1', 'R2') group by all"""),
     )
     add(
-        "neighbourhood_offsets", lambda s, d: impute.offsets(s, 500_000),
-        "select i - 20 as di, j - 20 as dj from range(41) a(i), range(41) b(j) where sqrt(pow(i - 21, 2) + pow(j - 21, 2)) < sqrt(20)",
+        "neighbourhood_offsets", _around,
+        sql("mx", """, o as (select i - 20 as di, j - 20 as dj from range(41) a(i), range(41) b(j) where sqrt(pow(i - 21, 2) + pow(j - 21, 2)) < sqrt(20))
+        select p.chrom, p.bin1, p.bin2, count(*) as cells, sum(q.value) as value from px p, o join px q on q.chrom = p.chrom and q.bin1 = p.bin1 + di and q.bin2 = p.bin2 + dj where p.value >= 2 group by 1, 2, 3"""),
     )
     add("hap_contacts_inter_imputed", _inter, _inter_sql())
     half = lambda s, d, k: fx.directed_pixels(s, d, f"snp2 = {k}").withColumn("value", F.col("value").cast("long"))

@@ -10,7 +10,7 @@ from strandloom.sources import fixtures as fx
 from strandloom.sources.store import stored
 
 from . import structure_sql
-from .inputs import RES, sql
+from .inputs import CTE, RES, sql
 
 N = fx.n_bins(RES)
 
@@ -87,6 +87,13 @@ def _fake_di(s, d):
     return s.range(0, 500).selectExpr("explode(array('1','2','3','4','5')) as chrom", "id as bin", "cast(if((id * 7919 + 13) % 17 in (0, 3), 0, (id * 31) % 7 - 3) as double) as di")
 
 
+def _signal_di(s, d):
+    """Supplied directionality: waves along a chromosome, moved by the events of each bin."""
+    seen = fx.signal(s, d).groupBy("chrom", "bin").agg(F.sum("v").alias("v"))
+    b = s.range(0, 500).selectExpr("explode(array('1','2','3','4','5')) as chrom", "id as bin").join(seen, ["chrom", "bin"], "left")
+    return b.select("chrom", "bin", (5 * F.sin(F.col("bin") * 0.21) + F.coalesce(F.col("v"), F.lit(0.0)) % 3).alias("di"))
+
+
 def _regions(s):
     return s.range(0, 500, 100).selectExpr("explode(array('1','2','3','4','5')) as chrom", "id as start", "id + 95 as end")
 
@@ -101,13 +108,23 @@ def _q_loops(s, d):
 
 
 def _pc(s, d, what):
-    """Supplied compartment signals of two parents."""
-    g = balance.grid(_z(s)).withColumn("k", F.col("bin") * 7 + F.col("chrom").cast("int") * 13)
-    return g.selectExpr("chrom", "bin", "sin(k * 0.37) + 0.3 * sin(k * 1.7) as pc" if what == "m" else "if(chrom = '2', -1, 1) * (sin(k * 0.37 + 0.4) - 0.2 * cos(k * 2.3)) as pc")
+    """Compartment signals of two parents: mean score differences of the pairs that begin, or end, in each bin."""
+    k = "1" if what == "m" else "2"
+    p = fx.pairs(s, d).select(F.col("chrom" + k).alias("chrom"), contacts.bin_of(F.col("pos" + k), RES).alias("bin"), (F.col("as1") - F.col("as2")).alias("x"))
+    return p.groupBy("chrom", "bin").agg(F.avg("x").alias("pc"))
+
+
+_PC = f"""pcm as (select chrom1 as chrom, pos1 // {RES} as bin, avg(as1 - as2) as m from fx_pairs group by 1, 2), pcp as (select chrom2 as chrom, pos2 // {RES} as bin, avg(as1 - as2) as p from fx_pairs group by 1, 2)"""
 
 
-_PC = """pcm as (select chrom, bin, sin(k * 0.37) + 0.3 * sin(k * 1.7) as m from (select *, bin * 7 + cast(chrom as int) * 13 as k from grid)),
-    pcp as (select chrom, bin, case when chrom = '2' then -1 else 1 end * (sin(k * 0.37 + 0.4) - 0.2 * cos(k * 2.3)) as p from (select *, bin * 7 + cast(chrom as int) * 13 as k from grid))"""
+def _planted(s, d, res=10_000, n=201, block=20):
+    """The given contacts at 10 kb on a ground of near cells that are fuller inside blocks of 200 kb."""
+    ground = s.range(1, 6).select(F.col("id").cast("string").alias("chrom"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("bin1"))
+    ground = ground.withColumn("bin2", F.explode(F.sequence(F.col("bin1"), F.least(F.col("bin1") + 30, F.lit(n - 1)))))
+    m = ground.join(fx.matrix_pixels(s, d, res).withColumnRenamed("value", "seen"), ["chrom", "bin1", "bin2"], "left")
+    same = F.floor(F.col("bin1") / block) == F.floor(F.col("bin2") / block)
+    value = F.coalesce("seen", F.lit(0.0)) + 1 + F.when(same, 8.0 + (F.col("bin1") * 7 + F.col("bin2") * 3) % 5).otherwise(0.0)
+    return contacts.symmetric(m.select("chrom", "bin1", "bin2", value.alias("value"))), s.range(1, 6).select(F.col("id").cast("string").alias("chrom"), F.lit(n).cast("long").alias("n"))
 
 
 def _components(s, d):
@@ -169,8 +186,8 @@ def register(add) -> None:
     add("compartments_pc", _components, structure_sql.COMPARTMENTS)
     add(
         "select_allelic_pc",
-        lambda s, d: _round(compartments.choose_by_reference(_pc(s, d, "m").selectExpr("chrom", "bin", "pc", "sin(bin * 0.11) as pc2").select("chrom", "bin", F.expr("stack(2, 1, pc, 2, pc2) as (component, value)")), _pc(s, d, "p")), "r"),
-        sql(["sizes", "grid"], f""", {_PC}, c as (select chrom, 1 as component, corr(m, p) as r from pcm join pcp using (chrom, bin) group by 1 union all select chrom, 2, corr(sin(bin * 0.11), p) from pcp group by 1)
+        lambda s, d: _round(compartments.choose_by_reference(_pc(s, d, "m").selectExpr("chrom", "bin", "pc", "cast(bin % 7 as double) as pc2").select("chrom", "bin", F.expr("stack(2, 1, pc, 2, pc2) as (component, value)")), _pc(s, d, "p")), "r"),
+        sql("fx_pairs", f""", {_PC}, c as (select chrom, 1 as component, corr(m, p) as r from pcm join pcp using (chrom, bin) group by 1 union all select chrom, 2, corr(bin % 7, p) from pcm join pcp using (chrom, bin) group by 1)
         select chrom, component, round(r, 6) as r from (select *, row_number() over (partition by chrom order by abs(r) desc, component) as k from c) where k = 1"""),
     )
     # Domains.
@@ -198,7 +215,7 @@ def register(add) -> None:
     )
 
     def hmm(s, d):
-        di_ = _fake_di(s, d)
+        di_ = _signal_di(s, d)
         segs = domains.segments(few(s, d), big(s))
         return domains.decode_states(di_, segs, domains.train_hmm(di_, segs, 3, 2))
 
@@ -224,7 +241,7 @@ def register(add) -> None:
         select q.chrom, q.s as start, q.e as "end" from q left join f using (chrom, s, e) where coalesce(f.k, 0) < 4
         and (select count(*) from r where r.chrom = q.chrom and r.s = q.s and r.e = q.e and r.k = 2 and (f.at_ is null or r.at_ < f.at_)) < 3 and (select count(*) from z where z.chrom = q.chrom and z.s = q.s and z.e = q.e and zero) * 3 <= q.e - q.s"""),
     )
-    add("domains_called", lambda s, d: domains.call_domains(_m(s, d), _z(s), RES))
+    add("domains_called", lambda s, d: domains.call_domains(*_planted(s, d), 10_000, window=150_000, min_tad=100_000))
     # Loops.
     add("diagonal_expected", lambda s, d: _round(loops.diagonal_means(_t(s, d), _z(s), 40), "mean"), sql("mx", f"select z.chrom, d, round(coalesce((select sum(value) from px where px.chrom = z.chrom and bin2 - bin1 = d), 0) / ({N} - d), 6) as mean from sizes z, range(41) r(d)"))
     iso = lambda s, d: loops.isotonic_expected(loops.diagonal_means(_t(s, d), _z(s), 60))
@@ -295,12 +312,12 @@ def register(add) -> None:
     add("boundary_specificity", lambda s, d: _round(specificity.boundary_specificity(cand(s), _dm(s, d), _dp(s, d)), "pvalue", "m_mean", "p_mean", "t", "qvalue"), structure_sql.BOUNDARY_SPECIFICITY)
     add(
         "compartment_specificity", lambda s, d: _round(specificity.compartment_specificity(_pc(s, d, "m"), _pc(s, d, "p")), "m", "p", "diff", "pvalue", "qvalue"),
-        sql(["sizes", "grid"], f""", {_PC}, j as (select * from pcm join pcp using (chrom, bin)), f as (select j.chrom, bin, case when r < 0 then -m else m end as m, p from j join (select chrom, corr(m, p) as r from j group by 1) using (chrom)),
+        sql("fx_pairs", f""", {_PC}, j as (select * from pcm join pcp using (chrom, bin)), f as (select j.chrom, bin, case when r < 0 then -m else m end as m, p from j join (select chrom, corr(m, p) as r from j group by 1) using (chrom)),
         c as (select *, m - p as diff from f where m * p < 0), k as (select a.chrom, a.bin, count(*) filter (x.m - y.p < a.diff) as r, count(*) as n from c a, c x, c y group by 1, 2),
         v as (select *, least(r, n - r) / n as pv from c join k using (chrom, bin)), w as (select *, pv * (select count(*) from v) / (select count(*) from v u where u.pv <= v.pv) as bh from v)
         select chrom, bin, round(m, 6) as m, round(p, 6) as p, round(diff, 6) as diff, round(pv, 6) as pvalue, round((select least(1, min(u.bh)) from w u where u.pv >= w.pv), 6) as qvalue from w"""),
     )
-    add("position_units", lambda s, d: s.range(0, 200).selectExpr("id * 35000 as bp").select("bp", domains.position_text(F.col("bp")).alias("text")), "select i * 35000 as bp, case when bp // 1000000 > 0 and bp % 1000000 // 1000 > 0 then concat(bp // 1000000, 'M', bp % 1000000 // 1000, 'K') when bp // 1000000 > 0 then concat(bp // 1000000, 'M') else concat(bp // 1000, 'K') end as text from range(200) t(i)")
+    add("position_units", lambda s, d: fx.pairs(s, d).selectExpr("pos1 - pos1 % 500 as bp").distinct().select("bp", domains.position_text(F.col("bp")).alias("text")), f"with {'fx_pairs'} as ({CTE['fx_pairs']}), p as (select distinct pos1 - pos1 % 500 as bp from fx_pairs) select bp, case when bp // 1000000 > 0 and bp % 1000000 // 1000 > 0 then concat(bp // 1000000, 'M', bp % 1000000 // 1000, 'K') when bp // 1000000 > 0 then concat(bp // 1000000, 'M') else concat(bp // 1000, 'K') end as text from p")
     add(
         "heatmap_window", lambda s, d: _m(s, d).where("chrom = '2' and bin1 between 5 and 25 and bin2 between 5 and 25").crossJoin(_m(s, d).where("chrom = '2' and bin1 between 5 and 25 and bin2 between 5 and 25").agg(F.percentile("value", F.lit(0.95)).alias("vmax"))),
         sql("mx", "select chrom, bin1, bin2, value, (select quantile_cont(value, 0.95) from mx where chrom = '2' and bin1 between 5 and 25 and bin2 between 5 and 25) as vmax from mx where chrom = '2' and bin1 between 5 and 25 and bin2 between 5 and 25"),
