@@ -25,10 +25,21 @@ def bh_adjust(d: DataFrame, p: str, out: str = "q", by: list[str] | None = None,
     return d.withColumn(out, F.when(has, F.least(F.lit(1.0), F.min("__bh").over(rest)))).drop("__bh")
 
 
+def _distinct(f, *columns: pd.Series) -> pd.Series:
+    """f of each row of columns, found once for rows that are equal; null where a column is."""
+    rows = np.stack([c.to_numpy(float) for c in columns], 1)
+    out = np.full(len(rows), np.nan)
+    ok = ~np.isnan(rows).any(1)
+    if ok.any():
+        each, back = np.unique(rows[ok], axis=0, return_inverse=True)
+        out[ok] = np.array([f(*r) for r in each.tolist()])[back.ravel()]
+    return pd.Series(out)
+
+
 @F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """P(|Z| > |z|) of a standard normal."""
-    return z.map(lambda x: None if x != x else math.erfc(abs(x) / math.sqrt(2)))
+    return _distinct(lambda x: math.erfc(abs(x) / math.sqrt(2)), z)
 
 
 def poisson_upper(k: float, mean: float) -> float:
@@ -52,8 +63,8 @@ def poisson_upper(k: float, mean: float) -> float:
 
 @F.pandas_udf(DoubleType())
 def poisson_tail(k: pd.Series, mean: pd.Series) -> pd.Series:
-    known: dict = {}
-    return pd.Series([known.setdefault(x, poisson_upper(*x)) for x in zip(k, mean)])
+    """P(X > floor(k)) of a Poisson variable."""
+    return _distinct(poisson_upper, k, mean)
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -81,7 +92,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
 @F.pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| > |t|) of Student's t."""
-    return pd.Series([None if x != x or n != n or n <= 0 else incomplete_beta(n / 2, 0.5, n / (n + x * x)) for x, n in zip(t, df)])
+    return _distinct(lambda x, n: incomplete_beta(n / 2, 0.5, n / (n + x * x)) if n > 0 else math.nan, t, df)
 
 
 def one_proportion_z(count: Column, total: Column, p0: Column) -> Column:

@@ -158,3 +158,15 @@ def choose_by_reference(components: DataFrame, reference: DataFrame) -> DataFram
     """(chrom, component, r): of components(chrom, component, bin, value) the one that correlates best, in absolute value, with reference(chrom, bin, pc)."""
     c = components.join(reference, ["chrom", "bin"]).groupBy("chrom", "component").agg(F.corr("value", "pc").alias("r"))
     return c.groupBy("chrom").agg(F.max_by(F.struct("component", "r"), F.struct(F.abs("r"), -F.col("component"))).alias("x")).select("chrom", "x.component", "x.r")
+
+
+def zero_crossings(pc: DataFrame) -> DataFrame:
+    """(chrom, at, value) for drawing pc(chrom, bin, pc): each bin but a chromosome's last, and a zero half a step after those whose next bin has the other sign.
+
+    Places are those among the chromosome's bins, from 0.
+    """
+    by = Window.partitionBy("chrom").orderBy("bin")
+    d = pc.select("chrom", (F.row_number().over(by) - 1).cast("double").alias("at"), F.col("pc").alias("value"), F.lead("pc").over(by).alias("next")).where("next is not null")
+    own = F.struct("at", "value")
+    points = F.when(F.col("value") * F.col("next") < 0, F.array(own, F.struct((F.col("at") + 0.5).alias("at"), F.lit(0.0).alias("value")))).otherwise(F.array(own))
+    return d.select("chrom", F.explode(points).alias("p")).select("chrom", "p.at", "p.value")

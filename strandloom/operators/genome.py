@@ -6,8 +6,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Recognition sites, the cut marked by '-'.
-ENZYMES = {"MboI": "-GATC", "DpnII": "-GATC", "Sau3AI": "-GATC", "BglII": "A-GATCT", "HindIII": "A-AGCTT", "NcoI": "C-CATGG", "EcoRI": "G-AATTC", "BamHI": "G-GATCC", "XhoI": "C-TCGAG", "NlaIII": "CATG-"}
+# Recognition sites without ambiguous bases, the cut marked by '-'.
+ENZYMES = {
+    "AatII": "GACGT-C", "Acc65I": "G-GTACC", "AclI": "AA-CGTT", "AfeI": "AGC-GCT", "AflII": "C-TTAAG", "AgeI": "A-CCGGT", "AluI": "AG-CT", "ApaI": "GGGCC-C", "ApaLI": "G-TGCAC", "AscI": "GG-CGCGCC", "AseI": "AT-TAAT", "AsiSI": "GCGAT-CGC",
+    "AvrII": "C-CTAGG", "BamHI": "G-GATCC", "BclI": "T-GATCA", "BfaI": "C-TAG", "BfuCI": "-GATC", "BglII": "A-GATCT", "BsiWI": "C-GTACG", "BspEI": "T-CCGGA", "BspHI": "T-CATGA", "BsrGI": "T-GTACA", "BssHII": "G-CGCGC", "BstBI": "TT-CGAA",
+    "BstUI": "CG-CG", "ClaI": "AT-CGAT", "Csp6I": "G-TAC", "CviAII": "C-ATG", "CviQI": "G-TAC", "DpnI": "GA-TC", "DpnII": "-GATC", "DraI": "TTT-AAA", "EagI": "C-GGCCG", "EcoRI": "G-AATTC", "EcoRV": "GAT-ATC", "FatI": "-CATG",
+    "FseI": "GGCCGG-CC", "FspI": "TGC-GCA", "HaeIII": "GG-CC", "HhaI": "GCG-C", "HinP1I": "G-CGC", "HindIII": "A-AGCTT", "HpaI": "GTT-AAC", "HpaII": "C-CGG", "HpyCH4IV": "A-CGT", "HpyCH4V": "TG-CA", "KasI": "G-GCGCC", "KpnI": "GGTAC-C",
+    "MboI": "-GATC", "MfeI": "C-AATTG", "MluCI": "-AATT", "MluI": "A-CGCGT", "MscI": "TGG-CCA", "MseI": "T-TAA", "MspI": "C-CGG", "NaeI": "GCC-GGC", "NarI": "GG-CGCC", "NcoI": "C-CATGG", "NdeI": "CA-TATG", "NheI": "G-CTAGC",
+    "NlaIII": "CATG-", "NotI": "GC-GGCCGC", "NruI": "TCG-CGA", "NsiI": "ATGCA-T", "PacI": "TTAAT-TAA", "PciI": "A-CATGT", "PmeI": "GTTT-AAAC", "PmlI": "CAC-GTG", "PstI": "CTGCA-G", "PvuI": "CGAT-CG", "PvuII": "CAG-CTG", "RsaI": "GT-AC",
+    "SacI": "GAGCT-C", "SacII": "CCGC-GG", "SalI": "G-TCGAC", "Sau3AI": "-GATC", "SbfI": "CCTGCA-GG", "ScaI": "AGT-ACT", "SmaI": "CCC-GGG", "SnaBI": "TAC-GTA", "SpeI": "A-CTAGT", "SphI": "GCATG-C", "SspI": "AAT-ATT", "StuI": "AGG-CCT",
+    "SwaI": "ATTT-AAAT", "TaqI": "T-CGA", "XbaI": "T-CTAGA", "XhoI": "C-TCGAG", "XmaI": "C-CCGGG",
+}
 
 
 def resolve_enzyme(enzyme: str) -> tuple[str, int]:

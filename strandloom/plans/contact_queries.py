@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import alleles, contacts, genome, impute, pairs, reads
 from strandloom.sources import fixtures as fx
+from strandloom.sources.text import haplotype_sizes
 
 from .inputs import NAME, RES, mark, sql
 
@@ -84,7 +85,7 @@ def _pixels_sql(res: int) -> str:
 
 
 def _hap_bins(spark):
-    size = spark.createDataFrame([(h + str(i), 2_000_000) for h in "MP" for i in range(1, 6)], "chrom string, length long")
+    size = haplotype_sizes(spark.createDataFrame([(str(i), 2_000_000) for i in range(1, 6)], "chrom string, length long"))
     # Haplotype letters keep names from being numbers: order by letter, then number.
     return contacts.bins_table(size, INTER_RES)
 

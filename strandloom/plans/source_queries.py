@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.operators import balance, contacts, genome, pairs
+from strandloom.operators import balance, contacts, genome, pairs, reads
 from strandloom.sources import bam, blocks, text
 from strandloom.sources import fixtures as fx
 from strandloom.sources.pixelstore import PixelStore, balance_store
@@ -113,7 +113,34 @@ def _counted(spark, d):
     return written.select(*[F.lit(v).cast("long").alias(k) for k, v in row.items()], "n_written")
 
 
+def _compartment_lines(spark, d):
+    """Mean score differences as compartment lines, written and read by places."""
+    from .structure_queries import _pc
+
+    path = shared_path(spark, "compartments")
+    text.write_compartments(_pc(spark, d, "m"), path)
+    return text.read_compartments(spark, path)
+
+
+def _loop_tables(spark, d):
+    """Frequent pixels as a loop table and as pairs of anchors, read again."""
+    px = fx.matrix_pixels(spark, d).where("value >= 2").selectExpr("chrom", f"bin1 * {RES} as a", f"bin2 * {RES} as b", "cast(1 / (1 + value) as double) as q")
+    path = shared_path(spark, "loops")
+    text.write_table(px.selectExpr("chrom", "a", "b", "0 as c3", "0 as c4", "0 as c5", "0 as c6", "0 as c7", "0 as c8", "q"), f"{path}/called")
+    text.write_table(px.selectExpr("concat('chr', chrom) as chrom", "a", "b", "a as a2", "b as b2"), f"{path}/pairs")
+    called = text.read_called_loops(spark, f"{path}/called").groupBy("chrom").agg(F.count(F.lit(1)).alias("n_called"), F.sum("start").alias("starts"), F.round(F.sum("q"), 6).alias("q"))
+    both = text.read_loop_pairs(spark, f"{path}/pairs").groupBy("chrom").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.col("end1") + F.col("start2")).alias("anchors"))
+    marks = text.read_boundary_pairs(spark, f"{path}/pairs").groupBy("chrom").agg(F.sum(F.col("pos2") - F.col("pos1")).alias("apart"))
+    return called.join(both, "chrom").join(marks, "chrom")
+
+
 def register(add) -> None:
+    add("compartment_lines", _compartment_lines, sql("fx_pairs", f""", p as (select chrom1 as chrom, pos1 // {RES} as bin, avg(as1 - as2) as pc from fx_pairs group by 1, 2), n as (select chrom, max(bin) as n from p group by 1),
+        g as (select chrom, unnest(range(n + 1)) as bin from n) select g.chrom, g.bin, coalesce(pc, 0) as pc from g left join p using (chrom, bin)"""))
+    add(
+        "loop_tables", _loop_tables,
+        sql("mx", f"select chrom, count(*) as n_called, cast(sum(bin1 * {RES}) as bigint) as starts, round(sum(1 / (1 + value)), 6) as q, count(*) as n_pairs, cast(sum((bin1 + bin2) * {RES}) as bigint) as anchors, cast(sum((bin2 - bin1) * {RES}) as bigint) as apart from px where value >= 2 group by 1"),
+    )
     add("fastq_records", _fastq, sql("fx_seqs", "select concat('d', doc_id, '_1') as name, 1 as mate, length(seq) as n, md5(seq) as seq_md5, md5(translate(seq, 'ACGT', '@I+5')) as qual_md5 from fx_seqs where seq <> ''"))
     add(
         "fasta_tiles", lambda s, d: _tiles(s, d).select("chrom", "offset", F.char_length("seq").cast("long").alias("n"), F.md5("seq").alias("seq_md5")),
@@ -130,6 +157,11 @@ def register(add) -> None:
     keys = "name, tag, cast(flag as bigint) as flag, ref, pos, len, as_score, xs_score, count(*) as k"
     add("bam_records", _bam, f"{_ALIGNED_SQL} select {keys} from al group by all")
     add("bam_unmapped", lambda s, d: _bam(s, d, True), f"{_ALIGNED_SQL} select {keys} from al where flag = 4 group by all")
+    level = lambda s, d: fx.alignments(s, d).withColumn("xs_score", F.expr("xs_score + (pos % 3 - 1)")).groupBy("ref").agg(*[F.count_if(reads.is_unique(x)).alias(f"level{x}") for x in (1, 2)], F.count(F.lit(1)).alias("n"))
+    add(
+        "unique_reads", lambda s, d: level(s, d),
+        f"""{_ALIGNED_SQL}, x as (select *, xs_score + (pos % 3 - 1) as xs from al) select ref, count(*) filter (flag = 0 and xs is null) as level1, count(*) filter (flag = 0 and (xs is null or as_score > xs)) as level2, count(*) as n from x group by 1""",
+    )
     side = f"""case when (chrom1, pos1 // {RES}) <= (chrom2, pos2 // {RES}) then {{a}} else {{b}} end"""
     c = lambda a, b: side.format(a=a, b=b)
     add(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandloom.functions.stats import bh_adjust
+from strandloom.functions.stats import bh_adjust, two_proportion_z
 from strandloom.operators import balance, compartments, contacts, domains, loops, specificity
 from strandloom.sources import fixtures as fx
 from strandloom.sources.store import stored
@@ -65,10 +65,10 @@ def _islands_in(s, d):
     return fx.signal(s, d).where("bin % 7 <> 3 and bin % 11 < 8").select("chrom", "bin").distinct()
 
 
-def _states(s, d):
+def _states(s, d, n=3):
     """Supplied state paths: a state per bin from the signal's kinds."""
     b = fx.signal(s, d).groupBy("chrom", "bin").agg(F.count(F.lit(1)).alias("k"), F.min("kind").alias("kind"))
-    return b.select("chrom", F.floor(F.col("bin") / 50).alias("start"), "bin", ((F.col("k") + F.char_length("kind")) % 3).cast("int").alias("state"))
+    return b.select("chrom", F.floor(F.col("bin") / 50).alias("start"), "bin", ((F.col("k") + F.char_length("kind")) % n).cast("int").alias("state"))
 
 
 _STATES = "st as (select chrom, bin // 50 as start, bin, (count(*) + length(min(kind))) % 3 as state from fx_signal group by 1, 2, 3)"
@@ -190,6 +190,11 @@ def register(add) -> None:
         sql("fx_pairs", f""", {_PC}, c as (select chrom, 1 as component, corr(m, p) as r from pcm join pcp using (chrom, bin) group by 1 union all select chrom, 2, corr(bin % 7, p) from pcm join pcp using (chrom, bin) group by 1)
         select chrom, component, round(r, 6) as r from (select *, row_number() over (partition by chrom order by abs(r) desc, component) as k from c) where k = 1"""),
     )
+    add(
+        "zero_crossings", lambda s, d: compartments.zero_crossings(_pc(s, d, "m")),
+        sql("fx_pairs", f""", {_PC}, n as (select chrom, row_number() over w - 1 as i, m, lead(m) over w as nxt from pcm window w as (partition by chrom order by bin))
+        select chrom, cast(i as double) as at, m as value from n where nxt is not null union all select chrom, i + 0.5::double, 0.0::double from n where m * nxt < 0"""),
+    )
     # Domains.
     add("tad_gap_bins", _tgaps, sql("tad", "select chrom, bin from tgap"))
     isl = "x as (select distinct chrom, bin from fx_signal where bin % 7 <> 3 and bin % 11 < 8), g as (select chrom, bin, bin - row_number() over (partition by chrom order by bin) as g from x)"
@@ -225,6 +230,10 @@ def register(add) -> None:
         sql("fx_signal", f""", {_STATES}, w as (select *, concat(state, coalesce(cast(lead(state) over x as varchar), ''), coalesce(cast(lead(state, 2) over x as varchar), ''), coalesce(cast(lead(state, 3) over x as varchar), '')) as p from st window x as (partition by chrom, start order by bin))
         select chrom, bin + 2 as bin from w where p like '220%' union select chrom, bin + 1 from w where p like '200%' union select chrom, bin + 3 from w where p = '2221' union select chrom, bin + 1 from w where p = '1000'"""),
     )
+    add(
+        "boundary_patterns_5", lambda s, d: domains.boundaries_of(_states(s, d, 5), 5).select("chrom", "bin"),
+        sql("fx_signal", f""", {_STATES.replace('% 3 as state', '% 5 as state')}, w as (select *, lead(state) over (partition by chrom, start order by bin) as nxt from st) select chrom, bin + 1 as bin from w where state = 4 and nxt = 0"""),
+    )
     marks = "b as (select distinct chrom, bin, case bin % 4 when 0 then 'start' when 1 then 'end' else 'both' end as mark from fx_signal where bin % 9 = 0), g as (select distinct chrom, bin from fx_signal where bin % 13 < 4)"
     add(
         "boundary_filter", lambda s, d: domains.filter_boundaries(_marks(s, d), _mark_gaps(s, d)),
@@ -317,6 +326,12 @@ def register(add) -> None:
         v as (select *, least(r, n - r) / n as pv from c join k using (chrom, bin)), w as (select *, pv * (select count(*) from v) / (select count(*) from v u where u.pv <= v.pv) as bh from v)
         select chrom, bin, round(m, 6) as m, round(p, 6) as p, round(diff, 6) as diff, round(pv, 6) as pvalue, round((select least(1, min(u.bh)) from w u where u.pv >= w.pv), 6) as qvalue from w"""),
     )
+    share = lambda s, d: fx.pairs(s, d).groupBy(F.col("chrom1").alias("chrom")).agg(*[F.count_if(F.col("snp" + k) == 0).alias("x" + k) for k in "12"], F.count(F.lit(1)).alias("n"))
+    add(
+        "share_difference", lambda s, d: share(s, d).select("chrom", F.round(two_proportion_z(F.col("x1"), F.col("n"), F.col("x2"), F.col("n")), 6).alias("z")),
+        sql("fx_pairs", """, c as (select chrom1 as chrom, count(*) filter (snp1 = 0) as x1, count(*) filter (snp2 = 0) as x2, count(*) as n from fx_pairs group by 1), p as (select *, (x1 + x2) / (2 * n) as p from c)
+        select chrom, round((x1 / n - x2 / n) / sqrt(p * (1 - p) * (1 / n + 1 / n)), 6) as z from p"""),
+    )
     add("position_units", lambda s, d: fx.pairs(s, d).selectExpr("pos1 - pos1 % 500 as bp").distinct().select("bp", domains.position_text(F.col("bp")).alias("text")), f"with {'fx_pairs'} as ({CTE['fx_pairs']}), p as (select distinct pos1 - pos1 % 500 as bp from fx_pairs) select bp, case when bp // 1000000 > 0 and bp % 1000000 // 1000 > 0 then concat(bp // 1000000, 'M', bp % 1000000 // 1000, 'K') when bp // 1000000 > 0 then concat(bp // 1000000, 'M') else concat(bp // 1000, 'K') end as text from p")
     add(
         "heatmap_window", lambda s, d: _m(s, d).where("chrom = '2' and bin1 between 5 and 25 and bin2 between 5 and 25").crossJoin(_m(s, d).where("chrom = '2' and bin1 between 5 and 25 and bin2 between 5 and 25").agg(F.percentile("value", F.lit(0.95)).alias("vmax"))),

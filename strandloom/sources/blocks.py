@@ -51,6 +51,20 @@ def _blocks(batches):
         yield key, held, True
 
 
+def numbered_lines(spark: SparkSession, path) -> DataFrame:
+    """lines with i, a line's place in its block."""
+
+    def run(batches):
+        at = 0
+        for key, held, last in _blocks(batches):
+            n = len(held)
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.string()), pa.array([key[1]] * n, pa.int64()), pa.array(np.arange(at, at + n)), pa.array(held, pa.string())], ["file", "block", "i", "line"])
+            at = 0 if last else at + n
+            held.clear()
+
+    return lines(spark, path).mapInArrow(run, "file string, block long, i long, line string")
+
+
 def first_record(part: list[str]) -> int:
     """Where the first FASTQ record of a run of lines begins; the number of lines if that can't be told.
 
@@ -119,7 +133,9 @@ def read_fastq(spark: SparkSession, path, mate: int) -> DataFrame:
         return pa.table([pa.array([key[0].as_py()] * n, pa.string()), *[pa.array(left[k : 4 * n : 4], pa.string()) for k in (0, 1, 3)]], ["file", "head", "seq", "qual"])
 
     d = whole.unionByName(seams.groupBy("file").applyInArrow(join, "file string, head string, seq string, qual string")).where(F.col("head").startswith("@"))
-    name = F.concat(F.regexp_extract("head", r"^@(\S+)", 1), F.lit(f"_{mate}"))
+    from strandloom.operators.reads import mark_mate
+
+    name = mark_mate(F.regexp_extract("head", r"^@(\S+)", 1), mate)
     return d.select(name.alias("name"), F.lit(mate).alias("mate"), "seq", "qual", F.regexp_extract("file", r"_chunk(\d+)", 1).try_cast("int").alias("chunk"))
 
 

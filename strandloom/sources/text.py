@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import fasta_tiles, read_fastq  # noqa: F401
+from .blocks import fasta_tiles, numbered_lines, read_fastq  # noqa: F401
 
 PAIR_FIELDS = ["ref", "strand", "pos", "len", "as_score", "frag", "snp_n"]
 
@@ -63,6 +63,51 @@ def haplotype_sizes(sizes: DataFrame) -> DataFrame:
     return sizes.select(F.explode(F.array(F.lit("M"), F.lit("P"))).alias("h"), "chrom", "length").select(F.concat("h", "chrom").alias("chrom"), "length")
 
 
+def _rows(spark: SparkSession, path, names: list[str], at: list[int], kinds: list[str]) -> DataFrame:
+    """White-space separated columns by their place; lines whose numbers are none, as headers, are left out."""
+    f = F.split(F.trim("line"), r"\s+")
+    d = _lines(spark, path).select(*[(F.regexp_replace(F.get(f, k), "^chr", "") if kind == "string" else F.get(f, k).try_cast(kind)).alias(n) for n, k, kind in zip(names, at, kinds)])
+    for n, kind in zip(names, kinds):
+        d = d.where(F.col(n).isNotNull()) if kind != "string" else d
+    return d
+
+
+def read_loop_pairs(spark: SparkSession, path) -> DataFrame:
+    """(chrom, start1, end1, start2, end2): loops of both parents, a maternal and a paternal pair of anchors."""
+    return _rows(spark, path, ["chrom", "start1", "end1", "start2", "end2"], [0, 1, 2, 3, 4], ["string"] + ["long"] * 4)
+
+
+def read_called_loops(spark: SparkSession, path) -> DataFrame:
+    """(chrom, start, end, q) of a loop table, as cluster_loops takes it: columns 1 to 3 and 10."""
+    return _rows(spark, path, ["chrom", "start", "end", "q"], [0, 1, 2, 9], ["string", "long", "long", "double"])
+
+
+def read_boundary_pairs(spark: SparkSession, path) -> DataFrame:
+    """(chrom, pos1, pos2): candidate boundaries of both parents."""
+    return _rows(spark, path, ["chrom", "pos1", "pos2"], [0, 1, 2], ["string", "long", "long"])
+
+
+def read_compartments(spark: SparkSession, path) -> DataFrame:
+    """(chrom, bin, pc) of lines (chromosome, value): a chromosome's bins are its lines' places, from 0."""
+    d = numbered_lines(spark, path)
+    f = F.split(F.trim("line"), r"\s+")
+    d = d.select("file", "block", "i", F.regexp_replace(f[0], "^chr", "").alias("chrom"), F.get(f, 1).try_cast("double").alias("pc")).where("pc is not null")
+    # Lines of a chromosome in earlier blocks, then in this one.
+    per = d.groupBy("chrom", "file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("chrom").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    d = d.join(per.select("chrom", "file", "block", before.alias("before")), ["chrom", "file", "block"])
+    own = F.row_number().over(Window.partitionBy("chrom", "file", "block").orderBy("i")) - 1
+    return d.select("chrom", (F.col("before") + own).alias("bin"), "pc")
+
+
+def write_compartments(pc: DataFrame, path: str) -> None:
+    """pc(chrom, bin, pc) as lines (chromosome, value) in the order of bins; bins without a row are zero."""
+    n = pc.groupBy("chrom").agg(F.max("bin").alias("n"))
+    every = n.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("bin")).join(pc, ["chrom", "bin"], "left")
+    d = every.repartitionByRange("chrom", "bin").sortWithinPartitions("chrom", "bin")
+    d.select(F.concat_ws("\t", "chrom", F.coalesce("pc", F.lit(0.0)).cast("string")).alias("value")).write.mode("overwrite").text(path)
+
+
 def read_sam(spark: SparkSession, path) -> DataFrame:
     """(name, tag, ref, flag, pos, len, as_score, xs_score, seq, unmapped) of SAM text; pos is 1-based, names lose their role tag."""
     from strandloom.operators.reads import split_name
