@@ -225,6 +225,7 @@ def register(add) -> None:
         return domains.decode_states(di_, segs, domains.train_hmm(di_, segs, 3, 2))
 
     add("hmm_states", hmm)
+    add("viterbi_states", lambda s, d: domains.decode_states(_signal_di(s, d), domains.segments(few(s, d), big(s)), domains.MixtureHMM.prior(3)), structure_sql.VITERBI)
     add(
         "boundary_patterns", lambda s, d: domains.boundaries_of(_states(s, d)).select("chrom", "bin"),
         sql("fx_signal", f""", {_STATES}, w as (select *, concat(state, coalesce(cast(lead(state) over x as varchar), ''), coalesce(cast(lead(state, 2) over x as varchar), ''), coalesce(cast(lead(state, 3) over x as varchar), '')) as p from st window x as (partition by chrom, start order by bin))
@@ -289,7 +290,7 @@ def register(add) -> None:
         sql("mx", f"""select chrom, bin1, bin2, value, round(r, 6) as rank_ratio from (select chrom, bin1, bin2, value, (select count(*) from grid g where g.chrom = p.chrom and g.bin < {N} - (p.bin2 - p.bin1) and coalesce((select value from px q where q.chrom = p.chrom and q.bin1 = g.bin and q.bin2 = g.bin + p.bin2 - p.bin1), 0) < p.value) / ({N} - (bin2 - bin1)) as r
         from px p where bin2 - bin1 between 2 and 30 and value >= 2) where r >= 0.6"""),
     )
-    add("loop_cluster", lambda s, d: loops.cluster_loops(_q_loops(s, d), RES))
+    add("loop_cluster", lambda s, d: _round(loops.cluster_loops(_q_loops(s, d), RES), "q"), structure_sql.CLUSTERS)
     wq = lambda s, d: _q_loops(s, d).withColumn("n", (F.col("start") / RES % 4 + 1).cast("long"))
     add(
         "loop_weighted_q", lambda s, d: _round(loops.weighted_q(wq(s, d), _t(s, d), RES, 1e-3, True), "weighted_q"),

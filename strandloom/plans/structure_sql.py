@@ -119,3 +119,37 @@ COMPARTMENTS = "with recursive" + sql("decay", f""", u as (select chrom, bin fro
     each as (select chrom, bin, max(v) filter (k = 1) as pc1, max(v) filter (k = 2) as pc2, max(v) filter (k = 3) as pc3 from ax group by 1, 2)
     select chrom, bin, round(case when coalesce(b_mean, 0) > coalesce(a_mean, 0) then -v else v end, 5) as pc, cast(k as int) as component, round(score, 5) as score, round(pc1, 5) as pc1, round(pc2, 5) as pc2, round(pc3, 5) as pc3
     from pc join each using (chrom, bin) left join side using (chrom)""").removeprefix("with")
+
+#: The three-state model's fixed values before training: start, moves, and the shift of its means; parts have the means 3 (k + shift) and the variance 3.
+_START, _MOVE, _SHIFT = (0.4, 0.3, 0.3), ((0.85, 0.15, 0), (0.05, 0.80, 0.15), (0.19, 0.01, 0.80)), (1, -1, -2)
+_LOG_START = "[" + ", ".join(f"ln({x})" for x in _START) + "]"
+_LOG_MOVE = "[" + ", ".join("[" + ", ".join(f"ln({_MOVE[i][j]})" if _MOVE[i][j] else "'-inf'::double" for i in range(3)) + "]" for j in range(3)) + "]"
+_EMIT = "[" + ", ".join("ln((" + " + ".join(f"exp(-(di - {3 * (k + shift)}) * (di - {3 * (k + shift)}) / 6)" for k in range(3)) + ") / (3 * sqrt(6 * pi())))" for shift in _SHIFT) + "]"
+_FEW = """x as (select distinct chrom, bin from fx_signal where bin % 60 < 3 or bin % 97 = 5), g as (select chrom, bin, bin - row_number() over (partition by chrom order by bin) as g from x),
+    i as (select chrom, min(bin) as a, max(bin) as b, count(*) as k from g group by chrom, g), kept as (select i.* from i join (select chrom, avg(k) as m from i group by 1) using (chrom) where k >= least(10, m)),
+    l as (select chrom, unnest(range(a, b + 1)) as bin from kept union select chrom, unnest([0, 499]) from x), e as (select chrom, bin from x union select chrom, unnest([0, 499]) from x), n as (select chrom, bin, lead(bin) over (partition by chrom order by bin) as nxt from l),
+    seg as (select chrom, bin + 1 as start, nxt as "end" from n where nxt - bin > 7 and (select count(*) from e where e.chrom = n.chrom and e.bin > n.bin and e.bin < nxt) / (nxt - bin - 1) <= (select count(*) from e where e.chrom = n.chrom) / 500 / 2)"""
+#: Best paths, a bin a step, and back from each segment's end.
+VITERBI = "with recursive" + sql("fx_signal", f""", {_FEW}, seen as (select chrom, bin, sum(v) as v from fx_signal group by 1, 2),
+    d as (select seg.chrom, start, b.bin, 5 * sin(b.bin * 0.21) + coalesce(v, 0) % 3 as di from seg join range(500) b(bin) on b.bin >= start and b.bin < "end" left join seen on seen.chrom = seg.chrom and seen.bin = b.bin),
+    em as (select chrom, start, bin, row_number() over (partition by chrom, start order by bin) as t, {_EMIT} as e from d),
+    vit(chrom, start, t, v, b) as (select chrom, start, t, list_transform(list_zip({_LOG_START}, e), lambda z: z[1] + z[2]), []::bigint[][] from em where t = 1 union all
+      select chrom, start, t, list_transform(list_zip(list_transform(into_, lambda c: list_max(c)), e), lambda z: z[1] + z[2]), list_append(b, list_transform(into_, lambda c: cast(list_position(c, list_max(c)) as bigint)))
+      from (select em.chrom, em.start, em.t, em.e, b, list_transform({_LOG_MOVE}, lambda c: list_transform(list_zip(c, v), lambda z: z[1] + z[2])) as into_ from vit join em on em.chrom = vit.chrom and em.start = vit.start and em.t = vit.t + 1)),
+    ends as (select vit.* from vit join (select chrom, start, max(t) as t from em group by 1, 2) using (chrom, start, t)),
+    back(chrom, start, t, s, b) as (select chrom, start, t, cast(list_position(v, list_max(v)) as bigint), b from ends union all select chrom, start, t - 1, b[t - 1][s], b from back where t > 1)
+    select chrom, start, bin, cast(s - 1 as int) as state from back join em using (chrom, start, t)""").removeprefix("with")
+
+#: Clusters one by one: a fold over what is left grows one around its moving centre and passes on the rest; passes go on, twice as wide, until none merge.
+_REACH = RES * 2**0.5 + 1000
+_POINT = "struct(s double, e double, q double, n double)"
+CLUSTERS = "with recursive" + sql("mx", f""", pts as (select chrom, list_sort(list({{'s': bin1 * {RES}::double, 'e': bin2 * {RES}::double, 'q': 1 / (1 + value * value * (1 + bin1 % 3))::double, 'n': 1::double}})) as todo from px where bin2 - bin1 >= 2 and value >= 3 group by 1),
+    c(chrom, pass, n0, todo, made, done) as (select chrom, 1, len(todo), todo, []::{_POINT}[], false from pts union all
+      select chrom, case when len(r.rest) = 0 then pass + 1 else pass end, case when len(r.rest) = 0 then len(now) else n0 end, case when len(r.rest) = 0 then list_sort(now) else r.rest end,
+        case when len(r.rest) = 0 then []::{_POINT}[] else now end, len(r.rest) = 0 and pass > 1 and len(now) = n0
+      from (select *, list_append(made, {{'s': r.best.s, 'e': r.best.e, 'q': r.best.q, 'n': r.total}}) as now from (select *, list_reduce(
+          list_transform(todo, lambda p: {{'cs': p.s, 'ce': p.e, 'k': 1::double, 'total': p.n, 'best': {{'q': p.q, 's': p.s, 'e': p.e}}, 'rest': []::{_POINT}[]}}),
+          lambda a, x: case when sqrt(pow(a.cs / a.k - x.cs, 2) + pow(a.ce / a.k - x.ce, 2)) <= case when pass > 1 then 2 else 1 end * {_REACH}
+            then {{'cs': a.cs + x.cs, 'ce': a.ce + x.ce, 'k': a.k + 1, 'total': a.total + x.total, 'best': case when x.best < a.best then x.best else a.best end, 'rest': a.rest}}
+            else {{'cs': a.cs, 'ce': a.ce, 'k': a.k, 'total': a.total, 'best': a.best, 'rest': list_append(a.rest, {{'s': x.cs, 'e': x.ce, 'q': x.best.q, 'n': x.total}})}} end) as r from c where not done)))
+    select chrom, cast(p.s as bigint) as start, cast(p.e as bigint) as "end", round(p.q, 6) as q, cast(p.n as bigint) as n from (select chrom, unnest(todo) as p from c where done)""").removeprefix("with")
