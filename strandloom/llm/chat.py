@@ -166,9 +166,13 @@ def format_chat(parsed: DataFrame, schemas: DataFrame | None = None) -> DataFram
     edges = returned.select(node("call_t").alias("before"), node("t").alias("after"))
     asked = calls.select("c", "t", F.explode(references(F.col("arguments"))).alias("id")).join(results, ["c", "id"])
     edges = edges.unionByName(asked.select(node("result_t").alias("before"), node("t").alias("after")))
-    nodes = edges.select(F.col("before").alias("node")).unionByName(edges.select(F.col("after").alias("node"))).distinct()
-    placed = topological(nodes.withColumn("own", order(F.col("node.t.turn"))), edges)
-    m = m.join(placed.select(F.col("node.c").alias("c"), F.col("node.t").alias("t"), "at", "step", "cyclic"), ["c", "t"], "left")
+    edges = materialize(edges, "order-links")
+    if edges.isEmpty():
+        m = m.withColumns({"at": F.lit(None).cast("long"), "step": F.lit(None).cast("long"), "cyclic": F.lit(None).cast("boolean")})
+    else:
+        nodes = edges.select(F.col("before").alias("node")).unionByName(edges.select(F.col("after").alias("node"))).distinct()
+        placed = topological(nodes.withColumn("own", order(F.col("node.t.turn"))), edges)
+        m = m.join(placed.select(F.col("node.c").alias("c"), F.col("node.t").alias("t"), "at", "step", "cyclic"), ["c", "t"], "left")
     is_result = F.col("call_id").isNotNull()
     linked = F.when(is_result, F.coalesce("called", F.lit(False)))
     call_json = lambda c: F.struct(F.coalesce(F.try_parse_json(c["arguments"]), F.parse_json(F.lit("null"))).alias("arguments"), c["id"].alias("id"), c["name"].alias("name"))
