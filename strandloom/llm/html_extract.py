@@ -176,25 +176,33 @@ def blocks_of(page: str) -> list[tuple[str, bool, bool]]:
 def suffix_order(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(whether a run of one page begins at each place, those places by their run, where in them another run begins).
 
-    Suffixes are ranked by their first 1, 2, 4, ... tokens (prefix doubling) up to `run`; then
-    equal ranks are neighbours in the suffix array. Pages' parts are contiguous.
+    Suffixes are ranked by their first tokens, then by as many ranks as fit one number, which
+    makes the ranked length grow at least twofold, up to `run`; then equal ranks are neighbours
+    in the suffix array. Pages' parts are contiguous.
     """
     n = len(tokens)
     inside = np.zeros(n, bool)
     if n >= run:
         inside[: n - run + 1] = page[: n - run + 1] == page[run - 1 :]
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    length = 1
-    while length < run:
-        step = min(length, run - length)
-        after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:]
-        rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
-        length += step
     order = np.flatnonzero(inside)
-    order = order[np.argsort(rank[order], kind="stable")]  # the suffix array, as far as `run` tokens
-    r = rank[order]
-    return inside, order, np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(order) else np.zeros(0, np.int64)
+    if not len(order):
+        return inside, order, np.zeros(0, np.int64)
+    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+    bits, length = (n + 1).bit_length(), 1
+    while True:
+        key, reach, ranks = rank.copy(), length, 1
+        while reach < run and ranks < 63 // bits:
+            step = min(length, run - reach)
+            at = reach + step - length  # ranks may overlap; the last one ends at `run`
+            key <<= bits
+            key[: n - at] |= rank[at:] + 1
+            reach, ranks = reach + step, ranks + 1
+        if reach >= run:
+            break
+        rank, length = np.unique(key, return_inverse=True)[1].astype(np.int64), reach
+    by = np.argsort(key[order])  # the suffix array, as far as `run` tokens
+    order, r = order[by], key[order[by]]
+    return inside, order, np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
 
 
 def repeated_runs(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +288,10 @@ class _Stream:
         self.sizes = [len(t) for t in parts]
         self.tokens = np.concatenate([np.zeros(0, np.uint64), *parts])
         page = np.repeat(np.arange(len(parts)), self.sizes)
-        self.context = np.repeat(table.column("context").to_numpy(), self.sizes)
+        context = table.column("context").to_numpy()
+        self.context = np.repeat(context, self.sizes)
+        known, number = np.unique(context, return_inverse=True)
+        self.number, self.known = np.repeat(number, self.sizes), max(1, len(known))
         _, self.order, self.begin = suffix_order(self.tokens, page, run)
         self.gram = grams(self.tokens, run)
 
@@ -291,11 +302,10 @@ class _Stream:
     def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(run, a place of it in each of its contexts, how many of its contexts came before), runs numbered as in begin."""
         which = np.repeat(np.arange(len(self.begin)), np.diff(np.append(self.begin, len(self.order))))
-        seen = self.context[self.order]
-        by = np.lexsort((seen, which))
-        w, c = which[by], seen[by]
-        new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (c[1:] != c[:-1])])) if len(w) else np.zeros(0, np.int64)
-        w = w[new]
+        key = which * self.known + self.number[self.order]
+        by = np.argsort(key)
+        new = np.flatnonzero(np.diff(key[by], prepend=-1))
+        w = which[by][new]
         return w, self.order[by][new], np.arange(len(w)) - np.searchsorted(w, w)
 
 
@@ -425,7 +435,7 @@ def _judge(run: int):
         def cover(hit: np.ndarray) -> np.ndarray:
             step = np.zeros(size + run + 1, np.int64)
             step[hit] += 1
-            np.subtract.at(step, hit + run, 1)
+            step[hit + run] -= 1  # hits differ
             return np.cumsum(step) > 0
 
         covered = {False: cover(np.flatnonzero(often >= _CONTEXTS)), True: cover(np.flatnonzero(often[:size] >= within))}
