@@ -225,6 +225,14 @@ def register(add) -> None:
         return domains.decode_states(di_, segs, domains.train_hmm(di_, segs, 3, 2))
 
     add("hmm_states", hmm)
+
+    def trained(s, d):
+        """The model after one round of re-estimation, cell by cell."""
+        model = domains.train_hmm(_signal_di(s, d), domains.segments(few(s, d), big(s)), 3, 1)
+        cells = [(what, i + 1, k + 1, float(a[i, k])) for what, a in (("move", model.move), ("weight", model.weight), ("mean", model.mean), ("var", model.var)) for i in range(3) for k in range(3)]
+        return s.createDataFrame(cells, "what string, state long, k long, value double").withColumn("value", F.round("value", 5))
+
+    add("hmm_trained_once", trained, structure_sql.TRAINED_ONCE)
     add("viterbi_states", lambda s, d: domains.decode_states(_signal_di(s, d), domains.segments(few(s, d), big(s)), domains.MixtureHMM.prior(3)), structure_sql.VITERBI)
     add(
         "boundary_patterns", lambda s, d: domains.boundaries_of(_states(s, d)).select("chrom", "bin"),

@@ -153,3 +153,23 @@ CLUSTERS = "with recursive" + sql("mx", f""", pts as (select chrom, list_sort(li
             then {{'cs': a.cs + x.cs, 'ce': a.ce + x.ce, 'k': a.k + 1, 'total': a.total + x.total, 'best': case when x.best < a.best then x.best else a.best end, 'rest': a.rest}}
             else {{'cs': a.cs, 'ce': a.ce, 'k': a.k, 'total': a.total, 'best': a.best, 'rest': list_append(a.rest, {{'s': x.cs, 'e': x.ce, 'q': x.best.q, 'n': x.total}})}} end) as r from c where not done)))
     select chrom, cast(p.s as bigint) as start, cast(p.e as bigint) as "end", round(p.q, 6) as q, cast(p.n as bigint) as n from (select chrom, unnest(todo) as p from c where done)""").removeprefix("with")
+
+_LSE = "list_max({x}) + ln(list_sum(list_transform({x}, lambda y: exp(y - list_max({x})))))"
+_LOG_FROM = "[" + ", ".join("[" + ", ".join(f"ln({_MOVE[i][j]})" if _MOVE[i][j] else "'-inf'::double" for j in range(3)) + "]" for i in range(3)) + "]"
+_PARTS = "[" + ", ".join("[" + ", ".join(f"exp(-(di - {3 * (k + shift)}) * (di - {3 * (k + shift)}) / 6) / (3 * sqrt(6 * pi()))" for k in range(3)) + "]" for shift in _SHIFT) + "]"
+#: One round of re-estimation: forward and backward sums, a bin a step, and the model of their expected counts.
+TRAINED_ONCE = "with recursive" + sql("fx_signal", f""", {_FEW}, seen as (select chrom, bin, sum(v) as v from fx_signal group by 1, 2),
+    d as (select seg.chrom, start, b.bin, 5 * sin(b.bin * 0.21) + coalesce(v, 0) % 3 as di from seg join range(500) b(bin) on b.bin >= start and b.bin < "end" left join seen on seen.chrom = seg.chrom and seen.bin = b.bin),
+    em as (select chrom, start, di, row_number() over (partition by chrom, start order by bin) as t, count(*) over (partition by chrom, start) as n, {_EMIT} as e, {_PARTS} as parts from d),
+    fw(chrom, start, t, f) as (select chrom, start, t, list_transform(list_zip({_LOG_START}, e), lambda z: z[1] + z[2]) from em where t = 1 union all
+      select chrom, start, t, list_transform(list_zip(list_transform(into_, lambda c: {_LSE.format(x='c')}), e), lambda z: z[1] + z[2])
+      from (select em.chrom, em.start, em.t, em.e, list_transform({_LOG_MOVE}, lambda c: list_transform(list_zip(c, f), lambda z: z[1] + z[2])) as into_ from fw join em on em.chrom = fw.chrom and em.start = fw.start and em.t = fw.t + 1)),
+    bw(chrom, start, t, b, ahead) as (select chrom, start, t, [0.0::double, 0.0::double, 0.0::double], null::double[] from em where t = n union all
+      select chrom, start, t, list_transform({_LOG_FROM}, lambda c: {_LSE.format(x='list_transform(list_zip(c, ahead), lambda z: z[1] + z[2])')}), ahead
+      from (select bw.chrom, bw.start, bw.t - 1 as t, list_transform(list_zip(em.e, b), lambda z: z[1] + z[2]) as ahead from bw join em on em.chrom = bw.chrom and em.start = bw.start and em.t = bw.t where bw.t > 1)),
+    tot as (select chrom, start, {_LSE.format(x='f')} as total from fw join (select distinct chrom, start, n as t from em) using (chrom, start, t)),
+    al as (select em.*, f, b, ahead, total from em join fw using (chrom, start, t) join bw using (chrom, start, t) join tot using (chrom, start)),
+    xi as (select i, j, sum(exp(f[i] + {_LOG_FROM}[i][j] + ahead[j] - total)) as c from al, range(1, 4) x(i), range(1, 4) y(j) where ahead is not null group by 1, 2),
+    p as (select i, k, exp(f[i] + b[i] - total) * parts[i][k] / exp(e[i]) as g, di from al, range(1, 4) x(i), range(1, 4) y(k)), m as (select i, k, sum(g) as w, sum(g * di) / sum(g) as mean, sum(g * di * di) / sum(g) as sq from p group by 1, 2),
+    u as (select 'move' as what, i, j as k, c / sum(c) over (partition by i) as value from xi union all select 'weight', i, k, w / sum(w) over (partition by i) from m union all select 'mean', i, k, mean from m union all select 'var', i, k, greatest(sq - mean * mean, 1e-3) from m)
+    select what, cast(i as bigint) as state, cast(k as bigint) as k, round(value, 5) as value from u""").removeprefix("with")
