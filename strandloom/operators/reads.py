@@ -148,3 +148,26 @@ def _mates() -> Column:
     last = F.array(F.element_at(side("1"), -1), F.element_at(side("2"), -1))
     whole = (F.size(side("1")) > 0) & (F.size(side("2")) > 0)
     return F.when(many(lost), F.slice(F.filter("all", lost), F.lit(1), F.lit(2))).when(many(bad), F.array_repeat(F.get(F.filter("all", lambda x: x["bad"] == 1), 0), 2)).when(whole, last).otherwise(F.array())
+
+
+def placed(alignments: DataFrame, fragments: DataFrame, snps: DataFrame | None = None, allele: str = "m_alt") -> DataFrame:
+    """alignments(name, tag, ref, pos, len, seq, ..) with frag, the midpoint of their fragment, and snp_n, the SNPs whose allele they show; what integrate asks for.
+
+    Unmapped alignments and those outside all fragments have no frag. SNPs are counted by the
+    read's place; without snps they are 0.
+    """
+    from .alleles import snp_matches
+    from .rangejoin import point_in_interval
+
+    f = fragments.select(F.col("chrom"), "start", "end", F.col("mid").alias("frag"))
+    a = point_in_interval(alignments, f, "ref", "pos", how="left").drop("start", "end")
+    if snps is None:
+        return a.withColumn("snp_n", F.lit(0).cast("long"))
+    own = F.struct("name", "tag", "ref", "pos", "seq").alias("name")
+    n = snp_matches(a.select(own, F.col("ref").alias("chrom"), "pos", "seq").distinct(), snps, allele)
+    n = n.select("name.*", "snp_n")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("name", "tag", "ref", "pos", "seq")]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    return a.alias("a").join(n.alias("n"), cond, "left").select("a.*", F.coalesce("n.snp_n", F.lit(0)).alias("snp_n"))

@@ -10,6 +10,7 @@ from strandloom.sources import fixtures as fx
 from strandloom.sources.pixelstore import PixelStore, balance_store
 from strandloom.sources.store import shared_path
 
+from .contact_queries import _integrate_sql
 from .inputs import RES, sql
 
 #: Bases of the tiles of the FASTA queries, and records of a FASTQ file.
@@ -38,20 +39,38 @@ def _tiles(spark, d):
     return blocks.fasta_tiles(spark, path, TILE)
 
 
-def _bam(spark, d, unmapped=None):
-    """Alignments as BAM files, read back by byte ranges."""
-    path = shared_path(spark, "bam")
-    a = fx.alignments(spark, d).select(
+_REFS = [(str(i), 2_100_000) for i in range(1, 6)]
+
+
+def _records(spark, d):
+    """Alignments as records."""
+    return fx.alignments(spark, d).select(
         F.concat_ws("_", "name", "tag").alias("name"), (4 * F.col("unmapped")).cast("int").alias("flag"), "ref", "pos", F.lit(30).alias("mapq"), F.concat(F.col("len").cast("string"), F.lit("M")).alias("cigar"),
         F.expr("repeat('ACGTN', cast(len / 5 as int))").alias("seq"), F.lit(None).cast("string").alias("qual"), F.col("as_score").cast("int").alias("as_score"), F.col("xs_score").cast("int").alias("xs_score"),
     )
-    bam.write_bam(a.repartition("name").sortWithinPartitions("name"), path, [(str(i), 2_100_000) for i in range(1, 6)])
+
+
+def _bam(spark, d, unmapped=None):
+    """Alignments as BAM files, read back by byte ranges."""
+    path = shared_path(spark, "bam")
+    bam.write_bam(_records(spark, d).repartition("name").sortWithinPartitions("name"), path, _REFS)
     r = bam.read_bam(spark, path, unmapped, split=1 << 20)
     # A read group may hold several alignments of one tag, so rows are counted.
     keys = ["name", "tag", "flag", "ref", "pos", "len", "as_score", "xs_score"]
     return r.withColumn("flag", F.col("flag").cast("long")).groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
 
 
+def _bam_pairs(spark, d):
+    """Both mates' alignments in BAM files of their own, read together and integrated."""
+    from .contact_queries import _flat
+
+    paths = [shared_path(spark, f"bam{k}") for k in "12"]
+    for k, path in zip("12", paths):
+        bam.write_bam(_records(spark, d).where(F.col("name").rlike(f"_{k}[12]?$")), path, _REFS)
+    a = bam.read_bams(spark, paths).withColumns({"frag": F.expr("pos - pos % 4000 + 2000"), "snp_n": F.lit(0)})
+    return _flat(reads.integrate(a))
+
+
 def _store(spark, d):
     """A pixel store filled in three chunks: by parity of the read name's hash, and a few pairs again."""
     store = PixelStore(spark, shared_path(spark, "pixels"))
@@ -157,6 +176,7 @@ def register(add) -> None:
     keys = "name, tag, cast(flag as bigint) as flag, ref, pos, len, as_score, xs_score, count(*) as k"
     add("bam_records", _bam, f"{_ALIGNED_SQL} select {keys} from al group by all")
     add("bam_unmapped", lambda s, d: _bam(s, d, True), f"{_ALIGNED_SQL} select {keys} from al where flag = 4 group by all")
+    add("bam_pairs", _bam_pairs, _integrate_sql())
     level = lambda s, d: fx.alignments(s, d).withColumn("xs_score", F.expr("xs_score + (pos % 3 - 1)")).groupBy("ref").agg(*[F.count_if(reads.is_unique(x)).alias(f"level{x}") for x in (1, 2)], F.count(F.lit(1)).alias("n"))
     add(
         "unique_reads", lambda s, d: level(s, d),

@@ -417,6 +417,18 @@ def read_bam(spark: SparkSession, path: str, unmapped: bool | None = None, split
     return d.select(pair.alias("name"), tag.alias("tag"), F.regexp_replace("ref", "^chr", "").alias("ref"), "flag", "pos", F.char_length("seq").alias("len"), "as_score", "xs_score", "seq", "unmapped")
 
 
+def read_bams(spark: SparkSession, paths: list[str], unmapped: bool | None = None) -> DataFrame:
+    """read_bam of several files or folders, as of two mates' mappings and of later ones: their rows together.
+
+    Alignments of one read meet in reads.integrate, whose one shuffle on the name takes the place
+    of merging files sorted by name.
+    """
+    out = read_bam(spark, paths[0], unmapped)
+    for p in paths[1:]:
+        out = out.unionByName(read_bam(spark, p, unmapped))
+    return out
+
+
 def write_bam(records: DataFrame, path: str, refs: list[tuple[str, int]]) -> None:
     """records(name, flag, ref, pos, mapq, cigar, seq, qual, as_score, xs_score) as a folder of files, a file a partition, in the partitions' order."""
     records.sparkSession.dataSource.register(BamSource)
