@@ -153,7 +153,71 @@ def _loop_tables(spark, d):
     return called.join(both, "chrom").join(marks, "chrom")
 
 
+_FRAG = "{p} - {p} % 4000 + 2000"
+
+
+def _pair_lines(spark, d):
+    """Pairs as lines of 15 columns, or of 23 where there is a candidate, read again."""
+    path = shared_path(spark, "pair-lines")
+    mate = lambda k: F.struct(F.col("chrom" + k).alias("ref"), F.col("flag" + k).alias("strand"), F.col("pos" + k).alias("pos"), F.lit(60).alias("len"), F.col("as" + k).alias("as_score"), F.expr(_FRAG.format(p="pos" + k)).alias("frag"), F.col("snp" + k).alias("snp_n"))
+    has = F.col("snp1") == 3
+    p = fx.pairs(spark, d).select("name", mate("1").alias("r1"), mate("2").alias("r2"), F.when(has, mate("2")).alias("cand"), F.when(has, "R1").alias("cand_of"))
+    text.write_pairs(p, path)
+    r = text.read_pairs(spark, path)
+    flat = lambda s: [F.col(f"{s}.{c}").cast("string" if c == "ref" else "long").alias(f"{s}_{c}") for c in text.PAIR_FIELDS]
+    return r.select("name", *flat("r1"), *flat("r2"), *flat("cand"), "cand_of")
+
+
+def _pair_lines_sql() -> str:
+    side = lambda s, k, no: [f"{'case when snp1 = 3 then ' if no else ''}{v}{' end' if no else ''} as {s}_{c}" for c, v in (("ref", f"chrom{k}"), ("strand", f"flag{k}"), ("pos", f"pos{k}"), ("len", "60"), ("as_score", f"as{k}"), ("frag", _FRAG.format(p=f"pos{k}")), ("snp_n", f"snp{k}"))]
+    return sql("fx_pairs", f"select name, {', '.join([*side('r1', '1', False), *side('r2', '2', False), *side('cand', '2', True)])}, case when snp1 = 3 then 'R1' end as cand_of from fx_pairs")
+
+
+def _tables(spark, d):
+    """Fragments, variants and sizes as text files, read again and counted by chromosome."""
+    path = shared_path(spark, "tables")
+    marked = lambda x: x.withColumn("chrom", F.concat(F.lit("chr"), "chrom"))
+    marked(fx.fragments(spark, d)).select("chrom", "start", "end").write.csv(f"{path}/fragments", sep="\t")
+    marked(fx.snps(spark, d)).select("chrom", "pos", F.lit("N"), F.lower("m_alt"), "p_alt").write.csv(f"{path}/snps", sep=" ")
+    p = fx.pairs(spark, d).groupBy(F.col("chrom1").alias("chrom")).agg(F.max("pos1").alias("length"))
+    marked(p.unionByName(p.selectExpr("concat('Un', chrom) as chrom", "length"))).write.csv(f"{path}/sizes", sep="\t")
+    f = text.read_fragments(spark, f"{path}/fragments").groupBy("chrom").agg(F.count(F.lit(1)).alias("fragments"), F.sum("mid").alias("mids"))
+    v = text.read_snps(spark, f"{path}/snps").groupBy("chrom").agg(F.count(F.lit(1)).alias("snps"), F.sum("pos").alias("places"), F.count_if(F.col("m_alt") == "A").alias("m_a"), F.count_if(F.col("p_alt") == "A").alias("p_a"))
+    return text.read_genome_size(spark, f"{path}/sizes", ["#", "X"]).join(f, "chrom").join(v, "chrom")
+
+
+def _sam(spark, d):
+    """Alignments as SAM text, read again and counted."""
+    path = shared_path(spark, "sam")
+    tag = lambda t, c: F.concat(F.lit(f"{t}:i:"), F.col(c).cast("string"))
+    head = F.concat_ws("\t", "name", "flag", F.concat(F.lit("chr"), "ref"), "pos", "mapq", "cigar", F.lit("*"), F.lit("0"), F.lit("0"), "seq", F.lit("*"), tag("AS", "as_score"), tag("XS", "xs_score"))
+    _records(spark, d).select(head.alias("value")).write.text(path)
+    keys = ["name", "tag", "flag", "ref", "pos", "len", "as_score", "xs_score"]
+    return text.read_sam(spark, path).withColumn("flag", F.col("flag").cast("long")).groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
+
+
+def _resolutions(spark, d):
+    """The multi-resolution store of one file tree, one parent's chromosomes read from it."""
+    path = shared_path(spark, "resolutions")
+    p = fx.pairs(spark, d).where("snp1 <> snp2").withColumn("h", F.when(F.col("snp1") > F.col("snp2"), "M").otherwise("P"))
+    p = p.withColumns({"chrom1": F.concat("h", "chrom1"), "chrom2": F.concat("h", "chrom2")})
+    text.write_pixels(contacts.count_contacts(p, [RES, 5 * RES], "pos1", "pos2"), path)
+    return text.read_pixels(spark, path, 5 * RES, haplotype="P").select("chrom1", "bin1", "chrom2", "bin2", "n")
+
+
 def register(add) -> None:
+    add("pair_lines", _pair_lines, _pair_lines_sql())
+    add(
+        "annotation_tables", _tables,
+        sql(["fx_pairs", "fx_frags", "fx_snps"], """, z as (select chrom1 as chrom, max(pos1) as length from fx_pairs group by 1), f as (select chrom, count(*) as fragments, cast(sum((s + e) // 2) as bigint) as mids from fx_frags group by 1),
+        v as (select chrom, count(*) as snps, cast(sum(pos) as bigint) as places, count(*) filter (m_alt = 'A') as m_a, count(*) filter (p_alt = 'A') as p_a from fx_snps group by 1) select * from z join f using (chrom) join v using (chrom)"""),
+    )
+    add("sam_records", _sam, f"{_ALIGNED_SQL} select name, tag, cast(flag as bigint) as flag, ref, pos, len, as_score, xs_score, count(*) as k from al group by all")
+    h = "(select concat('P', chrom1) as c1, pos1 // 200000 as b1, concat('P', chrom2) as c2, pos2 // 200000 as b2 from fx_pairs where snp1 < snp2)"
+    add(
+        "pixels_of_one_parent", _resolutions,
+        sql("fx_pairs", f"select case when (c1, b1) <= (c2, b2) then c1 else c2 end as chrom1, case when (c1, b1) <= (c2, b2) then b1 else b2 end as bin1, case when (c1, b1) <= (c2, b2) then c2 else c1 end as chrom2, case when (c1, b1) <= (c2, b2) then b2 else b1 end as bin2, count(*) as n from {h} group by all"),
+    )
     add("compartment_lines", _compartment_lines, sql("fx_pairs", f""", p as (select chrom1 as chrom, pos1 // {RES} as bin, avg(as1 - as2) as pc from fx_pairs group by 1, 2), n as (select chrom, max(bin) as n from p group by 1),
         g as (select chrom, unnest(range(n + 1)) as bin from n) select g.chrom, g.bin, coalesce(pc, 0) as pc from g left join p using (chrom, bin)"""))
     add(

@@ -148,12 +148,14 @@ def _bh_sql(src: str, p: str = "p", by: str = "chrom") -> str:
 
 def register(add) -> None:
     add("gap_bins", lambda s, d: balance.local_gaps(_dm(s, d), _z(s)), sql("corr", "select chrom, bin from gap_m"))
+    add("gap_bins_paternal", lambda s, d: balance.local_gaps(_dp(s, d), _z(s)), sql("corr", "select chrom, bin from gap_p"))
     add("gap_bins_low_resolution", lambda s, d: balance.low_resolution_gaps(_dm(s, d), _z(s), 0.12), sql("corr", "select chrom, bin from rows_m where coverage < 0.12"))
     add("snp_density_factor", lambda s, d: _round(_factor(s, d), "alpha"), sql("corr", "select chrom, bin, round(alpha, 6) as alpha from alpha"))
     add("symmetrise_local", lambda s, d: _round(balance.symmetrise_mean(balance.scale_rows(_dm(s, d), _factor(s, d)), balance.local_gaps(_dm(s, d), _z(s)))), sql("sym", "select chrom, bin1, bin2, round(value, 6) as value from sym_m"))
     add("symmetrise_global", lambda s, d: _round(balance.symmetrise_sum(balance.scale_rows(_dm(s, d), _factor(s, d)))), sql(["corr", "sums_m"], "select chrom, bin1, bin2, round(value, 6) as value from sums_m"))
     add("vc_correct", lambda s, d: _round(balance.vc_correct(_m(s, d))), sql("mx", "select m.chrom, m.bin1, m.bin2, round(value / (pow(a.s, 2.0/3) * pow(b.s, 2.0/3)), 6) as value from mx m join (select chrom, bin1 as bin, sum(value) as s from mx group by 1, 2) a on a.chrom = m.chrom and a.bin = m.bin1 join (select chrom, bin1 as bin, sum(value) as s from mx group by 1, 2) b on b.chrom = m.chrom and b.bin = m.bin2"))
     add("two_step_local", lambda s, d: _round(balance.two_step_local(_m(s, d), _dm(s, d), _dp(s, d), _z(s))[0]), sql("local", "select chrom, bin1, bin2, round(value, 6) as value from cor_m"))
+    add("two_step_local_paternal", lambda s, d: _round(balance.two_step_local(_m(s, d), _dm(s, d), _dp(s, d), _z(s))[1]), sql("local", "select chrom, bin1, bin2, round(value, 6) as value from cor_p"))
 
     def two_step_global(s, d):
         at = lambda x: x.select(F.lit("all").alias("chrom"), *[(F.col(b) + (F.col("chrom").cast("long") - 1) * N).alias(b) for b in ("bin1", "bin2")], "value")
