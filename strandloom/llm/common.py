@@ -84,6 +84,18 @@ def trimmed(run):
     return wrapped
 
 
+def returned(run):
+    """A function of a group whose worker gives memory back after each group, when what the function held is free."""
+
+    @functools.wraps(run)
+    def wrapped(*group):
+        out = run(*group)
+        give_back()
+        return out
+
+    return wrapped
+
+
 def give_back() -> None:
     import pyarrow as pa
 

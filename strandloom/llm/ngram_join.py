@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, give_back, materialize, mix64, old_names, own_names, slices_by_bytes, text_buffers, trimmed
+from .common import arrow_batches, materialize, mix64, old_names, own_names, returned, slices_by_bytes, text_buffers, trimmed
 from .components import connected_components
 
 _BATCH_BYTES = 1 << 18
@@ -217,7 +217,6 @@ def _count(bits: int):
             packs = [packed[cut[k] : cut[k + 1]].astype("<i8").tobytes() for k in some.tolist()]
             m = len(some)
             parts.append(pa.table([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(some, pa.int32()), pa.array(packs, pa.binary())], schema=schema))
-        give_back()
         return pa.concat_tables([p.cast(schema) for p in parts])
 
     return run
@@ -341,14 +340,14 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 80, star_rounds
     bits = min(16, max(3, int(size / 6 / _RANGE_ENTRIES).bit_length()))
     dealt = src.mapInArrow(trimmed(_deal(n, bits)), _DEALT)
     with arrow_batches(docs.sparkSession, _BATCH_ROWS):
-        table = materialize(dealt.groupBy("r").applyInArrow(_count(bits), _COUNTED), "grams")
+        table = materialize(dealt.groupBy("r").applyInArrow(lambda key, table: returned(_count(bits))(key, table), _COUNTED), "grams")
     rows = table.where("entries is null").drop("bucket", "entries")
 
     # Equal sets are one class, represented by its first row.
     reps = rows.where("sig is not null").groupBy("sig").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"))
     reps = materialize(reps, "reps")
     prefix_len = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / F.lit(100)) + 1
-    keys = table.where("entries is not null").groupBy("bucket").applyInArrow(_gather, "node long, keys array<long>")
+    keys = table.where("entries is not null").groupBy("bucket").applyInArrow(lambda table: returned(_gather)(table), "node long, keys array<long>")
     cand = (
         keys.join(reps.select("node", "n"), "node").withColumn("u", F.col("n") - F.size("keys"))
         .withColumn("p", (prefix_len - F.col("u")).cast("int")).where("p > 0").select("node", "n", "u", "p", "keys")
