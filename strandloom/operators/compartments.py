@@ -81,6 +81,7 @@ def oe_correlation(oe: DataFrame, bins: DataFrame, size: int = tiles.TILE) -> Da
 
     Sums of products come from products of tiles; a constant column correlates with nothing.
     """
+    oe, bins = stored(oe, "oe"), stored(bins, "bins")  # both are read several times
     b = lambda k: bins.select("chrom", F.col("bin").alias(k))
     cells = tiles.cells_of(_correlation(oe, bins, size), size, mirrored=True).withColumnRenamed("value", "r")
     return cells.join(b("bin1"), ["chrom", "bin1"], "left_semi").join(b("bin2"), ["chrom", "bin2"], "left_semi")
