@@ -94,8 +94,9 @@ def _signal_di(s, d):
     return b.select("chrom", "bin", (5 * F.sin(F.col("bin") * 0.21) + F.coalesce(F.col("v"), F.lit(0.0)) % 3).alias("di"))
 
 
-def _regions(s):
-    return s.range(0, 500, 100).selectExpr("explode(array('1','2','3','4','5')) as chrom", "id as start", "id + 95 as end")
+def _regions(s, d):
+    """The first 96 bins of every hundred that holds a supplied boundary, however far the signal reaches."""
+    return _marks(s, d).select("chrom", (F.floor(F.col("bin") / 100) * 100).alias("start")).distinct().withColumn("end", F.col("start") + 95)
 
 
 def _loops_in(s, d):
@@ -252,7 +253,7 @@ def register(add) -> None:
         m as (select chrom, bin, case when l and r then null when l then case when mark <> 'end' then 'start' end when r then case when mark <> 'start' then 'end' end else mark end as mark from c) select * from m where mark is not null"""),
     )
     add(
-        "domains", lambda s, d: domains.domains(_marks(s, d), _regions(s), _fake_di(s, d), RES),
+        "domains", lambda s, d: domains.domains(_marks(s, d), _regions(s, d), _fake_di(s, d), RES),
         sql("fx_signal", f""", {marks}, di as (select cast(c as varchar) as chrom, i as bin, case when (i * 7919 + 13) % 17 in (0, 3) then 0 else (i * 31) % 7 - 3 end as di from range(1, 6) a(c), range(500) b(i)),
         p as (select chrom, bin, mark, lead(bin) over w as e, lead(mark) over w as m2 from b where bin % 100 <= 95 window w as (partition by chrom, bin // 100 order by bin)),
         q as (select chrom, bin as s, e from p where e is not null and mark in ('start', 'both') and m2 in ('end', 'both') and (e - bin) * {RES} between 200000 and 4000000),
