@@ -36,11 +36,12 @@ def artefact_class(library_size: int = LIBRARY_SIZE) -> Column:
 
 def with_fragments(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
     """pairs with frag1 and frag2, the midpoints of their mates' fragments; mates outside all fragments drop the pair."""
-    from .rangejoin import point_in_interval
+    from .rangejoin import point_in_interval, width_for
 
     f = fragments.select("chrom", "start", "end", "mid")
+    width = width_for(f)
     for k in ("1", "2"):
-        pairs = point_in_interval(pairs, f, "chrom" + k, "pos" + k).withColumnRenamed("mid", "frag" + k).drop("start", "end")
+        pairs = point_in_interval(pairs, f, "chrom" + k, "pos" + k, width).withColumnRenamed("mid", "frag" + k).drop("start", "end")
     return pairs
 
 

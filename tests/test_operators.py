@@ -437,3 +437,18 @@ def test_counters_taken_in_one_pass(spark, tmp_path):
     halves = [pairs.write_valid_pairs(d.where(w), f, str(tmp_path / k)) for k, w in (("a", "chrom1 = '1'"), ("b", "chrom1 = '2'"))]
     assert pairs.merged_stats(halves) == got and pairs.merged_stats([]) == {}
 
+
+
+def test_range_lookup_reads_few_candidates_however_dense_the_intervals(spark):
+    """Without a width, buckets follow the intervals: a few to a bucket, and at most two buckets an interval on average."""
+    n = 20_000
+    f = genome.fragments_of_sites(spark.range(1, n + 1).selectExpr("'1' as chrom", "id * 5 + id % 3 as site"))
+    width = rangejoin.width_for(f)
+    kept = f.select(F.explode(rangejoin.buckets_of(F.col("start"), F.col("end"), width)).alias("b")).groupBy("b").count()
+    assert kept.agg(F.max("count")).first()[0] <= 6 and kept.agg(F.sum("count")).first()[0] <= 2 * n
+    p = spark.range(1, 5 * n).selectExpr("'1' as chrom1", "id as pos1")
+    got = rangejoin.point_in_interval(p, f, "chrom1", "pos1")
+    assert got.count() == 5 * n - 1 and got.where("pos1 > end or pos1 <= start and pos1 <> 1").count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "50000" not in plan
+    assert rangejoin.width_for(f.limit(0)) >= 1
