@@ -8,8 +8,10 @@ worths, at the share of bad rows; a score is the logistic of the worth's distanc
 that the threshold's score is 0.7.
 
 Features are shares of character classes and of neighbouring classes, repetition of words and
-lines, and lengths, all of the whole text, taken in Arrow batches where the text lies. Only the
-features of a bounded sample of labelled rows come to the driver.
+lines, and lengths, all of the whole text, taken in Arrow batches where the text lies. All
+labelled rows teach: they are dealt to groups of some of either label, whose pairs are all taken,
+and Newton's sums, means, spreads and the quantile come from Spark. A partial sum for each task
+comes to the driver.
 """
 
 from __future__ import annotations
@@ -17,20 +19,23 @@ from __future__ import annotations
 import functools
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, prefer_small_batches, slices_by_bytes, trimmed
+from .common import materialize, prefer_small_batches, slices_by_bytes, trimmed
 
-#: Labelled rows learned from: at most so many of each label, the first ones by a hash of the id.
-SAMPLE_PER_LABEL = 4000
-#: Preference pairs, each of a good and a bad row of the sample.
+#: Preference pairs of rows in memory, each of a good and a bad row.
 PAIRS = 40_000
+#: Rows of the more frequent label in a group, and of the other at least (all, if fewer).
+_GROUP, _OTHERS = 256, 32
+#: Rows of a bucket in which rows are numbered; rows that a quantile's last step looks at.
+_BUCKET, _FEW = 4096, 1000
 THRESHOLD = 0.7
-_RIDGE, _ROUNDS, _CLIP = 3.0, 25, 6.0
+_RIDGE, _ROUNDS, _CLIP, _LEAST_SPREAD = 3.0, 25, 6.0, 1e-3
 _SLICE = 1 << 20
 
 _PUNCTUATION = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
@@ -102,8 +107,11 @@ class Model:
     threshold: float
     learned: bool
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.centre) / self.spread, -_CLIP, _CLIP)
+
     def worth(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.centre) / self.spread, -_CLIP, _CLIP) @ self.weight
+        return self.scaled(x) @ self.weight
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.learned:
@@ -112,29 +120,38 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """Weights of least logistic loss with a ridge penalty; sums(w) are pair_sums over all pairs."""
+    w = np.zeros(n)
+    for _ in range(_ROUNDS):
+        slope, curve = sums(w)
+        step = np.linalg.solve(curve + _RIDGE * np.eye(n), slope - _RIDGE * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def pair_sums(d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and curvature of the loss at w over pairs with feature differences d."""
+    p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))  # the chance that the bad row were preferred
+    return d.T @ p, (d * (p * (1 - p))[:, None]).T @ d
+
+
 def train(good: np.ndarray, bad: np.ndarray, share_bad: float, pairs: int = PAIRS, seed: int = 7) -> Model:
-    """Fit on the features of good and bad rows; share_bad is the bad rows' share of all labelled ones."""
+    """Fit on features of good and bad rows in memory; share_bad is the bad rows' share of all labelled ones."""
     none = np.zeros(good.shape[1])
     if not len(good) or not len(bad):
         return Model(none, none + 1, none, 0.0, False)
     both = np.concatenate([good, bad])
     weight_of = np.concatenate([np.full(len(good), (1 - share_bad) / len(good)), np.full(len(bad), share_bad / len(bad))])
-    centre = both.mean(0)
-    spread = np.maximum(both.std(0), 1e-3)
-    model = Model(centre, spread, none.copy(), 0.0, True)
-    z = lambda x: np.clip((x - centre) / spread, -_CLIP, _CLIP)
+    model = Model(both.mean(0), np.maximum(both.std(0), _LEAST_SPREAD), none, 0.0, True)
     rnd = np.random.default_rng(seed)
     n = min(pairs, len(good) * len(bad))
     # Every row is in a pair before any is in a second one.
     pick = lambda m: np.concatenate([rnd.permutation(m) for _ in range(-(-n // m))])[:n]
-    d = z(good)[pick(len(good))] - z(bad)[pick(len(bad))]
-    w = model.weight
-    for _ in range(_ROUNDS):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))  # the chance that the bad row were preferred
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + _RIDGE * np.eye(len(w)), d.T @ p - _RIDGE * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
+    d = model.scaled(good)[pick(len(good))] - model.scaled(bad)[pick(len(bad))]
+    model.weight = newton(lambda w: pair_sums(d, w), len(none))
     worth = model.worth(both)
     order = np.argsort(worth, kind="stable")
     below = np.cumsum(weight_of[order])
@@ -166,45 +183,153 @@ def _in_batches(docs: DataFrame, make, schema: str) -> DataFrame:
     return docs.mapInArrow(trimmed(run), schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> tuple[DataFrame, float]:
-    """((label, f array) of a bounded sample of labelled rows, the bad rows' share of all labelled ones).
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, h, f) of each row of docs(doc_id, text), stored: h is a hash of the text, f its features."""
+
+    def make(part: list[str]):
+        import pyarrow as pa
+
+        x = features(part).astype(np.float32)
+        return [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))]
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(_rest("doc_id") == 2, F.lit(False)).alias("held_out"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return materialize(_in_batches(d, make, "doc_id long, held_out boolean, h long, m0 array<float>").withColumnRenamed("m0", "f"), "features")
+
+
+def training_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, id, h, f) of all labelled rows, stored.
 
     Labels are those of rows whose crc32(doc_id) mod 4 is not 2, with an id and a quality of 0
-    or 1; an id that has both teaches nothing. The sample takes the first ids of each label by a
-    hash, and of documents with one id all that differ in text.
+    or 1; an id that has both teaches nothing. Of documents with one id all that differ in text
+    are taken.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(_rest("doc_id") != 2)
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").cast("int").alias("label"), F.max("quality").cast("int").alias("other")).where("label = other").drop("other")
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(counts.values())
-    first = lambda label: known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(per_label)
-    chosen = F.broadcast(first(0).union(first(1)))  # two times per_label rows at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(chosen, "id")
-    rows = texts.select("label", F.col("id"), F.xxhash64("text").alias("h"), "text")
+    found = rows.where("doc_id is not null and not held_out").withColumnRenamed("doc_id", "id").join(known, "id")
+    return materialize(found.groupBy("label", "id", "h").agg(F.first("f").alias("f")), "training")
 
-    def make(part: list[str]):
+
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, N_FEATURES)
+
+
+def _summed(d: DataFrame, make, columns: int) -> np.ndarray:
+    """The sum of make(batch), an array of so many numbers, over a table: a row for each task comes to the driver."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros(columns)
+        for batch in batches:
+            total += make(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+    return sum((np.frombuffer(r["part"]) for r in d.mapInArrow(trimmed(run), "part binary").toLocalIterator()), np.zeros(columns))
+
+
+def _numbered(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """rows with i, from 0, within each label: numbers inside buckets of a hash, and the sizes of the buckets before."""
+    buckets = max(1, sum(counts.values()) // _BUCKET)
+    d = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "h"), F.lit(buckets)))
+    sizes = d.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("label", "bucket").collect()
+    first, at = [], {}
+    for r in sizes:
+        first.append((r["label"], r["bucket"], at.get(r["label"], 0)))
+        at[r["label"]] = at.get(r["label"], 0) + r["n"]
+    offsets = rows.sparkSession.createDataFrame(first, "label int, bucket long, first long")
+    within = F.row_number().over(Window.partitionBy("label", "bucket").orderBy("id", "h")) - 1
+    return d.withColumn("at", within).join(F.broadcast(offsets), ["label", "bucket"]).select("label", (F.col("first") + F.col("at")).alias("i"), "f")
+
+
+def groups(rows: DataFrame, counts: dict[int, int], model: Model) -> DataFrame:
+    """(good, bad): scaled features of groups of training rows, as bytes, stored.
+
+    The more frequent label's rows are in one group each. Those of the other take turns, so that
+    each group has _OTHERS of them, or all, and each is in a group.
+    """
+    many, few = (1, 0) if counts[1] >= counts[0] else (0, 1)
+    n = -(-counts[many] // _GROUP)
+    each = max(min(_OTHERS, counts[few]), -(-counts[few] // n))
+    d = _numbered(rows, counts)
+    turns = F.sequence(F.col("i"), F.lit(each * n - 1), F.lit(counts[few]).cast("long"))
+    dealt = d.where(F.col("label") == many).select("label", "f", (F.col("i") % n).alias("group"))
+    dealt = dealt.unionByName(d.where(F.col("label") == few).select("label", "f", F.explode(turns).alias("turn")).select("label", "f", F.floor(F.col("turn") / each).alias("group")))
+
+    def pack(table):
         import pyarrow as pa
 
-        x = features(part)
-        return [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))]
+        label = table.column("label").to_numpy()
+        z = model.scaled(np.concatenate([_matrix(c) for c in table.column("f").chunks]))
+        return pa.table({"good": pa.array([z[label == 1].astype(np.float32).tobytes()], pa.binary()), "bad": pa.array([z[label == 0].astype(np.float32).tobytes()], pa.binary())})
+
+    return materialize(dealt.groupBy("group").applyInArrow(pack, "good binary, bad binary"), "groups")
+
+
+def _group_sums(w: np.ndarray):
+    """pair_sums at w over all pairs of each group of a batch, in one array."""
+
+    def make(batch) -> np.ndarray:
+        out = np.zeros(len(w) * (len(w) + 1))
+        for good, bad in zip(*(batch.column(c).to_pylist() for c in range(2))):
+            good, bad = (np.frombuffer(x, np.float32).reshape(-1, len(w)).astype(float) for x in (good, bad))
+            for one in bad:
+                slope, curve = pair_sums(good - one, w)
+                out[: len(w)] += slope
+                out[len(w) :] += curve.ravel()
+        return out
+
+    return make
+
+
+def order_statistics(d: DataFrame, k: int) -> tuple[float, float]:
+    """The k-th smallest (from 1) of d's only column x, and the one after it, or itself at the end: by counts in ever narrower bins."""
+    lo, hi, below = *d.agg(F.min("x"), F.max("x")).first(), 0
+    while lo < hi:
+        bins = F.floor((F.col("x") - lo) / (hi - lo) * 1024)
+        inside = d.where(F.col("x").between(lo, hi))
+        for r in inside.groupBy(bins.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").collect():
+            if below + r["n"] >= k:
+                break
+            below += r["n"]
+        lo, hi = r["lo"], r["hi"]
+        if r["n"] <= _FEW:
+            lo = hi = sorted(x[0] for x in d.where(F.col("x").between(lo, hi)).collect())[k - below - 1]
+    reached, after = d.agg(F.count_if(F.col("x") <= lo), F.min(F.when(F.col("x") > lo, F.col("x")))).first()
+    return lo, lo if reached > k or after is None else after
+
+
+def fit(rows: DataFrame, labels: DataFrame) -> Model:
+    """A model of all labelled rows of featured(docs) and labels(doc_id, quality)."""
+    none = np.zeros(N_FEATURES)
+    taught = training_rows(rows, labels)
+    counts = {0: 0, 1: 0} | {r["label"]: r["n"] for r in taught.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not all(counts.values()):
+        return Model(none, none + 1, none, 0.0, False)
+    n = sum(counts.values())
+    centre = _summed(taught.select("f"), lambda batch: _matrix(batch.column(0)).sum(0), N_FEATURES) / n
+    square = _summed(taught.select("f"), lambda batch: ((_matrix(batch.column(0)) - centre) ** 2).sum(0), N_FEATURES) / n
+    model = Model(centre, np.maximum(np.sqrt(square), _LEAST_SPREAD), none, 0.0, True)
+    dealt = groups(taught, counts, model)
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = _summed(dealt, _group_sums(w), N_FEATURES * (N_FEATURES + 1))
+        return s[:N_FEATURES], s[N_FEATURES:].reshape(N_FEATURES, N_FEATURES)
 
-    made = _in_batches(rows, make, "label int, id long, h long, m0 array<double>")
-    return made.groupBy("label", "id", "h").agg(F.first("m0").alias("f")), (counts.get(0, 0) / total if total else 0.0)
+    model.weight = newton(sums, N_FEATURES)
 
+    def worths(batches):
+        import pyarrow as pa
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:
-    """A model of docs(doc_id, text) and labels(doc_id, quality); the driver holds the sample's features only."""
-    rows, share_bad = training_rows(docs, labels, per_label)
-    table = rows.toArrow().sort_by([("label", "ascending"), ("id", "ascending"), ("h", "ascending")])
-    label = table.column("label").to_numpy()
-    x = np.concatenate([np.zeros((0, N_FEATURES)), *[c.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES) for c in table.column("f").chunks]])
-    model = train(x[label == 1], x[label == 0], share_bad)
-    del table, x
-    give_back()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.worth(_matrix(batch.column(0))))], ["x"])
+
+    # Between the quantile's row and the next one, so that neither lies on the line.
+    model.threshold = sum(order_statistics(materialize(taught.select("f").mapInArrow(worths, "x double"), "worths"), counts[0])) / 2
     return model
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from 0.7 on) of each row of docs(doc_id, text).
 
     held_out is whether crc32(doc_id) mod 4 is 2; a row without an id is neither held out nor
@@ -212,14 +337,14 @@ def judge_quality(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PE
     have equal scores, repeated rows stay apart; other columns, whatever their names, are
     ignored; an empty table stays empty. Without labels of both kinds every score is 0.5.
     """
-    model = fit(docs, labels, per_label)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # three vectors of N_FEATURES numbers
+    rows = featured(docs)
+    held = docs.sparkSession.sparkContext.broadcast(fit(rows, labels))  # three vectors of N_FEATURES numbers
 
-    def make(part: list[str]):
+    def run(batches):
         import pyarrow as pa
 
-        return [pa.array(held.value.score(features(part)))]
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(held.value.score(_matrix(batch.column(2))))], ["doc_id", "held_out", "score"])
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(_rest("doc_id") == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    scored = _in_batches(d, make, "doc_id long, held_out boolean, m0 double")
-    return scored.select("doc_id", "held_out", F.col("m0").alias("score"), (F.col("m0") >= THRESHOLD).cast("int").alias("predicted"))
+    scored = rows.select("doc_id", "held_out", "f").mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -64,3 +64,36 @@ def test_edges(spark):
     assert len({r["score"] for r in got if r["doc_id"] == 1}) == 1 and len({r["score"] for r in got if r["doc_id"] in (3, 4)}) == 1
     assert {r["score"] for r in pf.judge_quality(docs, labels.limit(0)).collect()} == {0.5}
     assert pf.judge_quality(docs.limit(0), labels).count() == 0
+
+
+def test_every_labelled_row_is_in_a_group(spark):
+    """Groups hold each row of the more frequent label once and each of the other at least once, some of both in every group."""
+    rnd = np.random.default_rng(2)
+    for n_good, n_bad in ((9000, 5), (300, 9000), (700, 600), (1, 1)):
+        x = rnd.normal(0, 1, (n_good + n_bad, pf.N_FEATURES)).round(3)
+        rows = spark.createDataFrame([(int(i < n_good), i, i, f) for i, f in enumerate(x.tolist())], "label int, id long, h long, f array<float>")
+        model = pf.Model(np.zeros(pf.N_FEATURES), np.ones(pf.N_FEATURES), np.zeros(pf.N_FEATURES), 0.0, True)
+        packed = pf.groups(rows, {1: n_good, 0: n_bad}, model).collect()
+        unpack = lambda b: np.frombuffer(b, np.float32).reshape(-1, pf.N_FEATURES)
+        for column, n in (("good", n_good), ("bad", n_bad)):
+            parts = [unpack(r[column]) for r in packed]
+            assert min(map(len, parts)) >= 1 and max(map(len, parts)) <= pf._GROUP
+            every = np.concatenate(parts)
+            assert len(np.unique(every, axis=0)) == n and (len(every) == n or n < max(n_good, n_bad))
+
+
+def test_order_statistics(spark):
+    rnd = np.random.default_rng(4)
+    x = np.concatenate([rnd.normal(0, 1, 5000), np.full(3000, 0.25), [1e9]])
+    d = spark.createDataFrame([(float(v),) for v in x], "x double")
+    s = np.sort(x)
+    for k in (1, 40, 4000, 5500, 8000, 8001):
+        assert pf.order_statistics(d, k) == (s[k - 1], s[min(k, len(s) - 1)])
+
+
+def test_the_whole_training_set_teaches(spark):
+    """A mark that few bad rows have, and that a sample of the first rows by hash lacked, counts."""
+    rows = [(i, "A plain text of words." if i % 2 else ("A plain text of words ~." if i % 40 == 0 else "x### y$$$"), i % 2) for i in range(12_000)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    taught = pf.training_rows(pf.featured(docs), labels)
+    assert taught.count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(12_000)) > 8000
