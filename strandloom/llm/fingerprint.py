@@ -212,14 +212,15 @@ def compare_with_next(docs: DataFrame, **sizes: int) -> DataFrame:
     if blocks > 1:
         marks = d.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], max(10000, 20 * blocks))).first()[0]
         cuts = sorted(set(marks or []))
-    # The block is the number of cuts at or below doc_id, by binary search: one projection a step.
-    d = d.withColumn("block", F.lit(0))
-    step = 1 << (len(cuts).bit_length() - 1) if cuts else 0
-    while step:
-        probe = F.col("block") + step
-        below = (probe <= len(cuts)) & (F.get(F.lit(cuts), probe - 1) <= F.col("doc_id"))
-        d = d.withColumn("block", F.when(below, probe).otherwise(F.col("block")))
-        step >>= 1
+    # The block is the number of cuts at or below doc_id, by binary search in one expression: steps
+    # that are columns of each other grow the optimiser's plans by a factor each.
+    block = F.lit(0)
+    if cuts:
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))])
+        table = F.lit(cuts)
+        below = lambda at: (at <= len(cuts)) & (F.get(table, at - 1) <= F.col("doc_id"))
+        block = F.aggregate(steps, F.lit(0), lambda b, step: F.when(below(b + step), b + step).otherwise(b))
+    d = d.withColumn("block", block)
     d = d.withColumn("block", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.col("block")))
     d = d.withColumn("at", F.coalesce("doc_id", F.lit(2**63 - 1)))
     # The first id of each block: a row per block, bounded by the number of blocks.
@@ -228,7 +229,7 @@ def compare_with_next(docs: DataFrame, **sizes: int) -> DataFrame:
         return docs.sparkSession.createDataFrame([], _OUT)
     goes = [(r["block"], r["at"], firsts[i - 1]["block"]) for i, r in enumerate(firsts)]
     heads = docs.sparkSession.createDataFrame(goes, "block int, at long, goes int")
-    head = d.where(F.col("at").isin([r["at"] for r in firsts])).join(F.broadcast(heads), ["block", "at"])
+    head = d.join(F.broadcast(heads), ["block", "at"])
     head = head.groupBy("goes").agg(F.min_by("doc_id", "text").alias("doc_id"), F.min("text").alias("text"))
     head = head.select("doc_id", "text", F.col("goes").alias("block"), F.lit(True).alias("guest"))
     every = d.select("doc_id", "text", "block", F.lit(False).alias("guest")).unionByName(head)

@@ -79,3 +79,13 @@ def test_half_edit_scores():
     a, b = (" ".join(str(rnd.random()) for _ in range(200)) for _ in range(2))
     x, y, z = fp.chunk_sets(*fp._buffer([a, fp.edited(a, b), b]))
     assert 0.4 < fp.containment(x, y) < 0.6 and fp.containment(x, z) < 0.05
+
+
+def test_the_plan_holds_the_cuts_a_few_times_only(spark, monkeypatch):
+    """Blocks of a few bytes: a plan of a few times its cuts, and the results of one block."""
+    docs = spark.createDataFrame([(3 * i + 10**9, f"text number {i} " * (i % 7)) for i in range(300)], "doc_id long, text string")
+    want = sorted(map(tuple, fp.compare_with_next(docs).collect()))
+    monkeypatch.setattr(fp, "_BLOCK_BYTES", 100)
+    got = fp.compare_with_next(docs)
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 30_000
+    assert sorted(map(tuple, got.collect())) == want
