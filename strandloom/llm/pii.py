@@ -130,6 +130,11 @@ def _terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower)
 
 
+def _places(text: Column, terms: Column) -> Column:
+    """array<struct<start, value>> of the places of some terms in a text."""
+    return F.filter(located(text, _TERM), lambda h: F.array_contains(terms, F.lower(h["value"])))
+
+
 def _with_neighbours(text: Column) -> Column:
     """array<struct<term, around>> of a text's terms and a hash of the two on either side."""
     near = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in (-2, -1, 1, 2)])
@@ -245,10 +250,11 @@ def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, least_c
     if not everywhere.isEmpty():
         # Spans depend on the text alone, so rows of one id and text share them.
         hits = d.select("doc_id", "content", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(everywhere, "term", "left_semi")
-        hits = materialize(hits.select(F.col("doc_id").alias("__d"), F.col("content").alias("__c")).distinct(), "everywhere")
+        hits = materialize(hits.groupBy(F.col("doc_id").alias("__d"), F.col("content").alias("__c")).agg(F.collect_set("term").alias("__t")), "everywhere")
         same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("content") == F.col("__c"))
-        texts = d.join(hits, same, "left_semi").dropDuplicates(["doc_id", "content"])
-        places = texts.select("doc_id", "content", F.explode(located(F.col("text"), _TERM)).alias("t")).select("doc_id", "content", *place("t"))
+        texts = d.join(hits, same).dropDuplicates(["doc_id", "content"])
+        # Of a text's words only those that disclose become rows.
+        places = texts.select("doc_id", "content", F.explode(_places(F.col("text"), F.col("__t"))).alias("t")).select("doc_id", "content", *place("t"))
         wide = places.join(everywhere, "term").groupBy(F.col("doc_id").alias("__d"), F.col("content").alias("__c")).agg(listed.alias("wide"))
         added = added.join(wide, same, "left").drop("__d", "__c")
     else:

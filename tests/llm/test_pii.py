@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from strandloom.llm import pii
 
 RX = {
@@ -172,3 +173,11 @@ def test_sanitised(spark):
 @pytest.mark.parametrize("f", [pii.find, pii.sanitised])
 def test_empty(spark, f):
     assert f(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_places_of_terms_alone_become_rows(spark):
+    """Words of a text that disclose nothing are no rows, however many there are."""
+    text = "Über alles: " + "plain words here " * 300 + "TOKEN x, token. tokens"
+    d = spark.createDataFrame([(text, ["token", "über"]), ("nothing", ["token"])], "text string, terms array<string>")
+    got = [[(p["start"], p["value"]) for p in r["p"]] for r in d.select(pii._places(F.col("text"), F.col("terms")).alias("p")).collect()]
+    assert got == [[(0, "Über"), (text.index("TOKEN"), "TOKEN"), (text.index("token."), "token")], []]
