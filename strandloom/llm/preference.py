@@ -17,6 +17,7 @@ comes to the driver.
 from __future__ import annotations
 
 import functools
+import operator
 import unicodedata
 from collections import Counter
 from collections.abc import Callable
@@ -90,7 +91,7 @@ def features(texts: list[str]) -> np.ndarray:
         top = max(seen.values())
         row[-_LENGTHS:] = (
             np.log1p(n), np.log(len(seen) + 1) / np.log(n + 1), len(seen) / n, top / n, np.sqrt(max(0, top - 1) / n),
-            np.sqrt(sum(map(str.__eq__, words, words[1:])) / n), (len(text) - n) / n / 10, max(map(len, seen)) / 100, np.sqrt(1 - len(set(lines)) / max(1, len(lines))), np.log1p(n / max(1, len(lines))), 0.0,
+            np.sqrt(sum(map(operator.eq, words, words[1:])) / n), (len(text) - n) / n / 10, max(map(len, seen)) / 100, np.sqrt(1 - len(set(lines)) / max(1, len(lines))), np.log1p(n / max(1, len(lines))), 0.0,
         )
     shares = out[:, : N_CLASSES + _COARSE * _COARSE]
     np.sqrt(shares, out=shares)
@@ -138,6 +139,15 @@ def pair_sums(d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return d.T @ p, (d * (p * (1 - p))[:, None]).T @ d
 
 
+def product_sums(good: np.ndarray, bad: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """pair_sums at w over all pairs of a good and a bad row: (g - b)(g - b)' is gg' + bb' - gb' - bg', so each row's own product is taken once."""
+    p = 1 / (1 + np.exp(np.clip((good @ w)[:, None] - bad @ w, -500, 500)))
+    q = p * (1 - p)
+    cross = good.T @ (q @ bad)
+    curve = (good * q.sum(1)[:, None]).T @ good + (bad * q.sum(0)[:, None]).T @ bad - cross - cross.T
+    return good.T @ p.sum(1) - bad.T @ p.sum(0), curve
+
+
 def train(good: np.ndarray, bad: np.ndarray, share_bad: float, pairs: int = PAIRS, seed: int = 7) -> Model:
     """Fit on features of good and bad rows in memory; share_bad is the bad rows' share of all labelled ones."""
     none = np.zeros(good.shape[1])
@@ -172,10 +182,10 @@ def _in_batches(docs: DataFrame, make, schema: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            sizes = np.concatenate([[0], np.cumsum([len(t or "") for t in texts.to_pylist()])])
+            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
+            sizes = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
             for a, b in slices_by_bytes(sizes, _SLICE):
-                made = make([t or "" for t in texts[a:b].to_pylist()])
+                made = make(texts[a:b])
                 rest = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*rest.columns[:-1], *made], [*rest.schema.names[:-1], *[f"m{i}" for i in range(len(made))]])
 
@@ -215,7 +225,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _summed(d: DataFrame, make, columns: int) -> np.ndarray:
-    """The sum of make(batch), an array of so many numbers, over a table: a row for each task comes to the driver."""
+    """The sum of make(batch), an array of so many numbers, over a table, in one job: a row for each task comes to the driver."""
 
     def run(batches):
         import pyarrow as pa
@@ -225,7 +235,7 @@ def _summed(d: DataFrame, make, columns: int) -> np.ndarray:
             total += make(batch)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
 
-    return sum((np.frombuffer(r["part"]) for r in d.mapInArrow(trimmed(run), "part binary").toLocalIterator()), np.zeros(columns))
+    return sum((np.frombuffer(r["part"]) for r in d.mapInArrow(trimmed(run), "part binary").collect()), np.zeros(columns))
 
 
 def _numbered(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
@@ -273,10 +283,9 @@ def _group_sums(w: np.ndarray):
         out = np.zeros(len(w) * (len(w) + 1))
         for good, bad in zip(*(batch.column(c).to_pylist() for c in range(2))):
             good, bad = (np.frombuffer(x, np.float32).reshape(-1, len(w)).astype(float) for x in (good, bad))
-            for one in bad:
-                slope, curve = pair_sums(good - one, w)
-                out[: len(w)] += slope
-                out[len(w) :] += curve.ravel()
+            slope, curve = product_sums(good, bad, w)
+            out[: len(w)] += slope
+            out[len(w) :] += curve.ravel()
         return out
 
     return make

@@ -97,3 +97,23 @@ def test_the_whole_training_set_teaches(spark):
     docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
     taught = pf.training_rows(pf.featured(docs), labels)
     assert taught.count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(12_000)) > 8000
+
+
+def test_products_sum_all_pairs():
+    rnd = np.random.default_rng(6)
+    for n_good, n_bad in ((1, 1), (40, 3), (7, 30)):
+        good, bad, w = rnd.normal(1, 2, (n_good, 5)), rnd.normal(-1, 2, (n_bad, 5)), rnd.normal(0, 1, 5)
+        want = pf.pair_sums((good[:, None] - bad[None]).reshape(-1, 5), w)
+        assert all(np.allclose(a, b, rtol=1e-11, atol=1e-11) for a, b in zip(pf.product_sums(good, bad, w), want))
+
+
+def test_sums_of_a_table_are_one_job(spark):
+    """Partitions are summed side by side: a job for each of them would do one after another."""
+    context = spark.sparkContext
+    context.setJobGroup("sums", "")
+    try:
+        got = pf._summed(spark.range(0, 1000, 1, 6), lambda batch: np.array([batch.num_rows, sum(batch.column(0).to_pylist())], float), 2)
+        assert got.tolist() == [1000, 499500]
+        assert len(context.statusTracker().getJobIdsForGroup("sums")) == 1
+    finally:
+        context._jsc.sc().clearJobGroup()
